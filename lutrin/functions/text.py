@@ -19,7 +19,7 @@ WORD_BREAK = r"[^\p{L}\p{Nd}]+"
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """Compute `value` once per row and use it several times."""
-    return F.transform(F.array(value), use)[0]
+    return F.transform(F.array(value), lambda v: use(v))[0]
 
 
 def strip(c: Column) -> Column:

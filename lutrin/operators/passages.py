@@ -259,3 +259,22 @@ def embed_text(path: Column, text: Column, prefix: str = "") -> Column:
     """What is embedded: the chapter, a line feed and the text, behind the model's prefix."""
     body = F.when(path != "", F.concat_ws("\n", path, text)).otherwise(text)
     return F.concat(F.lit(prefix), body)
+
+
+def chapter_paths(lines: Column) -> Column:
+    """array<struct<pos, line, path>> of the headings: part under the last upper-case chapter."""
+    def paths(ls: Column) -> Column:
+        heads = F.filter(F.transform(ls, lambda x, i: F.struct(
+            (i + 1).alias("pos"), x["line"].alias("line"), x["heading"].alias("heading"),
+            T.is_upper(x["line"]).alias("upper"))), lambda x: x["heading"])
+        empty = F.array().cast("array<struct<pos:int,line:string,path:string>>")
+        return F.aggregate(
+            heads, F.struct(F.lit("").alias("chapter"), empty.alias("out")),
+            lambda acc, h: F.struct(
+                F.when(h["upper"], h["line"]).otherwise(acc["chapter"]).alias("chapter"),
+                F.array_append(acc["out"], F.struct(
+                    h["pos"].alias("pos"), h["line"].alias("line"),
+                    F.when(h["upper"] | (acc["chapter"] == ""), h["line"]).otherwise(
+                        F.concat(acc["chapter"], F.lit(" > "), h["line"])).alias("path"))).alias("out")),
+            lambda acc: acc["out"])
+    return let(lines, paths)

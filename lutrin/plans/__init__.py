@@ -1 +1,6 @@
+"""All registered queries."""
 
+from lutrin.plans import corpus
+from lutrin.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "corpus"]
