@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterable
+from functools import lru_cache, reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from lutrin.functions import lexicon as L
@@ -55,28 +56,46 @@ def mentions_round(text: Column) -> Column:
     return fold(text).rlike(L.ROUND_PATTERN)
 
 
+@lru_cache(maxsize=16)
+def _word_columns(application: str, words: tuple[str, ...]) -> tuple[Column, ...]:
+    return tuple(F.lit(w) for w in words)
+
+
+def is_one_of(word: Column, words: Iterable[str]) -> Column:
+    """Set membership; the literals of a long list are made once per application."""
+    application = SparkSession.active().sparkContext.applicationId
+    return word.isin(*_word_columns(application, tuple(sorted(words))))
+
+
+def _wanted(word: Column, folded: Column, stop: list[str] | None, nouns: list[str] | None) -> Column:
+    """Domain nouns stay; other words stay from three letters on if they are no function word.
+
+    The lists are folded, so testing the folded word covers the word itself.
+    """
+    nouns = set(L.domain_nouns() if nouns is None else nouns)
+    dropped = set(L.stopwords() if stop is None else stop) - nouns
+    short = {n for n in nouns if len(n) < 3}
+    kept = (F.length(word) >= 3) & ~is_one_of(folded, dropped)
+    return kept | is_one_of(folded, short) if short else kept
+
+
 def keywords(text: Column, stop: list[str] | None = None, nouns: list[str] | None = None) -> Column:
     """Distinct folded words in order; domain nouns stay, short and function words go."""
-    stop, nouns = stop or L.stopwords(), nouns or L.domain_nouns()
-    return F.filter(F.array_distinct(terms(fold(text))), lambda w: (
-        w.isin(nouns) | ((F.length(w) >= 3) & ~w.isin(stop))))
+    return F.filter(F.array_distinct(terms(fold(text))), lambda w: _wanted(w, w, stop, nouns))
 
 
 def search_terms(text: Column, stop: list[str] | None = None, nouns: list[str] | None = None) -> Column:
     """As `keywords`, accents kept: stems are taken from the words as written."""
-    stop, nouns = stop or L.stopwords(), nouns or L.domain_nouns()
-    return F.filter(F.array_distinct(terms(F.lower(text))), lambda w: let(fold(w), lambda f: (
-        w.isin(nouns) | f.isin(nouns)
-        | ((F.length(w) >= 3) & ~w.isin(stop) & ~f.isin(stop)))))
+    return F.filter(F.array_distinct(terms(F.lower(text))), lambda w: _wanted(w, fold(w), stop, nouns))
 
 
 def query_terms(text: Column) -> Column:
     """struct<mode, terms>: any of the first terms, or all words when no term is left."""
-    return let(search_terms(text), lambda found: F.when(
-        F.size(found) > 0,
-        F.struct(F.lit("any").alias("mode"), F.slice(found, 1, L.MAX_TERMS).alias("terms"))
-    ).otherwise(F.struct(F.lit("all").alias("mode"),
-                         F.array_distinct(terms(F.lower(text))).alias("terms"))))
+    return let(F.array_distinct(terms(F.lower(text))), lambda words: let(
+        F.filter(words, lambda w: _wanted(w, fold(w), None, None)), lambda found: F.when(
+            F.size(found) > 0,
+            F.struct(F.lit("any").alias("mode"), F.slice(found, 1, L.MAX_TERMS).alias("terms"))
+        ).otherwise(F.struct(F.lit("all").alias("mode"), words.alias("terms")))))
 
 
 def query_text(text: Column) -> Column:
@@ -101,8 +120,8 @@ def stem(word: Column) -> Column:
 
 def text_stems(text: Column, stop: list[str] | None = None) -> Column:
     """Stems of every word that is no function word, repeats kept."""
-    stop = stop or L.stopwords()
-    kept = F.filter(terms(F.lower(F.coalesce(text, F.lit("")))), lambda w: ~fold(w).isin(stop))
+    stop = L.stopwords() if stop is None else stop
+    kept = F.filter(terms(F.lower(F.coalesce(text, F.lit("")))), lambda w: ~is_one_of(fold(w), stop))
     return F.transform(kept, stem)
 
 
@@ -173,7 +192,7 @@ def numbered_items(text: Column) -> Column:
     def build(found: Column) -> Column:
         distinct = F.filter(found, lambda x, i: ~F.exists(
             F.slice(found, 1, i), lambda y: y["order"] == x["order"]))
-        return let(F.array_sort(distinct), lambda ordered: F.transform(ordered, lambda x: F.struct(
+        return let(F.sort_array(distinct), lambda ordered: F.transform(ordered, lambda x: F.struct(
             x["order"].alias("order"), x["name"].alias("name"),
             sub_steps(text, x["order"], F.exists(
                 ordered, lambda y: y["order"] == x["order"] + 1)).alias("steps"))))

@@ -250,7 +250,7 @@ def repeated_lines(pages: Column, times: int = L.HEADER_REPEATS) -> Column:
     lines = F.filter(
         F.flatten(F.transform(pages, lambda p: F.transform(F.split(p["text"], "\n"), strip))),
         lambda l: F.length(l).between(4, 80))
-    return let(F.array_sort(lines), lambda s: F.array_distinct(
+    return let(F.sort_array(lines), lambda s: F.array_distinct(
         F.filter(s, lambda l, i: l == F.get(s, i - (times - 1)))))
 
 

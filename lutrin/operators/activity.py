@@ -185,7 +185,7 @@ def reassembled(lines: DataFrame) -> DataFrame:
     last = F.filter(F.transform("c.choices", lambda x: x["finish_reason"]), lambda r: r != "")
     return (parsed.select("stream_id", "pos", "c", text.alias("t"), F.try_element_at(last, F.lit(-1)).alias("reason"))
             .groupBy("stream_id").agg(
-                F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda p: p["t"]), "").alias("answer"),
+                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda p: p["t"]), "").alias("answer"),
                 F.max_by("c.model", F.when(F.col("c.model") != "", F.col("pos"))).alias("model"),
                 F.max_by("c.id", F.when(F.col("c.id") != "", F.col("pos"))).alias("response_id"),
                 F.max_by("reason", F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("finish_reason"),

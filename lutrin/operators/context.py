@@ -60,7 +60,7 @@ def context_turns(rows: DataFrame, keep: int = L.MAX_HISTORY_TURNS) -> DataFrame
     """Newest exchanges without error and with answer and model, as one history array per conversation."""
     good = rows.filter(F.col("error").isNull() & (F.col("answer") != "") & (F.col("model") != ""))
     return (last_exchanges(good, keep).groupBy("conv_id")
-            .agg(F.array_sort(F.collect_list(F.struct("exchange_no", "question", "answer"))).alias("turns"))
+            .agg(F.sort_array(F.collect_list(F.struct("exchange_no", "question", "answer"))).alias("turns"))
             .select("conv_id", F.transform("turns", lambda t: F.struct(
                 t["question"].alias("question"), t["answer"].alias("answer"))).alias("history")))
 

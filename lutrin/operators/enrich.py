@@ -50,7 +50,7 @@ def gameplay_sections(passages: DataFrame) -> DataFrame:
     """(collection_id, bucket, title, description, keywords) from the first texts of each bucket."""
     few = bucket_texts(passages).filter(F.col("position") <= L.SUMMARY_TEXTS)
     texts = (few.groupBy("collection_id", "bucket")
-             .agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("texts"))
+             .agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("texts"))
              .withColumn("texts", F.col("texts.text")))
     titles = F.create_map(*[F.lit(x) for kv in L.BUCKET_TITLES.items() for x in kv])
     parts = F.filter(F.transform("texts", lambda t: nlp.opening_sentences(t)), lambda p: p != "")
@@ -86,7 +86,7 @@ def gameplay(passages: DataFrame) -> DataFrame:
         F.first(F.when(F.col("bucket") == b, F.struct("title", "description", "keywords")), True).alias(b)
         for b in L.BUCKET_TITLES])
     mechanics = mechanic_evidence(passages).groupBy("collection_id").agg(
-        F.array_sort(F.collect_list(F.struct("label", "tag", "description"))).alias("mechanics"))
+        F.sort_array(F.collect_list(F.struct("label", "tag", "description"))).alias("mechanics"))
     return (sections.join(mechanics, "collection_id", "full").join(phases(passages), "collection_id", "full"))
 
 

@@ -21,16 +21,12 @@ def postings(passages: DataFrame) -> DataFrame:
     Term counts are taken inside the passage row, so building the index explodes once
     and shuffles nothing; fields are title (A), chapter (B), topics (B) and content (C).
     """
-    fields = [("A", F.col("title")), ("B", F.col("hierarchy_path")),
-              ("B", F.array_join(F.coalesce(F.col("mechanics"), F.array().cast("array<string>")), " ")),
-              ("C", F.col("text"))]
-    by_field: dict[str, list[Column]] = {}
-    for field, value in fields:
-        by_field.setdefault(field, []).append(nlp.text_stems(value))
-    counted = F.concat(*[
-        F.transform(T.run_lengths(F.array_sort(F.concat(*stems))), lambda r, f=field: F.struct(
-            r["value"].alias("stem"), F.lit(f).alias("field"), r["n"].alias("tf")))
-        for field, stems in by_field.items()])
+    topics = F.array_join(F.coalesce(F.col("mechanics"), F.array().cast("array<string>")), " ")
+    fields = F.array(*[F.struct(F.lit(field).alias("field"), value.alias("text")) for field, value in (
+        ("A", F.col("title")), ("B", F.concat_ws(" ", "hierarchy_path", topics)), ("C", F.col("text")))])
+    counted = F.flatten(F.transform(fields, lambda f: F.transform(
+        T.run_lengths(F.sort_array(nlp.text_stems(f["text"]))), lambda r: F.struct(
+            r["value"].alias("stem"), f["field"].alias("field"), r["n"].alias("tf")))))
     weights = F.create_map(*[F.lit(x) for kv in L.FIELD_WEIGHTS.items() for x in kv])
     return (passages.select("collection_id", "passage_id", F.explode(counted).alias("p"))
             .select("collection_id", "passage_id", "p.*")
@@ -60,7 +56,7 @@ def hashed_vector(text: Column, dimensions: int = 64) -> Column:
         return scores.unit(let(counts, lambda m: F.transform(
             F.sequence(F.lit(0), F.lit(dimensions - 1)),
             lambda d: F.coalesce(F.try_element_at(m, d), F.lit(0)))))
-    return let(T.run_lengths(F.array_sort(buckets)), dense)
+    return let(T.run_lengths(F.sort_array(buckets)), dense)
 
 
 def with_embedding(df: DataFrame, text: Column, embed: Callable[[Column], Column] = hashed_vector,
@@ -86,7 +82,7 @@ def mean_pooled(df: DataFrame, keys: list[str], vector: str = "embedding") -> Da
             .select(*keys, F.posexplode(vector).alias("dim", "x"))
             .groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).alias("x")))
     return (sums.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
+            .agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("v"))
             .select(*keys, scores.unit(F.col("v.x")).alias(vector)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lutrin.functions import lexicon as L
 from lutrin.functions import nlp, scores
-from lutrin.functions.text import let
+from lutrin.functions.text import fold, let
 from lutrin.operators.skew import spread_join, top_per
 
 SCORE_DIGITS = 9  # sums may run in any order; ties are settled by id
@@ -24,12 +24,13 @@ def vector_scores(queries: DataFrame, passages: DataFrame, key: str = "query_id"
     by passage id otherwise.
     """
     vectors = (passages.filter(F.col("embedding").isNotNull())
-               .select("collection_id", "passage_id", "page_start", "embedding"))
-    asked = (queries.filter(F.col("vector").isNotNull()).select(key, "collection_id", "vector"))
+               .select("collection_id", "passage_id", "embedding", scores.norm(F.col("embedding")).alias("_n")))
+    asked = (queries.filter(F.col("vector").isNotNull())
+             .select(key, "collection_id", "vector", scores.norm(F.col("vector")).alias("_m")))
     pairs = spread_join(vectors, asked, ["collection_id"], F.col("passage_id"))
+    cosine = F.try_divide(scores.dot(F.col("embedding"), F.col("vector")), F.col("_n") * F.col("_m"))
     return (pairs.filter(scores.same_dimension(F.col("embedding"), F.col("vector")))
-            .select(key, "passage_id", "page_start",
-                    F.round(scores.cosine(F.col("embedding"), F.col("vector")), SCORE_DIGITS).alias("score")))
+            .select(key, "passage_id", F.round(cosine, SCORE_DIGITS).alias("score")))
 
 
 def vector_candidates(queries: DataFrame, passages: DataFrame, depth: int,
@@ -49,8 +50,9 @@ def query_stems(queries: DataFrame, key: str = "query_id") -> DataFrame:
     """One row per (query, stem) with the mode and the number of distinct stems."""
     parsed = let(nlp.query_terms(F.col("question")), lambda q: F.struct(
         q["mode"].alias("mode"),
-        F.array_distinct(F.when(q["mode"] == "any", F.transform(q["terms"], nlp.stem))
-                         .otherwise(F.flatten(F.transform(q["terms"], lambda w: nlp.text_stems(w))))).alias("stems")))
+        F.array_distinct(F.transform(F.filter(
+            q["terms"], lambda w: (q["mode"] == "any") | ~nlp.is_one_of(fold(w), L.stopwords())),
+            nlp.stem)).alias("stems")))
     return (queries.select(key, "collection_id", parsed.alias("q"))
             .select(key, "collection_id", F.col("q.mode").alias("mode"),
                     F.size("q.stems").alias("needed"), F.explode("q.stems").alias("stem")))
@@ -119,12 +121,12 @@ def expand_top(hits: DataFrame, passages: DataFrame, top: int = L.EXPAND_TOP, re
              .join(details, "passage_id")
              .withColumn("hit_id", F.struct(key, "rank")))
     around = (neighbors(found, passages, reach).groupBy("hit_id")
-              .agg(F.array_sort(F.collect_list(F.struct(
+              .agg(F.sort_array(F.collect_list(F.struct(
                   "chunk_index", "passage_id", "text", "page_start", "page_end"))).alias("near")))
     section = F.struct(*SECTION_FIELDS)
     per_query = (found.join(around, "hit_id", "left")
                  .groupBy(key)
-                 .agg(F.array_sort(F.collect_list(F.struct("rank", section.alias("s"), "near"))).alias("hits")))
+                 .agg(F.sort_array(F.collect_list(F.struct("rank", section.alias("s"), "near"))).alias("hits")))
     return per_query.select(key, absorb(F.col("hits"), top).alias("sections"))
 
 

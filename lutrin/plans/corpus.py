@@ -59,7 +59,7 @@ def page_split(spark, folder):
     turns = D.table(spark, folder, "conversations")
     page = F.concat(F.col("text"), F.lit(" fin-\nale   de\tpage\n\n\n\n- "), F.col("turn").cast("string"), F.lit(" -\n"))
     glued = (turns.select("conv_id", "turn", F.when(F.col("role") == "system", "").otherwise(page).alias("page"))
-             .groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "page"))).alias("p"))
+             .groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "page"))).alias("p"))
              .select("conv_id", F.array_join("p.page", "\f").alias("text")))
     return (glued.select("conv_id", F.explode(T.split_pages(F.col("text"))).alias("p"))
             .select("conv_id", F.col("p.page_no").cast("long").alias("page_no"), "p.text"))

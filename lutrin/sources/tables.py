@@ -17,9 +17,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share when the scan yields fewer splits than cores.
+
+    Such an input is small (at most one split size per core); larger ones are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, folder: str, collection: str = "source") -> DataFrame:
     """Documents with pages of twenty lines, by source or by language."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select(collection, "doc_id", "text")).select(
         F.col(collection).alias("collection_id"), "doc_id",
         T.pages_of_lines(F.col("text"), LINES_PER_PAGE).alias("pages"))
 
@@ -29,7 +38,7 @@ def page_passages(spark: SparkSession, folder: str) -> DataFrame:
 
     Collections are uneven on purpose: one language holds most of the rows.
     """
-    rows = (table(spark, folder, "documents")
+    rows = (spread(table(spark, folder, "documents").select("lang", "doc_id", "source", "text"))
             .select("lang", "doc_id", "source", F.explode(T.pages_of_lines(F.col("text"), LINES_PER_PAGE)).alias("p")))
     return rows.select(
         F.concat_ws("-", F.col("doc_id").cast("string"), F.col("p.page_no").cast("string")).alias("passage_id"),
