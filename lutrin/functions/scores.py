@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lutrin.functions import lexicon as L
+from lutrin.functions.text import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,8 +20,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length one; a zero vector stays as it is."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
+    return let(a, lambda v: let(norm(v), lambda length: F.transform(
+        v, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))))
 
 
 def cosine(a: Column, b: Column) -> Column:

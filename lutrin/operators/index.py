@@ -12,21 +12,23 @@ from lutrin.functions import nlp, scores
 from lutrin.functions import text as T
 from lutrin.functions.text import let
 
-POSTING_COLUMNS = ["collection_id", "stem", "passage_id", "field", "tf", "weight"]
+POSTING_COLUMNS = ["collection_id", "stem", "passage_id", "field", "tf", "weight", "first_field"]
 
 
 def postings(passages: DataFrame) -> DataFrame:
-    """One row per (passage, field, stem).
+    """One row per (passage, stem, field); `first_field` marks one row per (passage, stem).
 
-    Term counts are taken inside the passage row, so building the index explodes once
-    and shuffles nothing; fields are title (A), chapter (B), topics (B) and content (C).
+    Words are sorted and counted inside the passage row, so building the index explodes
+    once and shuffles nothing; fields are title (A), chapter (B), topics (B) and content (C).
     """
     topics = F.array_join(F.coalesce(F.col("mechanics"), F.array().cast("array<string>")), " ")
     fields = F.array(*[F.struct(F.lit(field).alias("field"), value.alias("text")) for field, value in (
         ("A", F.col("title")), ("B", F.concat_ws(" ", "hierarchy_path", topics)), ("C", F.col("text")))])
-    counted = F.flatten(F.transform(fields, lambda f: F.transform(
-        T.run_lengths(F.sort_array(nlp.text_stems(f["text"]))), lambda r: F.struct(
-            r["value"].alias("stem"), f["field"].alias("field"), r["n"].alias("tf")))))
+    words = F.sort_array(F.flatten(F.transform(fields, lambda f: F.transform(
+        nlp.text_stems(f["text"]), lambda s: F.struct(s.alias("stem"), f["field"].alias("field"))))))
+    counted = let(T.run_lengths(words), lambda runs: F.transform(runs, lambda r, i: F.struct(
+        r["value"]["stem"].alias("stem"), r["value"]["field"].alias("field"), r["n"].alias("tf"),
+        ((i == 0) | (F.get(runs, i - 1)["value"]["stem"] != r["value"]["stem"])).alias("first_field"))))
     weights = F.create_map(*[F.lit(x) for kv in L.FIELD_WEIGHTS.items() for x in kv])
     return (passages.select("collection_id", "passage_id", F.explode(counted).alias("p"))
             .select("collection_id", "passage_id", "p.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lutrin.functions import lexicon as L
 from lutrin.functions import nlp, scores
 from lutrin.functions.text import fold, let
-from lutrin.operators.skew import spread_join, top_per
+from lutrin.operators.skew import computed_once, spread_join, top_per
 
 SCORE_DIGITS = 9  # sums may run in any order; ties are settled by id
 SECTION_FIELDS = ["passage_id", "title", "text", "page_start", "page_end", "hierarchy_path",
@@ -23,14 +23,17 @@ def vector_scores(queries: DataFrame, passages: DataFrame, key: str = "query_id"
     Passages stay where they are while the queries are small; a hot collection is split
     by passage id otherwise.
     """
-    vectors = (passages.filter(F.col("embedding").isNotNull())
-               .select("collection_id", "passage_id", "embedding", scores.norm(F.col("embedding")).alias("_n")))
-    asked = (queries.filter(F.col("vector").isNotNull())
-             .select(key, "collection_id", "vector", scores.norm(F.col("vector")).alias("_m")))
-    pairs = spread_join(vectors, asked, ["collection_id"], F.col("passage_id"))
-    cosine = F.try_divide(scores.dot(F.col("embedding"), F.col("vector")), F.col("_n") * F.col("_m"))
-    return (pairs.filter(scores.same_dimension(F.col("embedding"), F.col("vector")))
-            .select(key, "passage_id", F.round(cosine, SCORE_DIGITS).alias("score")))
+    vectors = computed_once(passages.select("collection_id", "passage_id", "embedding"),
+                            "_p", F.struct(F.col("embedding").alias("v"), scores.norm(F.col("embedding")).alias("n")))
+    asked = computed_once(queries.select(key, "collection_id", "vector"),
+                          "_q", F.struct(F.col("vector").alias("v"), scores.norm(F.col("vector")).alias("n")))
+    pairs = spread_join(vectors.drop("embedding").filter(F.col("_p.v").isNotNull()),
+                        asked.drop("vector").filter(F.col("_q.v").isNotNull()),
+                        ["collection_id"], F.col("passage_id"))
+    cosine = F.try_divide(scores.dot(F.col("_p.v"), F.col("_q.v")), F.col("_p.n") * F.col("_q.n"))
+    same = pairs.filter(scores.same_dimension(F.col("_p.v"), F.col("_q.v")))
+    return (computed_once(same, "score", F.round(cosine, SCORE_DIGITS))
+            .select(key, "passage_id", "score"))
 
 
 def vector_candidates(queries: DataFrame, passages: DataFrame, depth: int,
@@ -47,25 +50,25 @@ def vector_candidates(queries: DataFrame, passages: DataFrame, depth: int,
 
 
 def query_stems(queries: DataFrame, key: str = "query_id") -> DataFrame:
-    """One row per (query, stem) with the mode and the number of distinct stems."""
+    """One row per (query, stem); `needed` is how many stems a passage must hold, 0 for any."""
     parsed = let(nlp.query_terms(F.col("question")), lambda q: F.struct(
         q["mode"].alias("mode"),
         F.array_distinct(F.transform(F.filter(
             q["terms"], lambda w: (q["mode"] == "any") | ~nlp.is_one_of(fold(w), L.stopwords())),
             nlp.stem)).alias("stems")))
     return (queries.select(key, "collection_id", parsed.alias("q"))
-            .select(key, "collection_id", F.col("q.mode").alias("mode"),
-                    F.size("q.stems").alias("needed"), F.explode("q.stems").alias("stem")))
+            .select(key, "collection_id", F.when(F.col("q.mode") == "all", F.size("q.stems")).otherwise(0).alias("needed"),
+                    F.explode("q.stems").alias("stem")))
 
 
 def text_scores(queries: DataFrame, postings: DataFrame, key: str = "query_id") -> DataFrame:
     """Weighted text score of the passages that hold any term (or all, by mode)."""
-    hits = spread_join(postings.select("collection_id", "stem", "passage_id", "weight"),
+    hits = spread_join(postings.select("collection_id", "stem", "passage_id", "weight", "first_field"),
                        query_stems(queries, key), ["collection_id", "stem"], F.col("passage_id"))
     return (hits.groupBy(key, "passage_id")
-            .agg(F.sum("weight").alias("total"), F.count_distinct("stem").alias("found"),
-                 F.first("needed").alias("needed"), F.first("mode").alias("mode"))
-            .filter((F.col("mode") == "any") | (F.col("found") == F.col("needed")))
+            .agg(F.sum("weight").alias("total"), F.count_if("first_field").alias("found"),
+                 F.max("needed").alias("needed"))
+            .filter(F.col("found") >= F.col("needed"))
             .select(key, "passage_id", F.round("total", SCORE_DIGITS).alias("score")))
 
 

@@ -36,3 +36,12 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: s
     """
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+
+
+def computed_once(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """Adds a costly value that is filtered on later.
+
+    A plain projection would be computed a second time inside the pushed-down filter; the
+    filter stays above the generator of one row.
+    """
+    return df.withColumn(column, F.explode_outer(F.array(value)))

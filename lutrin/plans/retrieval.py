@@ -10,6 +10,7 @@ from lutrin.operators import context as C
 from lutrin.operators import index, retrieve as R
 from lutrin.plans import sql as S
 from lutrin.plans.registry import query
+from lutrin.session import written
 from lutrin.sources import tables as D
 
 ID = "query_id"
@@ -153,7 +154,7 @@ BENCH_SEARCH = f"{S.PASSAGES}, {S.QUESTIONS}, {retrieval_sql('questions', L.ASK_
 
 
 def _bench(spark, folder):
-    passages = D.page_embeddings(D.page_passages(spark, folder))
+    passages = written(D.page_embeddings(D.page_passages(spark, folder)))
     questions = (D.excerpt_questions(spark, folder)
                  .withColumn("vector", index.hashed_vector(F.col("question"))))
     return questions, passages, index.postings(passages)
@@ -394,7 +395,7 @@ once AS (
            md5(text) AS text_md5 FROM once QUALIFY place <= 6""")
 def interleave_followup(spark, folder):
     """The last question of every conversation, searched alone and completed by its history."""
-    passages = D.page_embeddings(D.page_passages(spark, folder))
+    passages = written(D.page_embeddings(D.page_passages(spark, folder)))
     asked = _histories(spark, folder).select(
         F.col("conv_id").cast("string").alias(ID), D.language_of(F.col("question")).alias("collection_id"), "question",
         C.trimmed_history(F.slice("history", F.lit(1), F.size("history") - 1)).alias("history"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +29,27 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it.
 
     Only a local session without that setting (tests) gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_SETTING, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError(f"{CHECKPOINT_SETTING} must name a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="lutrin-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder all executors share")
+        named = tempfile.mkdtemp(prefix="lutrin-")
+        context.setCheckpointDir(named)
+    return named
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for results that are used several times.
+
+    Later reads get column pruning, and neither a lost executor nor a second use computes
+    the rows again.
+    """
+    path = f"{shared_folder(df.sparkSession)}/lutrin-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
