@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lutrin.plans import corpus, retrieval
+from lutrin.plans import corpus, evaluation, retrieval
 from lutrin.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "corpus", "retrieval"]
+__all__ = ["QUERIES", "SQL", "corpus", "evaluation", "retrieval"]
