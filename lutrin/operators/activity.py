@@ -61,6 +61,15 @@ def last_events(events: DataFrame, keep: int = 100, key: str = "job_id") -> Data
     return top_per(events, [key], [F.col("at").desc(), F.col("tie").desc()], keep, "age")
 
 
+def run_totals(events: DataFrame) -> DataFrame:
+    """Successes, attempts and duration per run."""
+    ended = F.col("event_type").isin("completed", "failed")
+    span = F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))
+    return events.groupBy("job_id").agg(
+        F.count_if(F.col("event_type") == "completed").alias("successes"), F.count_if(ended).alias("total"),
+        F.floor(span / 1000).alias("duration_ms"))
+
+
 def still_listed(jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """Finished jobs are dropped after a day."""
     return jobs.filter(F.col("completed_at").isNull()
@@ -142,15 +151,18 @@ def cached_answers(queries: DataFrame, answers: DataFrame) -> DataFrame:
     queries(cache_key, asked_at, history_turns, ...), answers(cache_key, answer, expires_at).
     Of several stored answers that are still valid the newest counts.
     """
-    asked = queries.withColumn("_key", F.when(F.col("history_turns") == 0, F.col("cache_key")))
-    stored = answers.select(F.col("cache_key").alias("_key"), F.col("answer").alias("_answer"), "expires_at")
-    joined = asked.join(stored, (asked["_key"] == stored["_key"]) & (stored["expires_at"] > asked["asked_at"]), "left")
-    return (joined.drop("_key").groupBy(*queries.columns)
-            .agg(F.max_by("_answer", "expires_at").alias("answer"))
+    first = queries.filter(F.col("history_turns") == 0)
+    others = queries.filter(F.coalesce(F.col("history_turns") != 0, F.lit(True)))
+    newest = answers.groupBy("cache_key").agg(
+        F.max_by("answer", "expires_at").alias("_answer"), F.max("expires_at").alias("_until"))
+    # one row per key is left, so the join neither repeats questions nor gathers null keys
+    found = first.join(newest, "cache_key", "left").select(
+        *queries.columns, F.when(F.col("_until") > F.col("asked_at"), F.col("_answer")).alias("answer"))
+    return (found.unionByName(others.withColumn("answer", F.lit(None).cast("string")))
             .withColumn("cached", F.col("answer").isNotNull()))
 
 
-def question_log(answered: DataFrame) -> DataFrame:
+def question_log(answered: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Log rows (event_type, message, metadata, created_at) of answered questions."""
     metadata = F.to_json(F.struct(
         F.col("collection"), F.col("question"), F.col("model"),
@@ -158,7 +170,7 @@ def question_log(answered: DataFrame) -> DataFrame:
         F.col("tokens.prompt").alias("tokens_input"), F.col("tokens.completion").alias("tokens_output"),
         F.col("tokens.total").alias("tokens_total")))
     return answered.select(
-        F.lit("ask_question").alias("event_type"),
+        *(keep or []), F.lit("ask_question").alias("event_type"),
         F.concat(F.lit("Question sur le jeu '"), F.col("collection"), F.lit("'")).alias("message"),
         metadata.alias("metadata"), "created_at")
 

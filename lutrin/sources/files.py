@@ -41,7 +41,7 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
               .when(F.col("length") > L.MAX_FILE_BYTES, "too large")
               .when(F.col("format").isNull(), "format"))
     judged = sniffed.withColumn("reason", reason)
-    text = valid_utf8(F.decode(F.col("content"), F.lit("UTF-8")))
+    text = valid_utf8(F.col("content").cast("string"))
     pages = (F.when(extension(F.col("path")) == ".pdf", split_pages(text))
              .otherwise(one_page(text)))
     parts = F.split("path", "/")
@@ -76,7 +76,7 @@ def reference_pages(documents: DataFrame, text: str = "text") -> DataFrame:
 def sniffed_format(head: Column, name: Column) -> Column:
     """.pdf by its first bytes; plain text is .md if so named, else .txt; null for other formats."""
     text = F.upper(F.regexp_replace(
-        F.decode(head, F.lit("ISO-8859-1")) if not isinstance(head, str) else head, r"^[\t\n\x0C\r ]+", ""))
+        F.decode(head, "ISO-8859-1"), r"^[\t\n\x0C\r ]+", ""))
     html = text.rlike(r"^(<!DOCTYPE HTML|<HTML|<HEAD|<SCRIPT|<IFRAME|<H1|<DIV|<FONT|<TABLE|<A|<STYLE|<TITLE|<B|"
                       r"<BODY|<BR|<P|<!--)[ >]")
     xml = text.startswith("<?XML")
