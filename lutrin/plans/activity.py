@@ -87,9 +87,8 @@ def job_last_events(spark, folder):
 def job_retention(spark, folder):
     """Finished jobs are listed for a day, counted from the newest event."""
     events = _job_events(spark, folder)
-    newest = events.agg(F.max("at").alias("now"))
-    jobs = V.job_rollup(events).crossJoin(F.broadcast(newest))
-    return V.still_listed(jobs, F.col("now")).select("job_id")
+    newest = events.agg(F.max("at")).scalar()
+    return V.still_listed(V.job_rollup(events), newest).select("job_id")
 
 
 @query("run_summary", f"""
@@ -129,8 +128,8 @@ keyed AS (
 
 
 def _asked(spark, folder):
-    start = _logs(spark, folder).agg(F.min("created_at").alias("start"))
-    rows = D.exchanges_history(spark, folder).crossJoin(F.broadcast(start))
+    start = _logs(spark, folder).agg(F.min("created_at")).scalar()
+    rows = D.exchanges_history(spark, folder).withColumn("start", start)
     collection = F.concat(F.lit("c"), (F.col("conv_id") % 3).cast("string"))
     updated = F.timestamp_micros(F.unix_micros("start") + F.col("conv_id") % 3 * 1000000)
     return rows.select(
