@@ -107,17 +107,32 @@ def import_plan(rows: DataFrame) -> DataFrame:
 
 # --- staged re-index -------------------------------------------------------------------
 
-def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Passages as Parquet by collection; empty arrays instead of nulls, float vectors."""
-    ready = rows
+def stored_form(rows: DataFrame) -> DataFrame:
+    """Empty arrays instead of nulls, float vectors."""
     if "mechanics" in rows.columns:
-        ready = ready.withColumn("mechanics", F.coalesce("mechanics", F.array().cast("array<string>")))
+        rows = rows.withColumn("mechanics", F.coalesce("mechanics", F.array().cast("array<string>")))
     if "embedding" in rows.columns:
-        ready = ready.withColumn("embedding", F.col("embedding").cast("array<float>"))
-    (ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    return rows
+
+
+def write_snapshot(rows: DataFrame, path: str) -> None:
+    """Passages as Parquet by collection; only the collections in `rows` are overwritten.
+
+    Rows are gathered by collection before writing, so that not every task writes a file
+    into every folder; the rebalance lets AQE cut a hot collection into several tasks.
+    """
+    (stored_form(rows).hint("rebalance", F.col("collection_id"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("collection_id").parquet(path))
 
 
+def read_snapshot(like: DataFrame, path: str) -> DataFrame:
+    """Stored rows in the columns and types of `like` (folder names are not guessed to be numbers)."""
+    form = stored_form(like)
+    return form.sparkSession.read.schema(form.schema).parquet(path).select(*form.columns)
+
+
 def reindex(new_rows: DataFrame, target: str, staging: str, replace: bool = True) -> DataFrame:
     """Swap in new passages per collection; what was stored stays until the new rows are complete.
 
@@ -125,17 +140,15 @@ def reindex(new_rows: DataFrame, target: str, staging: str, replace: bool = True
     the returned rows (collection_id, n_new) say which were swapped. The swap itself is one
     dynamic partition overwrite, and the ids are content keys, so it can be repeated.
     """
-    spark = new_rows.sparkSession
     write_snapshot(new_rows, staging)
-    staged = spark.read.parquet(staging)
+    staged = read_snapshot(new_rows, staging)
     swapped = staged.groupBy("collection_id").agg(F.count("*").alias("n_new"))
-    if replace:
-        complete = staged
-    else:
-        stored = spark.read.parquet(target).join(swapped.select("collection_id"), "collection_id", "left_semi")
+    complete = staged
+    if not replace:
+        stored = read_snapshot(new_rows, target).join(swapped.select("collection_id"), "collection_id", "left_semi")
         kept = stored.join(staged.select("passage_id"), "passage_id", "left_anti")
         write_snapshot(kept.select(*staged.columns).unionByName(staged), f"{staging}-merged")
-        complete = spark.read.parquet(f"{staging}-merged")
+        complete = read_snapshot(new_rows, f"{staging}-merged")
     write_snapshot(complete, target)
     return swapped
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lutrin.functions import lexicon as L
 from lutrin.functions import nlp, scores
@@ -36,6 +42,57 @@ def vector_scores(queries: DataFrame, passages: DataFrame, key: str = "query_id"
             .select(key, "passage_id", "score"))
 
 
+BLOCK_QUERIES = 16_384
+
+
+def block_top(queries: DataFrame, passages: DataFrame, depth: int, threshold: float | None,
+              key: str = "query_id") -> DataFrame | None:
+    """Scored pairs that can be among the top `depth`, for a checked small number of queries.
+
+    Up to BLOCK_QUERIES query vectors go to every task as matrices by collection; a batch
+    of passages is one matrix product, and only what is in the top `depth` of its batch
+    leaves it (ties included, so nothing of the final list is lost). Null for more queries.
+    """
+    asked = queries.select(key, "collection_id", "vector").limit(BLOCK_QUERIES + 1).toArrow()
+    if asked.num_rows > BLOCK_QUERIES:
+        return None
+    matrices: dict = {}
+    for position, (collection, vector) in enumerate(zip(
+            asked["collection_id"].to_pylist(), asked["vector"].to_pylist(), strict=True)):
+        if vector is not None and any(vector):
+            matrices.setdefault((collection, len(vector)), []).append((position, np.asarray(vector, "float64")))
+    blocks = {k: (np.array([p for p, _ in rows]), np.stack([v / np.sqrt(v @ v) for _, v in rows]))
+              for k, rows in matrices.items()}
+    keys = asked[key].combine_chunks()
+    fields = {f.name: f.dataType for f in [*queries.schema.fields, *passages.schema.fields]}
+    schema = T.StructType([T.StructField(key, fields[key]), T.StructField("passage_id", fields["passage_id"]),
+                           T.StructField("score", T.DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch["embedding"]), 0).to_numpy(zero_copy_only=False)
+            collections = batch["collection_id"].to_pandas()
+            for (collection, size), rows in collections.groupby([collections, lengths]).indices.items():
+                if (collection, size) not in blocks:
+                    continue
+                positions, wanted = blocks[collection, size]
+                taken = batch.take(pa.array(rows))
+                vectors = taken["embedding"].flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, size)
+                norms = np.sqrt((vectors * vectors).sum(axis=1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cosines = np.round((wanted @ vectors.T) / norms, SCORE_DIGITS)
+                cosines[:, norms == 0] = -np.inf
+                floor = np.full((len(positions), 1), -2.0 if threshold is None else threshold)
+                if len(rows) > depth:
+                    floor = np.maximum(floor, np.partition(cosines, -depth, axis=1)[:, [-depth]])
+                q, p = np.nonzero(cosines >= floor)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(positions[q])), taken["passage_id"].take(pa.array(p)), pa.array(cosines[q, p])],
+                    names=[key, "passage_id", "score"])
+
+    return passages.select("collection_id", "passage_id", "embedding").mapInArrow(score, schema)
+
+
 def vector_candidates(queries: DataFrame, passages: DataFrame, depth: int,
                       min_score: float = L.MIN_COSINE, key: str = "query_id") -> DataFrame:
     """Top `depth` by cosine; 0 asks for the default threshold, a negative one for none.
@@ -43,9 +100,11 @@ def vector_candidates(queries: DataFrame, passages: DataFrame, depth: int,
     The list is sorted, so filtering before ranking equals cutting it at the first low score.
     """
     threshold = L.MIN_COSINE if min_score == 0 else min_score
-    scored = vector_scores(queries, passages, key)
-    if threshold > 0:
-        scored = scored.filter(F.col("score") >= threshold)
+    scored = block_top(queries, passages, depth, threshold if threshold > 0 else None, key)
+    if scored is None:
+        scored = vector_scores(queries, passages, key).filter(F.col("score").isNotNull())
+        if threshold > 0:
+            scored = scored.filter(F.col("score") >= threshold)
     return top_per(scored, [key], [F.col("score").desc(), F.col("passage_id")], depth)
 
 

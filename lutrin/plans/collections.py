@@ -86,7 +86,7 @@ def collection_name_match(spark, folder):
     names = (nations.select(F.col("n_name").alias("name"))
              .unionByName(nations.select(F.concat(F.lit("Les "), "n_name", F.lit(" Junior")).alias("name")))
              .unionByName(parts.select(F.col("p_name").alias("name"))))
-    docs = D.table(spark, folder, "documents").join(
+    docs = D.texts(spark, folder).join(
         nations, F.col("n_nationkey") == (F.col("doc_id") % 25).cast("int"))
     tail = F.when(F.col("doc_id") % 3 == 0, " junior ?").when(F.col("doc_id") % 3 == 1, " ou Canada ?").otherwise(" ?")
     questions = docs.select(F.col("doc_id").alias("query_id"),

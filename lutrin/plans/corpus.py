@@ -182,7 +182,7 @@ def postings(spark, folder):
     SELECT d.doc_id, {S.low_quality('text')} AS low_quality, coalesce(l.quality, -1)::BIGINT AS quality
     FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def low_quality(spark, folder):
-    docs, labels = D.table(spark, folder, "documents"), D.table(spark, folder, "labels")
+    docs, labels = D.texts(spark, folder), D.table(spark, folder, "labels")
     return (docs.select("doc_id", T.is_low_quality(F.col("text")).alias("low_quality"))
             .join(labels.select("doc_id", "quality"), "doc_id", "left")
             .withColumn("quality", F.coalesce("quality", F.lit(-1)).cast("long")))
@@ -190,7 +190,7 @@ def low_quality(spark, folder):
 
 @query("section_types", f"SELECT doc_id, {S.section_type('lower(left(text, 200))')} AS section_type FROM documents")
 def section_types(spark, folder):
-    return D.table(spark, folder, "documents").select(
+    return D.texts(spark, folder).select(
         "doc_id", nlp.section_type(None, F.col("text")).alias("section_type"))
 
 
@@ -203,7 +203,7 @@ def _label(tag: str) -> str:
     WITH tagged AS (SELECT doc_id, unnest({S.mechanics('text')}) AS tag FROM documents)
     SELECT doc_id, tag, {_label('tag')} AS label FROM tagged""")
 def mechanics(spark, folder):
-    return (D.table(spark, folder, "documents")
+    return (D.texts(spark, folder)
             .select("doc_id", F.explode(nlp.mechanics(F.col("text"))).alias("tag"))
             .withColumn("label", nlp.mechanic_label(F.col("tag"))))
 
@@ -213,7 +213,7 @@ def mechanics(spark, folder):
     SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS keywords
     FROM documents d LEFT JOIN kw USING (doc_id) GROUP BY d.doc_id""")
 def keywords(spark, folder):
-    return D.table(spark, folder, "documents").select(
+    return D.texts(spark, folder).select(
         "doc_id", F.array_join(nlp.keywords(F.col("text")), " ").alias("keywords"))
 
 
@@ -234,7 +234,7 @@ def search_terms(spark, folder):
     SELECT doc_id, page_no, section_type, {S.title('candidate', 'section_type', '(page_no - 1)')} AS title,
            {S.summary('text')} AS summary, len({S.sentences('text')})::BIGINT AS n_sentences FROM typed""")
 def titles_summaries(spark, folder):
-    rows = D.table(spark, folder, "documents").select(
+    rows = D.texts(spark, folder).select(
         "doc_id", F.explode(T.pages_of_lines(F.col("text"))).alias("p")).select("doc_id", "p.*")
     titled = rows.withColumn("candidate", T.title_candidate(F.col("text"))).withColumn(
         "section_type", nlp.section_type(F.col("candidate"), F.col("text")))
@@ -255,7 +255,7 @@ FACT_PASSAGES = f"""{S.PAGES}, passages AS (
 
 
 def _fact_passages(spark, folder):
-    rows = D.table(spark, folder, "documents").select(
+    rows = D.texts(spark, folder).select(
         F.col("source").alias("collection_id"), "doc_id", F.explode(T.pages_of_lines(F.col("text"))).alias("p"))
 
     def plus(n: int, m: int) -> F.Column:
@@ -311,7 +311,7 @@ FIRST_150 = """first_passages AS (
 
 
 def _bucket_passages(spark, folder):
-    rows = D.table(spark, folder, "documents").select(
+    rows = D.texts(spark, folder).select(
         F.col("source").alias("collection_id"), "doc_id", F.explode(T.pages_of_lines(F.col("text"))).alias("p"))
     opening = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), (F.col("doc_id") % 5 + 1).cast("int"))
     return rows.select("collection_id", "doc_id", (F.col("p.page_no") - 1).cast("int").alias("chunk_index"),
@@ -406,7 +406,7 @@ LIST_PASSAGES = f"""{S.LINES}, listed AS (
     FROM bounds b LEFT JOIN steps s USING (collection_id, place, nr)
     QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY nr) <= 15""")
 def phases(spark, folder):
-    docs = D.table(spark, folder, "documents")
+    docs = D.texts(spark, folder)
     marked = F.transform(F.split("text", "\n"), lambda l, i: F.when(
         i % 2 == 0, F.concat((F.floor((i % 20) / 2) + 1).cast("string"), F.lit(". "), l)).otherwise(F.concat(F.lit("- "), l)))
     rows = (docs.select(F.col("source").alias("collection_id"), "doc_id", F.array_join(marked, "\n").alias("t"))

@@ -25,7 +25,7 @@ from lutrin.sources import tables as D
     SELECT item_id, doc_id FROM b JOIN d ON contains(normal, excerpt)""")
 def excerpt_hits(spark, folder):
     """Every document that holds a benchmark text, case, quotes and spacing aside."""
-    texts = D.spread(D.table(spark, folder, "documents").select("doc_id", "text")).select(
+    texts = D.texts(spark, folder).select(
         F.col("doc_id").alias("text_id"), comparable(F.col("text")).alias("normal"))
     excerpts = D.table(spark, folder, "benchmark").select("item_id", comparable(F.col("text")).alias("excerpt"))
     return E.containing(written(texts), excerpts, []).select("item_id", F.col("text_id").alias("doc_id"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lutrin.functions import lexicon as L
 from lutrin.functions import scores
@@ -401,3 +406,40 @@ def interleave_followup(spark, folder):
         C.trimmed_history(F.slice("history", F.lit(1), F.size("history") - 1)).alias("history"))
     found = R.search_with_history(asked, passages, index.postings(passages), index.hashed_vector)
     return _section_rows(found.filter(F.col("sections").isNotNull()))
+
+
+# --- another embedding model -----------------------------------------------------------
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def letter_profile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Stand-in for a user's model: how often each letter occurs, at length one."""
+    for texts in batches:
+        lower = texts.fillna("").str.lower()
+        counts = np.stack([lower.str.count(c).to_numpy(dtype="float64") for c in LETTERS], axis=1)
+        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        yield pd.Series(list(np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)))
+
+
+LETTER_COUNTS = ", ".join(f"length(lower({{x}})) - length(replace(lower({{x}}), '{c}', ''))" for c in LETTERS)
+
+
+def _letters(x: str) -> str:
+    return "[" + LETTER_COUNTS.format(x=x) + "]::DOUBLE[]"
+
+
+@query("vector_topk_alt_model", f"""
+    WITH {S.PASSAGES}, {S.QUESTIONS}, p AS (SELECT passage_id, collection_id, {_letters('text')} AS v FROM passages),
+    q AS (SELECT query_id, collection_id, {_letters('question')} AS v FROM questions),
+    scored AS (
+        SELECT query_id, passage_id, round(list_dot_product(p.v, q.v) / sqrt(list_dot_product(p.v, p.v) * list_dot_product(q.v, q.v)), 9) AS score
+        FROM q JOIN p USING (collection_id))
+    SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank,
+           round(score, 6) AS score FROM scored WHERE score >= 0.72 QUALIFY rank <= 40""")
+def vector_topk_alt_model(spark, folder):
+    """The same vector search with another model's vectors; nothing is indexed again."""
+    passages = index.with_embedding(D.page_passages(spark, folder), F.col("text"), letter_profile, dimensions=len(LETTERS))
+    questions = index.with_embedding(D.excerpt_questions(spark, folder), F.col("question"), letter_profile, "vector")
+    return _ranked(R.vector_candidates(questions, written(passages), scores.candidate_depth(L.ASK_LIMIT)))

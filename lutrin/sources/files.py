@@ -30,8 +30,8 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """Documents with pages, and the files that are rejected with a reason.
 
     PDF files are expected as text already taken out of them, pages cut by form feeds;
-    text and Markdown files are one page. A file that is empty, too large, of another
-    format, or whose content does not fit its name goes to the second table.
+    text and Markdown files are one page. A file that is too large or of another format,
+    by name or by content, goes to the second table; files of no bytes are skipped by the scan.
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
            .select("path", "length", "content"))

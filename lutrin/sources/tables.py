@@ -26,9 +26,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents table spread over the cores, for work that is heavy per row."""
+    return spread(table(spark, folder, "documents"))
+
+
 def documents(spark: SparkSession, folder: str, collection: str = "source") -> DataFrame:
     """Documents with pages of twenty lines, by source or by language."""
-    return spread(table(spark, folder, "documents").select(collection, "doc_id", "text")).select(
+    return texts(spark, folder).select(
         F.col(collection).alias("collection_id"), "doc_id",
         T.pages_of_lines(F.col("text"), LINES_PER_PAGE).alias("pages"))
 
@@ -38,7 +43,7 @@ def page_passages(spark: SparkSession, folder: str) -> DataFrame:
 
     Collections are uneven on purpose: one language holds most of the rows.
     """
-    rows = (spread(table(spark, folder, "documents").select("lang", "doc_id", "source", "text"))
+    rows = (texts(spark, folder)
             .select("lang", "doc_id", "source", F.explode(T.pages_of_lines(F.col("text"), LINES_PER_PAGE)).alias("p")))
     return rows.select(
         F.concat_ws("-", F.col("doc_id").cast("string"), F.col("p.page_no").cast("string")).alias("passage_id"),
