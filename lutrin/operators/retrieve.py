@@ -42,7 +42,8 @@ def vector_scores(queries: DataFrame, passages: DataFrame, key: str = "query_id"
             .select(key, "passage_id", "score"))
 
 
-BLOCK_QUERIES = 16_384
+BLOCK_QUERIES = 16_384  # query vectors sent to every task
+BLOCK_CELLS = 1 << 22  # scores held at a time inside a task
 
 
 def block_top(queries: DataFrame, passages: DataFrame, depth: int, threshold: float | None,
@@ -79,16 +80,19 @@ def block_top(queries: DataFrame, passages: DataFrame, depth: int, threshold: fl
                 taken = batch.take(pa.array(rows))
                 vectors = taken["embedding"].flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, size)
                 norms = np.sqrt((vectors * vectors).sum(axis=1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    cosines = np.round((wanted @ vectors.T) / norms, SCORE_DIGITS)
-                cosines[:, norms == 0] = -np.inf
-                floor = np.full((len(positions), 1), -2.0 if threshold is None else threshold)
-                if len(rows) > depth:
-                    floor = np.maximum(floor, np.partition(cosines, -depth, axis=1)[:, [-depth]])
-                q, p = np.nonzero(cosines >= floor)
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(positions[q])), taken["passage_id"].take(pa.array(p)), pa.array(cosines[q, p])],
-                    names=[key, "passage_id", "score"])
+                step = max(1, BLOCK_CELLS // len(rows))
+                for begin in range(0, len(positions), step):
+                    some = positions[begin:begin + step]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        cosines = np.round((wanted[begin:begin + step] @ vectors.T) / norms, SCORE_DIGITS)
+                    cosines[:, norms == 0] = -np.inf
+                    floor = np.full((len(some), 1), -2.0 if threshold is None else threshold)
+                    if len(rows) > depth:
+                        floor = np.maximum(floor, np.partition(cosines, -depth, axis=1)[:, [-depth]])
+                    q, p = np.nonzero(cosines >= floor)
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.take(pa.array(some[q])), taken["passage_id"].take(pa.array(p)), pa.array(cosines[q, p])],
+                        names=[key, "passage_id", "score"])
 
     return passages.select("collection_id", "passage_id", "embedding").mapInArrow(score, schema)
 

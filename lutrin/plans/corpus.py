@@ -11,6 +11,7 @@ from lutrin.functions.text import let
 from lutrin.operators import enrich, index, passages as P
 from lutrin.plans import sql as S
 from lutrin.plans.registry import query
+from lutrin.sources import files
 from lutrin.sources import tables as D
 
 # --- pages and lines -------------------------------------------------------------------
@@ -415,3 +416,15 @@ def phases(spark, folder):
     return (enrich.phases(rows).select("collection_id", F.explode("phases").alias("p"))
             .select("collection_id", F.col("p.order").cast("long").alias("phase"), "p.name",
                     F.array_join("p.steps", " / ").alias("steps")))
+
+
+@query("reference_pages", f"""
+    WITH raw AS (SELECT conv_id, string_agg(text, chr(12) ORDER BY turn) AS whole, min(role) AS first_role FROM conversations GROUP BY conv_id)
+    SELECT conv_id AS doc_id, generate_subscripts(string_split(whole, chr(12)), 1) AS page_no,
+           {S.comparable("unnest(string_split(whole, chr(12)))")} AS text FROM raw""")
+def reference_pages(spark, folder):
+    """Whole conversations cut at form feeds again, every page in comparable form."""
+    glued = (D.table(spark, folder, "conversations").groupBy("conv_id")
+             .agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
+             .select(F.lit("c").alias("collection_id"), F.col("conv_id").alias("doc_id"), F.array_join("p.text", "\f").alias("text")))
+    return files.reference_pages(glued).select("doc_id", F.col("page_no").cast("long").alias("page_no"), "text")

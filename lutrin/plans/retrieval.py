@@ -443,3 +443,15 @@ def vector_topk_alt_model(spark, folder):
     passages = index.with_embedding(D.page_passages(spark, folder), F.col("text"), letter_profile, dimensions=len(LETTERS))
     questions = index.with_embedding(D.excerpt_questions(spark, folder), F.col("question"), letter_profile, "vector")
     return _ranked(R.vector_candidates(questions, written(passages), scores.candidate_depth(L.ASK_LIMIT)))
+
+
+@query("response_sections", f"""
+    WITH RECURSIVE {KEPT}
+    SELECT query_id, title, round(score, 6) AS score, coalesce(page_start, 0) AS page_num, coalesce(page_end, 0) AS page_end, source_file AS file
+    FROM kept""")
+def response_sections(spark, folder):
+    """Sections as they are shown beside an answer."""
+    kept = C.retrieved_context(_found(spark, folder))
+    return (kept.select(ID, F.explode(C.response_sections(F.col("kept"))).alias("s"))
+            .select(ID, "s.title", F.round("s.score", 6).alias("score"), F.col("s.page_num").cast("long").alias("page_num"),
+                    F.col("s.page_end").cast("long").alias("page_end"), "s.file"))

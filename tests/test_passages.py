@@ -135,3 +135,21 @@ def test_same_rows_for_any_partitioning(spark, folder):
     assert sorted(map(str, one)) == sorted(map(str, many))
     ids = [r["passage_id"] for r in one]
     assert len(ids) == len(set(ids))
+
+
+def test_gameplay_of_a_collection(spark):
+    from lutrin.operators import enrich
+
+    rows = [("a", 1, 0, "Mise en place : chacun prend cinq cartes. On mélange le tout."),
+            ("a", 1, 1, "Le texte parle de tout.\n1. Lancer le sort\n- une seule fois\n2. Bouger son pion\n3. Finir le tour"),
+            ("a", 2, 0, "Fin de partie : le vainqueur a le plus de jetons."), ("b", 3, 0, "Xyz.")]
+    passages = spark.createDataFrame(rows, "collection_id string, doc_id int, chunk_index int, text string")
+    found = enrich.gameplay(passages).withColumn("empty", enrich.is_empty_gameplay()).collect()
+    (row,) = found
+    assert row["collection_id"] == "a" and not row["empty"]
+    assert row["setup"]["description"].startswith("Mise en place : chacun prend cinq cartes.")
+    assert row["end_game"]["title"] == "Fin de partie" and row["turns"] is None
+    assert [(p["order"], p["name"], p["steps"]) for p in row["phases"]] == [
+        (1, "Lancer le sort", ["une seule fois"]), (2, "Bouger son pion", []), (3, "Finir le tour", [])]
+    labels = [m["label"] for m in row["mechanics"]]
+    assert labels == sorted(labels)

@@ -146,3 +146,37 @@ def test_names(spark):
                                   "query_id int, question string")
     got = {r["query_id"]: r["name"] for r in N.detected_names(asked, names).collect()}
     assert got == {1: "Catan Junior", 2: "Les Aventuriers du Rail", 3: None, 4: None}
+
+
+def test_ask_serves_caches_and_logs(spark):
+    from lutrin.operators import ask as K
+
+    passages = (chapter(spark).withColumn("mechanics", F.array().cast("array<string>"))
+                .withColumn("embedding", index.hashed_vector(F.col("text"))))
+    collections = spark.createDataFrame([("g", "Mon Jeu")], "collection_id string, name string").withColumn(
+        "updated_at", F.timestamp_seconds(F.lit(1000)))
+    queries = spark.createDataFrame(
+        [("1", "mon jeu", "Quel combat ?", []), ("2", "MON JEU", "Et la phase ?", [("Quel combat ?", "Combat")]),
+         ("3", "absent", "Quel combat ?", []), ("4", "Mon Jeu", "  ", []), ("5", "Mon Jeu", "zzz", [])],
+        f"query_id string, collection string, question string, history {K.HISTORY}")
+
+    def model(rows):
+        assert "prompt" in rows.columns
+        return (rows.withColumn("answer", F.concat(F.lit("Ok, "), F.col("question"))).withColumn("model", F.lit("m"))
+                .withColumn("tokens", F.struct(*[F.lit(1).cast("long").alias(c) for c in ("prompt", "completion", "total")])))
+
+    now = F.timestamp_seconds(F.lit(5000))
+    first = K.ask(queries, collections, passages, index.postings(passages), index.hashed_vector, now, model)
+    got = {r["query_id"]: (r["answer"], r["cached"], len(r["sections"] or [])) for r in first.answers.collect()}
+    assert got["1"][0] == "Quel combat ?" and got["2"][0] == "Et la phase ?" and got["5"] == (None, False, 0)
+    assert not any(v[1] for v in got.values()) and got["1"][2] > 0
+    assert {(r["query_id"], r["reason"]) for r in first.rejected.collect()} == {("3", "unknown collection"), ("4", "blank")}
+    assert first.log.count() == 2
+    again = K.ask(queries, collections, passages, index.postings(passages), index.hashed_vector, now, model, cache=first.to_cache)
+    assert {r["query_id"] for r in again.answers.filter("cached").collect()} == {"1"}
+    # a re-indexed collection has another key
+    newer = collections.withColumn("updated_at", F.timestamp_seconds(F.lit(2000)))
+    assert K.ask(queries, newer, passages, index.postings(passages), index.hashed_vector, now, model,
+                 cache=first.to_cache).answers.filter("cached").count() == 0
+    plain = K.ask(queries, collections, passages, index.postings(passages), index.hashed_vector, now)
+    assert {r["query_id"]: r["answer"] for r in plain.answers.collect()}["1"].startswith("Section 1: t")
