@@ -17,9 +17,6 @@ from lutrin.functions.text import fold, let
 from lutrin.operators.skew import computed_once, spread_join, top_per
 
 SCORE_DIGITS = 9  # sums may run in any order; ties are settled by id
-SECTION_FIELDS = ["passage_id", "title", "text", "page_start", "page_end", "hierarchy_path",
-                  "source_file", "chunk_index", "score"]
-
 
 # --- candidates ------------------------------------------------------------------------
 
@@ -160,17 +157,19 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, pages: DataFrame, limit: int,
 # --- neighbours ------------------------------------------------------------------------
 
 def neighbors(hits: DataFrame, passages: DataFrame, reach: int = 2) -> DataFrame:
-    """Passages of the same document and chapter within `reach` chunks of each hit.
+    """Passages of the same document and chapter within `reach` chunks of each hit, itself included.
 
-    The range becomes 2*reach+1 exact keys per hit, so it stays an equi-join.
-    `hits` needs hit_id, collection_id, source_file, hierarchy_path and chunk_index.
+    The range becomes exact chunk numbers, so it stays an equi-join; a hit without a
+    chapter only meets itself. `hits` needs collection_id, source_file, hierarchy_path and
+    chunk_index; the passage's columns come as the struct `near`.
     """
-    wanted = (hits.filter(F.col("hierarchy_path") != "")
-              .select("hit_id", "collection_id", "source_file", "hierarchy_path",
-                      F.explode(F.sequence(F.col("chunk_index") - reach, F.col("chunk_index") + reach)).alias("chunk_index")))
-    near = passages.select("collection_id", "source_file", "hierarchy_path", "chunk_index",
-                           "passage_id", "text", "page_start", "page_end")
-    return wanted.join(near, ["collection_id", "source_file", "hierarchy_path", "chunk_index"])
+    numbers = F.when(F.col("hierarchy_path") != "", F.sequence(
+        F.col("chunk_index") - reach, F.col("chunk_index") + reach)).otherwise(F.array("chunk_index"))
+    wanted = hits.withColumn("_at", F.explode(numbers))
+    near = passages.select(
+        "collection_id", "source_file", "hierarchy_path", F.col("chunk_index").alias("_at"),
+        F.struct("chunk_index", "passage_id", "title", "text", "page_start", "page_end").alias("near"))
+    return wanted.join(near, ["collection_id", "source_file", "hierarchy_path", "_at"]).drop("_at")
 
 
 def expand_top(hits: DataFrame, passages: DataFrame, top: int = L.EXPAND_TOP, reach: int = 2,
@@ -178,58 +177,47 @@ def expand_top(hits: DataFrame, passages: DataFrame, top: int = L.EXPAND_TOP, re
     """The best results take in their neighbours; what is taken in vanishes from later ranks.
 
     Input: ranked (key, passage_id, rank, score). Output: one row per query with
-    `sections`, an array in rank order. The join brings at most 2*reach+1 neighbours per
-    hit; the used-set fold then runs over a handful of structs in one row.
+    `sections`, an array in rank order. Hits are read once: their own text arrives with
+    their neighbours, at most 2*reach+1 per hit, and the used-set fold runs over a handful
+    of structs in one row.
     """
-    details = passages.select("passage_id", "collection_id", "title", "text", "page_start", "page_end",
-                              "hierarchy_path", "source_file", "chunk_index")
-    found = (hits.select(key, "passage_id", "rank", "score")
-             .join(details, "passage_id")
-             .withColumn("hit_id", F.struct(key, "rank")))
-    around = (neighbors(found, passages, reach).groupBy("hit_id")
-              .agg(F.sort_array(F.collect_list(F.struct(
-                  "chunk_index", "passage_id", "text", "page_start", "page_end"))).alias("near")))
-    section = F.struct(*SECTION_FIELDS)
-    per_query = (found.join(around, "hit_id", "left")
-                 .groupBy(key)
-                 .agg(F.sort_array(F.collect_list(F.struct("rank", section.alias("s"), "near"))).alias("hits")))
+    places = passages.select("passage_id", "collection_id", "source_file", "hierarchy_path", "chunk_index")
+    around = (neighbors(hits.select(key, "passage_id", "rank", "score").join(places, "passage_id"), passages, reach)
+              .groupBy(key, "rank", "passage_id", "score", "hierarchy_path", "source_file")
+              .agg(F.sort_array(F.collect_list("near")).alias("near")))
+    per_query = around.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
+        "rank", "passage_id", "score", "hierarchy_path", "source_file", "near"))).alias("hits"))
     return per_query.select(key, absorb(F.col("hits"), top).alias("sections"))
 
 
-def absorb(hits: Column, top: int) -> Column:
-    """Fold over array<struct<rank, s, near>>: the first `top` survivors absorb what is near."""
-    section_type = ("struct<passage_id:string,title:string,text:string,page_start:int,page_end:int,"
-                    "hierarchy_path:string,source_file:string,chunk_index:int,score:double>")
+SECTION = ("struct<passage_id:string,title:string,text:string,page_start:int,page_end:int,"
+           "hierarchy_path:string,source_file:string,chunk_index:int,score:double>")
 
-    def as_section(s: Column, text: Column, start: Column, end: Column) -> Column:
-        return F.struct(s["passage_id"].alias("passage_id"), s["title"].alias("title"), text.alias("text"),
-                        start.cast("int").alias("page_start"), end.cast("int").alias("page_end"),
-                        s["hierarchy_path"].alias("hierarchy_path"), s["source_file"].alias("source_file"),
-                        s["chunk_index"].cast("int").alias("chunk_index"), s["score"].alias("score")).cast(section_type)
+
+def absorb(hits: Column, top: int) -> Column:
+    """Fold over ranked hits with their neighbours: the first `top` survivors absorb what is near and free."""
+    def section(hit: Column, near: Column) -> Column:
+        own = F.get(F.filter(near, lambda n: n["passage_id"] == hit["passage_id"]), F.lit(0))
+        return let(own, lambda o: F.struct(
+            hit["passage_id"].alias("passage_id"), o["title"].alias("title"),
+            F.array_join(F.transform(near, lambda n: n["text"]), "\n\n").alias("text"),
+            F.get(near, F.lit(0))["page_start"].cast("int").alias("page_start"),
+            F.element_at(near, -1)["page_end"].cast("int").alias("page_end"),
+            hit["hierarchy_path"].alias("hierarchy_path"), hit["source_file"].alias("source_file"),
+            o["chunk_index"].cast("int").alias("chunk_index"), hit["score"].alias("score")).cast(SECTION))
 
     def state(used: Column, out: Column) -> Column:
         return F.struct(used.alias("used"), out.alias("out"))
 
     def step(acc: Column, hit: Column) -> Column:
-        s = hit["s"]
-        free = F.filter(F.coalesce(hit["near"], F.array().cast(
-            "array<struct<chunk_index:int,passage_id:string,text:string,page_start:int,page_end:int>>")),
-            lambda n: (n["passage_id"] == s["passage_id"]) | ~F.array_contains(acc["used"], n["passage_id"]))
-        plain = as_section(s, s["text"], s["page_start"], s["page_end"])
-
-        def grown(near: Column) -> Column:
-            whole = F.when(F.size(near) > 0, as_section(
-                s, F.array_join(F.transform(near, lambda n: n["text"]), "\n\n"),
-                F.get(near, F.lit(0))["page_start"], F.try_element_at(near, F.lit(-1))["page_end"])).otherwise(plain)
-            return state(F.concat(acc["used"], F.array(s["passage_id"]), F.transform(near, lambda n: n["passage_id"])),
-                         F.array_append(acc["out"], whole))
-
-        return (F.when(F.array_contains(acc["used"], s["passage_id"]), acc)
-                .when(F.size(acc["out"]) < top, let(free, grown))
-                .otherwise(state(F.array_append(acc["used"], s["passage_id"]),
-                                 F.array_append(acc["out"], plain))))
-
-    start = state(F.array().cast("array<string>"), F.array().cast(f"array<{section_type}>"))
+        expands = F.size(acc["out"]) < top
+        taken = F.filter(hit["near"], lambda n: (n["passage_id"] == hit["passage_id"]) | (
+            expands & ~F.array_contains(acc["used"], n["passage_id"])))
+        return F.when(F.array_contains(acc["used"], hit["passage_id"]), acc).otherwise(let(taken, lambda near: state(
+            F.concat(acc["used"], F.transform(near, lambda n: n["passage_id"])),
+            F.array_append(acc["out"], section(hit, near)))))
+
+    start = state(F.array().cast("array<string>"), F.array().cast(f"array<{SECTION}>"))
     return F.aggregate(hits, start, step, lambda acc: acc["out"])
 
 

@@ -193,11 +193,11 @@ def neighbors(spark, folder):
     depth = scores.candidate_depth(L.ASK_LIMIT)
     hits = R.fuse(R.vector_candidates(questions, passages, depth),
                   R.text_candidates(questions, postings, depth), passages, L.ASK_LIMIT)
-    found = (hits.join(passages.select("passage_id", "collection_id", "source_file", "hierarchy_path", "chunk_index"),
-                       "passage_id").withColumn("hit_id", F.struct(ID, "rank")))
+    found = hits.join(passages.select("passage_id", "collection_id", "source_file", "hierarchy_path", "chunk_index"),
+                      "passage_id").drop("passage_id")
     return R.neighbors(found, passages).select(
-        F.col("hit_id.query_id").alias(ID), F.col("hit_id.rank").cast("long").alias("rank"), "passage_id",
-        F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"))
+        ID, F.col("rank").cast("long").alias("rank"), "near.passage_id",
+        F.col("near.page_start").cast("long").alias("page_start"), F.col("near.page_end").cast("long").alias("page_end"))
 
 
 def _section_rows(found, column="sections"):
