@@ -116,14 +116,14 @@ def stored_form(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Passages as Parquet by collection; only the collections in `rows` are overwritten.
+def write_snapshot(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Passages as Parquet by collection; overwriting touches only the collections in `rows`.
 
     Rows are gathered by collection before writing, so that not every task writes a file
     into every folder; the rebalance lets AQE cut a hot collection into several tasks.
     """
     (stored_form(rows).hint("rebalance", F.col("collection_id"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy("collection_id").parquet(path))
 
 
@@ -153,6 +153,31 @@ def reindex(new_rows: DataFrame, target: str, staging: str, replace: bool = True
     return swapped
 
 
+def add_documents(new_rows: DataFrame, target: str, staging: str) -> None:
+    """Merge the passages of arriving documents into a stored table.
+
+    Documents that are new are appended, whatever the size of their collection. Only
+    collections in which an arriving document is stored already are written again, without
+    that document's earlier passages. A batch that is run again finds its documents stored
+    and so leaves the same rows.
+    """
+    keys = ["collection_id", "doc_id"]
+    write_snapshot(new_rows, staging)
+    staged, stored = read_snapshot(new_rows, staging), read_snapshot(new_rows, target)
+    arriving = staged.select(*keys).distinct()
+    touched = (arriving.join(stored.select(*keys), keys, "left_semi").select("collection_id").distinct())
+    if touched.isEmpty():
+        write_snapshot(staged, target, "append")
+        return
+    kept = stored.join(touched, "collection_id", "left_semi").join(arriving, keys, "left_anti")
+    renewed = kept.select(*staged.columns).unionByName(staged.join(touched, "collection_id", "left_semi").select(*staged.columns))
+    write_snapshot(renewed, f"{staging}-merged")
+    # read before the target changes: which collections are touched depends on it
+    fresh = staged.join(read_snapshot(new_rows, f"{staging}-merged").select("collection_id").distinct(), "collection_id", "left_anti")
+    write_snapshot(read_snapshot(new_rows, f"{staging}-merged"), target)
+    write_snapshot(fresh.select(*staged.columns), target, "append")
+
+
 def outcome(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """Per document: passages made and status; a document without any is an error row, not a stop."""
     made = passages.groupBy("collection_id", "doc_id").agg(F.count("*").alias("n_passages"))

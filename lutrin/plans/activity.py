@@ -159,7 +159,7 @@ def answer_cache_hits(spark, folder):
 @query("question_log", f"""
     WITH {EXCHANGES}, tokens AS (SELECT user_id, sum(json_extract_string(props, '$.k')::BIGINT) AS total FROM events GROUP BY user_id)
     SELECT x.conv_id, x.exchange_no, 'ask_question' AS event_type, 'Question sur le jeu ''c' || (x.conv_id % 3) || '''' AS message,
-           x.question, CASE WHEN x.exchange_no > 1 THEN x.exchange_no - 1 ELSE 0 END AS history_turns, coalesce(t.total, 0) AS tokens_total
+           x.question, CASE WHEN x.exchange_no > 1 THEN x.exchange_no - 1 ELSE 0 END AS history_turns, coalesce(t.total, 0)::BIGINT AS tokens_total
     FROM exchanges x LEFT JOIN tokens t ON t.user_id = x.conv_id""")
 def question_log(spark, folder):
     """Log rows with their JSON metadata, read back from the JSON."""

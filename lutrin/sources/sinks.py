@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame
 __all__ = ["append_log", "write_postings", "write_results", "write_snapshot"]
 
 
-def write_postings(postings: DataFrame, path: str, files: int = 64) -> None:
+def write_postings(postings: DataFrame, path: str, files: int | None = None) -> None:
     """Postings by collection, ranged by stem, so a lookup reads few files of one folder.
 
     Ranging by (collection, stem, passage) also cuts a hot collection and a hot stem into
-    several files.
+    several files; their number follows the shuffle settings unless it is given.
     """
-    (postings.repartitionByRange(files, "collection_id", "stem", "passage_id")
-     .sortWithinPartitions("collection_id", "stem")
+    order = ["collection_id", "stem", "passage_id"]
+    ranged = postings.repartitionByRange(files, *order) if files else postings.repartitionByRange(*order)
+    (ranged.sortWithinPartitions("collection_id", "stem")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("collection_id").parquet(path))
-
-

@@ -169,8 +169,11 @@ def import_stream(documents: DataFrame, target: str, staging: str, replace: bool
         if embed is not None:
             rows = rows.withColumn("embedding", embed(P.embed_text(F.col("hierarchy_path"), F.col("text"))))
         spark = batch.sparkSession
-        first = not _exists(spark, target)
-        M.reindex(rows, target, f"{staging}/batch-{batch_id}", replace=replace or first)
+        stage = f"{staging}/batch-{batch_id}"
+        if replace or not _exists(spark, target):
+            M.reindex(rows, target, stage)
+        else:
+            M.add_documents(rows, target, stage)
     return documents.writeStream.foreachBatch(index_batch)
 
 

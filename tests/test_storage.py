@@ -158,6 +158,21 @@ def test_import_stream_in_two_steps(spark, tmp_path):
         assert {r["doc_id"] for r in got} == set(range(1, doc + 1))
 
 
+def test_documents_are_added_or_renewed(spark, tmp_path):
+    schema = "passage_id string, collection_id string, doc_id int"
+    target = str(tmp_path / "t")
+
+    def table(*rows):
+        return spark.createDataFrame(list(rows), schema)
+
+    M.write_snapshot(table(("a1/0", "a", 1), ("a1/1", "a", 1), ("b2/0", "b", 2)), target)
+    M.add_documents(table(("a3/0", "a", 3), ("c4/0", "c", 4)), target, str(tmp_path / "s1"))
+    assert stored(spark, target) == ["a1/0", "a1/1", "a3/0", "b2/0", "c4/0"]
+    for run in ("s2", "s3"):  # run twice: document 1 got shorter, document 5 is new
+        M.add_documents(table(("a1/0", "a", 1), ("b5/0", "b", 5)), target, str(tmp_path / run))
+        assert stored(spark, target) == ["a1/0", "a3/0", "b2/0", "b5/0", "c4/0"]
+
+
 def test_outcome_of_a_run(spark):
     docs = spark.createDataFrame([("a", 1, [(1, "Les joueurs posent leurs jetons sur le grand plateau. " * 5)]), ("a", 2, [(1, "")]), ("b", 3, [(1, "12 34 56")])],
                                  "collection_id string, doc_id int, pages array<struct<page_no:int,text:string>>")
