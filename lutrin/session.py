@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +31,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only a local session without that setting (tests) gets a folder of its own.
+    A session without that setting uses a folder inside its warehouse, which all executors
+    share as well; nothing goes to a folder that only one machine sees.
     """
-    context = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
-    if named is None:
-        if not context.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder all executors share")
-        named = tempfile.mkdtemp(prefix="lutrin-")
-        context.setCheckpointDir(named)
-    return named
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
 
 
 def written(df: DataFrame) -> DataFrame:
