@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lutrin.llm import toxicity
+from lutrin.llm import substrings, toxicity
 from lutrin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = docs.withColumn("score", toxicity.score(F.col("text"), lexicon))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    marked = substrings.duplicate_words(table(spark, folder, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", substrings.kept_digest("text", "_spans").alias("d")).select("doc_id", "d.*")
