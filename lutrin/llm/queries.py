@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lutrin.llm import substrings, toxicity
+from lutrin.llm import minhash, substrings, toxicity
 from lutrin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     marked = substrings.duplicate_words(table(spark, folder, "documents").select("doc_id", "text"))
     return marked.select("doc_id", substrings.kept_digest("text", "_spans").alias("d")).select("doc_id", "d.*")
+
+
+@query
+def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
