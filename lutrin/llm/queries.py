@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lutrin.llm import minhash, substrings, toxicity
+from lutrin.llm import minhash, mixing, packing, substrings, toxicity
 from lutrin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,26 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.pieces(table(spark, folder, "documents"), public_tokenizer("word_bpe_49k.json"))
+    return packing.pack(cut)
+
+
+@query
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows, taken = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    sums = taken.groupBy("_row").agg(F.sum("words").alias("taken"))
+    return rows.join(sums, "_row", "left").select(
+        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
 @query
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
