@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lutrin.llm import minhash, mixing, packing, substrings, toxicity
+from lutrin.llm import embeddings, extraction, fingerprints, minhash, mixing, packing, substrings, toxicity, urls, warc
 from lutrin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,42 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+RULES = [urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
+         urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/")]
+
+
+@query
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = urls.verdict(table(spark, folder, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op3_url_filter"] = urls.verdict_sql(RULES)
+
+
+@query
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").withColumn("_text", extraction.main_text(F.col("html"), extraction.fitted()))
+    return pages.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = warc.with_originals(table(spark, folder, "pages").select("page_id", "url", "html"))
+    index = warc.write(pages, warc.archive_folder(spark))
+    return warc.resolved(warc.read(index))
+
+
+@query
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -137,10 +137,10 @@ def _batches(pdfs: Iterator[pd.DataFrame], wanted: str | None = None):
     for pdf in pdfs:
         if wanted:
             pdf = pdf[[x is not None and len(x) > 0 for x in pdf[wanted]]]
-        raw = encoded(pdf["text"])
-        for chosen in byte_batches(range(len(raw)), lambda i: len(raw[i])):
+        texts = pdf["text"].to_numpy()
+        for chosen in byte_batches(range(len(texts)), lambda i: len(texts[i] or "")):
             part = pdf.iloc[chosen]
-            h, counts = word_hashes([raw[i] for i in chosen])
+            h, counts = word_hashes(encoded(part["text"]))
             yield part, h, np.concatenate(([0], np.cumsum(counts))), np.repeat(np.arange(len(counts)), counts)
 
 
