@@ -115,19 +115,20 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = lambda i: 1.0 + i % 3,
         shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """The mix of docs (doc_id, text, source, any more).
 
-    First the rows of docs with `_row`, `size`, `source_size` and `target`; then the taken parts of rows
+    First every row of docs as struct `row`, with `_row`, `size`, `source_size` and `target`; then the taken parts of rows
     (_row, shard, slot, epoch, start, words): words `start` to `start + words` of the row's text. `weight` gives the
     weight of the i-th source in code point order.
     """
     spark = docs.sparkSession
-    rows = written(docs.withColumn("size", words_in(F.col("text"))).withColumn("_row", F.monotonically_increasing_id()))
-    found = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = written(whole.select("row", words_in(F.col("row.text")).alias("size"), F.monotonically_increasing_id().alias("_row")))
+    found = rows.groupBy("row.source").agg(F.sum("size").alias("n")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["n"] for r in found], [weight(i) for i in range(len(found))])
     sources = [Source(i, r["n"], t, block_words) for i, (r, t) in enumerate(zip(found, goal, strict=True))]
     about = spark.createDataFrame([(r["source"], i, r["n"], t) for i, (r, t) in enumerate(zip(found, goal, strict=True))],
                                   "source string, _source int, source_size long, target double")
-    with_source = rows.join(F.broadcast(about), rows["source"].eqNullSafe(about["source"])).drop(about["source"])
+    with_source = rows.join(F.broadcast(about), F.col("row.source").eqNullSafe(about["source"])).drop(about["source"])
 
     ends = np.cumsum(shard_counts([s.slots for s in sources], shards), axis=0)
     ranges = [(s, i, int(ends[i - 1, s]) if i else 0, int(ends[i, s])) for i in range(shards) for s in range(len(sources))]
@@ -144,7 +145,7 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = lambda i: 1.0 + i % 3,
     slots = (chunks.withColumn("high", F.least("high", F.col("low") + RANGE)).withColumnRenamed("_source", "_1")
              .repartition("_1", "low").mapInPandas(slotted, "_source int, _block long, shard int, slot long, epoch long, due long"))
 
-    narrow = written(with_source.filter("size > 0").select("_source", "doc_id", "_row", "size"))
+    narrow = written(with_source.filter("size > 0").select("_source", "row.doc_id", "_row", "size"))
     placed = running(narrow, ["_source"], [F.col("doc_id"), F.col("size"), F.col("_row")], F.col("doc_id"), F.col("size"), "_at")
     blocks = placed.select("_source", "_row", "size", "_at", F.explode(F.sequence(
         F.floor(F.col("_at") / block_words), F.floor((F.col("_at") + F.col("size") - 1) / block_words))).alias("_block"))
@@ -178,7 +179,8 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
 
     passes = taken.groupBy("_row", "epoch").agg(F.collect_list(F.struct("start", "words")).alias("_parts"))
     out = rows.join(passes, "_row", "left").filter(F.col("_parts").isNotNull() | (F.col("size") == 0))
-    out = out.withColumn("text", gathered("text", "_parts", "size"))
+    out = out.select("row", gathered("row.text", "_parts", "size").alias("_text"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("_text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])

@@ -36,7 +36,7 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows, taken = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
     sums = taken.groupBy("_row").agg(F.sum("words").alias("taken"))
     return rows.join(sums, "_row", "left").select(
-        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "row.doc_id", "size", "row.source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 RULES = [urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
@@ -87,7 +87,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     marked = substrings.duplicate_words(table(spark, folder, "documents").select("doc_id", "text"))
-    return marked.select("doc_id", substrings.kept_digest("text", "_spans").alias("d")).select("doc_id", "d.*")
+    return marked.select("doc_id", substrings.kept_digest("text", "_lutrin_spans").alias("d")).select("doc_id", "d.*")
 
 
 @query

@@ -158,17 +158,18 @@ def _block_keys(h: np.ndarray, bounds: np.ndarray, owner: np.ndarray, anchors: n
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(
-        "_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    """The rows with their place in the order; names that begin with `_lutrin` are kept for helper columns."""
+    return docs.withColumns({"_lutrin_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)),
+                             "_lutrin_crc": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
 
 
 def _collected(places: DataFrame, **kinds) -> DataFrame:
-    return places.groupBy(F.col("doc").alias("_doc"), F.col("crc").alias("_crc")).agg(
+    return places.groupBy(F.col("doc").alias("_lutrin_doc"), F.col("crc").alias("_lutrin_crc")).agg(
         *[F.collect_list(F.when(kind, F.col("pos"))).alias(name) for name, kind in kinds.items()])
 
 
 def duplicate_words(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, any more) with `_spans`: runs [start, end) of words covered by repeated windows."""
+    """docs (doc_id, text, any more) with `_lutrin_spans`: runs [start, end) of words covered by repeated windows."""
     keyed = _keyed(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
@@ -179,26 +180,27 @@ def duplicate_words(docs: DataFrame) -> DataFrame:
             a = np.unique(anchor)
             if len(a):
                 o = owner[a]
-                yield _blobs(_entries(g[a], _block_keys(h, bounds, owner, a), part["_doc"].to_numpy()[o],
-                                      part["_crc"].to_numpy()[o], a - bounds[o]), buckets)
+                yield _blobs(_entries(g[a], _block_keys(h, bounds, owner, a), part["_lutrin_doc"].to_numpy()[o],
+                                      part["_lutrin_crc"].to_numpy()[o], a - bounds[o]), buckets)
 
     def bounded(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, h, bounds, owner in _batches(pdfs, "_edges"):
+        for part, h, bounds, owner in _batches(pdfs, "_lutrin_edges"):
             start, anchor, _ = _windows(h, bounds)
-            edges = np.concatenate([np.asarray(x, np.int64) + b for x, b in zip(part["_edges"], bounds[:-1], strict=True)])
+            edges = np.concatenate([np.asarray(x, np.int64) + b for x, b in zip(part["_lutrin_edges"], bounds[:-1], strict=True)])
             s = start[np.isin(anchor, edges)]
             if len(s):
                 o = owner[s]
-                yield _blobs(_entries(grams(h, WINDOW, 31)[s], grams(h, WINDOW, 37)[s], part["_doc"].to_numpy()[o],
-                                      part["_crc"].to_numpy()[o], s - bounds[o]), buckets)
+                yield _blobs(_entries(grams(h, WINDOW, 31)[s], grams(h, WINDOW, 37)[s], part["_lutrin_doc"].to_numpy()[o],
+                                      part["_lutrin_crc"].to_numpy()[o], s - bounds[o]), buckets)
 
-    anchors = (keyed.select("_doc", "_crc", "text").mapInPandas(anchored, KEYED)
+    anchors = (keyed.select("_lutrin_doc", "_lutrin_crc", "text").mapInPandas(anchored, KEYED)
                .groupBy("bucket").applyInPandas(_factored, PLACES))
-    factors = written(_collected(anchors, _factors=~F.col("edge"), _edges=F.col("edge")))
-    first = keyed.join(factors, ["_doc", "_crc"], "left")
+    factors = written(_collected(anchors, _lutrin_factors=~F.col("edge"), _lutrin_edges=F.col("edge")))
+    first = keyed.join(factors, ["_lutrin_doc", "_lutrin_crc"], "left")
     windows = first.mapInPandas(bounded, KEYED).groupBy("bucket").applyInPandas(_repeated, PLACES)
-    marked = first.join(_collected(windows, _starts=~F.col("edge")), ["_doc", "_crc"], "left")
-    return marked.withColumn("_spans", _spans("text", "_factors", "_starts")).select(*docs.columns, "_spans")
+    marked = first.join(_collected(windows, _lutrin_starts=~F.col("edge")), ["_lutrin_doc", "_lutrin_crc"], "left")
+    spans = _spans("text", "_lutrin_factors", "_lutrin_starts")
+    return marked.withColumn("_lutrin_spans", spans).select(*docs.columns, "_lutrin_spans")
 
 
 def _spans(*columns: str):
@@ -254,11 +256,9 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
         return pd.Series([b" ".join(w for run in _kept_runs(x.split(), spans) for w in run).decode("utf-8", "surrogatepass")
                           for x, spans in zip(encoded(texts), all_spans, strict=True)], dtype=object)
 
-    marked = duplicate_words(docs)
-    some = F.size("_spans") > 0
-    out = (marked.withColumn("_left", F.when(some, cut("text", "_spans")))
-           .filter(F.col("_left").isNull() | (F.col("_left") != ""))
-           .withColumn("text", F.coalesce("_left", "text")))
+    marked = duplicate_words(docs).withColumn("_lutrin_left", F.when(F.size("_lutrin_spans") > 0, cut("text", "_lutrin_spans")))
+    left = F.col("_lutrin_left")
+    new = {"text": F.coalesce(left, "text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(left.isNotNull(), F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return marked.filter(left.isNull() | (left != "")).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -184,4 +184,4 @@ def score(text: Column, lexicon: Lexicon) -> Column:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, all columns kept."""
     lexicon = fit(docs, labels)
-    return docs.withColumn("_score", score(F.col("text"), lexicon)).filter(F.col("_score") < threshold).drop("_score")
+    return docs.filter(score(F.col("text"), lexicon) < threshold)

@@ -152,16 +152,16 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages with `refers_to`: the largest page_id with an equal payload, null for that page itself.
+    """pages (page_id, url, html; other columns go) with `refers_to`: the largest page_id with an equal payload, null for that page itself.
 
     Only pages whose payload occurs more than once are looked up; payloads below `least_bytes` refer to nothing.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.withColumn("_key", F.sha2(payload, 256)).withColumn("_size", F.octet_length(payload))
+    rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("_key"), F.octet_length(payload).alias("_size"))
     most = (rows.filter(F.col("_size") >= least_bytes).groupBy("_key").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
             .filter("_n > 1").drop("_n"))
     other = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
-    return rows.join(most, "_key", "left").withColumn("refers_to", F.when(other, F.col("_last"))).select(*pages.columns, "refers_to")
+    return rows.join(most, "_key", "left").withColumn("refers_to", F.when(other, F.col("_last"))).select("page_id", "url", "html", "refers_to")
 
 
 def write(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
