@@ -158,6 +158,25 @@ def running(df: DataFrame, key: list[str], order: list[Column], spread: Column,
         *[F.col(f"l.{c}") for c in df.columns], (F.col(f"l.{out}") + F.col("r._before")).alias(out))
 
 
+def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what a matrix of links connects: every vertex with the smallest one it reaches."""
+    r, c = np.nonzero(linked)
+    ids, at = np.unique(np.concatenate([rows[r], columns[c]]), return_inverse=True)
+    u, v = at[:len(r)], at[len(r):]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[moved], ids[label[moved]]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every vertex of the links (a, b); the component is its smallest vertex.
 

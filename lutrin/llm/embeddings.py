@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lutrin.llm.common import components, written
+from lutrin.llm.common import components, forest, written
 
 THRESHOLD = 0.95
 RECALL = 0.995
@@ -124,25 +124,6 @@ class MultiIndex:
             yield (i[near[0][order]] * len(self.second) + j[near[1][order]]).astype(np.int64)
 
 
-def _forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the links connect: every vertex with the smallest one it reaches inside the block."""
-    r, c = np.nonzero(linked)
-    ids, at = np.unique(np.concatenate([rows[r], columns[c]]), return_inverse=True)
-    u, v = at[:len(r)], at[len(r):]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[moved], ids[label[moved]]
-
-
 def _met(index: MultiIndex, threshold: float):
     """Link weights and forest edges of one block of a cell: members (own vectors) and visiting queries."""
     def met(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,7 +144,7 @@ def _met(index: MultiIndex, threshold: float):
         width = len(index.second)
         alone = index.beyond(y[c], home // width, home % width) > index.margin
         weight_y = np.bincount(c[alone], many_x[r[alone]], len(b)).astype(np.int64)
-        u, v = _forest(linked, a, b)
+        u, v = forest(linked, a, b)
         out = pd.DataFrame({"rep": np.concatenate([a, b, u]), "other": np.concatenate([np.full(len(a) + len(b), -1), v]),
                             "weight": np.concatenate([weight_x, weight_y, np.zeros(len(u), np.int64)])})
         edge = np.arange(len(out)) >= len(a) + len(b)

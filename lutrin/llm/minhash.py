@@ -7,9 +7,10 @@ signature is therefore entered under each chunk with each of its positions left
 give all pairs within the radius. Pairs are confirmed on the full shingle sets.
 
 Texts with equal sets are one class first. Buckets with the same members count once. In a bucket, members are
-first compared with its smallest one; only members that stay in different components afterwards are
-compared with each other, in square blocks, nearest signatures first, until no pair within the radius is left.
-So a large group of copies costs rows in proportion to its size, and no link between components is lost.
+compared with its smallest one; only those farther away than the radius are compared with all others, in blocks. That gives the
+clusters of the signature graph. In a cluster the full sets are compared with the set of its smallest member, and
+only members without that link with all others, again in blocks. A block returns a spanning forest of its links,
+so a large group of copies gives rows in proportion to its size, and every link counts.
 
 Null, empty and blank texts have no shingles and no links. Rows with a null doc_id have no links either,
 and component_id is null there. Rows that share a doc_id are one document.
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lutrin.llm.common import U64, byte_batches, components, encoded, grams, mixed, odd_numbers, word_hashes, written
+from lutrin.llm.common import U64, byte_batches, components, encoded, forest, grams, mixed, odd_numbers, word_hashes, written
 
 VALUES = 64
 CHUNKS = 13
@@ -33,7 +34,7 @@ RADIUS = 2 * CHUNKS - 1
 WORDS = 3
 SHARE = 85
 BLOCK = 512
-CLOSEST = 16
+BLOCK_BYTES = 16 << 20
 PRINTS = "_id long, n_shingles long, f1 long, f2 long, signature binary"
 _SLICES = [np.arange(VALUES)[i * VALUES // CHUNKS:(i + 1) * VALUES // CHUNKS] for i in range(CHUNKS)]
 
@@ -121,56 +122,103 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return written(docs.join(ids, docs["_id"] == ids["rep"], "left_semi").select("_id", packed("text").alias("set")))
 
 
-def _near(pairs: DataFrame, signatures: DataFrame, radius: int) -> DataFrame:
-    a, b = (signatures.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").filter(_apart("sa", "sb") <= radius).select("a", "b")
+def _dealt(rows: DataFrame, group: str, asking: Column, size: Column) -> DataFrame:
+    """Rows of every group dealt to blocks (m, q): each asking row meets every row of its group exactly once."""
+    parts = lambda count, total: F.greatest(F.ceil(count / BLOCK), F.ceil(total / BLOCK_BYTES)).cast("int")
+    ask = asking.cast("int")
+    crowd = rows.groupBy(group).agg(parts(F.count("*"), F.sum(size)).alias("ms"), parts(F.sum(ask), F.sum(size * ask)).alias("qs")).filter("qs > 0")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = rows.join(crowd, group)
+    members = both.withColumn("m", own("ms")).withColumn("q", every("qs")).withColumn("asks", F.lit(False))
+    return members.unionByName(both.filter(asking).withColumn("q", own("qs")).withColumn("m", every("ms")).withColumn("asks", F.lit(True)))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    a, b = (sets.select(F.col("_id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").filter(_alike(share)("sa", "sb")).select("a", "b")
+def _linked_blocks(links):
+    """Spanning forest (a, b) of the links of a block; `links` gives the matrix for asking rows and members."""
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        asking, members = pdf[pdf["asks"].to_numpy()], pdf[~pdf["asks"].to_numpy()]
+        i, j = asking["rep"].to_numpy(), members["rep"].to_numpy()
+        a, b = forest(links(asking, members) & (i[:, None] != j[None, :]), i, j)
+        return pd.DataFrame({"a": a, "b": b})
+    return found
 
 
-def _block_pairs(low: int, high: int, radius: int):
-    """Pairs of a block in different components whose rank among a member's nearest is in [low, high)."""
-    def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (pdf[pdf["side"] == side] for side in (0, 1))
-        if not len(y):
-            y = x
+def _close(radius: int):
+    def close(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
         s, t = (np.frombuffer(b"".join(z["signature"]), np.uint16).reshape(-1, VALUES) for z in (x, y))
-        i, j = x["rep"].to_numpy(), y["rep"].to_numpy()
-        apart = np.zeros((len(s), len(t)), np.int16)
+        apart = np.zeros((len(s), len(t)), np.uint8)
         for k in range(VALUES):
             apart += s[:, k:k + 1] != t[None, :, k]
-        apart[(apart > radius) | (x["component"].to_numpy()[:, None] == y["component"].to_numpy()[None, :])] = 999
-        order = np.argsort(apart, axis=1, kind="stable")[:, low:high]
-        near = np.take_along_axis(apart, order, 1) < 999
-        r, c = np.nonzero(near)
-        a, b = i[r], j[order[r, c]]
-        more = i[(apart < 999).sum(axis=1) > high]
-        return pd.DataFrame({"a": np.append(np.minimum(a, b), more), "b": np.append(np.maximum(a, b), more)})
-    return found
+        return apart <= radius
+    return close
+
+
+def _share_enough(share: int, columns: int = 2048):
+    def enough(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+        p, q = ([np.frombuffer(b, np.uint64) for b in z["set"]] for z in (x, y))
+        size_p, size_q = (np.array([len(z) for z in s], np.int64) for s in (p, q))
+        p_all, q_all = (np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (p, q))
+        common = np.intersect1d(p_all, q_all)
+        both = np.zeros((len(p), len(q)), np.int64)
+        placed = []
+        for values, sizes in ((p_all, size_p), (q_all, size_q)):
+            at = np.searchsorted(common, values)
+            kept = at < len(common)
+            kept[kept] = common[at[kept]] == values[kept]
+            owner = np.repeat(np.arange(len(sizes)), sizes)[kept]
+            order = np.argsort(at[kept], kind="stable")
+            placed.append((at[kept][order], owner[order]))
+        for low in range(0, len(common), columns):
+            parts = []
+            for (at, owner), n in zip(placed, (len(p), len(q)), strict=True):
+                a, b = np.searchsorted(at, [low, low + columns])
+                part = np.zeros((n, columns), np.float32)
+                part[owner[a:b], at[a:b] - low] = 1
+                parts.append(part)
+            both += (parts[0] @ parts[1].T).astype(np.int64)
+        return 100 * both >= share * (size_p[:, None] + size_q[None, :] - both)
+    return enough
 
 
 def _crowded(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets with several members, one for each set of members: as pairs (n = 2), and as rows (key, rep, lead, n)."""
+    """Buckets with several members, one for each set of members: as pairs (two members), and as rows (key, rep, lead)."""
     keys = signatures.select("rep", F.explode(_keys_of("signature")).alias("key"))
     met = (keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.max("rep").alias("last"),
                                    F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1")
            .groupBy("n", "lead", "last", "members").agg(F.min("key").alias("key")))
     met = written(met)
-    rows = written(keys.join(met.filter("n > 2").select("key", "lead", "n"), "key"))
+    rows = written(keys.join(met.filter("n > 2").select("key", "lead"), "key"))
     return met.filter("n = 2").select(F.col("lead").alias("a"), F.col("last").alias("b")), rows
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows of every bucket dealt to square blocks of at most about BLOCK members a side."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = rows.withColumn("parts", parts).withColumn("own", own).withColumn("other", other)
-    return dealt.select("key", "rep", "component", "signature", F.least("own", "other").alias("i"),
-                        F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+def _clusters(signatures: DataFrame, radius: int) -> DataFrame:
+    """(rep, center): components of the graph of signatures within the radius, for all that have a neighbour."""
+    couples, rows = _crowded(signatures)
+    a, b = (signatures.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
+    stars = rows.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).unionByName(couples).distinct()
+    measured = written(stars.join(a, "a").join(b, "b").select("a", "b", (_apart("sa", "sb") > radius).alias("far")))
+    close = measured.filter("not far").select("a", "b")
+    far = measured.filter("far").select(F.col("a").alias("lead"), F.col("b").alias("rep"), "far")
+    there = rows.join(far, ["lead", "rep"], "left").select("key", "rep", F.coalesce("far", F.lit(False)).alias("far"))
+    open_ = there.groupBy("key").agg(F.max("far").alias("open")).filter("open").select("key")
+    full = there.join(open_, "key", "left_semi").join(signatures, "rep")
+    blocks = _dealt(written(full), "key", F.col("far"), F.lit(2 * VALUES))
+    more = blocks.groupBy("key", "m", "q").applyInPandas(_linked_blocks(_close(radius)), "a long, b long")
+    return written(components(close.unionByName(more)).select(F.col("id").alias("rep"), F.col("component").alias("center")))
+
+
+def _confirmed(clusters: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) that connect what the links on full sets connect."""
+    center = sets.select(F.col("_id").alias("center"), F.col("set").alias("center_set"))
+    own = clusters.join(sets.withColumnRenamed("_id", "rep"), "rep").join(center, "center")
+    tested = written(own.select("rep", "center", _alike(share)("set", "center_set").alias("linked")))
+    stars = tested.filter("linked and rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"))
+    left = tested.filter("not linked").select("center").distinct()
+    full = tested.join(left, "center", "left_semi").join(sets.withColumnRenamed("_id", "rep"), "rep")
+    blocks = _dealt(full, "center", ~F.col("linked"), F.octet_length("set"))
+    more = blocks.groupBy("center", "m", "q").applyInPandas(_linked_blocks(_share_enough(share)), "a long, b long")
+    return stars.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, radius: int = RADIUS) -> DataFrame:
@@ -186,27 +234,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, rad
     classes = written(known.groupBy(*alike).agg(F.min("_id").alias("rep")))
     signatures = written(known.join(classes, alike).filter("_id = rep").select("rep", "signature").distinct())
 
-    couples, rows = _crowded(signatures)
-    stars = rows.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    pairs = written(_near(couples.unionByName(stars).distinct(), signatures, radius))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(rows.select("rep")).distinct()
-    sets = _sets_of(texts, wanted, words)
-    links = written(_confirmed(pairs, sets, share))
-    parts = written(components(links))
-
-    grouped = rows.join(parts, rows["rep"] == parts["id"], "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    split = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    blocks = _blocks(written(grouped.join(split, "key", "left_semi").join(signatures, "rep")))
-    low, high = 0, CLOSEST
-    while True:
-        close = written(blocks.groupBy("key", "i", "j").applyInPandas(_block_pairs(low, high, radius), "a long, b long").distinct())
-        fresh = close.filter("a < b").join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(written(_confirmed(fresh, sets, share)))
-        if close.filter("a = b").isEmpty():
-            break
-        low, high = high, high + 4 * (high - low)
-    final = components(links)
+    clusters = _clusters(signatures, radius)
+    final = components(_confirmed(clusters, _sets_of(texts, clusters, words), share))
 
     member = known.join(classes, alike).select("_id", "rep")
     groups = member.join(final, member["rep"] == final["id"], "left").groupBy("_id").agg(

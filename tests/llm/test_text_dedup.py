@@ -104,7 +104,6 @@ def test_near_duplicates_with_other_settings(spark):
 
 def test_large_group_of_near_copies_is_one_component_or_split_exactly(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
-    monkeypatch.setattr(minhash, "CLOSEST", 2)
     rng = random.Random(4)
     base = [f"v{i}" for i in range(60)]
     rows = []
