@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -36,37 +37,46 @@ STEP = 0.2
 SHARPNESS = 6.0
 REST = 20_000
 CACHED_WORDS = 400_000
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Runs whose signs need no Unicode tables: printable ASCII and the Latin-1 letters, which lower-case one to one.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 BLANKS = re.compile(r"[ \n\t\r]+")
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies use for each byte: itself if it is visible, else the next from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class WordTokenizer:
     """Token ids of texts from a file of the `tokenizers` library whose tokens never cross white space.
 
-    Ids are cached per run of signs between blanks. Plain ASCII runs go to the vocabulary model after the file's own
-    rule for words (lower case, contractions, letters, single digits, signs); all others go through the whole encoder.
+    Ids are cached per run of signs between blanks. Plain runs go to the vocabulary model after the file's own rule for words
+    (lower case, contractions, letters, single digits, signs); all others go through the whole encoder.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
         self.encoder = tokenizers.Tokenizer.from_file(path)
+        self.model = self.encoder.model
+        self.signs = _byte_signs()
         self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, run: str) -> bytes:
-        if not run.isascii() or "<|" in run or not run.isprintable():
-            ids = self.encoder.encode(run, add_special_tokens=False).ids
-        else:
-            ids = [i for part in ASCII_WORD.findall(run.lower()) for i in self._part(part)]
-        return np.array(ids, "<u4").tobytes()
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = tuple(t.id for t in self.encoder.model.tokenize(part))
-            if len(self.parts) < CACHED_WORDS:
-                self.parts[part] = ids
+        if not PLAIN.fullmatch(run) or "<|" in run:
+            return array("I", self.encoder.encode(run, add_special_tokens=False).ids).tobytes()
+        words = PLAIN_WORD.findall(run.lower())
+        return b"".join([self.parts.get(w) or self._part(w) for w in words])
+
+    def _part(self, word: str) -> bytes:
+        spelled = word if word.isascii() else "".join(map(self.signs.__getitem__, word.encode()))
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if len(self.parts) < CACHED_WORDS:
+            self.parts[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
