@@ -27,24 +27,37 @@ def section_type(title: Column | None, text: Column) -> Column:
     return let(heard, choose)
 
 
-def _mentions(folded: Column, keywords: list[str], match: str = "substring") -> Column:
-    """Any keyword occurs, anywhere or as a whole word."""
-    forms = sorted({folded_literal(k) for k in keywords})
+def _whole(words: list[str]) -> str:
+    return rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(re.escape(w) for w in sorted(words))})($|[^\p{{L}}\p{{N}}])"
+
+
+def _anywhere(folded: Column, keywords: Iterable[str]) -> Column:
+    """Any folded keyword occurs anywhere; a form that holds another one adds nothing."""
+    forms = {folded_literal(k) for k in keywords}
+    needed = sorted(f for f in forms if not any(g != f and g in f for g in forms))
+    return reduce(or_, [folded.contains(f) for f in needed]) if needed else F.lit(False)
+
+
+def _mentions(low: Column, folded: Column, keywords: list[str], match: str) -> Column:
+    """Any keyword occurs: anywhere in the folded text, or as a whole word.
+
+    Keywords below SHORT_KEYWORD letters would be found inside most words, and folding would make them
+    function words, so they only count as whole words with their accents.
+    """
     if match == "word":
-        alternatives = "|".join(re.escape(f) for f in forms)
-        return folded.rlike(rf"(^|[^\p{{L}}\p{{N}}])({alternatives})($|[^\p{{L}}\p{{N}}])")
-    # a form that holds another one adds nothing
-    needed = [f for f in forms if not any(g != f and g in f for g in forms)]
-    return reduce(or_, [folded.contains(f) for f in needed])
+        return folded.rlike(_whole([folded_literal(k) for k in keywords]))
+    short = [k.lower() for k in keywords if len(k) < L.SHORT_KEYWORD]
+    long = _anywhere(folded, [k for k in keywords if len(k) >= L.SHORT_KEYWORD])
+    return long | low.rlike(_whole(short)) if short else long
 
 
 def mechanics(text: Column, match: str = "substring") -> Column:
     """Sorted topic tags mentioned in the text."""
-    def tags(folded: Column) -> Column:
+    def tags(low: Column, folded: Column) -> Column:
         return F.array_compact(F.array(*[
-            F.when(_mentions(folded, keywords, match), F.lit(tag))
+            F.when(_mentions(low, folded, keywords, match), F.lit(tag))
             for tag, (_, keywords) in sorted(L.MECHANICS.items())]))
-    return let(fold(text), tags)
+    return let(F.lower(text), lambda low: let(fold(low), lambda folded: tags(low, folded)))
 
 
 def mechanic_label(tag: Column) -> Column:
@@ -72,8 +85,8 @@ def _wanted(word: Column, folded: Column, stop: list[str] | None, nouns: list[st
 
     The lists are folded, so testing the folded word covers the word itself.
     """
-    nouns = set(L.domain_nouns() if nouns is None else nouns)
-    dropped = set(L.stopwords() if stop is None else stop) - nouns
+    nouns = set(L.DOMAIN_NOUNS if nouns is None else nouns)
+    dropped = set(L.STOPWORDS if stop is None else stop) - nouns
     short = {n for n in nouns if len(n) < 3}
     kept = (F.length(word) >= 3) & ~is_one_of(folded, dropped)
     return kept | is_one_of(folded, short) if short else kept
@@ -120,7 +133,7 @@ def stem(word: Column) -> Column:
 
 def text_stems(text: Column, stop: list[str] | None = None) -> Column:
     """Stems of every word that is no function word, repeats kept."""
-    stop = L.stopwords() if stop is None else stop
+    stop = L.STOPWORDS if stop is None else stop
     kept = F.filter(terms(F.lower(F.coalesce(text, F.lit("")))), lambda w: ~is_one_of(fold(w), stop))
     return F.transform(kept, stem)
 
@@ -172,7 +185,7 @@ def mechanic_evidence(text: Column) -> Column:
     def per_text(pairs: Column) -> Column:
         return F.filter(F.array(*[
             F.struct(F.lit(tag).alias("tag"), truncated(
-                F.get(F.filter(pairs, lambda p: _mentions(p["folded"], keywords_)),
+                F.get(F.filter(pairs, lambda p: _anywhere(p["folded"], keywords_)),
                       F.lit(0))["sentence"], 200).alias("sentence"))
             for tag, (_, keywords_) in sorted(L.MECHANICS.items())]),
             lambda found: found["sentence"].isNotNull())

@@ -192,8 +192,7 @@ def pack(ps: Column, size: int = L.CHUNK_SIZE, minimum: int = L.MIN_CHUNK) -> Co
                 t.alias("text"), first["page_start"].alias("page_start"),
                 last["page_end"].alias("page_end"), g["path"].alias("hierarchy_path"))))
 
-    return let(ps, lambda arr: F.filter(
-        F.flatten(F.transform(groups(arr), lambda g: texts(arr, g))), lambda c: ~T.is_low_quality(c["text"])))
+    return let(ps, lambda arr: F.flatten(F.transform(groups(arr), lambda g: texts(arr, g))))
 
 
 def chunks(ps: Column, size: int = L.CHUNK_SIZE, minimum: int = L.MIN_CHUNK) -> Column:
@@ -207,7 +206,7 @@ def chunks(ps: Column, size: int = L.CHUNK_SIZE, minimum: int = L.MIN_CHUNK) ->
     def choose(arr: Column) -> Column:
         total = F.aggregate(arr, F.lit(0), lambda acc, p: acc + F.length(p["text"]))
         return (F.when(F.size(arr) == 0, F.array().cast(CHUNK))
-                .when(total < minimum, F.filter(whole(arr), lambda c: ~T.is_low_quality(c["text"])).cast(CHUNK))
+                .when(total < minimum, whole(arr).cast(CHUNK))
                 .otherwise(pack(merge_continuations(merge_short(arr)), size, minimum).cast(CHUNK)))
     return let(ps, choose)
 
@@ -223,7 +222,7 @@ def document_paragraphs(documents: DataFrame) -> DataFrame:
 def passages(documents: DataFrame, size: int = L.CHUNK_SIZE, minimum: int = L.MIN_CHUNK) -> DataFrame:
     """One row per passage: (collection_id, doc_id, chunk_index, total_chunks, text, pages, path).
 
-    Chunks of low quality are left out before they are numbered.
+    Chunks of low quality are left out but counted: the numbers of the others keep the gaps.
     """
     packed = document_paragraphs(documents).select(
         "collection_id", "doc_id", chunks(F.col("paragraphs"), size, minimum).alias("chunks"))
@@ -233,7 +232,8 @@ def passages(documents: DataFrame, size: int = L.CHUNK_SIZE, minimum: int = L.MI
         F.posexplode_outer("chunks").alias("chunk_index", "chunk"))
     return (rows.filter(F.col("chunk_index").isNotNull())
             .select("collection_id", "doc_id", "chunk_index", "total_chunks", "chunk.*")
-            .withColumn("text", T.valid_utf8(F.col("text"))))
+            .withColumn("text", T.valid_utf8(F.col("text")))
+            .filter(~T.is_low_quality(F.col("text"))))
 
 
 def passage_id(collection: Column, document: Column, index: Column) -> Column:

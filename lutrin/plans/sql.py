@@ -111,8 +111,8 @@ def stem(w: str) -> str:
     return f"(CASE WHEN {doubled} THEN left({bare}, length({bare}) - 1) ELSE {bare} END)"
 
 
-STOP = listed(L.stopwords())
-NOUNS = listed(L.domain_nouns())
+STOP = listed(L.STOPWORDS)
+NOUNS = listed(L.DOMAIN_NOUNS)
 
 
 def text_stems(x: str) -> str:
@@ -139,9 +139,13 @@ def section_type(x: str) -> str:
 
 
 def mechanics(x: str) -> str:
-    tags = ", ".join(
-        f"CASE WHEN {' OR '.join(f'contains({fold(x)}, {fold(text(k))})' for k in keywords_)} THEN '{tag}' END"
-        for tag, (_, keywords_) in sorted(L.MECHANICS.items()))
+    def said(keyword: str) -> str:
+        if len(keyword) < 4:
+            return rf"regexp_matches(lower({x}), '(^|[^\p{{L}}\p{{N}}]){keyword.lower()}($|[^\p{{L}}\p{{N}}])')"
+        return f"contains({fold(x)}, {fold(text(keyword))})"
+
+    tags = ", ".join(f"CASE WHEN {' OR '.join(map(said, keywords_))} THEN '{tag}' END"
+                     for tag, (_, keywords_) in sorted(L.MECHANICS.items()))
     return f"list_filter([{tags}], lambda t: t IS NOT NULL)"
 
 
@@ -345,7 +349,8 @@ def chunks(pages: str) -> str:
         FROM cutting c JOIN ranged r ON r.doc_id = c.doc_id AND r.a = c.a AND r.long WHERE c.piece <> ''
         UNION ALL
         SELECT doc_id, collection_id, 0, 0, '', page_start, page_end, text FROM tiny),
-    chunks AS (
+    placed AS (
         SELECT collection_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, piece_no) - 1 AS chunk_index,
                count(*) OVER (PARTITION BY doc_id) AS total_chunks, text, page_start, page_end, path AS hierarchy_path
-        FROM pieces WHERE NOT {low_quality('text')})"""
+        FROM pieces),
+    chunks AS (SELECT * FROM placed WHERE NOT {low_quality('text')})"""

@@ -18,7 +18,7 @@ def values(spark, rows, schema, *columns):
 
 
 def test_word_lists():
-    stop, nouns = set(L.stopwords()), set(L.domain_nouns())
+    stop, nouns = set(L.STOPWORDS), set(L.DOMAIN_NOUNS)
     assert {"les", "auraient", "voudrions", "combien", "pourrez", "the"} <= stop
     assert {"plateaux", "cristaux", "jetons", "bois"} <= nouns
     assert stop & nouns == {"pouvoir"}
@@ -184,11 +184,19 @@ def test_history_is_trimmed(spark):
 
 
 def test_mechanics_by_word(spark):
-    rows = [("Un bord net. ÉLIMINATION directe.",), ("Payez un or.",)]
+    rows = [("Un bord net. ÉLIMINATION directe.",), ("Payez un or.",), ("Le joueur ne prend pas la tuile",), ("Lancez un DÉ !",),
+            ("Il reste 2 PA par manche de jeu",)]
     loose = values(spark, rows, "t string", nlp.mechanics(F.col("t")))
     exact = values(spark, rows, "t string", nlp.mechanics(F.col("t"), match="word"))
-    assert "resource_management" in loose[0][0] and "player_elimination" in loose[0][0]
-    assert exact == [(["player_elimination"],), (["resource_management"],)]
+    assert loose == [(["player_elimination"],), (["resource_management"],), (["tile_placement"],), (["dice_rolling"],), (["action_points"],)]
+    assert exact[:2] == loose[:2]
+
+
+def test_fixed_lists_typed_here(spark):
+    rows = [("Le plateau des trésors est très grand, bois et fer",), ("Combien de bonus pourrait-on gagner ?",), ("An ox in it",)]
+    got = values(spark, rows, "t string", nlp.keywords(F.col("t")))
+    assert got == [(["plateau", "tresors", "grand", "bois", "fer"],), (["bonus", "gagner"],), ([],)]
+    assert (len(L.STOPWORDS), len(L.DOMAIN_NOUNS)) == (450, 264)
 
 
 def test_plural_and_singular_share_a_stem(spark):
