@@ -91,7 +91,7 @@ def rate_limited(requests: DataFrame, per_minute: int, span: float = 3600.0) ->
     batch, with only the bucket in memory.
     """
     if per_minute <= 0:
-        return requests.select("key", "request_id", "at", F.lit(True).alias("allowed"), F.lit(0.0).alias("wait"))
+        return requests.select(F.col("key").cast("string").alias("key"), "request_id", "at", F.lit(True).alias("allowed"), F.lit(0.0).alias("wait"))
     capacity, rate = float(per_minute), per_minute / 60
     order = [F.col("at"), F.col("request_id")]
     spans = requests.select("key", "request_id", "at", F.floor(F.col("at") / span).alias("span"))

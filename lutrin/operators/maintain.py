@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +12,29 @@ from lutrin.functions.text import not_blank, slug
 
 # --- snapshots -------------------------------------------------------------------------
 
+def in_order(rows: DataFrame, order: list[str] | None) -> Column:
+    """What orders rows of one key: the columns given, else all that can be compared."""
+    names = order or [f.name for f in rows.schema.fields if not f.dataType.simpleString().startswith("map")]
+    return F.struct(*names)
+
+
+def last_values(changes: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """One row per key: of several changes the last one that gives a field wins, as if they were saved in turn."""
+    at = in_order(changes, order)
+    fields = [c for c in changes.columns if c != key]
+    return changes.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in fields]).select(*changes.columns)
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: str, fixed: list[str] | None = None,
-           touched: str | None = None, now: Column | None = None) -> DataFrame:
+           touched: str | None = None, now: Column | None = None, order: list[str] | None = None) -> DataFrame:
     """New snapshot: a field given in `changes` wins, null ones keep the stored value.
 
     `fixed` columns (creation time) keep the stored value even when a new one is given;
-    `touched` is set to `now` on changed and new rows.
+    `touched` is set to `now` on changed and new rows. Several changes of one key are saved in
+    `order` (all columns if none is given).
     """
     fixed = fixed or []
-    marked = changes.withColumn("_new", F.lit(True))
+    marked = last_values(changes, key, order).withColumn("_new", F.lit(True))
     new = marked.select(*[F.col(c).alias(f"_n_{c}") for c in changes.columns], "_new")
     joined = current.join(new, F.col(key) == F.col(f"_n_{key}"), "full")
     out = []
@@ -58,9 +74,10 @@ def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame,
             children.join(gone.select(F.col(parent_key).alias(child_key)), child_key, "left_anti"))
 
 
-def set_fields(rows: DataFrame, key: str, values: DataFrame, columns: list[str]) -> DataFrame:
-    """Field-only update of the rows listed in `values`."""
-    new = values.select(F.col(key), *[F.col(c).alias(f"_n_{c}") for c in columns], F.lit(True).alias("_hit"))
+def set_fields(rows: DataFrame, key: str, values: DataFrame, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """Field-only update of the rows listed in `values`; of several rows of one key the last in `order` counts."""
+    last = values.groupBy(key).agg(F.max_by(F.struct(*columns), in_order(values, order)).alias("_v"))
+    new = last.select(F.col(key), *[F.col(f"_v.{c}").alias(f"_n_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = rows.join(new, key, "left")
     return joined.select(*[
         F.when(F.col("_hit"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
@@ -136,10 +153,11 @@ def read_snapshot(like: DataFrame, path: str) -> DataFrame:
 def reindex(new_rows: DataFrame, target: str, staging: str, replace: bool = True) -> DataFrame:
     """Swap in new passages per collection; what was stored stays until the new rows are complete.
 
-    New rows are written to `staging` first. Collections without any new row keep theirs;
-    the returned rows (collection_id, n_new) say which were swapped. The swap itself is one
+    New rows are written to a folder of this run below `staging` first, so nothing that an earlier run
+    left there is swapped in. Collections without any new row keep theirs; the returned rows (collection_id, n_new) say which were swapped. The swap itself is one
     dynamic partition overwrite, and the ids are content keys, so it can be repeated.
     """
+    staging = f"{staging}/{uuid.uuid4().hex}"
     write_snapshot(new_rows, staging)
     staged = read_snapshot(new_rows, staging)
     swapped = staged.groupBy("collection_id").agg(F.count("*").alias("n_new"))
@@ -162,6 +180,7 @@ def add_documents(new_rows: DataFrame, target: str, staging: str) -> None:
     and so leaves the same rows.
     """
     keys = ["collection_id", "doc_id"]
+    staging = f"{staging}/{uuid.uuid4().hex}"
     write_snapshot(new_rows, staging)
     staged, stored = read_snapshot(new_rows, staging), read_snapshot(new_rows, target)
     arriving = staged.select(*keys).distinct()
@@ -178,6 +197,21 @@ def add_documents(new_rows: DataFrame, target: str, staging: str) -> None:
     write_snapshot(fresh.select(*staged.columns), target, "append")
 
 
+def rolled_back(before: DataFrame, after: DataFrame, passages: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Collections and passages after a failed import: a new collection goes with its passages, an old one gets its row back.
+
+    before and after are the collections (collection_id, files, ...) around the import, failed names those to take back;
+    passages (collection_id, source_file, ...) lose the files that the import added.
+    """
+    kept = after.join(failed.select("collection_id"), "collection_id", "left_anti")
+    restored = before.join(failed.select("collection_id").distinct(), "collection_id", "left_semi")
+    old = before.select("collection_id", F.explode("files").alias("source_file")).distinct()
+    touched = passages.join(failed.select("collection_id").distinct(), "collection_id", "left_semi")
+    rest = passages.join(failed.select("collection_id").distinct(), "collection_id", "left_anti")
+    return (kept.unionByName(restored.select(*after.columns)),
+            rest.unionByName(touched.join(old, ["collection_id", "source_file"], "left_semi").select(*passages.columns)))
+
+
 def outcome(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """Per document: passages made and status; a document without any is an error row, not a stop."""
     made = passages.groupBy("collection_id", "doc_id").agg(F.count("*").alias("n_passages"))

@@ -20,15 +20,15 @@ def _folders(spark):
     return f"{base}/out", f"{base}/checkpoint", f"{base}/staging"
 
 
-def _event_stream(spark, folder):
-    return J.table_stream(spark, folder, "events").select(
+def _event_stream(spark, folder, files_per_batch=64):
+    return J.table_stream(spark, folder, "events", files_per_batch).select(
         F.col("event_id").alias("log_id"), F.col("ts").cast("timestamp").alias("created_at"), "user_id", "event_type", "value", "props")
 
 
 @query("stream_rate_limited", SQL["rate_limited"])
 def stream_rate_limited(spark, folder):
     out, checkpoint, _ = _folders(spark)
-    requests = _event_stream(spark, folder).select(
+    requests = _event_stream(spark, folder, None).select(
         F.col("user_id").cast("string").alias("key"), F.col("log_id").alias("request_id"),
         (F.unix_micros("created_at") / F.lit(600000000.0)).alias("at"))
     limited = J.rate_limit_stream(requests, per_minute=2)

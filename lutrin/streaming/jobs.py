@@ -5,21 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lutrin.operators import maintain as M
 from lutrin.operators import passages as P
+from lutrin.session import written
 
 DAY_MS = 24 * 3600 * 1000
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """New Parquet files of one table; the schema is read from the files that are there."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .option("pathGlobFilter", f"{name}*.parquet").parquet(folder))
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = 64) -> DataFrame:
+    """New Parquet files of one table, a single file or a folder of part files.
+
+    The schema is read from the files that are there. None takes all of them in one batch, for a backfill whose order in time counts.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    path = f"{path[:-1]}[{path[-1]}]"  # as a pattern the path may be a file or a folder
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,14 +44,23 @@ def run_available(writer, checkpoint: str) -> StreamingQuery:
     return query
 
 
+def _time_mode(sweep: bool) -> str:
+    return "ProcessingTime" if sweep else "None"
+
+
 # --- request rate ----------------------------------------------------------------------
 
 class TokenBucket(StatefulProcessor):
-    """Bucket per key; a key is forgotten once its bucket would be full again."""
+    """Bucket per key; a key is forgotten once its bucket would be full again.
+
+    The rows of a batch are taken in the order of their time, whatever the order in which they arrive; a row that comes in a
+    later batch than younger ones finds the bucket as these left it. No row is dropped for being late.
+    """
 
-    def __init__(self, per_minute: int):
+    def __init__(self, per_minute: int, sweep: bool):
         self.capacity = float(per_minute)
         self.rate = per_minute / 60
+        self.sweep = sweep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -51,22 +68,21 @@ class TokenBucket(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tokens, last, timer = self.bucket.get() if self.bucket.exists() else (self.capacity, None, None)
-        for batch in rows:
-            batch = batch.sort_values(["at", "request_id"])
-            allowed, wait = [], []
-            for at in batch["at"]:
-                tokens = min(self.capacity, tokens + (max(0.0, at - last) if last is not None else 0.0) * self.rate)
-                last = at
-                granted = tokens >= 1
-                wait.append(0.0 if granted else (1 - tokens) / self.rate)
-                tokens -= 1 if granted else 0
-                allowed.append(granted)
-            yield pd.DataFrame({"key": str(key[0]), "request_id": batch["request_id"], "at": batch["at"],
-                                "allowed": allowed, "wait": wait})
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = int((last + self.capacity / self.rate) * 1000)
-        self.handle.registerTimer(timer)
+        batch = pd.concat([r[["request_id", "at"]] for r in rows]).sort_values(["at", "request_id"])
+        allowed, wait = [], []
+        for at in batch["at"]:
+            tokens = min(self.capacity, tokens + (max(0.0, at - last) if last is not None else 0.0) * self.rate)
+            last = at if last is None else max(at, last)
+            granted = tokens >= 1
+            wait.append(0.0 if granted else (1 - tokens) / self.rate)
+            tokens -= 1 if granted else 0
+            allowed.append(granted)
+        yield pd.DataFrame({"key": str(key[0]), "request_id": batch["request_id"], "at": batch["at"], "allowed": allowed, "wait": wait})
+        if self.sweep:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = int(timerValues.getCurrentProcessingTimeInMs() + self.capacity / self.rate * 1000)
+            self.handle.registerTimer(timer)
         self.bucket.update((tokens, last, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -77,53 +93,70 @@ class TokenBucket(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(requests: DataFrame, per_minute: int, late: str = "10 minutes") -> DataFrame:
-    """requests(key, request_id, at in seconds) to the same rows with `allowed` and `wait`."""
-    timed = requests.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", late)
-    return timed.groupBy("key").transformWithStateInPandas(
-        TokenBucket(per_minute), "key string, request_id bigint, at double, allowed boolean, wait double",
-        "Append", "EventTime")
+def rate_limit_stream(requests: DataFrame, per_minute: int, sweep: bool = False) -> DataFrame:
+    """requests(key, request_id, at in seconds) to the same rows with `allowed` and `wait`; a limit of 0 is off.
+
+    `sweep` is for flows that never end: keys whose bucket would be full again are forgotten. A run over what is there would
+    wait for these timers.
+    """
+    if per_minute <= 0:
+        return requests.select(F.col("key").cast("string").alias("key"), "request_id", "at", F.lit(True).alias("allowed"), F.lit(0.0).alias("wait"))
+    return requests.groupBy("key").transformWithStateInPandas(
+        TokenBucket(per_minute, sweep), "key string, request_id bigint, at double, allowed boolean, wait double",
+        "Append", _time_mode(sweep))
 
 
 # --- jobs ------------------------------------------------------------------------------
 
 class JobState(StatefulProcessor):
-    """Progress of one job: counters, last message, status and the newest events."""
+    """Progress of one job: counters, last message, status and the newest events.
+
+    Every value is kept with the time and id of its event, so an older event never replaces a younger one,
+    in whatever order files, batches and rows arrive.
+    """
+
+    MARK = (-(2**62), -(2**62))
 
-    def __init__(self, keep: int = 100):
+    def __init__(self, keep: int, sweep: bool):
         self.keep = keep
+        self.sweep = sweep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState(
-            "job", "event_count long, current long, message string, status string, completed_ms long")
+            "job", "event_count long, current long, current_at long, current_id long, message string, message_at long, message_id long, "
+                   "status string, status_at long, status_id long, timer long")
         self.newest = handle.getListState("newest", "event_id long, event_type string, at_ms long")
 
+    @staticmethod
+    def _last(rows: pd.DataFrame, mark: tuple, value, column: str) -> tuple:
+        """The value of the last row, if it is younger than the one kept."""
+        if len(rows):
+            top = rows.sort_values(["at_ms", "event_id"]).iloc[-1]
+            if (top["at_ms"], top["event_id"]) > mark:
+                return (int(top["at_ms"]), int(top["event_id"])), top[column]
+        return mark, value
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        count, current, message, status, completed = (
-            self.job.get() if self.job.exists() else (0, -1, "", "running", 0))
-        kept = list(self.newest.get())
-        was_done = completed
+        count, current, ca, ci, message, ma, mi, status, sa, si, timer = (
+            self.job.get() if self.job.exists() else (0, -1, *self.MARK, "", *self.MARK, "running", *self.MARK, 0))
+        kept, done = list(self.newest.get()), sa
         for batch in rows:
-            batch = batch.sort_values(["at_ms", "event_id"])
             count += len(batch)
-            kept = (kept + list(batch[["event_id", "event_type", "at_ms"]].itertuples(index=False, name=None)))[-self.keep:]
-            progress = batch[batch["event_type"].isin(["progress", "embedding_progress"]) & batch["current"].notna()]
-            if len(progress):
-                current = int(progress["current"].iloc[-1])
-            spoken = batch["message"].dropna()
-            if len(spoken):
-                message = spoken.iloc[-1]
-            ends = batch[batch["event_type"].isin(["completed", "failed"])]
-            if len(ends):
-                status, completed = ends["event_type"].iloc[-1], int(ends["at_ms"].iloc[-1])
-        self.job.update((count, current, message, status, completed))
+            own = batch[["event_id", "event_type", "at_ms"]].itertuples(index=False, name=None)
+            kept = sorted([*kept, *own], key=lambda e: (e[2], e[0]))[-self.keep:]
+            moving = batch[batch["event_type"].isin(["progress", "embedding_progress"]) & batch["current"].notna()]
+            (ca, ci), current = self._last(moving, (ca, ci), current, "current")
+            (ma, mi), message = self._last(batch[batch["message"].notna()], (ma, mi), message, "message")
+            (sa, si), status = self._last(batch[batch["event_type"].isin(["completed", "failed"])], (sa, si), status, "event_type")
+        if self.sweep and sa != done:
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = int(timerValues.getCurrentProcessingTimeInMs() + DAY_MS)
+            self.handle.registerTimer(timer)
+        self.job.update((count, int(current), ca, ci, message, ma, mi, status, sa, si, timer))
         self.newest.put([(int(e), t, int(a)) for e, t, a in kept])
-        if completed and completed != was_done:
-            if was_done:
-                self.handle.deleteTimer(was_done + DAY_MS)
-            self.handle.registerTimer(completed + DAY_MS)
-        yield pd.DataFrame({"job_id": [int(key[0])], "event_count": [count], "current": [current], "message": [message],
+        yield pd.DataFrame({"job_id": [int(key[0])], "event_count": [count], "current": [int(current)], "message": [message],
                             "status": [status], "last_events": [len(kept)]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -135,12 +168,15 @@ class JobState(StatefulProcessor):
         pass
 
 
-def job_stream(events: DataFrame, keep: int = 100, late: str = "10 minutes") -> DataFrame:
-    """events(job_id, event_id, event_type, at, current, message) to one changed row per job and batch."""
-    timed = events.withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
+def job_stream(events: DataFrame, keep: int = 100, sweep: bool = False) -> DataFrame:
+    """events(job_id, event_id, event_type, at, current, message) to one changed row per job and batch.
+
+    With `sweep`, for flows that never end, a finished job is forgotten a day after its end was seen.
+    """
+    timed = events.withColumn("at_ms", F.unix_millis("at"))
     return timed.groupBy("job_id").transformWithStateInPandas(
-        JobState(keep), "job_id bigint, event_count bigint, current bigint, message string, status string, last_events bigint",
-        "Update", "EventTime")
+        JobState(keep, sweep), "job_id bigint, event_count bigint, current bigint, message string, status string, last_events bigint",
+        "Update", _time_mode(sweep))
 
 
 def append_batches(rows: DataFrame, path: str) -> Callable:
@@ -161,34 +197,54 @@ def newest_per_job(spark: SparkSession, path: str) -> DataFrame:
 def import_stream(documents: DataFrame, target: str, staging: str, replace: bool = False, embed=None):
     """Arriving documents (collection_id, doc_id, pages) are chunked and swapped in per collection.
 
-    merge adds to a collection, replace puts the arriving documents in its place. A batch
-    that is run again writes the same ids.
+    merge adds to a collection. replace puts the documents of this run in its place: the first batch that brings a
+    collection replaces it, later batches add to it. A batch that is run again writes the same ids.
     """
+    replaced = f"{staging}/replaced"
+
     def index_batch(batch: DataFrame, batch_id: int) -> None:
         rows = P.enriched(P.passages(batch))
         if embed is not None:
             rows = rows.withColumn("embedding", embed(P.embed_text(F.col("hierarchy_path"), F.col("text"))))
-        spark = batch.sparkSession
+        rows = written(rows)  # used several times
         stage = f"{staging}/batch-{batch_id}"
-        if replace or not _exists(spark, target):
+        if replace:
+            seen = stored(batch.sparkSession, replaced, "collection_id string, batch long").filter(F.col("batch") < batch_id)
+            first = written(rows.select("collection_id").distinct().join(seen, "collection_id", "left_anti"))
+            M.reindex(rows.join(first, "collection_id", "left_semi").select(*rows.columns), target, stage)
+            first.write.mode("overwrite").parquet(f"{replaced}/batch={batch_id}")
+            rows = rows.join(first, "collection_id", "left_anti").select(*rows.columns)
+        elif stored(batch.sparkSession, target, rows.schema).isEmpty():
             M.reindex(rows, target, stage)
-        else:
+            return
+        if not rows.isEmpty():
             M.add_documents(rows, target, stage)
     return documents.writeStream.foreachBatch(index_batch)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of a Parquet table, none if there is no such table yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 # --- logs and answers ------------------------------------------------------------------
 
-def log_stream(events: DataFrame, path: str, late: str = "1 hour"):
-    """Audit events appended by day; the same event id within the allowed lateness counts once."""
-    once = events.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["log_id"])
-    return (once.withColumn("day", F.to_date("created_at")).writeStream.format("parquet")
-            .partitionBy("day").outputMode("append").option("path", path))
+def log_stream(events: DataFrame, path: str):
+    """Audit events appended by day; an event id counts once, and none is too late.
+
+    A batch is compared with the stored ids of its own days only, so a batch that is run again adds nothing.
+    """
+    def append(batch: DataFrame, batch_id: int) -> None:
+        rows = written(batch.withColumn("day", F.to_date("created_at")).dropDuplicates(["log_id"]))
+        days = [r["day"] for r in rows.select("day").distinct().collect()]  # at most one per day of the batch
+        there = stored(batch.sparkSession, path, rows.schema).filter(F.col("day").isin(days)).select("log_id", "day")
+        rows.join(there, ["log_id", "day"], "left_anti").write.mode("append").partitionBy("day").parquet(path)
+    return events.writeStream.foreachBatch(append)
 
 
 def cached_answer_stream(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -202,6 +258,3 @@ def cached_answer_stream(questions: DataFrame, answers: DataFrame) -> DataFrame:
     joined = questions.withColumn("_asked", lookup).join(stored, F.col("_asked") == F.col("_key"), "left")
     return (joined.withColumn("answer", F.when(valid, F.col("_answer")))
             .withColumn("cached", F.col("answer").isNotNull()).drop("_asked", "_key", "_answer", "_until"))
-
-
-DEFAULT_RATE = 10  # requests per minute
