@@ -14,6 +14,7 @@ from lutrin.operators import activity as V
 from lutrin.operators import context as C
 from lutrin.operators import names as N
 from lutrin.operators import retrieve as R
+from lutrin.session import written
 
 Embed = Callable[[Column], Column]
 Model = Callable[[DataFrame], DataFrame]  # rows with `prompt` -> the same rows with `answer`, `model`, `tokens`
@@ -57,22 +58,24 @@ def ask(queries: DataFrame, collections: DataFrame, passages: DataFrame, posting
              .withColumn("cache_key", V.cache_key(F.col("collection_id"), F.col("updated_at"), F.col("question"))))
     columns = ["query_id", "collection_id", "name", "question", "history", "history_turns", "asked_at", "cache_key"]
     asked = asked.select(*columns)
-    served = (V.cached_answers(asked, cache) if cache is not None else
-              asked.withColumn("answer", F.lit(None).cast("string")).withColumn("cached", F.lit(False)))
+    served = written(V.cached_answers(asked, cache) if cache is not None else
+                     asked.withColumn("answer", F.lit(None).cast("string")).withColumn("cached", F.lit(False)))
     misses = served.filter(~F.col("cached")).select(*columns)
 
     retrieved = C.retrieved_context(R.search_with_history(misses, passages, postings, embed, limit, min_score))
     ready = (misses.join(retrieved.select("query_id", "kept", "context"), "query_id")
-             .withColumn("prompt", C.prompt(F.col("question"), F.col("context"), F.col("history"))))
-    answered = model(ready.filter(F.col("context").isNotNull())).withColumn("answer", without_filler(F.col("answer")))
+             .withColumn("prompt", C.prompt(F.col("question"), F.coalesce("context", F.lit("")), F.col("history"))))
+    ready = written(ready)
+    # written once: answers, cache and log show the same answer, and the model is asked once per question
+    answered = written(model(ready.filter(F.col("context").isNotNull())).withColumn("answer", without_filler(F.col("answer"))))
     nothing = ready.filter(F.col("context").isNull())
 
-    shown = answered.select("query_id", "collection_id", "answer", "model", F.lit(False).alias("cached"),
+    shown = answered.select("query_id", "collection_id", "answer", "model", F.lit(False).alias("cached"), "prompt",
                             C.response_sections(F.col("kept")).alias("sections"))
     empty = F.slice(C.response_sections(F.col("kept")), 1, 0)
     answers = (shown
                .unionByName(nothing.select("query_id", "collection_id", F.lit(None).cast("string").alias("answer"),
-                                           F.lit("").alias("model"), F.lit(False).alias("cached"), empty.alias("sections")))
+                                           F.lit("").alias("model"), F.lit(False).alias("cached"), "prompt", empty.alias("sections")))
                .unionByName(served.filter("cached").select("query_id", "collection_id", "answer", F.lit("").alias("model"), "cached"),
                             allowMissingColumns=True))
     to_cache = answered.filter("history_turns = 0").select(

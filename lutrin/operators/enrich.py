@@ -9,14 +9,20 @@ from lutrin.functions import lexicon as L
 from lutrin.functions import nlp
 from lutrin.functions.text import truncated
 from lutrin.operators.skew import top_per
+from lutrin.session import written
 
 ORDER = ["doc_id", "chunk_index"]
 
 
 def first_passages(passages: DataFrame, count: int, rank: str = "place") -> DataFrame:
-    """The first passages per collection in book order; each task keeps `count` before the shuffle."""
-    return top_per(passages.select("collection_id", *ORDER, "text"), ["collection_id"],
-                   [F.col(c) for c in ORDER], count, rank)
+    """The first passages per collection in book order.
+
+    Places are ranked without the texts, each task keeps `count` of them before the shuffle; then only the texts at those
+    places are fetched.
+    """
+    keys = ["collection_id", *ORDER]
+    places = top_per(passages.select(*keys), ["collection_id"], [F.col(c) for c in ORDER], count, rank)
+    return passages.select(*keys, "text").join(places, keys)
 
 
 def collection_facts(passages: DataFrame, count: int = L.META_CHUNKS) -> DataFrame:
@@ -82,6 +88,7 @@ def phases(passages: DataFrame, count: int = L.GAMEPLAY_CHUNKS) -> DataFrame:
 
 def gameplay(passages: DataFrame) -> DataFrame:
     """One row per collection with all gameplay fields; collections without any are left out."""
+    passages = written(first_passages(passages, L.GAMEPLAY_CHUNKS))  # read once for all fields
     sections = gameplay_sections(passages).groupBy("collection_id").agg(*[
         F.first(F.when(F.col("bucket") == b, F.struct("title", "description", "keywords")), True).alias(b)
         for b in L.BUCKET_TITLES])

@@ -12,7 +12,7 @@ from lutrin.functions import nlp, scores
 from lutrin.functions import text as T
 from lutrin.functions.text import let
 
-POSTING_COLUMNS = ["collection_id", "stem", "passage_id", "field", "tf", "weight", "first_field"]
+POSTING_COLUMNS = ["collection_id", "stem", "passage_id", "page_start", "field", "tf", "weight", "first_field"]
 
 
 def postings(passages: DataFrame) -> DataFrame:
@@ -30,8 +30,9 @@ def postings(passages: DataFrame) -> DataFrame:
         r["value"]["stem"].alias("stem"), r["value"]["field"].alias("field"), r["n"].alias("tf"),
         ((i == 0) | (F.get(runs, i - 1)["value"]["stem"] != r["value"]["stem"])).alias("first_field"))))
     weights = F.create_map(*[F.lit(x) for kv in L.FIELD_WEIGHTS.items() for x in kv])
-    return (passages.select("collection_id", "passage_id", F.explode(counted).alias("p"))
-            .select("collection_id", "passage_id", "p.*")
+    page = F.col("page_start") if "page_start" in passages.columns else F.lit(None).cast("int").alias("page_start")
+    return (passages.select("collection_id", "passage_id", page, F.explode(counted).alias("p"))
+            .select("collection_id", "passage_id", "page_start", "p.*")
             .withColumn("weight", weights[F.col("field")] * F.col("tf") / (F.col("tf") + 1))
             .select(*POSTING_COLUMNS))
 

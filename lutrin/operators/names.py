@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,16 +12,23 @@ from lutrin.functions.text import name_key, short_name_key
 def detected_names(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, name): the longest name cited; null for none or for several different ones.
 
-    A name is cited when its key occurs as whole words, so its first word is a word of the
-    question: that word is the join key, and only candidates that share it are compared.
+    A name is cited when its key occurs as whole words. Every run of words of the question that is as long as some name is
+    looked up whole; the question itself is not carried along.
     """
-    text = questions.select("query_id", F.concat(F.lit(" "), name_key(F.col("question")), F.lit(" ")).alias("_text"))
-    spoken = text.select("query_id", "_text", F.explode(F.array_distinct(F.split(F.trim("_text"), " "))).alias("_first"))
-    keyed = (names.select("name", short_name_key(F.col("name")).alias("_key")).distinct()
-             .filter(F.col("_key") != "")
-             .withColumn("_first", F.substring_index("_key", " ", 1)))
-    cited = spoken.join(keyed, "_first").filter(
-        F.col("_text").contains(F.concat(F.lit(" "), F.col("_key"), F.lit(" "))))
+    keyed = (names.select("name", short_name_key(F.col("name")).alias("_key")).distinct().filter(F.col("_key") != ""))
+    lengths = [r["n"] for r in keyed.select(F.size(F.split("_key", " ")).alias("n")).distinct().collect()]
+
+    def runs(ws: Column, n: int) -> Column:
+        # shorter runs at the end of the question are whole words as well
+        out = ws
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(ws, F.lit(k + 1), F.size(ws)), lambda a, b: F.concat_ws(" ", a, b))
+        return out
+
+    ws = F.split(name_key(F.col("question")), " ")
+    spoken = questions.select("query_id", F.explode(F.array_distinct(F.flatten(
+        F.array(*[runs(ws, n) for n in sorted(lengths)] or [F.array().cast("array<string>")])))).alias("_key"))
+    cited = spoken.join(keyed, "_key")
     w = W.partitionBy("query_id").orderBy(F.length("name").desc(), "name")
     best = (cited.withColumn("_best", F.first(F.struct("name", "_key")).over(w))
             .groupBy("query_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,61 +11,51 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lutrin.functions import lexicon as L
 from lutrin.functions import nlp, scores
 from lutrin.functions.text import fold, let
-from lutrin.operators.skew import computed_once, spread_join, top_per
+from lutrin.operators.skew import top_per
+from lutrin.session import written
 
 SCORE_DIGITS = 9  # sums may run in any order; ties are settled by id
 
 # --- candidates ------------------------------------------------------------------------
 
-def vector_scores(queries: DataFrame, passages: DataFrame, key: str = "query_id") -> DataFrame:
-    """Cosine of every query with the passages of its collection.
-
-    Passages stay where they are while the queries are small; a hot collection is split
-    by passage id otherwise.
-    """
-    vectors = computed_once(passages.select("collection_id", "passage_id", "embedding"),
-                            "_p", F.struct(F.col("embedding").alias("v"), scores.norm(F.col("embedding")).alias("n")))
-    asked = computed_once(queries.select(key, "collection_id", "vector"),
-                          "_q", F.struct(F.col("vector").alias("v"), scores.norm(F.col("vector")).alias("n")))
-    pairs = spread_join(vectors.drop("embedding").filter(F.col("_p.v").isNotNull()),
-                        asked.drop("vector").filter(F.col("_q.v").isNotNull()),
-                        ["collection_id"], F.col("passage_id"))
-    cosine = F.try_divide(scores.dot(F.col("_p.v"), F.col("_q.v")), F.col("_p.n") * F.col("_q.n"))
-    same = pairs.filter(scores.same_dimension(F.col("_p.v"), F.col("_q.v")))
-    return (computed_once(same, "score", F.round(cosine, SCORE_DIGITS))
-            .select(key, "passage_id", "score"))
-
-
-BLOCK_QUERIES = 16_384  # query vectors sent to every task
+BLOCK_BYTES = 64 << 20  # query vectors sent to every task at a time
 BLOCK_CELLS = 1 << 22  # scores held at a time inside a task
 
 
-def block_top(queries: DataFrame, passages: DataFrame, depth: int, threshold: float | None,
-              key: str = "query_id") -> DataFrame | None:
-    """Scored pairs that can be among the top `depth`, for a checked small number of queries.
-
-    Up to BLOCK_QUERIES query vectors go to every task as matrices by collection; a batch
-    of passages is one matrix product, and only what is in the top `depth` of its batch
-    leaves it (ties included, so nothing of the final list is lost). Null for more queries.
+def query_blocks(queries: DataFrame, key: str, block_bytes: int) -> Iterator[list]:
+    """Query rows (key, collection, vector) in lists of about `block_bytes`; only one list is held."""
+    block, size = [], 0
+    for row in queries.select(key, "collection_id", "vector").toLocalIterator():
+        vector = None if row["vector"] is None or None in row["vector"] else np.asarray(row["vector"], "float64")
+        if vector is None or not np.isfinite(vector).all() or not vector.any():
+            continue
+        block.append((row[key], row["collection_id"], vector / np.sqrt(vector @ vector)))
+        size += vector.nbytes
+        if size >= block_bytes:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def block_scores(block: list, passages: DataFrame, depth: int, threshold: float | None, schema: T.StructType) -> DataFrame:
+    """Scored pairs that can be among the top `depth` of a block of queries.
+
+    The block goes to every task as matrices by collection and size; a batch of passages is one matrix product, and only
+    what is in the top `depth` of its batch leaves it (ties included, so nothing of the final list is lost). Passages
+    stay where they are.
     """
-    asked = queries.select(key, "collection_id", "vector").limit(BLOCK_QUERIES + 1).toArrow()
-    if asked.num_rows > BLOCK_QUERIES:
-        return None
     matrices: dict = {}
-    for position, (collection, vector) in enumerate(zip(
-            asked["collection_id"].to_pylist(), asked["vector"].to_pylist(), strict=True)):
-        if vector is not None and any(vector):
-            matrices.setdefault((collection, len(vector)), []).append((position, np.asarray(vector, "float64")))
-    blocks = {k: (np.array([p for p, _ in rows]), np.stack([v / np.sqrt(v @ v) for _, v in rows]))
-              for k, rows in matrices.items()}
-    keys = asked[key].combine_chunks()
-    fields = {f.name: f.dataType for f in [*queries.schema.fields, *passages.schema.fields]}
-    schema = T.StructType([T.StructField(key, fields[key]), T.StructField("passage_id", fields["passage_id"]),
-                           T.StructField("score", T.DoubleType())])
+    for position, (_, collection, vector) in enumerate(block):
+        matrices.setdefault((collection, len(vector)), []).append((position, vector))
+    blocks = {k: (np.array([p for p, _ in rows]), np.stack([v for _, v in rows])) for k, rows in matrices.items()}
+    keys = pa.array([k for k, _, _ in block], to_arrow_type(schema[0].dataType))
+    names = schema.names
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,36 +68,46 @@ def block_top(queries: DataFrame, passages: DataFrame, depth: int, threshold: fl
                 taken = batch.take(pa.array(rows))
                 vectors = taken["embedding"].flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, size)
                 norms = np.sqrt((vectors * vectors).sum(axis=1))
+                usable = np.isfinite(norms) & (norms > 0)
                 step = max(1, BLOCK_CELLS // len(rows))
                 for begin in range(0, len(positions), step):
                     some = positions[begin:begin + step]
                     with np.errstate(divide="ignore", invalid="ignore"):
                         cosines = np.round((wanted[begin:begin + step] @ vectors.T) / norms, SCORE_DIGITS)
-                    cosines[:, norms == 0] = -np.inf
+                    cosines[:, ~usable] = -np.inf
                     floor = np.full((len(some), 1), -2.0 if threshold is None else threshold)
                     if len(rows) > depth:
                         floor = np.maximum(floor, np.partition(cosines, -depth, axis=1)[:, [-depth]])
                     q, p = np.nonzero(cosines >= floor)
+                    found = pa.array(p)
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(some[q])), taken["passage_id"].take(pa.array(p)), pa.array(cosines[q, p])],
-                        names=[key, "passage_id", "score"])
+                        [keys.take(pa.array(some[q])), taken["passage_id"].take(found), taken["page_start"].take(found),
+                         pa.array(cosines[q, p])], names=names)
+
+    return passages.select("collection_id", "passage_id", "page_start", "embedding").mapInArrow(score, schema)
 
-    return passages.select("collection_id", "passage_id", "embedding").mapInArrow(score, schema)
 
+def with_page(passages: DataFrame) -> DataFrame:
+    """Passages with a page_start; tables without pages get nulls."""
+    return passages if "page_start" in passages.columns else passages.withColumn("page_start", F.lit(None).cast("int"))
 
-def vector_candidates(queries: DataFrame, passages: DataFrame, depth: int,
-                      min_score: float = L.MIN_COSINE, key: str = "query_id") -> DataFrame:
+
+def vector_candidates(queries: DataFrame, passages: DataFrame, depth: int, min_score: float = L.MIN_COSINE,
+                      key: str = "query_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Top `depth` by cosine; 0 asks for the default threshold, a negative one for none.
 
-    The list is sorted, so filtering before ranking equals cutting it at the first low score.
+    The list is sorted, so filtering before ranking equals cutting it at the first low score. Vectors that are null, zero
+    or not finite have no score, nor have vectors of another size than the query's (`index.split_by_dimension` lists them).
     """
     threshold = L.MIN_COSINE if min_score == 0 else min_score
-    scored = block_top(queries, passages, depth, threshold if threshold > 0 else None, key)
-    if scored is None:
-        scored = vector_scores(queries, passages, key).filter(F.col("score").isNotNull())
-        if threshold > 0:
-            scored = scored.filter(F.col("score") >= threshold)
-    return top_per(scored, [key], [F.col("score").desc(), F.col("passage_id")], depth)
+    passages = with_page(passages)
+    types = {f.name: f.dataType for f in [*passages.schema.fields, *queries.schema.fields]}
+    schema = T.StructType([T.StructField(c, types[c]) for c in (key, "passage_id", "page_start")]
+                          + [T.StructField("score", T.DoubleType())])
+    scored = [block_scores(block, passages, depth, threshold if threshold > 0 else None, schema)
+              for block in query_blocks(queries, key, block_bytes)]
+    found = reduce(DataFrame.unionByName, scored) if scored else queries.sparkSession.createDataFrame([], schema)
+    return top_per(found, [key], [F.col("score").desc(), F.col("passage_id")], depth)
 
 
 def query_stems(queries: DataFrame, key: str = "query_id") -> DataFrame:
@@ -114,7 +115,7 @@ def query_stems(queries: DataFrame, key: str = "query_id") -> DataFrame:
     parsed = let(nlp.query_terms(F.col("question")), lambda q: F.struct(
         q["mode"].alias("mode"),
         F.array_distinct(F.transform(F.filter(
-            q["terms"], lambda w: (q["mode"] == "any") | ~nlp.is_one_of(fold(w), L.stopwords())),
+            q["terms"], lambda w: (q["mode"] == "any") | ~nlp.is_one_of(fold(w), L.STOPWORDS)),
             nlp.stem)).alias("stems")))
     return (queries.select(key, "collection_id", parsed.alias("q"))
             .select(key, "collection_id", F.when(F.col("q.mode") == "all", F.size("q.stems")).otherwise(0).alias("needed"),
@@ -122,14 +123,17 @@ def query_stems(queries: DataFrame, key: str = "query_id") -> DataFrame:
 
 
 def text_scores(queries: DataFrame, postings: DataFrame, key: str = "query_id") -> DataFrame:
-    """Weighted text score of the passages that hold any term (or all, by mode)."""
-    hits = spread_join(postings.select("collection_id", "stem", "passage_id", "weight", "first_field"),
-                       query_stems(queries, key), ["collection_id", "stem"], F.col("passage_id"))
+    """Weighted text score of the passages that hold any term (or all, by mode).
+
+    Stored postings meet the stems of the batch only; a hot stem is left to the skew handling of the join.
+    """
+    hits = (postings.select("collection_id", "stem", "passage_id", "page_start", "weight", "first_field")
+            .join(query_stems(queries, key), ["collection_id", "stem"]))
     return (hits.groupBy(key, "passage_id")
             .agg(F.sum("weight").alias("total"), F.count_if("first_field").alias("found"),
-                 F.max("needed").alias("needed"))
+                 F.max("needed").alias("needed"), F.max("page_start").alias("page_start"))
             .filter(F.col("found") >= F.col("needed"))
-            .select(key, "passage_id", F.round("total", SCORE_DIGITS).alias("score")))
+            .select(key, "passage_id", "page_start", F.round("total", SCORE_DIGITS).alias("score")))
 
 
 def text_candidates(queries: DataFrame, postings: DataFrame, depth: int, key: str = "query_id") -> DataFrame:
@@ -139,18 +143,17 @@ def text_candidates(queries: DataFrame, postings: DataFrame, depth: int, key: st
 
 # --- fusion ----------------------------------------------------------------------------
 
-def fuse(by_vector: DataFrame, by_text: DataFrame, pages: DataFrame, limit: int,
-         key: str = "query_id") -> DataFrame:
-    """Reciprocal Rank Fusion of two ranked lists (key, passage_id, rank).
+def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int, key: str = "query_id") -> DataFrame:
+    """Reciprocal Rank Fusion of two ranked lists (key, passage_id, page_start, rank).
 
-    `pages(passage_id, page_start)` gives early pages their slight advantage.
+    Early pages have a slight advantage; the lists bring their pages along, so no passage is looked up.
     """
-    votes = by_vector.select(key, "passage_id", "rank").unionByName(by_text.select(key, "passage_id", "rank"))
+    columns = [key, "passage_id", "page_start", "rank"]
+    votes = by_vector.select(*columns).unionByName(by_text.select(*columns))
     summed = (votes.withColumn("vote", scores.rank_vote(F.col("rank")))
-              .groupBy(key, "passage_id").agg(F.sum("vote").alias("votes")))
-    paged = summed.join(pages.select("passage_id", "page_start"), "passage_id", "left")
+              .groupBy(key, "passage_id").agg(F.sum("vote").alias("votes"), F.max("page_start").alias("page_start")))
     score = F.round(scores.scaled(F.col("votes")) * scores.page_factor(F.col("page_start")), SCORE_DIGITS)
-    return top_per(paged.select(key, "passage_id", score.alias("score")), [key],
+    return top_per(summed.select(key, "passage_id", score.alias("score")), [key],
                    [F.col("score").desc(), F.col("passage_id")], limit)
 
 
@@ -255,13 +258,13 @@ def search(queries: DataFrame, passages: DataFrame, postings: DataFrame, limit:
     depth = scores.candidate_depth(limit)
     by_vector = vector_candidates(queries, passages, depth, min_score, key)
     by_text = text_candidates(queries, postings, depth, key)
-    return expand_top(fuse(by_vector, by_text, passages, limit, key), passages, key=key)
+    return expand_top(fuse(by_vector, by_text, limit, key), passages, key=key)
 
 
 def search_with_history(queries: DataFrame, passages: DataFrame, postings: DataFrame, embed,
                         limit: int = L.ASK_LIMIT, min_score: float = L.MIN_COSINE) -> DataFrame:
     """Both variants of every question in one batch, interleaved to (query_id, sections)."""
-    variants = search_variants(queries).withColumn("vector", embed(F.col("question")))
+    variants = written(search_variants(queries).withColumn("vector", embed(F.col("question"))))  # the embedder runs once
     found = (search(variants, passages, postings, limit, min_score, key="search_id")
              .withColumn("query_id", F.substring_index("search_id", "#", 1))
              .withColumn("variant", F.substring_index("search_id", "#", -1)))

@@ -1,4 +1,4 @@
-"""Joins and top-k that hold when one key owns a large share of the rows."""
+"""Top-k and costly columns that hold when one key owns a large share of the rows."""
 
 from __future__ import annotations
 
@@ -6,28 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SALT = "_salt"
-
-
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: Column,
-                salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join whose hot keys are split over `salts` tasks.
-
-    Rows of `big` get a salt from the columns `by`; every row of `small` is repeated per
-    salt. Catalyst still turns it into a broadcast join when `small` is measured small,
-    and then nothing of `big` is moved. `how` may be any kind that keeps rows of `big`
-    (inner, left, left_semi, left_anti).
-    """
-    left = big.withColumn(SALT, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, SALT], how).drop(SALT)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Mark for broadcast only after counting at most `max_rows` rows; else leave as is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows per key with their rank.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lutrin.functions import lexicon as L
@@ -11,6 +13,8 @@ from lutrin.functions.text import let
 from lutrin.operators import enrich, index, passages as P
 from lutrin.plans import sql as S
 from lutrin.plans.registry import query
+from lutrin.plans.retrieval import stored_index
+from lutrin.session import shared_folder
 from lutrin.sources import files
 from lutrin.sources import tables as D
 
@@ -428,3 +432,91 @@ def reference_pages(spark, folder):
              .agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
              .select(F.lit("c").alias("collection_id"), F.col("conv_id").alias("doc_id"), F.array_join("p.text", "\f").alias("text")))
     return files.reference_pages(glued).select("doc_id", F.col("page_no").cast("long").alias("page_no"), "text")
+
+
+# --- derived columns, vectors and sinks ------------------------------------------------
+
+@query("backfilled_lengths", """
+    SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN length(text) ELSE -1 END AS n_chars FROM documents""")
+def backfilled_lengths(spark, folder):
+    """A derived column computed only where it is still null."""
+    docs = D.texts(spark, folder).select("doc_id", "text", F.when(F.col("doc_id") % 2 == 1, F.lit(-1).cast("long")).alias("n_chars"))
+    return index.backfill(docs, "n_chars", F.length("text").cast("long")).select("doc_id", "n_chars")
+
+
+@query("refreshed_postings", f"""
+    WITH {S.PASSAGES}, changed AS (
+        SELECT collection_id, passage_id, title, hierarchy_path,
+               CASE WHEN page_start % 2 = 0 THEN 'nouvelle règle ' || text ELSE text END AS text FROM passages),
+    fields AS (
+        SELECT collection_id, passage_id, 'A' AS field, unnest({S.text_stems('title')}) AS stem FROM changed
+        UNION ALL SELECT collection_id, passage_id, 'B', unnest({S.text_stems('hierarchy_path')}) FROM changed
+        UNION ALL SELECT collection_id, passage_id, 'C', unnest({S.text_stems('text')}) FROM changed)
+    SELECT collection_id, passage_id, field, stem, count(*) AS tf FROM fields GROUP BY collection_id, passage_id, field, stem""")
+def refreshed_postings(spark, folder):
+    """The stored index after some passages changed: only their postings are made again."""
+    passages, postings = stored_index(spark, folder)
+    edited = F.col("page_start") % 2 == 0
+    new = passages.withColumn("text", F.when(edited, F.concat(F.lit("nouvelle règle "), F.col("text"))).otherwise(F.col("text")))
+    rows = index.refresh_postings(postings, new, passages.filter(edited).select("passage_id"))
+    return rows.select("collection_id", "passage_id", "field", "stem", F.col("tf").cast("long").alias("tf"))
+
+
+@query("dimension_rejects", """
+    SELECT vec_id, vec_id % 64 AS size, vec_id % 64 = 63 AS searchable FROM embeddings WHERE embedding IS NOT NULL""")
+def dimension_rejects(spark, folder):
+    """Vectors of many sizes: those that a search over 63 dimensions takes, and the table of the others."""
+    rows = D.table(spark, folder, "embeddings").filter(F.col("embedding").isNotNull()).select(
+        "vec_id", F.slice("embedding", F.lit(1), (F.col("vec_id") % 64).cast("int")).alias("embedding"))
+    fits, others = index.split_by_dimension(rows, 63)
+    size = F.size("embedding").cast("long").alias("size")
+    return fits.select("vec_id", size, F.lit(True).alias("searchable")).unionByName(others.select("vec_id", size, F.lit(False).alias("searchable")))
+
+
+@query("failed_embeddings", f"""
+    WITH {S.PASSAGES} SELECT passage_id, length(text) % 3 <> 0 AS embedded FROM passages""")
+def failed_embeddings(spark, folder):
+    """An embedder that fails on some texts: every passage stays, with a null vector where it failed."""
+    def embed(text):
+        return F.when(F.length(text) % 3 != 0, F.array(F.length(text).cast("double")))
+    rows = index.with_embedding(D.page_passages(spark, folder), F.col("text"), embed, dimensions=1)
+    return rows.select("passage_id", F.col("embedding").isNotNull().alias("embedded"))
+
+
+@query("empty_gameplay", f"""
+    WITH {BUCKET_PASSAGES}, {FIRST_150} SELECT collection_id, count(*) > 0 AND
+        bool_and(NOT ({S.section_type('lower(left(text, 200))')} IN ('setup', 'turn', 'end') OR regexp_matches({S.fold('text')}, '{L.ROUND_PATTERN}'))) AS no_bucket
+    FROM first_passages GROUP BY collection_id""")
+def empty_gameplay(spark, folder):
+    """Which collections have no gameplay bucket at all, over the one row per collection."""
+    passages = _bucket_passages(spark, folder)
+    rows = enrich.gameplay(passages)
+    missing = rows.select("collection_id", *L.BUCKET_TITLES).withColumn("mechanics", F.lit(None).cast("array<string>")).withColumn(
+        "phases", F.lit(None).cast("array<string>")).select("collection_id", enrich.is_empty_gameplay().alias("e"))
+    return (passages.select("collection_id").distinct().join(missing, "collection_id", "left")
+            .select("collection_id", F.coalesce("e", F.lit(True)).alias("no_bucket")))
+
+
+@query("result_sink", "SELECT item_id, text, length(text) AS n FROM benchmark")
+def result_sink(spark, folder):
+    """Evaluation rows written as JSON and read back."""
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    rows = D.table(spark, folder, "benchmark").select("item_id", "text", F.length("text").cast("long").alias("n"))
+    files.write_results(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("file_documents", """
+    WITH files AS (SELECT lang AS collection_id, count(*) AS n_files, sum(length(trim(text, chr(10) || ' '))) AS n_chars FROM documents GROUP BY lang)
+    SELECT collection_id, n_files, n_chars::BIGINT AS n_chars FROM files""")
+def file_documents(spark, folder):
+    """Document texts written as one file each, listed and read back by extension."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    docs = D.table(spark, folder, "documents").select("lang", "doc_id", "text")
+    named = docs.withColumn("file", F.concat(F.col("lang"), F.lit("-"), F.col("doc_id").cast("string")))
+    named.select("file", "text").repartition("file").write.partitionBy("file").option("lineSep", "\n").text(path)
+    documents, _ = files.read_documents(spark, path)
+    listed = files.list_files(spark, path).select(F.col("collection_id").alias("file")).distinct()
+    sizes = documents.select(F.col("collection_id").alias("file"), F.aggregate("pages", F.lit(0), lambda acc, p: acc + F.length(p["text"])).alias("n"))
+    both = listed.join(sizes, "file", "left").select(F.regexp_extract("file", "file=([a-z]+)-", 1).alias("collection_id"), "n")
+    return both.groupBy("collection_id").agg(F.count("*").alias("n_files"), F.sum("n").cast("long").alias("n_chars"))

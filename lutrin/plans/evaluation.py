@@ -9,10 +9,11 @@ from lutrin.functions import lexicon as L
 from lutrin.functions.text import comparable, words
 from lutrin.operators import context as C
 from lutrin.operators import evaluate as E
-from lutrin.operators import index, retrieve as R
+from lutrin.functions.scores import candidate_depth
+from lutrin.operators import retrieve as R
 from lutrin.plans import sql as S
 from lutrin.plans.registry import query
-from lutrin.plans.retrieval import BENCH_SEARCH, CONTEXT, ID
+from lutrin.plans.retrieval import BENCH_SEARCH, CONTEXT, ID, _bench, stored_index
 from lutrin.session import written
 from lutrin.sources import tables as D
 
@@ -31,22 +32,18 @@ def excerpt_hits(spark, folder):
     return E.containing(written(texts), excerpts, []).select("item_id", F.col("text_id").alias("doc_id"))
 
 
-SHORT = 150  # shorter benchmark texts play the questions whose answer is in no document
-JUDGED = f"""expected AS (
-    SELECT query_id, collection_id, question, length(question) >= {SHORT} AS in_book,
-           {S.comparable('question')} AS excerpt FROM questions),
-page_texts AS (SELECT collection_id, page_start AS page_no, {S.comparable('text')} AS normal FROM passages),
+# A question is out of the book if its excerpt stands on no page of its collection.
+JUDGED = f"""page_texts AS (SELECT collection_id, page_start AS page_no, {S.comparable('text')} AS normal FROM passages),
+question_excerpts AS (SELECT query_id, collection_id, question, {S.comparable('question')} AS excerpt FROM questions),
+expected AS (
+    SELECT *, EXISTS (SELECT 1 FROM page_texts p WHERE p.collection_id = a.collection_id AND contains(p.normal, a.excerpt)) AS in_book
+    FROM question_excerpts a),
 expected_pages AS (
     SELECT e.query_id, list_sort(list_distinct(list(p.page_no))) AS pages
     FROM expected e JOIN page_texts p ON p.collection_id = e.collection_id AND contains(p.normal, e.excerpt)
     WHERE e.in_book GROUP BY e.query_id)"""
 
 
-def _questions(spark, folder):
-    return D.excerpt_questions(spark, folder).withColumn("expected", F.when(
-        F.length("question") >= SHORT, F.col("expected")).otherwise(F.array().cast("array<string>")))
-
-
 def _pages(passages):
     return passages.select("collection_id", F.col("source_file").alias("doc_id"),
                            F.col("page_start").alias("page_no"), "text")
@@ -56,10 +53,30 @@ def _pages(passages):
     WITH {S.PASSAGES}, {S.QUESTIONS}, {JUDGED}
     SELECT query_id, array_to_string(pages, ' ') AS pages FROM expected_pages""")
 def expected_pages(spark, folder):
-    found = E.expected_pages(_questions(spark, folder), _pages(written(D.page_passages(spark, folder))))
+    passages, _ = stored_index(spark, folder)
+    found = E.expected_pages(D.excerpt_questions(spark, folder), _pages(passages))
     return found.select(ID, F.array_join(F.transform("expected_pages", lambda p: p.cast("string")), " ").alias("pages"))
 
 
+SHORT_EXCERPTS = f"""b AS (SELECT item_id, {S.words(S.comparable('text'))} AS ws FROM benchmark),
+short AS (
+    SELECT item_id, 1 AS n, ws[1] AS excerpt FROM b WHERE len(ws) >= 1
+    UNION ALL SELECT item_id, 2, ws[1] || ' ' || ws[2] FROM b WHERE len(ws) >= 2)"""
+
+
+@query("short_excerpt_hits", f"""
+    WITH {SHORT_EXCERPTS}, d AS (SELECT doc_id, {S.comparable('text')} AS normal FROM documents)
+    SELECT item_id, n, count(*) AS n_docs FROM short JOIN d ON contains(normal, excerpt) GROUP BY item_id, n""")
+def short_excerpt_hits(spark, folder):
+    """How many documents hold the first word, and the first two words, of each benchmark text."""
+    texts = D.texts(spark, folder).select(F.col("doc_id").alias("text_id"), comparable(F.col("text")).alias("normal"))
+    ws = words(comparable(F.col("text")))
+    firsts = D.table(spark, folder, "benchmark").select("item_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), ws.alias("ws"))
+    excerpts = firsts.filter(F.size("ws") >= F.col("n")).select(
+        "item_id", F.col("n").cast("long").alias("n"), F.array_join(F.slice("ws", F.lit(1), F.col("n")), " ").alias("excerpt"))
+    return E.containing(written(texts), excerpts, []).groupBy("item_id", "n").agg(F.count("*").alias("n_docs"))
+
+
 # --- retrieval -------------------------------------------------------------------------
 
 RESULTS = f"""{CONTEXT}, {JUDGED}, section_hits AS (
@@ -83,15 +100,19 @@ results AS (
 
 def _results(spark, folder):
     """One judged row per question, as one batch plan over all questions."""
-    passages = written(D.page_embeddings(D.page_passages(spark, folder)))
-    questions = _questions(spark, folder).withColumn("vector", index.hashed_vector(F.col("question")))
-    found = C.retrieved_context(
-        questions.drop("vector").join(R.search(questions, passages, index.postings(passages), L.ASK_LIMIT), ID, "left"))
-    by_vector = R.vector_candidates(questions, passages, L.ASK_LIMIT)
-    vector_texts = (by_vector.join(passages.select("passage_id", "text"), "passage_id")
+    questions, passages, postings = _bench(spark, folder)
+    pages = written(E.expected_pages(questions, _pages(passages)))
+    judged = (questions.join(pages, ID, "left").withColumn("expected", F.when(
+        F.col("expected_pages").isNotNull(), F.col("expected")).otherwise(F.array().cast("array<string>"))))
+    # ranked once at the larger depth: the search and the vector-only list are cuts of it
+    depth = candidate_depth(L.ASK_LIMIT)
+    by_vector = written(R.vector_candidates(questions, passages, depth))
+    hits = R.fuse(by_vector, R.text_candidates(questions, postings, depth), L.ASK_LIMIT)
+    found = C.retrieved_context(judged.drop("vector").join(R.expand_top(hits, passages), ID, "left"))
+    first = by_vector.filter(F.col("rank") <= L.ASK_LIMIT)
+    vector_texts = (first.join(passages.select("passage_id", "text"), "passage_id")
                     .groupBy(ID).agg(F.collect_list("text").alias("vector_texts")))
-    pages = E.expected_pages(questions, _pages(passages))
-    return E.judged_retrieval(found.join(vector_texts, ID, "left").join(pages, ID, "left"))
+    return E.judged_retrieval(found.join(vector_texts, ID, "left"))
 
 
 @query("judged_questions", f"""
@@ -152,10 +173,8 @@ def failure_report(spark, folder):
     FROM cited c LEFT JOIN holding h USING (query_id) LEFT JOIN only_one o USING (query_id) LEFT JOIN inside i USING (query_id)""")
 def page_match(spark, folder):
     """The file a cited page belongs to, and whether the page was among the sections sent."""
-    passages = written(D.page_embeddings(D.page_passages(spark, folder)))
-    questions = D.excerpt_questions(spark, folder).withColumn("vector", index.hashed_vector(F.col("question")))
-    found = questions.select(ID, "question").join(
-        R.search(questions, passages, index.postings(passages), L.ASK_LIMIT), ID, "left")
+    questions, passages, postings = _bench(spark, folder)
+    found = questions.select(ID, "question").join(R.search(questions, passages, postings, L.ASK_LIMIT), ID, "left")
     named = F.transform("sections", lambda s: F.struct(
         s["page_start"].alias("page_start"), s["page_end"].alias("page_end"),
         F.concat(s["source_file"], F.when(s["source_file"].cast("long") % 2 == 0, ".PDF").otherwise(".md")).alias("source_file")))
@@ -202,7 +221,7 @@ FACTS = f"""asked AS (
     WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 pairs AS (
     SELECT conv_id, turn, 'Voir p. ' || (turn + 1) || '. **' || answer || '**' AS answer,
-           list_slice({S.words(S.comparable_answer('text'))}, 1, 4) AS picked
+           {S.words(S.comparable_answer('text'))} AS picked
     FROM asked WHERE role = 'user' AND next_role = 'assistant'),
 variants AS (
     SELECT conv_id, turn, unnest(list_concat(picked, [(turn + 1)::VARCHAR])) AS fact,
@@ -220,7 +239,7 @@ checked AS (
            coalesce(string_agg('zz|' || fact, ', ' ORDER BY i) FILTER (NOT found), '') AS missing
     FROM checked GROUP BY ALL""")
 def facts(spark, folder):
-    """First words of each question looked up in its answer; the page number only stands in a citation."""
+    """All words of each question looked up in its answer; the page number only stands in a citation."""
     turns = D.table(spark, folder, "conversations").filter(F.col("role").isin("user", "assistant"))
     from pyspark.sql import Window as W
     w = W.partitionBy("conv_id").orderBy("turn")
@@ -228,7 +247,7 @@ def facts(spark, folder):
                            F.lead("text").over(w).alias("reply"))
               .filter((F.col("role") == "user") & (F.col("next_role") == "assistant")))
     answer = F.concat(F.lit("Voir p. "), (F.col("turn") + 1).cast("string"), F.lit(". **"), F.col("reply"), F.lit("**"))
-    picked = F.concat(F.slice(words(A.comparable_answer(F.col("text"))), 1, 4), F.array((F.col("turn") + 1).cast("string")))
+    picked = F.concat(words(A.comparable_answer(F.col("text"))), F.array((F.col("turn") + 1).cast("string")))
     wanted = F.transform(picked, lambda f: F.concat(F.lit("zz|"), f))
     rows = paired.select("conv_id", "turn", answer.alias("answer"), wanted.alias("facts"))
     missing = rows.withColumn("missing", A.missing_facts(F.col("answer"), F.col("facts")))
@@ -242,8 +261,8 @@ ANSWERS = f"""{RESULTS}, first_sections AS (SELECT query_id, page_start AS first
 said AS (
     SELECT r.*, CASE WHEN f.first_page IS NULL THEN 'no section' END AS error,
            CASE WHEN collection_id IN ('de', 'es') THEN 'Je ne trouve pas cette règle dans le livret.'
-                ELSE 'D''accord. **' || left(question, 120) || '** (p. ' || f.first_page || '-' || (f.first_page + length(question) % 3) || ')' END AS answer,
-           list_slice({S.words(S.comparable_answer('question'))}, 1, 2) AS picked,
+                ELSE 'D''accord. **' || question || '** (p. ' || f.first_page || '-' || (f.first_page + length(question) % 3) || ')' END AS answer,
+           {S.words(S.comparable_answer('question'))} AS picked,
            length(question) % 100 AS tokens, coalesce(f.first_page, 0) AS first_page
     FROM results r LEFT JOIN first_sections f USING (query_id)),
 fact_rows AS (
@@ -273,9 +292,9 @@ def _answers(spark, folder):
     first_page = F.get(F.col("sections"), F.lit(0))["page_start"]
     last_page = first_page + F.length("question") % 3
     answer = F.when(F.col("collection_id").isin("de", "es"), "Je ne trouve pas cette règle dans le livret.").otherwise(F.concat(
-        F.lit("D'accord. **"), F.left("question", F.lit(120)), F.lit("** (p. "), first_page.cast("string"), F.lit("-"),
+        F.lit("D'accord. **"), F.col("question"), F.lit("** (p. "), first_page.cast("string"), F.lit("-"),
         last_page.cast("string"), F.lit(")")))
-    picked = F.slice(words(A.comparable_answer(F.col("question"))), 1, 2)
+    picked = words(A.comparable_answer(F.col("question")))
     rows = (judged.withColumn("error", F.when(first_page.isNull(), "no section"))
             .withColumn("answer", answer)
             .withColumn("facts", F.when(F.length("question") % 2 == 0, F.concat(picked, F.array(F.lit("introuvable")))).otherwise(picked))

@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from lutrin.functions import lexicon as L
 from lutrin.functions import scores
+from lutrin.operators import activity as V
+from lutrin.operators import ask as A
 from lutrin.operators import context as C
 from lutrin.operators import index, retrieve as R
 from lutrin.plans import sql as S
@@ -158,11 +160,23 @@ def retrieval_sql(questions: str, limit: int, min_score: float = L.MIN_COSINE) -
 BENCH_SEARCH = f"{S.PASSAGES}, {S.QUESTIONS}, {retrieval_sql('questions', L.ASK_LIMIT)}"
 
 
+_STORED: dict[tuple[str, str], tuple] = {}
+
+
+def stored_index(spark, folder):
+    """Passages with vectors and their postings as stored tables, made once per application and input."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        passages = written(D.page_embeddings(D.page_passages(spark, folder)))
+        _STORED[key] = passages, written(index.postings(passages))
+    return _STORED[key]
+
+
 def _bench(spark, folder):
-    passages = written(D.page_embeddings(D.page_passages(spark, folder)))
-    questions = (D.excerpt_questions(spark, folder)
-                 .withColumn("vector", index.hashed_vector(F.col("question"))))
-    return questions, passages, index.postings(passages)
+    passages, postings = stored_index(spark, folder)
+    questions = written(D.excerpt_questions(spark, folder)
+                        .withColumn("vector", index.hashed_vector(F.col("question"))))
+    return questions, passages, postings
 
 
 def _ranked(df, *columns):
@@ -182,7 +196,7 @@ def hybrid_rrf(spark, folder):
     questions, passages, postings = _bench(spark, folder)
     depth = scores.candidate_depth(L.ASK_LIMIT)
     return _ranked(R.fuse(R.vector_candidates(questions, passages, depth),
-                          R.text_candidates(questions, postings, depth), passages, L.ASK_LIMIT))
+                          R.text_candidates(questions, postings, depth), L.ASK_LIMIT))
 
 
 @query("neighbors", f"""
@@ -192,7 +206,7 @@ def neighbors(spark, folder):
     questions, passages, postings = _bench(spark, folder)
     depth = scores.candidate_depth(L.ASK_LIMIT)
     hits = R.fuse(R.vector_candidates(questions, passages, depth),
-                  R.text_candidates(questions, postings, depth), passages, L.ASK_LIMIT)
+                  R.text_candidates(questions, postings, depth), L.ASK_LIMIT)
     found = hits.join(passages.select("passage_id", "collection_id", "source_file", "hierarchy_path", "chunk_index"),
                       "passage_id").drop("passage_id")
     return R.neighbors(found, passages).select(
@@ -266,18 +280,44 @@ def context_text(spark, folder):
     FROM questions q LEFT JOIN kept k USING (query_id) LEFT JOIN contexts c USING (query_id)
     GROUP BY q.query_id, q.collection_id""")
 def ask_batch(spark, folder):
-    """The whole chain: validated questions, hybrid search, expansion, budget, context, prompt.
+    """The whole job of `operators.ask`: validation, name lookup, hybrid search, expansion, budget, context, prompt, answer.
 
     Without a model the answer is the context itself.
     """
-    found = C.retrieved_context(_found(spark, folder).withColumnRenamed("collection_id", "collection"))
-    accepted, _ = C.valid_queries(found)
-    model_answer = F.lit(None).cast("string")
-    text = F.coalesce(F.col("context"), F.lit(""))
-    no_history = F.from_json(F.lit("[]"), "array<struct<question:string,answer:string>>")
-    return accepted.select(
-        ID, F.col("collection").alias("collection_id"), F.size(F.coalesce("kept", F.array())).cast("long").alias("n_sections"),
-        F.coalesce(model_answer, text).alias("answer"), C.prompt(F.col("question"), text, no_history).alias("prompt"))
+    answers = _asked(spark, folder, D.excerpt_questions(spark, folder)).answers
+    return answers.select(ID, "collection_id", F.size("sections").cast("long").alias("n_sections"),
+                          F.coalesce("answer", F.lit("")).alias("answer"), "prompt")
+
+
+def _asked(spark, folder, questions, cache=None):
+    """`questions` (query_id, collection_id, question) put to the languages as collections, named in capitals."""
+    passages, postings = stored_index(spark, folder)
+    moment = F.timestamp_seconds(F.lit(1_000_000_000))
+    collections = D.table(spark, folder, "documents").select(F.col("lang").alias("collection_id")).distinct().select(
+        "collection_id", F.upper("collection_id").alias("name"), moment.alias("updated_at"))
+    queries = questions.select(ID, F.concat(F.lit(" "), F.col("collection_id")).alias("collection"), "question",
+                               F.from_json(F.lit("[]"), A.HISTORY).alias("history"))
+    return A.ask(queries, collections, passages, postings, index.hashed_vector, moment, cache=cache)
+
+
+@query("ask_outcomes", f"""
+    WITH {S.QUESTIONS}
+    SELECT query_id, CASE query_id::BIGINT % 4 WHEN 0 THEN 'unknown collection' WHEN 1 THEN 'blank' WHEN 2 THEN 'from cache' ELSE 'asked' END AS outcome,
+           CASE WHEN query_id::BIGINT % 4 = 2 THEN 'kept ' || query_id ELSE '' END AS kept FROM questions""")
+def ask_outcomes(spark, folder):
+    """Benchmark questions of which some name no collection, some are blank and some were answered before."""
+    turn = F.col(ID).cast("long") % 4
+    questions = D.excerpt_questions(spark, folder).select(
+        ID, F.when(turn == 0, "nowhere").otherwise(F.col("collection_id")).alias("collection_id"),
+        F.when(turn == 1, " \t").otherwise(F.col("question")).alias("question"))
+    moment = F.timestamp_seconds(F.lit(1_000_000_000))
+    cache = questions.filter(turn == 2).select(
+        V.cache_key(F.col("collection_id"), moment, F.col("question")).alias("cache_key"),
+        F.concat(F.lit("kept "), F.col(ID)).alias("answer"), (moment + F.expr("INTERVAL 1 HOUR")).alias("expires_at"))
+    found = _asked(spark, folder, questions, cache)
+    served = found.answers.select(ID, F.when(F.col("cached"), "from cache").otherwise("asked").alias("outcome"),
+                                  F.when(F.col("cached"), F.col("answer")).otherwise("").alias("kept"))
+    return served.unionByName(found.rejected.select(ID, F.col("reason").alias("outcome"), F.lit("").alias("kept")))
 
 
 # --- conversations ---------------------------------------------------------------------
@@ -400,11 +440,11 @@ once AS (
            md5(text) AS text_md5 FROM once QUALIFY place <= 6""")
 def interleave_followup(spark, folder):
     """The last question of every conversation, searched alone and completed by its history."""
-    passages = written(D.page_embeddings(D.page_passages(spark, folder)))
+    passages, postings = stored_index(spark, folder)
     asked = _histories(spark, folder).select(
         F.col("conv_id").cast("string").alias(ID), D.language_of(F.col("question")).alias("collection_id"), "question",
         C.trimmed_history(F.slice("history", F.lit(1), F.size("history") - 1)).alias("history"))
-    found = R.search_with_history(asked, passages, index.postings(passages), index.hashed_vector)
+    found = R.search_with_history(asked, passages, postings, index.hashed_vector)
     return _section_rows(found.filter(F.col("sections").isNotNull()))
 
 

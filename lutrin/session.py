@@ -9,21 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "lutrin") -> SparkSession:
-    """A session for tests and benchmarks; a cluster brings its own settings."""
-    spark = (
+def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "lutrin",
+                  shared: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks, with its shared folder; a cluster brings its own settings."""
+    builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.lutrin.inputPartitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config(CHECKPOINT_SETTING, shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -33,23 +33,23 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     text and Markdown files are one page. A file that is too large or of another format,
     by name or by content, goes to the second table; files of no bytes are skipped by the scan.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-           .select("path", "length", "content"))
-    sniffed = raw.withColumn("format", sniffed_format(F.substring("content", 1, 512), F.col("path")))
-    reason = (F.when(~extension(F.col("path")).isin(SUPPORTED), "extension")
-              .when(F.col("length") == 0, "empty")
-              .when(F.col("length") > L.MAX_FILE_BYTES, "too large")
-              .when(F.col("format").isNull(), "format"))
-    judged = sniffed.withColumn("reason", reason)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    supported = extension(F.col("path")).isin(SUPPORTED)
+    size = F.col("length").between(1, L.MAX_FILE_BYTES)
+    # the size is tested in the scan: contents of files that are too large are never read
+    sniffed = (listed.filter(size).filter(supported).select("path", "length", "content")
+               .withColumn("format", sniffed_format(F.substring("content", 1, 512), F.col("path"))))
     text = valid_utf8(F.col("content").cast("string"))
     pages = (F.when(extension(F.col("path")) == ".pdf", split_pages(text))
              .otherwise(one_page(text)))
     parts = F.split("path", "/")
-    documents = (judged.filter(F.col("reason").isNull())
+    documents = (sniffed.filter(F.col("format").isNotNull())
                  .select(F.element_at(parts, -2).alias("collection_id"),
                          F.element_at(parts, -1).alias("doc_id"), pages.alias("pages")))
-    rejected = judged.filter(F.col("reason").isNotNull()).select("path", "length", "reason")
-    return documents, rejected
+    reason = F.when(~supported, "extension").when(F.col("length") == 0, "empty").otherwise("too large")
+    unread = listed.select("path", "length").filter(~(size & supported)).select("path", "length", reason.alias("reason"))
+    unknown = sniffed.filter(F.col("format").isNull()).select("path", "length", F.lit("format").alias("reason"))
+    return documents, unread.unionByName(unknown)
 
 
 def one_page(text: Column) -> Column:
@@ -58,13 +58,6 @@ def one_page(text: Column) -> Column:
         F.array(F.struct(F.lit(1).alias("page_no"), t.alias("text"))), lambda p: p["text"] != ""))
 
 
-def has_text(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with any text, and those without."""
-    length = F.aggregate("pages", F.lit(0), lambda acc, p: acc + F.length(p["text"]))
-    counted = documents.withColumn("text_length", length)
-    return counted.filter("text_length > 0"), counted.filter("text_length = 0")
-
-
 def reference_pages(documents: DataFrame, text: str = "text") -> DataFrame:
     """Normalised pages for judging retrieval, read apart from the passages."""
     return documents.select("collection_id", "doc_id", F.posexplode(F.split(text, "\f")).alias("i", "raw")).select(

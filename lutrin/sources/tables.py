@@ -11,24 +11,21 @@ from lutrin.operators.index import hashed_vector
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark"
           " labels conversations").split()
 LINES_PER_PAGE = 20
+INPUT_PARTITIONS = "spark.lutrin.inputPartitions"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share when the scan yields fewer splits than cores.
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents table.
 
-    Such an input is small (at most one split size per core); larger ones are not moved.
+    A session that works on one small file may name in INPUT_PARTITIONS over how many tasks its rows are dealt; unset,
+    as on a cluster, the splits of the scan stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def texts(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents table spread over the cores, for work that is heavy per row."""
-    return spread(table(spark, folder, "documents"))
+    rows, tasks = table(spark, folder, "documents"), spark.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(tasks)) if tasks else rows
 
 
 def documents(spark: SparkSession, folder: str, collection: str = "source") -> DataFrame:

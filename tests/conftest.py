@@ -8,10 +8,11 @@ sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from lutrin.session import build_session
 
-    session = build_session("local[8]", shuffle_partitions=8)
+    cores = os.environ.get("LUTRIN_TEST_CORES", "8")
+    session = build_session(f"local[{cores}]", shuffle_partitions=8, shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

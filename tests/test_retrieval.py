@@ -9,20 +9,18 @@ from lutrin.operators import evaluate as E
 from lutrin.operators import index
 from lutrin.operators import names as N
 from lutrin.operators import retrieve as R
-from lutrin.operators.skew import spread_join
 
 PASSAGES = ("passage_id string, collection_id string, source_file string, hierarchy_path string, chunk_index int, title string,"
             " text string, page_start int, page_end int")
 
 
-def ranked(spark, items):
-    return spark.createDataFrame([("q", i, r) for r, i in enumerate(items, 1)], "query_id string, passage_id string, rank int")
+def ranked(spark, items, pages=None):
+    rows = [("q", i, (pages or {}).get(i), r) for r, i in enumerate(items, 1)]
+    return spark.createDataFrame(rows, "query_id string, passage_id string, page_start int, rank int")
 
 
 def fused(spark, by_vector, by_text, pages=None, limit=10):
-    ids = sorted({*by_vector, *by_text})
-    rows = spark.createDataFrame([(i, (pages or {}).get(i)) for i in ids], "passage_id string, page_start int")
-    out = R.fuse(ranked(spark, by_vector), ranked(spark, by_text), rows, limit).orderBy("rank").collect()
+    out = R.fuse(ranked(spark, by_vector, pages), ranked(spark, by_text, pages), limit).orderBy("rank").collect()
     return [(r["passage_id"], r["score"]) for r in out]
 
 
@@ -80,17 +78,29 @@ def vectors(spark, n, seed=1):
 
 
 @pytest.mark.parametrize("min_score", [0.3, -1])
-def test_block_and_join_scoring_agree(spark, monkeypatch, min_score):
-    passages = vectors(spark, 400).repartition(6)
-    queries = spark.createDataFrame(
-        [("q1", "hot", [1.0, 0.5, 0.0, -0.2]), ("q2", "c1", [0.3, 0.3, 0.1, 0.9]), ("q3", "hot", None), ("q4", "none", [1.0, 0.0, 0.0, 0.0])],
-        "query_id string, collection_id string, vector array<double>")
-    block = R.vector_candidates(queries, passages, 7, min_score).orderBy("query_id", "rank").collect()
-    monkeypatch.setattr(R, "BLOCK_QUERIES", 1)
-    join = R.vector_candidates(queries, passages, 7, min_score).orderBy("query_id", "rank").collect()
-    assert block == join
-    assert {r["query_id"] for r in block} == {"q1", "q2"}
-    assert [r["rank"] for r in block if r["query_id"] == "q1"] == list(range(1, 8))
+def test_vector_search_equals_brute_force_over_any_blocks(spark, min_score):
+    passages = vectors(spark, 400).unionByName(spark.createDataFrame(
+        [("nan", "hot", 1, [float("nan")] * 4), ("inf", "hot", 1, [float("inf"), 0.0, 0.0, 0.0])],
+        "passage_id string, collection_id string, page_start int, embedding array<double>")).repartition(6)
+    asked = [("q1", "hot", [1.0, 0.5, 0.0, -0.2]), ("q2", "c1", [0.3, 0.3, 0.1, 0.9]), ("q3", "hot", None), ("q4", "none", [1.0, 0.0, 0.0, 0.0]),
+             ("q5", "hot", [0.0] * 4), ("q6", "hot", [float("nan"), 1.0, 0.0, 0.0]), ("q7", "hot", [1.0, 0.0])]
+    queries = spark.createDataFrame(asked, "query_id string, collection_id string, vector array<double>")
+    one = R.vector_candidates(queries, passages, 7, min_score).orderBy("query_id", "rank").collect()
+    many = R.vector_candidates(queries, passages, 7, min_score, block_bytes=1).orderBy("query_id", "rank").collect()
+    assert one == many
+    want = []
+    for q, collection, v in asked:
+        if v is None or not any(v) or any(x != x for x in v):
+            continue
+        near = []
+        for p in passages.collect():
+            e = p["embedding"]
+            if p["collection_id"] == collection and e is not None and len(e) == len(v) and all(abs(x) < 9 for x in e) and any(e):
+                cosine = round(sum(a * b for a, b in zip(e, v, strict=True)) / (sum(a * a for a in e) * sum(b * b for b in v)) ** 0.5, 9)
+                if min_score < 0 or cosine >= min_score:
+                    near.append((-cosine, p["passage_id"], p["page_start"]))
+        want += [(q, p, page, r) for r, (_, p, page) in enumerate(sorted(near)[:7], 1)]
+    assert [(r["query_id"], r["passage_id"], r["page_start"], r["rank"]) for r in one] == want
 
 
 def test_text_search_modes(spark):
@@ -123,21 +133,16 @@ def test_backfill_and_failed_embeddings(spark):
 
 def test_containing_against_brute_force(spark):
     rng = random.Random(11)
-    words = ["roi", "tour", "mer", "carte", "pion", "de"]
+    words = ["roi", "tour", "mer", "carte", "pion", "de", "e", "artefact", "amer"]
     texts = [(i, rng.choice("ab"), " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for i in range(80)]
     excerpts = [(j, rng.choice("ab"), " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for j in range(30)]
     t = spark.createDataFrame(texts, "text_id int, g string, normal string")
     e = spark.createDataFrame(excerpts, "e int, g string, excerpt string")
     got = sorted((r["e"], r["text_id"]) for r in E.containing(t, e, ["g"]).collect())
     assert got == sorted((j, i) for i, g, n in texts for j, h, x in excerpts if g == h and x in n)
-
-
-def test_spread_join_equals_plain_join(spark):
-    big = spark.createDataFrame([(i, "hot" if i % 3 else "cold") for i in range(200)], "id int, k string")
-    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("gone", 3)], "k string, v int")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        got = sorted(map(str, spread_join(big, small, ["k"], F.col("id"), 4, how).collect()))
-        assert got == sorted(map(str, big.join(small, "k", how).select(*spread_join(big, small, ["k"], F.col("id"), 4, how).columns).collect()))
+    anywhere = sorted((r["e"], r["text_id"]) for r in E.containing(t.drop("g"), e.drop("g"), []).collect())
+    assert anywhere == sorted((j, i) for i, _, n in texts for j, _, x in excerpts if x in n)
+    assert E.containing(t, e.withColumn("excerpt", F.lit("")), ["g"]).collect() == []
 
 
 def test_names(spark):
