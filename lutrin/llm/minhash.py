@@ -188,7 +188,8 @@ def _crowded(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
                                    F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1")
            .groupBy("n", "lead", "last", "members").agg(F.min("key").alias("key")))
     met = written(met)
-    rows = written(keys.join(met.filter("n > 2").select("key", "lead"), "key"))
+    # merged at every size: a hot key is then split by the skew handling of the join
+    rows = written(keys.join(met.filter("n > 2").select("key", "lead").hint("merge"), "key"))
     return met.filter("n = 2").select(F.col("lead").alias("a"), F.col("last").alias("b")), rows
 
 
