@@ -153,7 +153,8 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = lambda i: 1.0 + i % 3,
     high = F.least((F.col("_block") + 1) * block_words, F.col("_at") + F.col("size"))
     parts = blocks.select("_source", "_block", "_row", (low - F.col("_at")).alias("start"), (low % block_words).alias("into"),
                           (high - low).alias("held"))
-    taken = slots.join(parts, ["_source", "_block"]).withColumn("words", F.least("held", F.col("due") - F.col("into")))
+    # both sides grow with the words, whatever the planner guesses behind a Python step: never broadcast
+    taken = slots.hint("merge").join(parts, ["_source", "_block"]).withColumn("words", F.least("held", F.col("due") - F.col("into")))
     return with_source.drop("_source"), taken.filter("words > 0").select("_row", "shard", "slot", "epoch", "start", "words")
 
 
