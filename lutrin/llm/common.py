@@ -15,13 +15,24 @@ from lutrin.session import written
 
 U64 = np.uint64
 NULL_ID = -(2**63)
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
+BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def long_rows(df: DataFrame) -> DataFrame:
+    """The same rows; the session hands at most BATCH_ROWS of them to a Python worker at once, as texts may be long."""
+    spark = df.sparkSession
+    now = int(spark.conf.get(ARROW_ROWS))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    return df
+
+
 def worker_value(key: str, make: Callable):
     """A value made once per Python worker and kept for its later tasks."""
     kept = sys.modules.setdefault("_lutrin_worker", types.ModuleType("_lutrin_worker")).__dict__

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lutrin.llm.common import NULL_ID, U64, mixed
+from lutrin.llm.common import NULL_ID, U64, long_rows, mixed
 
 PARAGRAPH = re.compile(r"(?:\S+[^\S\n]*){1,8}\n?|\s+")
 CELLS = 18
@@ -171,7 +171,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Documents are dealt to ranges of doc_id (quantiles, at most MOST_RANGES on the driver) and streamed in order; only the first
     document of each range is also sent to the range before.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_key"), "text")
+    rows = long_rows(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_key"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(min(MOST_RANGES, max(RANGES, size // RANGE_BYTES)))
     marks = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 10 * n)).first()[0] or []

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lutrin.llm.common import U64, byte_batches, components, encoded, forest, grams, mixed, odd_numbers, word_hashes, written
+from lutrin.llm.common import U64, byte_batches, components, encoded, forest, grams, long_rows, mixed, odd_numbers, word_hashes, written
 
 VALUES = 64
 CHUNKS = 13
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, rad
     Links are pairs with 100 * |intersection| >= share * |union| of their shingle sets. The pigeonhole
     guarantee holds up to RADIUS.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    texts = long_rows(docs).select(F.col("doc_id").cast("long").alias("_id"), "text")
     prints = written(texts.mapInPandas(_prints(words), PRINTS))
     known = prints.filter("_id is not null and n_shingles > 0")
     alike = ["n_shingles", "f1", "f2"]

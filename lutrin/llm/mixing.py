@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lutrin.llm.common import U64, mixed, running, written
+from lutrin.llm.common import U64, long_rows, mixed, running, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
@@ -164,7 +164,7 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     A text taken whole stays as it is; else its taken words are joined by one space, in the order of the text. Rows without
     words stay.
     """
-    rows, taken = mix(docs, **settings)
+    rows, taken = mix(long_rows(docs), **settings)
 
     @F.pandas_udf("string")
     def gathered(texts: pd.Series, parts: pd.Series, sizes: pd.Series) -> pd.Series:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lutrin.llm.common import byte_batches, running, worker_value, written
+from lutrin.llm.common import byte_batches, long_rows, running, worker_value, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 made = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
                 yield made.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
+    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
 
 
 def _knapsack(worth: np.ndarray, sizes: np.ndarray, capacity: int) -> Counter:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lutrin.llm.common import NULL_ID, U64, byte_batches, encoded, grams, mixed, odd_numbers, word_hashes, written
+from lutrin.llm.common import NULL_ID, U64, byte_batches, encoded, grams, long_rows, mixed, odd_numbers, word_hashes, written
 
 WINDOW = 20
 GRAM = 8
@@ -170,7 +170,7 @@ def _collected(places: DataFrame, **kinds) -> DataFrame:
 
 def duplicate_words(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, any more) with `_lutrin_spans`: runs [start, end) of words covered by repeated windows."""
-    keyed = _keyed(docs)
+    keyed = _keyed(long_rows(docs))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lutrin.llm.common import worker_value, written
+from lutrin.llm.common import long_rows, worker_value, written
 
 BASE_TERMS = """idiot idiots moron morons stupid dumbass imbecile cretin loser losers scum scumbag trash garbage worthless
     pathetic disgusting clown clowns vermin filth bastard bitch whore slut asshole fuck fucking shit retard freak
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms:
     chosen = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = written(long_rows(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
                    .withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))))
     base = {t: BASE_WEIGHT for t in BASE_TERMS}
     total = rows.filter("half = 0").agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
