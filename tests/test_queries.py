@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as E
+from lutrin.plans import QUERIES, SQL
 
 
 @pytest.fixture(scope="session")
@@ -11,11 +12,10 @@ def con(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, folder, name):
-    sql = E.oracle_sql().get(name)
-    assert sql is not None
-    r = compare(spark, con, name, E.queries()[name], sql, folder)
+    assert E.queries()[name] is QUERIES[name] and E.oracle_sql()[name] == SQL[name]
+    r = compare(spark, con, name, QUERIES[name], SQL[name], folder)
     assert r["columns"][0] == r["columns"][1]
     assert len(r["got"]) == len(r["want"])
     assert r["got"] == r["want"]
