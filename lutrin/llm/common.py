@@ -33,6 +33,20 @@ def long_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Gives what a finished partition has freed back to the system, as the worker lives on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def worker_value(key: str, make: Callable):
     """A value made once per Python worker and kept for its later tasks."""
     kept = sys.modules.setdefault("_lutrin_worker", types.ModuleType("_lutrin_worker")).__dict__

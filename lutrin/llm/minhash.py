@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lutrin.llm.common import U64, byte_batches, components, encoded, forest, grams, long_rows, mixed, odd_numbers, word_hashes, written
+from lutrin.llm.common import U64, byte_batches, components, encoded, forest, grams, long_rows, mixed, odd_numbers, release_memory, word_hashes, written
 
 VALUES = 64
 CHUNKS = 13
@@ -75,6 +75,7 @@ def _prints(words: int):
                     f2 = [int(np.add.reduce(mixed(s ^ U64(0x5851F42D4C957F2D))).astype(np.int64)) for s in sets]
                 yield pd.DataFrame({"_id": part["_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "f1": f1, "f2": f2,
                                     "signature": [x.tobytes() for x in _signatures(sets)]})
+        release_memory()
     return made
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lutrin.llm.common import byte_batches, long_rows, running, worker_value, written
+from lutrin.llm.common import byte_batches, long_rows, release_memory, running, worker_value, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -36,7 +36,7 @@ BUNDLE = 1024
 STEP = 0.2
 SHARPNESS = 6.0
 REST = 20_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 #: Runs whose signs need no Unicode tables: printable ASCII and the Latin-1 letters, which lower-case one to one.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -109,6 +109,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                         out.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
                 made = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
                 yield made.astype({"doc_id": "Int64"})
+        tokenizer.cache.clear()
+        release_memory()
 
     return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lutrin.llm.common import NULL_ID, U64, byte_batches, encoded, grams, long_rows, mixed, odd_numbers, word_hashes, written
+from lutrin.llm.common import NULL_ID, U64, byte_batches, encoded, grams, long_rows, mixed, odd_numbers, release_memory, word_hashes, written
 
 WINDOW = 20
 GRAM = 8
@@ -182,6 +182,7 @@ def duplicate_words(docs: DataFrame) -> DataFrame:
                 o = owner[a]
                 yield _blobs(_entries(g[a], _block_keys(h, bounds, owner, a), part["_lutrin_doc"].to_numpy()[o],
                                       part["_lutrin_crc"].to_numpy()[o], a - bounds[o]), buckets)
+        release_memory()
 
     def bounded(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, h, bounds, owner in _batches(pdfs, "_lutrin_edges"):
@@ -192,6 +193,7 @@ def duplicate_words(docs: DataFrame) -> DataFrame:
                 o = owner[s]
                 yield _blobs(_entries(grams(h, WINDOW, 31)[s], grams(h, WINDOW, 37)[s], part["_lutrin_doc"].to_numpy()[o],
                                       part["_lutrin_crc"].to_numpy()[o], s - bounds[o]), buckets)
+        release_memory()
 
     anchors = (keyed.select("_lutrin_doc", "_lutrin_crc", "text").mapInPandas(anchored, KEYED)
                .groupBy("bucket").applyInPandas(_factored, PLACES))
