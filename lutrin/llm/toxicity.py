@@ -109,10 +109,9 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = set(WORD.findall(folded(text)))
             stems = {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
             counts[toxic].update({w for w in words if 3 <= len(w) <= 24} | stems)
-        keys = list(counts[1])
-        yield pd.DataFrame({"term": keys, "t": [counts[1][k] for k in keys], "c": [counts[0][k] for k in keys]})
-        keys = [k for k in counts[0] if k not in counts[1]]
-        yield pd.DataFrame({"term": keys, "t": [0] * len(keys), "c": [counts[0][k] for k in keys]})
+        keys = list(counts[0] | counts[1])
+        if keys:
+            yield pd.DataFrame({"term": keys, "t": [counts[1][k] for k in keys], "c": [counts[0][k] for k in keys]})
 
 
 def held_out(doc_id: Column) -> Column:
