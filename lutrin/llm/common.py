@@ -185,10 +185,12 @@ def running(df: DataFrame, key: list[str], order: list[Column], spread: Column,
 
 def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what a matrix of links connects: every vertex with the smallest one it reaches."""
+    ids, at = np.unique(np.concatenate([rows, columns]), return_inverse=True)
     r, c = np.nonzero(linked)
-    ids, at = np.unique(np.concatenate([rows[r], columns[c]]), return_inverse=True)
-    u, v = at[:len(r)], at[len(r):]
-    label = np.arange(len(ids))
+    at = at.astype(np.int32)  # a full block has millions of links
+    u, v = at[:len(rows)][r], at[len(rows):][c]
+    del r, c
+    label = np.arange(len(ids), dtype=np.int32)
     while True:
         low = np.minimum(label[u], label[v])
         new = label.copy()

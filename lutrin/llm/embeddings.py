@@ -2,9 +2,10 @@
 
 Two independent codebooks, one per half of the unit vectors, span a product grid. Every vector is stored in the cell of its two
 nearest centroids. As a query it visits cells in the order of the sum of both squared distances (multi-sequence
-order) until the sum exceeds that of its own cell by a margin; the margin is calibrated so that a neighbour at the threshold
-lies in a visited cell with the target probability. Since either vector of a pair may find the other, recall is higher
-still. Vectors met in a cell are verified by their cosine in double precision.
+order) until the sum exceeds that of its own cell by a margin. The margin is the larger of two: one that reaches random
+directions at the threshold, and one that reaches the real links of QUERIES vectors, found by brute force among all rows;
+each so that a neighbour lies in a visited cell with the target probability. Since either vector of a pair may find the
+other, recall is higher still. Vectors met in a cell are verified by their cosine in double precision.
 
 The codebooks are fitted on at most SAMPLE vectors (smallest hash), every vector is indexed. Equal vectors are one class with a
 multiplicity. Cells with many members or queries are dealt to blocks; a block returns link counts and a spanning forest of
@@ -16,7 +17,7 @@ what any of them links to.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lutrin.llm.common import components, forest, written
+from lutrin.llm.common import components, forest, release_memory, written
 
 THRESHOLD = 0.95
 RECALL = 0.995
@@ -33,6 +34,8 @@ MOST_CENTROIDS = 1024
 PER_CELL = 8
 BLOCK = 2048
 TRIALS = 4000
+QUERIES = 2048
+BINS = 1 << 14  # per unit of squared distance, for the distances of real links
 
 
 def unit(vector) -> np.ndarray | None:
@@ -80,7 +83,7 @@ def _centroids(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12
 
 @dataclass(frozen=True)
 class MultiIndex:
-    """Codebooks of both halves, and how far beyond the own cell a query goes on."""
+    """Codebooks of both halves, and how far beyond the nearest cell a query goes on."""
 
     first: np.ndarray
     second: np.ndarray
@@ -124,6 +127,33 @@ class MultiIndex:
             yield (i[near[0][order]] * len(self.second) + j[near[1][order]]).astype(np.int64)
 
 
+def _real_margin(index: MultiIndex, classes: DataFrame, queries: np.ndarray, threshold: float, recall: float) -> float:
+    """The margin that reaches the target share of all links of the queries, from a histogram of how far beyond they lie."""
+    def counted(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = index.distances(queries)
+        a, b = a - a.min(1)[:, None], b - b.min(1)[:, None]
+        total = np.zeros(0, np.int64)
+        for pdf in pdfs:
+            for at in range(0, len(pdf), 512):
+                x = _matrix(pdf["unit"].iloc[at:at + 512])
+                i, j = index.cell(x)
+                cosines = x @ queries.T
+                r, q = np.nonzero((cosines >= threshold) & (cosines < 1 - 1e-12))  # not the query itself
+                own = np.bincount(np.ceil((a[q, i[r]] + b[q, j[r]]) * BINS).astype(np.int64), minlength=len(total))
+                own[:len(total)] += total
+                total = own
+        full = np.flatnonzero(total)
+        release_memory()
+        yield pd.DataFrame({"bin": full, "links": total[full]})
+
+    rows = (classes.select("unit").mapInPandas(counted, "bin long, links long")
+            .groupBy("bin").agg(F.sum("links").alias("links")).orderBy("bin").collect())
+    if not rows:
+        return 0.0
+    reached = np.cumsum([r["links"] for r in rows])
+    return rows[int(np.searchsorted(reached, recall * reached[-1]))]["bin"] / BINS
+
+
 def _met(index: MultiIndex, threshold: float):
     """Link weights and forest edges of one block of a cell: members (own vectors) and visiting queries."""
     def met(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -135,15 +165,18 @@ def _met(index: MultiIndex, threshold: float):
         linked = x @ y.T >= threshold
         a, b = seen["rep"].to_numpy(), here["rep"].to_numpy()
         linked &= a[:, None] != b[None, :]
-        r, c = np.nonzero(linked)
-        if not len(r):
+        if not linked.any():
             return none
         many_x, many_y = seen["many"].to_numpy(), here["many"].to_numpy()
-        weight_x = np.bincount(r, many_y[c], len(a)).astype(np.int64)
-        home = seen["home"].to_numpy()[r]
-        width = len(index.second)
-        alone = index.beyond(y[c], home // width, home % width) > index.margin
-        weight_y = np.bincount(c[alone], many_x[r[alone]], len(b)).astype(np.int64)
+        weight_x, weight_y = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        i, j = np.divmod(seen["home"].to_numpy(), len(index.second))
+        first, second = (d - d.min(1)[:, None] for d in index.distances(y))
+        for at in range(0, len(a), 256):
+            r, c = np.nonzero(linked[at:at + 256])
+            r += at
+            weight_x += np.bincount(r, many_y[c], len(a)).astype(np.int64)
+            alone = first[c, i[r]] + second[c, j[r]] > index.margin
+            weight_y += np.bincount(c[alone], many_x[r[alone]], len(b)).astype(np.int64)
         u, v = forest(linked, a, b)
         out = pd.DataFrame({"rep": np.concatenate([a, b, u]), "other": np.concatenate([np.full(len(a) + len(b), -1), v]),
                             "weight": np.concatenate([weight_x, weight_y, np.zeros(len(u), np.int64)])})
@@ -156,7 +189,9 @@ def _met(index: MultiIndex, threshold: float):
 def _linked(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(rep, other, weight, edge): link weights (edge false) and forest edges (edge true) of vectors of one length."""
     chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("unit").collect()
-    index = MultiIndex.fit(_matrix(r["unit"] for r in chosen), classes.count(), threshold, recall)
+    sample = _matrix(r["unit"] for r in chosen)
+    index = MultiIndex.fit(sample, classes.count(), threshold, recall)
+    index = replace(index, margin=max(index.margin, _real_margin(index, classes, sample[:QUERIES], threshold, recall) + 1e-12))
 
     def indexed(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:

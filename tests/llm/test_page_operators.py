@@ -165,6 +165,17 @@ def test_embedding_recall_on_random_neighbours_at_the_threshold(spark):
     assert sum(r.n_links for r in got) >= 0.98 * 4000
 
 
+@pytest.mark.parametrize("size, inner", [(384, 4), (384, 6)])
+def test_embedding_recall_of_vectors_that_vary_in_few_directions(spark, size, inner):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, inner)) @ rng.standard_normal((inner, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = int((x @ x.T >= embeddings.THRESHOLD).sum()) - len(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sum(r.n_links for r in embeddings.near_duplicates(df).collect())
+    assert links > 1000 and 0.98 * links <= got <= links
+
+
 def test_embeddings_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
