@@ -7,7 +7,9 @@ boilerplate and main; it is trained by maximum likelihood (forward-backward, Ada
 
 Null html is an empty page; a page without main blocks gives an empty text. Unclosed elements are closed where HTML
 closes them, a tag cut off by the end of the page is dropped, references are decoded, comments and the content
-of script, style, head and similar elements are no text.
+of script, style, svg and similar elements are no text. What HTML does not parse (RAW) runs to its end tag or, as in HTML, to the
+end of the page. A hidden element ends at its own end tag or with the element around it, svg also at the next block; one
+that is never closed hides nothing. The head needs no rule: all its elements are raw or empty.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-#: Fixed values of HTML: elements whose content is no text, elements that form blocks, elements without content.
-SILENT = "script style noscript template head title textarea select svg math iframe object audio video canvas".split()
+#: Fixed values of HTML: elements whose content is not parsed, elements whose content is not shown as text, elements that form
+#: blocks, elements without content.
+RAW = "script style title textarea iframe".split()
+HIDDEN = "noscript template select svg audio video canvas".split()
 BLOCKS = ("html body article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr "
           "td th caption form fieldset blockquote pre figure figcaption address details summary dialog menu hr button label "
           "option center legend").split()
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(SILENT) + r")(?=[\s>/])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")(?=[\s>/])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/][^<>]*\Z|<", re.S | re.I)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TAGS = "nav header footer aside form article main section ul ol li table p h1 h2 h3 blockquote pre figure button label address dialog".split()
@@ -67,16 +71,36 @@ def blocks(page: str | None) -> list[Block]:
         text.clear()
 
     at, page = 0, page or ""
+    hidden = False
+    last: dict[str, int] = {}
     for token in TOKEN.finditer(page):
-        if token.start() > at:
+        if token.start() > at and not hidden:
             text.append((page[at:token.start()], links > 0))
         at = token.end()
         name = (token[3] or "").lower()
         if not name:
-            if token[0] == "<":
+            if token[0] == "<" and not hidden:
                 text.append(("&lt;", links > 0))
             continue
-        if name == "br":
+        if name in _HIDDEN:
+            if token[2]:
+                _nest(stack, name, True, "")
+            elif not (name == "svg" and token[4].endswith("/")):
+                if name not in last:
+                    last[name] = max((m.start() for m in re.finditer(f"</{name}(?=[\\s>/])", page, re.I)), default=-1)
+                if last[name] > at:
+                    stack.append((name, ()))
+            hidden = any(t in _HIDDEN for t, _ in stack)
+        elif hidden:
+            if name in _BLOCKS:
+                inner, opened = _hidden_nest(stack, name, bool(token[2]), token[4])
+                hidden = any(t in _HIDDEN for t, _ in inner)
+                if not hidden:
+                    stack[:] = opened
+                    flush()
+                    links = 0
+                stack[:] = inner
+        elif name == "br":
             text.append((" ", False))
         elif name == "a":
             links = 0 if token[2] else 1
@@ -84,13 +108,13 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             links = 0
             _nest(stack, name, bool(token[2]), token[4])
-    if at < len(page):
+    if at < len(page) and not hidden:
         text.append((page[at:], links > 0))
     flush()
     return out
 
 
-_BLOCKS = frozenset(BLOCKS)
+_BLOCKS, _HIDDEN = frozenset(BLOCKS), frozenset(HIDDEN)
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
@@ -112,6 +136,17 @@ def _nest(stack: list, name: str, closing: bool, attributes: str) -> None:
         stack.append((name, tuple(found.lower().split())))
 
 
+def _hidden_nest(stack: list, name: str, closing: bool, attributes: str) -> tuple[list, list]:
+    """The stack after a block tag inside a hidden element, and the open elements around that one."""
+    first = next(i for i, (t, _) in enumerate(stack) if t in _HIDDEN)
+    inner = list(stack)
+    if not closing and inner[-1][0] == "svg":  # a block ends svg
+        while inner[-1:] and inner[-1][0] == "svg":
+            inner.pop()
+    _nest(inner, name, closing, attributes)
+    return inner, stack[:first]
+
+
 def _kinds(names: tuple[str, ...]) -> set[str]:
     words = [w for n in names for w in re.split(r"[^a-z]+", n) if w]
     return {kind for kind, starts in KINDS.items() for s in starts

@@ -70,6 +70,27 @@ def test_extraction_of_broken_and_empty_pages(spark, field):
     assert pages.limit(0).select(extraction.main_text(F.col("html"), field)).collect() == []
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>x</title><body><article><p>Main text here.</p></article>", ["Main text here."]),
+    ("<html><head><meta charset=utf-8><script>s</script><p>Main", ["Main"]),
+    ("<head><noscript><link></noscript><meta x><p>t", ["t"]),
+    ("<p>a <svg class=i/> b</p><p>second para.</p>", ["a b", "second para."]),
+    ("<p>a <svg><text>no</text><svg>no</svg>no</svg> b<math/> c</p>", ["a b c"]),
+    ("<p>a <svg>no</p><p>yes</p><svg></svg>", ["a", "yes"]),
+    ("<p>a <svg>no<p>yes</p></svg>z", ["a", "yes", "z"]),
+    ("<p>a <math><mi>x</mi><mo>=</mo></math> b <object data=q>or <b>this</b></object></p>", ["a x= b or this"]),
+    ("<article><video src=x/><p>rest</p></article><p>end</p>", ["rest", "end"]),
+    ("<div>a<video src=x>no</div><p>rest</p><video>no <p>no</p></video> end", ["a", "rest", "end"]),
+    ("<div>a<template><div>no</div><template>no</template>no</template>b</div>", ["ab"]),
+    ("<p>a<select><option>no<option>no</select>b</p><textarea>no", ["ab"])])
+def test_elements_without_text_end_where_html_ends_them(page, want):
+    assert [b.text for b in extraction.blocks(page)] == want
+
+
+def test_main_text_of_a_page_without_end_of_head(field):
+    assert field.main_text("<html><head><title>x</title><body><article><p>Main text here.</p></article>") == "Main text here."
+
+
 def test_field_gradient_matches_enumeration():
     rng = np.random.default_rng(1)
     s, t = rng.standard_normal((1, 3, 2)), rng.standard_normal((2, 2))
