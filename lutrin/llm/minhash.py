@@ -1,8 +1,10 @@
 """MinHash near-duplicates by a multi-index Hamming join over b-bit signatures.
 
-A signature holds 64 MinHash values cut to 16 bits. Texts with Jaccard similarity 0.85 differ in more than
-RADIUS = 25 positions with a chance below one in a million. The positions are split into 13 chunks: by the
-pigeonhole principle two signatures within the radius differ in at most one position of some chunk. Every
+A signature holds 64 MinHash values cut to 16 bits. The positions are split into chunks, and the radius is twice their
+number less one: by the pigeonhole principle two signatures within the radius differ in at most one position of some
+chunk. There are as many chunks as it takes that texts right at the threshold differ in more positions than the radius with
+a chance of at most MISSED, one in a million: 13 chunks and radius 25 at similarity 0.85 (6.3e-7), 16 and 31 at 0.8 (8.2e-8; 15 and
+29 would give 1.2e-6). Every
 signature is therefore entered under each chunk with each of its positions left out (64 keys); equal keys
 give all pairs within the radius. Pairs are confirmed on the full shingle sets.
 
@@ -19,6 +21,7 @@ and component_id is null there. Rows that share a doc_id are one document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -29,14 +32,27 @@ from pyspark.sql import types as T
 from lutrin.llm.common import U64, byte_batches, components, encoded, forest, grams, long_rows, mixed, odd_numbers, release_memory, word_hashes, written
 
 VALUES = 64
-CHUNKS = 13
-RADIUS = 2 * CHUNKS - 1
+MISSED = 1e-6
 WORDS = 3
 SHARE = 85
 BLOCK = 512
 BLOCK_BYTES = 16 << 20
 PRINTS = "_id long, n_shingles long, f1 long, f2 long, signature binary"
-_SLICES = [np.arange(VALUES)[i * VALUES // CHUNKS:(i + 1) * VALUES // CHUNKS] for i in range(CHUNKS)]
+
+
+def missed(share: int, radius: int) -> float:
+    """The chance that signatures of texts with a similarity of `share` percent differ in more positions than the radius."""
+    p = share / 100
+    return sum(comb(VALUES, n) * (1 - p)**n * p**(VALUES - n) for n in range(radius + 1, VALUES + 1))
+
+
+def chunks_for(share: int) -> int:
+    """The smallest number of chunks whose radius misses at most MISSED of the pairs at the threshold."""
+    return next(n for n in range(1, VALUES + 1) if missed(share, 2 * n - 1) <= MISSED)
+
+
+CHUNKS = chunks_for(SHARE)
+RADIUS = 2 * CHUNKS - 1
 
 
 def shingles(h: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -79,21 +95,23 @@ def _prints(words: int):
     return made
 
 
-def _keys(signatures: pd.Series) -> np.ndarray:
+def _keys(signatures: pd.Series, chunks: int = CHUNKS) -> np.ndarray:
     """Keys of every signature: for each chunk, its values with one position left out."""
     s = np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, VALUES).astype(U64)
     factors, out = odd_numbers(VALUES, 67), []
     with np.errstate(over="ignore"):
         terms = mixed((s + U64(1)) * factors + factors)
-        for chunk in _SLICES:
+        for chunk in np.split(np.arange(VALUES), [i * VALUES // chunks for i in range(1, chunks)]):
             total = terms[:, chunk].sum(axis=1, dtype=U64)
             out.extend(mixed(total - terms[:, p] + factors[p]) for p in chunk)
     return np.column_stack(out).astype(np.int64)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _keys_of(signature: pd.Series) -> pd.Series:
-    return pd.Series(list(_keys(signature)))
+def _keys_of(chunks: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(signature: pd.Series) -> pd.Series:
+        return pd.Series(list(_keys(signature, chunks)))
+    return keys
 
 
 @F.pandas_udf(T.IntegerType())
@@ -182,9 +200,9 @@ def _share_enough(share: int, columns: int = 2048):
     return enough
 
 
-def _crowded(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _crowded(signatures: DataFrame, chunks: int) -> tuple[DataFrame, DataFrame]:
     """Buckets with several members, one for each set of members: as pairs (two members), and as rows (key, rep, lead)."""
-    keys = signatures.select("rep", F.explode(_keys_of("signature")).alias("key"))
+    keys = signatures.select("rep", F.explode(_keys_of(chunks)("signature")).alias("key"))
     met = (keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.max("rep").alias("last"),
                                    F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1")
            .groupBy("n", "lead", "last", "members").agg(F.min("key").alias("key")))
@@ -196,7 +214,7 @@ def _crowded(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _clusters(signatures: DataFrame, radius: int) -> DataFrame:
     """(rep, center): components of the graph of signatures within the radius, for all that have a neighbour."""
-    couples, rows = _crowded(signatures)
+    couples, rows = _crowded(signatures, radius // 2 + 1)
     a, b = (signatures.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
     stars = rows.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).unionByName(couples).distinct()
     measured = written(stars.join(a, "a").join(b, "b").select("a", "b", (_apart("sa", "sb") > radius).alias("far")))
@@ -223,12 +241,12 @@ def _confirmed(clusters: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return stars.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, radius: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, any more).
 
-    Links are pairs with 100 * |intersection| >= share * |union| of their shingle sets. The pigeonhole
-    guarantee holds up to RADIUS.
+    Links are pairs with 100 * |intersection| >= share * |union| of their shingle sets. Without a radius it follows from the share.
     """
+    radius = 2 * chunks_for(share) - 1 if radius is None else radius
     texts = long_rows(docs).select(F.col("doc_id").cast("long").alias("_id"), "text")
     prints = written(texts.mapInPandas(_prints(words), PRINTS))
     known = prints.filter("_id is not null and n_shingles > 0")

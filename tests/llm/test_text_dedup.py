@@ -102,6 +102,27 @@ def test_near_duplicates_with_other_settings(spark):
     assert got == brute_near(rows, 5, 80)
 
 
+def test_pairs_at_a_lower_threshold_are_found_beyond_the_default_radius(spark):
+    rows = []
+    for i in (6624, 51164):  # signatures of these pairs differ in 27 positions
+        common = " ".join(f"p{i}c{k}" for k in range(8))
+        rows += [(i, f"{common} p{i}a"), (i + 1, f"{common} p{i}b")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows), words=1, share=80).collect()}
+    assert got == brute_near(rows, 1, 80) and sum(kept for _, _, kept in got.values()) == 2
+
+
+def test_radius_follows_from_the_threshold():
+    assert (minhash.CHUNKS, minhash.RADIUS) == (13, 25)
+    for share in (70, 80, 85, 90):
+        chunks = minhash.chunks_for(share)
+        assert minhash.missed(share, 2 * chunks - 1) <= minhash.MISSED < minhash.missed(share, 2 * chunks - 3)
+        a = np.arange(minhash.VALUES, dtype=np.uint16)
+        b = a.copy()
+        b[np.random.default_rng(share).choice(minhash.VALUES, 2 * chunks - 1, replace=False)] ^= 256
+        keys = minhash._keys([a.tobytes(), b.tobytes()], chunks)
+        assert keys.shape == (2, minhash.VALUES) and set(keys[0]) & set(keys[1])
+
+
 def test_large_group_of_near_copies_is_one_component_or_split_exactly(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     rng = random.Random(4)
