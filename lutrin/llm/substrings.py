@@ -1,15 +1,19 @@
-"""Exact substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Exact substring deduplication by blocks around anchors and a lookup of the windows left over.
+
+This stands in for relative Lempel-Ziv parsing: factors are not extended greedily and have no length, because that reads
+another document's text word by word from every anchor, one factor after the other, while windows across the ends of a
+factor would still need a lookup of their own. Blocks and windows give the same windows by hashes alone.
 
 Every window of 20 words has one anchor: the run of 8 words with the smallest hash in it. The words
 around an anchor that its windows can reach form a block. The index keeps the first place
-of every block of the corpus; a document is factored against all of them at once:
+of every block of the corpus; a document is compared with all of them at once:
 
-1. a block whose words occur earlier is one factor, all its windows are duplicates;
-2. a block that is itself a first place, but whose anchor also stands in other words, is a factor boundary:
+1. a block whose words occur earlier is repeated as a whole, all its windows are duplicates;
+2. a block that is itself a first place, but whose anchor also stands in other words, is a boundary:
    its windows are looked up one by one among the windows of all such blocks.
 
 Equal windows have equal anchors, so both steps together find exactly the windows that start earlier
-elsewhere. Factors of a document are merged to spans of words.
+elsewhere. The windows of a document are merged to spans of words.
 
 Only hashes of anchors (about one word in seven) and of boundary windows are shuffled, by hash, in packed
 blocks, after each batch has dropped its own repetitions; so a passage that many documents share costs a row
