@@ -6,8 +6,9 @@ multiplicative weights: lengths that are covered little weigh more, and the next
 knapsack under these weights, found by dynamic programming. Whole multiples are kept, the small rest is placed best-fit
 decreasing, and every piece finds its sequence from its rank within its length, in parallel.
 
-Lengths of SMALL tokens or more are rounded up to UNIT tokens for the program; shorter pieces are first bundled with
-others of equal length. Null and empty texts are one piece that holds the end id alone. Rows that share a doc_id are
+Lengths are rounded up to UNIT tokens for the program; pieces under SMALL tokens are first bundled with others of equal
+length. Rounding wastes the gaps, so the whole histogram is also packed best-fit decreasing with exact lengths, in runs of equal
+sequences, and the plan with fewer sequences is taken. Null and empty texts are one piece that holds the end id alone. Rows that share a doc_id are
 packed one by one.
 """
 
@@ -17,7 +18,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,6 +194,48 @@ def _best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
     return Counter(tuple(sorted(b.items())) for b in bins)
 
 
+def exact_best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
+    """Best-fit decreasing of all pieces, as configurations and how often each is used."""
+    gaps: list[int] = []
+    open_: dict[int, list[tuple[tuple, int]]] = defaultdict(list)
+    plan, least = Counter(), int(sizes.min())
+
+    def put(gap: int, config: tuple, times: int) -> None:
+        if gap < least:
+            plan[config] += times
+            return
+        if gap not in open_:
+            insort(gaps, gap)
+        open_[gap].append((config, times))
+
+    for k in np.argsort(-sizes).tolist():
+        size, left = int(sizes[k]), int(counts[k])
+        while left:
+            at = bisect_left(gaps, size)
+            gap, config, times = capacity, (), left
+            if at < len(gaps):
+                gap = gaps[at]
+                config, times = open_[gap].pop()
+                if not open_[gap]:
+                    del gaps[at], open_[gap]
+            fits = gap // size
+            full = min(times, left // fits)
+            if full:
+                put(gap - fits * size, (*config, (k, fits)), full)
+                left -= full * fits
+                times -= full
+            if left and times:  # fewer are left than fit
+                put(gap - left * size, (*config, (k, left)), 1)
+                left = 0
+                times -= 1
+            if config and times:
+                put(gap, config, times)
+    for runs in open_.values():
+        for config, times in runs:
+            plan[config] += times
+    return sorted(plan.items())
+
+
 def _bundle(length: int, capacity: int) -> int:
     """How many pieces of one length are placed as one: many short ones, and those that rounding up would spoil."""
     if length < SMALL:
@@ -222,8 +265,15 @@ class Plan:
         sizes = np.flatnonzero(count[:units])
         plan = solve(sizes, count[sizes], units) if len(sizes) else []
         whole = int(count[units])
+        lengths = np.array(sorted(histogram), np.int64)
+        exact = exact_best_fit(lengths, np.array([histogram[n] for n in lengths.tolist()], np.int64), capacity) if histogram else []
+        if sum(times for _, times in exact) < whole + sum(times for _, times in plan):
+            sizes, plan, whole = lengths, exact, 0
+            self.single, self.bundled = {n: (n, 0) for n in histogram}, {}
+            self.per_bundle = dict.fromkeys(histogram, (1, 0))
         rows: dict[int, list] = {int(u): [] for u in sizes}
-        rows[units] = [(0, 1, 0, 0)] if whole else []
+        if whole:
+            rows[units] = [(0, 1, 0, 0)]
         at, base = Counter(), whole
         for config, times in plan:
             slot = 0
@@ -238,8 +288,9 @@ class Plan:
 
     def place(self, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sequence, slot = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for key in np.unique(keys):
-            own = np.flatnonzero(keys == key)
+        order = np.argsort(keys, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(keys) else ():
+            key = keys[own[0]]
             k, full = self.per_bundle[int(key)]
             r = ranks[own]
             packed = r < full * k
@@ -260,9 +311,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if capacity % UNIT:
         raise ValueError(f"the capacity must be a multiple of {UNIT}")
     length = F.col("length")
-    up = F.ceil(length / UNIT) * UNIT
-    key = F.when((length < SMALL) | (F.floor(F.lit(capacity) / length) * up > capacity), length).otherwise(up).cast("long")
-    rows = written(cut.withColumn("_key", key))
+    rows = written(cut.withColumn("_key", length.cast("long")))
     histogram = {r["_key"]: r["n"] for r in rows.groupBy("_key").agg(F.count("*").alias("n")).collect()}
     plan = Plan(histogram, capacity)
 

@@ -74,6 +74,19 @@ def test_packing_is_near_the_lower_bound_on_mixed_lengths():
     assert plan.sequences <= 1.01 * sum(k * n for k, n in histogram.items()) / 4096
 
 
+@pytest.mark.parametrize("mean", [300, 900])
+def test_packing_is_near_the_lower_bound_of_the_real_lengths(mean):
+    lengths = np.random.default_rng(2).gamma(1.2, mean / 1.2, 20_000).astype(int).clip(1, 4096)
+    keys, counts = np.unique(lengths, return_counts=True)
+    plan = packing.Plan(dict(zip(keys.tolist(), counts.tolist(), strict=True)), 4096)
+    assert plan.sequences <= -(-int(lengths.sum()) // 4096) + 1
+    ranks = np.concatenate([np.arange(n) for n in counts])
+    sequence, slot = plan.place(np.repeat(keys, counts), ranks)
+    assert len(set(zip(sequence.tolist(), slot.tolist(), strict=True))) == len(lengths)
+    total = np.bincount(sequence, np.repeat(keys, counts), plan.sequences)
+    assert 0 < total.min() and total.max() <= 4096
+
+
 def test_targets_reshare_the_excess():
     assert mixing.targets([10, 10], [1, 1]) == [10, 10]
     assert mixing.targets([1, 99, 0], [1, 1, 5]) == [3, 97, 0]
