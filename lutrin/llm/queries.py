@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lutrin.llm import embeddings, extraction, fingerprints, minhash, mixing, packing, substrings, toxicity, urls, warc
+from lutrin.llm import conversations, embeddings, extraction, fingerprints, minhash, mixing, packing, spelling, substrings, toxicity, urls, warc
 from lutrin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,16 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.prefix_trie(conversations.with_heads(conversations.sequences(table(spark, folder, "conversations"))))
+
+
+SQL["op11_prefix_trie"] = conversations.TRIE_SQL
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), slip_every=97))
