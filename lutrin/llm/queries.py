@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lutrin.llm import conversations, embeddings, extraction, fingerprints, minhash, mixing, packing, spelling, substrings, toxicity, urls, warc
+from lutrin.llm import (
+    conversations,
+    embeddings,
+    extraction,
+    fingerprints,
+    minhash,
+    mixing,
+    neighbours,
+    packing,
+    spelling,
+    substrings,
+    toxicity,
+    urls,
+    warc,
+)
 from lutrin.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +120,8 @@ SQL["op11_prefix_trie"] = conversations.TRIE_SQL
 @query
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), slip_every=97))
+
+
+@query
+def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
