@@ -14,6 +14,7 @@ from lutrin.operators import activity as V
 from lutrin.operators import context as C
 from lutrin.operators import names as N
 from lutrin.operators import retrieve as R
+from lutrin.operators.cells import VectorCells
 from lutrin.session import written
 
 Embed = Callable[[Column], Column]
@@ -39,8 +40,8 @@ def extractive(rows: DataFrame) -> DataFrame:
 
 def ask(queries: DataFrame, collections: DataFrame, passages: DataFrame, postings: DataFrame, embed: Embed,
         now: Column, model: Model = extractive, cache: DataFrame | None = None,
-        limit: int = L.ASK_LIMIT, min_score: float = L.MIN_COSINE, valid_hours: int = 24) -> Asked:
-    """Answer queries(query_id, collection, question, history).
+        limit: int = L.ASK_LIMIT, min_score: float = L.MIN_COSINE, valid_hours: int = 24, stored: VectorCells | None = None) -> Asked:
+    """Answer queries(query_id, collection, question, history), searching the `stored` cells of the passages' vectors if they are given.
 
     collections(collection_id, name, updated_at) are found by name in any case;
     cache(cache_key, answer, expires_at) serves first questions. A question without any
@@ -62,7 +63,7 @@ def ask(queries: DataFrame, collections: DataFrame, passages: DataFrame, posting
                      asked.withColumn("answer", F.lit(None).cast("string")).withColumn("cached", F.lit(False)))
     misses = served.filter(~F.col("cached")).select(*columns)
 
-    retrieved = C.retrieved_context(R.search_with_history(misses, passages, postings, embed, limit, min_score))
+    retrieved = C.retrieved_context(R.search_with_history(misses, passages, postings, embed, limit, min_score, stored))
     ready = (misses.join(retrieved.select("query_id", "kept", "context"), "query_id")
              .withColumn("prompt", C.prompt(F.col("question"), F.coalesce("context", F.lit("")), F.col("history"))))
     ready = written(ready)

@@ -2,111 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lutrin.functions import lexicon as L
 from lutrin.functions import nlp, scores
 from lutrin.functions.text import fold, let
+from lutrin.operators import cells
+from lutrin.operators.cells import SCORE_DIGITS, VectorCells
 from lutrin.operators.skew import top_per
 from lutrin.session import written
 
-SCORE_DIGITS = 9  # sums may run in any order; ties are settled by id
-
 # --- candidates ------------------------------------------------------------------------
 
-BLOCK_BYTES = 64 << 20  # query vectors sent to every task at a time
-BLOCK_CELLS = 1 << 22  # scores held at a time inside a task
-
-
-def query_blocks(queries: DataFrame, key: str, block_bytes: int) -> Iterator[list]:
-    """Query rows (key, collection, vector) in lists of about `block_bytes`; only one list is held."""
-    block, size = [], 0
-    for row in queries.select(key, "collection_id", "vector").toLocalIterator():
-        vector = None if row["vector"] is None or None in row["vector"] else np.asarray(row["vector"], "float64")
-        if vector is None or not np.isfinite(vector).all() or not vector.any():
-            continue
-        block.append((row[key], row["collection_id"], vector / np.sqrt(vector @ vector)))
-        size += vector.nbytes
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def block_scores(block: list, passages: DataFrame, depth: int, threshold: float | None, schema: T.StructType) -> DataFrame:
-    """Scored pairs that can be among the top `depth` of a block of queries.
-
-    The block goes to every task as matrices by collection and size; a batch of passages is one matrix product, and only
-    what is in the top `depth` of its batch leaves it (ties included, so nothing of the final list is lost). Passages
-    stay where they are.
-    """
-    matrices: dict = {}
-    for position, (_, collection, vector) in enumerate(block):
-        matrices.setdefault((collection, len(vector)), []).append((position, vector))
-    blocks = {k: (np.array([p for p, _ in rows]), np.stack([v for _, v in rows])) for k, rows in matrices.items()}
-    keys = pa.array([k for k, _, _ in block], to_arrow_type(schema[0].dataType))
-    names = schema.names
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = pc.fill_null(pc.list_value_length(batch["embedding"]), 0).to_numpy(zero_copy_only=False)
-            collections = batch["collection_id"].to_pandas()
-            for (collection, size), rows in collections.groupby([collections, lengths]).indices.items():
-                if (collection, size) not in blocks:
-                    continue
-                positions, wanted = blocks[collection, size]
-                taken = batch.take(pa.array(rows))
-                vectors = taken["embedding"].flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, size)
-                norms = np.sqrt((vectors * vectors).sum(axis=1))
-                usable = np.isfinite(norms) & (norms > 0)
-                step = max(1, BLOCK_CELLS // len(rows))
-                for begin in range(0, len(positions), step):
-                    some = positions[begin:begin + step]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        cosines = np.round((wanted[begin:begin + step] @ vectors.T) / norms, SCORE_DIGITS)
-                    cosines[:, ~usable] = -np.inf
-                    floor = np.full((len(some), 1), -2.0 if threshold is None else threshold)
-                    if len(rows) > depth:
-                        floor = np.maximum(floor, np.partition(cosines, -depth, axis=1)[:, [-depth]])
-                    q, p = np.nonzero(cosines >= floor)
-                    found = pa.array(p)
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(some[q])), taken["passage_id"].take(found), taken["page_start"].take(found),
-                         pa.array(cosines[q, p])], names=names)
-
-    return passages.select("collection_id", "passage_id", "page_start", "embedding").mapInArrow(score, schema)
-
-
-def with_page(passages: DataFrame) -> DataFrame:
-    """Passages with a page_start; tables without pages get nulls."""
-    return passages if "page_start" in passages.columns else passages.withColumn("page_start", F.lit(None).cast("int"))
-
-
-def vector_candidates(queries: DataFrame, passages: DataFrame, depth: int, min_score: float = L.MIN_COSINE,
-                      key: str = "query_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def vector_candidates(queries: DataFrame, passages: DataFrame | VectorCells, depth: int, min_score: float = L.MIN_COSINE,
+                      key: str = "query_id") -> DataFrame:
     """Top `depth` by cosine; 0 asks for the default threshold, a negative one for none.
 
-    The list is sorted, so filtering before ranking equals cutting it at the first low score. Vectors that are null, zero
-    or not finite have no score, nor have vectors of another size than the query's (`index.split_by_dimension` lists them).
+    `passages` are the stored cells of a collection's vectors (`cells.build`), or passages that are put into cells first. Only cells whose
+    bound reaches a query's list are read. Filtering before ranking equals cutting the list at the first low score. Vectors that are
+    null, zero or not finite have no score, nor have vectors of another size than the query's (`index.split_by_dimension` lists them).
     """
     threshold = L.MIN_COSINE if min_score == 0 else min_score
-    passages = with_page(passages)
-    types = {f.name: f.dataType for f in [*passages.schema.fields, *queries.schema.fields]}
-    schema = T.StructType([T.StructField(c, types[c]) for c in (key, "passage_id", "page_start")]
-                          + [T.StructField("score", T.DoubleType())])
-    scored = [block_scores(block, passages, depth, threshold if threshold > 0 else None, schema)
-              for block in query_blocks(queries, key, block_bytes)]
-    found = reduce(DataFrame.unionByName, scored) if scored else queries.sparkSession.createDataFrame([], schema)
+    stored = passages if isinstance(passages, VectorCells) else cells.build(passages)
+    found, _, _ = cells.waves(queries, stored, depth, threshold if threshold > 0 else None, key)
     return top_per(found, [key], [F.col("score").desc(), F.col("passage_id")], depth)
 
 
@@ -250,22 +169,22 @@ def interleaved(a: Column, b: Column, limit: int) -> Column:
 # --- the whole search ------------------------------------------------------------------
 
 def search(queries: DataFrame, passages: DataFrame, postings: DataFrame, limit: int = L.DEFAULT_LIMIT,
-           min_score: float = L.MIN_COSINE, key: str = "query_id") -> DataFrame:
+           min_score: float = L.MIN_COSINE, key: str = "query_id", stored: VectorCells | None = None) -> DataFrame:
     """(key, sections) for queries with key, collection_id, question and vector.
 
-    A query without a vector is answered by text alone.
+    A query without a vector is answered by text alone; `stored` are the cells of the passages' vectors, built here if they are not given.
     """
     depth = scores.candidate_depth(limit)
-    by_vector = vector_candidates(queries, passages, depth, min_score, key)
+    by_vector = vector_candidates(queries, stored or passages, depth, min_score, key)
     by_text = text_candidates(queries, postings, depth, key)
     return expand_top(fuse(by_vector, by_text, limit, key), passages, key=key)
 
 
 def search_with_history(queries: DataFrame, passages: DataFrame, postings: DataFrame, embed,
-                        limit: int = L.ASK_LIMIT, min_score: float = L.MIN_COSINE) -> DataFrame:
+                        limit: int = L.ASK_LIMIT, min_score: float = L.MIN_COSINE, stored: VectorCells | None = None) -> DataFrame:
     """Both variants of every question in one batch, interleaved to (query_id, sections)."""
     variants = written(search_variants(queries).withColumn("vector", embed(F.col("question"))))  # the embedder runs once
-    found = (search(variants, passages, postings, limit, min_score, key="search_id")
+    found = (search(variants, passages, postings, limit, min_score, "search_id", stored)
              .withColumn("query_id", F.substring_index("search_id", "#", 1))
              .withColumn("variant", F.substring_index("search_id", "#", -1)))
     empty = F.first(F.slice(F.col("sections"), 1, 0), True)

@@ -13,7 +13,7 @@ from lutrin.functions.scores import candidate_depth
 from lutrin.operators import retrieve as R
 from lutrin.plans import sql as S
 from lutrin.plans.registry import query
-from lutrin.plans.retrieval import BENCH_SEARCH, CONTEXT, ID, _bench, stored_index
+from lutrin.plans.retrieval import BENCH_SEARCH, CONTEXT, ID, _bench, stored_cells, stored_index
 from lutrin.session import written
 from lutrin.sources import tables as D
 
@@ -106,7 +106,7 @@ def _results(spark, folder):
         F.col("expected_pages").isNotNull(), F.col("expected")).otherwise(F.array().cast("array<string>"))))
     # ranked once at the larger depth: the search and the vector-only list are cuts of it
     depth = candidate_depth(L.ASK_LIMIT)
-    by_vector = written(R.vector_candidates(questions, passages, depth))
+    by_vector = written(R.vector_candidates(questions, stored_cells(spark, folder), depth))
     hits = R.fuse(by_vector, R.text_candidates(questions, postings, depth), L.ASK_LIMIT)
     found = C.retrieved_context(judged.drop("vector").join(R.expand_top(hits, passages), ID, "left"))
     first = by_vector.filter(F.col("rank") <= L.ASK_LIMIT)
@@ -174,7 +174,7 @@ def failure_report(spark, folder):
 def page_match(spark, folder):
     """The file a cited page belongs to, and whether the page was among the sections sent."""
     questions, passages, postings = _bench(spark, folder)
-    found = questions.select(ID, "question").join(R.search(questions, passages, postings, L.ASK_LIMIT), ID, "left")
+    found = questions.select(ID, "question").join(R.search(questions, passages, postings, L.ASK_LIMIT, stored=stored_cells(spark, folder)), ID, "left")
     named = F.transform("sections", lambda s: F.struct(
         s["page_start"].alias("page_start"), s["page_end"].alias("page_end"),
         F.concat(s["source_file"], F.when(s["source_file"].cast("long") % 2 == 0, ".PDF").otherwise(".md")).alias("source_file")))

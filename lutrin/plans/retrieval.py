@@ -14,7 +14,7 @@ from lutrin.functions import scores
 from lutrin.operators import activity as V
 from lutrin.operators import ask as A
 from lutrin.operators import context as C
-from lutrin.operators import index, retrieve as R
+from lutrin.operators import cells, index, retrieve as R
 from lutrin.plans import sql as S
 from lutrin.plans.registry import query
 from lutrin.session import written
@@ -160,7 +160,7 @@ def retrieval_sql(questions: str, limit: int, min_score: float = L.MIN_COSINE) -
 BENCH_SEARCH = f"{S.PASSAGES}, {S.QUESTIONS}, {retrieval_sql('questions', L.ASK_LIMIT)}"
 
 
-_STORED: dict[tuple[str, str], tuple] = {}
+_STORED: dict[tuple, tuple] = {}
 
 
 def stored_index(spark, folder):
@@ -172,6 +172,14 @@ def stored_index(spark, folder):
     return _STORED[key]
 
 
+def stored_cells(spark, folder):
+    """The stored passages' vectors by cell, made once like the index."""
+    key = (spark.sparkContext.applicationId, folder, "cells")
+    if key not in _STORED:
+        _STORED[key] = cells.build(stored_index(spark, folder)[0])
+    return _STORED[key]
+
+
 def _bench(spark, folder):
     passages, postings = stored_index(spark, folder)
     questions = written(D.excerpt_questions(spark, folder)
@@ -195,7 +203,7 @@ def fulltext_topk(spark, folder):
 def hybrid_rrf(spark, folder):
     questions, passages, postings = _bench(spark, folder)
     depth = scores.candidate_depth(L.ASK_LIMIT)
-    return _ranked(R.fuse(R.vector_candidates(questions, passages, depth),
+    return _ranked(R.fuse(R.vector_candidates(questions, stored_cells(spark, folder), depth),
                           R.text_candidates(questions, postings, depth), L.ASK_LIMIT))
 
 
@@ -205,7 +213,7 @@ def hybrid_rrf(spark, folder):
 def neighbors(spark, folder):
     questions, passages, postings = _bench(spark, folder)
     depth = scores.candidate_depth(L.ASK_LIMIT)
-    hits = R.fuse(R.vector_candidates(questions, passages, depth),
+    hits = R.fuse(R.vector_candidates(questions, stored_cells(spark, folder), depth),
                   R.text_candidates(questions, postings, depth), L.ASK_LIMIT)
     found = hits.join(passages.select("passage_id", "collection_id", "source_file", "hierarchy_path", "chunk_index"),
                       "passage_id").drop("passage_id")
@@ -227,7 +235,7 @@ SECTION_COLUMNS = "query_id, place, passage_id, page_start, page_end, md5(text)
 @query("expand_top2", f"WITH {BENCH_SEARCH} SELECT {SECTION_COLUMNS} FROM sections")
 def expand_top2(spark, folder):
     questions, passages, postings = _bench(spark, folder)
-    return _section_rows(R.search(questions, passages, postings, L.ASK_LIMIT))
+    return _section_rows(R.search(questions, passages, postings, L.ASK_LIMIT, stored=stored_cells(spark, folder)))
 
 
 # --- context ---------------------------------------------------------------------------
@@ -254,7 +262,7 @@ contexts AS (
 
 def _found(spark, folder):
     questions, passages, postings = _bench(spark, folder)
-    found = R.search(questions, passages, postings, L.ASK_LIMIT)
+    found = R.search(questions, passages, postings, L.ASK_LIMIT, stored=stored_cells(spark, folder))
     return questions.select(ID, "collection_id", "question", "expected").join(found, ID, "left")
 
 
@@ -297,7 +305,7 @@ def _asked(spark, folder, questions, cache=None):
         "collection_id", F.upper("collection_id").alias("name"), moment.alias("updated_at"))
     queries = questions.select(ID, F.concat(F.lit(" "), F.col("collection_id")).alias("collection"), "question",
                                F.from_json(F.lit("[]"), A.HISTORY).alias("history"))
-    return A.ask(queries, collections, passages, postings, index.hashed_vector, moment, cache=cache)
+    return A.ask(queries, collections, passages, postings, index.hashed_vector, moment, cache=cache, stored=stored_cells(spark, folder))
 
 
 @query("ask_outcomes", f"""
@@ -444,7 +452,7 @@ def interleave_followup(spark, folder):
     asked = _histories(spark, folder).select(
         F.col("conv_id").cast("string").alias(ID), D.language_of(F.col("question")).alias("collection_id"), "question",
         C.trimmed_history(F.slice("history", F.lit(1), F.size("history") - 1)).alias("history"))
-    found = R.search_with_history(asked, passages, postings, index.hashed_vector)
+    found = R.search_with_history(asked, passages, postings, index.hashed_vector, stored=stored_cells(spark, folder))
     return _section_rows(found.filter(F.col("sections").isNotNull()))
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lutrin.operators import cells
 from lutrin.operators import evaluate as E
 from lutrin.operators import index
 from lutrin.operators import names as N
@@ -78,7 +80,7 @@ def vectors(spark, n, seed=1):
 
 
 @pytest.mark.parametrize("min_score", [0.3, -1])
-def test_vector_search_equals_brute_force_over_any_blocks(spark, min_score):
+def test_vector_search_equals_brute_force_over_any_cells(spark, min_score, monkeypatch):
     passages = vectors(spark, 400).unionByName(spark.createDataFrame(
         [("nan", "hot", 1, [float("nan")] * 4), ("inf", "hot", 1, [float("inf"), 0.0, 0.0, 0.0])],
         "passage_id string, collection_id string, page_start int, embedding array<double>")).repartition(6)
@@ -86,7 +88,9 @@ def test_vector_search_equals_brute_force_over_any_blocks(spark, min_score):
              ("q5", "hot", [0.0] * 4), ("q6", "hot", [float("nan"), 1.0, 0.0, 0.0]), ("q7", "hot", [1.0, 0.0])]
     queries = spark.createDataFrame(asked, "query_id string, collection_id string, vector array<double>")
     one = R.vector_candidates(queries, passages, 7, min_score).orderBy("query_id", "rank").collect()
-    many = R.vector_candidates(queries, passages, 7, min_score, block_bytes=1).orderBy("query_id", "rank").collect()
+    for name, value in (("CELL_ROWS", 6), ("PIVOT_ROWS", 3), ("PIVOTS", 4), ("PART_ROWS", 3), ("SPLIT_ROWS", 20), ("QUERY_ROWS", 1), ("BLOCK_SCORES", 8)):
+        monkeypatch.setattr(cells, name, value)
+    many = R.vector_candidates(queries, passages, 7, min_score).orderBy("query_id", "rank").collect()  # lists longer than a cell, in two waves
     assert one == many
     want = []
     for q, collection, v in asked:
@@ -103,6 +107,34 @@ def test_vector_search_equals_brute_force_over_any_blocks(spark, min_score):
     assert [(r["query_id"], r["passage_id"], r["page_start"], r["rank"]) for r in one] == want
 
 
+def test_search_reads_few_cells_of_clustered_vectors(spark):
+    """Forty clusters and a third of all rows equal: exact lists from under a fifth of the rows, no query through the driver."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((40, 16))
+    x = centres[rng.integers(40, size=9000)] + 0.05 * rng.standard_normal((9000, 16))
+    x[::3] = x[0]
+    rows = spark.createDataFrame([(f"p{i:05d}", "one", 1, v.tolist()) for i, v in enumerate(x)],
+                                 "passage_id string, collection_id string, page_start int, embedding array<double>")
+    asked = [(f"q{i}", "one", (centres[i] + 0.05 * rng.standard_normal(16)).tolist()) for i in range(40)]
+    queries = spark.createDataFrame(asked, "query_id string, collection_id string, vector array<double>")
+    stored = cells.build(rows)
+    assert stored.cells.agg(F.sum("n")).first()[0] == 9000 and stored.members.count() == 9000
+    found, first, second = cells.waves(queries, stored, 10, None, "query_id")
+    read = first.unionByName(second).join(stored.cells, cells.PLACE).agg(F.sum("n")).first()[0]
+    crowd = stored.cells.agg(F.max("n")).first()[0]  # the equal rows stand in one cell, which the queries near it must read
+    assert crowd >= 3000 and read - crowd * 2 < 40 * 9000 / 5
+    units = x / np.linalg.norm(x, axis=1)[:, None]
+    for q, _, v in asked:
+        v = np.array(v)
+        cosines = np.round(units @ (v / np.linalg.norm(v)), 9)
+        want = sorted(zip(-cosines, (f"p{i:05d}" for i in range(9000)), strict=True))[:10]
+        got = R.vector_candidates(queries.filter(F.col("query_id") == q), stored, 10, -1).orderBy("rank").collect() if q in ("q0", "q7") else None
+        if got:
+            assert [r["passage_id"] for r in got] == [p for _, p in want]
+    lists = {r["query_id"]: r["n"] for r in found.groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+    assert len(lists) == 40 and min(lists.values()) >= 10
+
+
 def test_text_search_modes(spark):
     rows = [("a", "g", "f", "", 0, "Titre", "le roi va à la mer", 1, 1), ("b", "g", "f", "", 1, "", "ax et by", 1, 1),
             ("c", "g", "f", "", 2, "", "ax seul", 1, 1)]
