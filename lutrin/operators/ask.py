@@ -15,6 +15,7 @@ from lutrin.operators import context as C
 from lutrin.operators import names as N
 from lutrin.operators import retrieve as R
 from lutrin.operators.cells import VectorCells
+from lutrin.operators.textblocks import TextBlocks
 from lutrin.session import written
 
 Embed = Callable[[Column], Column]
@@ -38,7 +39,7 @@ def extractive(rows: DataFrame) -> DataFrame:
             .withColumn("tokens", F.lit(None).cast("struct<prompt:bigint,completion:bigint,total:bigint>")))
 
 
-def ask(queries: DataFrame, collections: DataFrame, passages: DataFrame, postings: DataFrame, embed: Embed,
+def ask(queries: DataFrame, collections: DataFrame, passages: DataFrame, postings: DataFrame | TextBlocks, embed: Embed,
         now: Column, model: Model = extractive, cache: DataFrame | None = None,
         limit: int = L.ASK_LIMIT, min_score: float = L.MIN_COSINE, valid_hours: int = 24, stored: VectorCells | None = None) -> Asked:
     """Answer queries(query_id, collection, question, history), searching the `stored` cells of the passages' vectors if they are given.

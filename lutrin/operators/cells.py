@@ -28,7 +28,7 @@ from lutrin.session import written
 
 SCORE_DIGITS = 9  # sums may run in any order; ties are settled by id
 PIVOTS = 64
-CELL_ROWS = 256
+CELL_ROWS = 512
 PIVOT_ROWS = 64  # rows a pivot of the first levels stands for at least
 LEVELS = 6
 SPLIT_ROWS = 50_000
@@ -45,6 +45,7 @@ class VectorCells:
 
     cells: DataFrame
     members: DataFrame
+    split: bool = True
 
 
 def packed(rows: DataFrame, column: str, out: str) -> DataFrame:
@@ -106,14 +107,30 @@ def _nearest_pivot(rows: pa.Table, pivots: pa.Table) -> pa.Table:
     return rows.append_column("angle", pa.array(np.concatenate(angle)))
 
 
+def _rows(passages: DataFrame) -> DataFrame:
+    page = F.col("page_start") if "page_start" in passages.columns else F.lit(None).cast("int").alias("page_start")
+    rows = packed(passages.filter("collection_id is not null").select("collection_id", "passage_id", page, "embedding"), "embedding", "vector")
+    return written(rows.filter("vector is not null").withColumn("size", F.octet_length("vector")).withColumn("cell", F.lit("")))
+
+
+def _stored(placed: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    cells = written(cells.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")))
+    members = placed.join(cells.select(*PLACE, "parts"), PLACE).withColumn("part", _salt("passage_id", F.col("parts"))).drop("parts")
+    return cells, members
+
+
+def whole(passages: DataFrame) -> VectorCells:
+    """One cell a collection and vector length, for vectors that are searched only once: no pivots, all rows are read."""
+    rows = _rows(passages)
+    return VectorCells(*_stored(rows, rows.groupBy(*PLACE).agg(F.count("*").alias("n"))), split=False)
+
+
 def build(passages: DataFrame) -> VectorCells:
     """Cells of all passages (collection_id, passage_id, page_start, embedding) whose vector can be scored.
 
     Rows without a collection or a usable vector have no cell; a page_start column is optional.
     """
-    page = F.col("page_start") if "page_start" in passages.columns else F.lit(None).cast("int").alias("page_start")
-    rows = packed(passages.filter("collection_id is not null").select("collection_id", "passage_id", page, "embedding"), "embedding", "vector")
-    rows = written(rows.filter("vector is not null").withColumn("size", F.octet_length("vector")).withColumn("cell", F.lit("")))
+    rows = _rows(passages)
     out = T.StructType([*rows.schema, T.StructField("angle", T.DoubleType())])
     done: list[DataFrame] = []
     for level in range(LEVELS):
@@ -141,8 +158,7 @@ def build(passages: DataFrame) -> VectorCells:
         placed = placed.unionByName(more)
     cells = placed.groupBy(*PLACE).agg(F.min_by("vector", F.struct("angle", "passage_id")).alias("centre"), F.max("angle").alias("radius"),
                                        F.count("*").alias("n"))
-    cells = written(cells.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int")))
-    members = placed.drop("angle").join(cells.select(*PLACE, "parts"), PLACE).withColumn("part", _salt("passage_id", F.col("parts"))).drop("parts")
+    cells, members = _stored(placed.drop("angle"), cells)
     return VectorCells(cells, written(members))
 
 
@@ -226,6 +242,9 @@ def waves(queries: DataFrame, stored: VectorCells, depth: int, threshold: float
     asked = packed(queries.filter(F.col("collection_id").isNotNull()).select(key, "collection_id", F.col("vector").cast("array<double>").alias("given")),
                    "given", "vector")
     asked = written(asked.filter("vector is not null").withColumn("size", F.octet_length("vector")))
+    if not stored.split:
+        every = asked.join(stored.cells, ["collection_id", "size"]).select(key, "vector", *PLACE, "parts")
+        return read(every, stored.members, key, depth, threshold), every, every.limit(0)
     first = written(visits(asked.withColumn("floor", F.lit(None).cast("double")), stored.cells, key, depth, threshold))
     near = written(read(first, stored.members, key, depth, threshold))
     last = top_per(near, [key], [F.col("score").desc(), F.col("passage_id")], depth).filter(F.col("rank") == depth)

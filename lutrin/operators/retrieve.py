@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lutrin.functions import lexicon as L
 from lutrin.functions import nlp, scores
 from lutrin.functions.text import fold, let
-from lutrin.operators import cells
+from lutrin.operators import cells, textblocks
 from lutrin.operators.cells import SCORE_DIGITS, VectorCells
 from lutrin.operators.skew import top_per
+from lutrin.operators.textblocks import TextBlocks
 from lutrin.session import written
 
 # --- candidates ------------------------------------------------------------------------
@@ -19,12 +20,12 @@ def vector_candidates(queries: DataFrame, passages: DataFrame | VectorCells, dep
                       key: str = "query_id") -> DataFrame:
     """Top `depth` by cosine; 0 asks for the default threshold, a negative one for none.
 
-    `passages` are the stored cells of a collection's vectors (`cells.build`), or passages that are put into cells first. Only cells whose
-    bound reaches a query's list are read. Filtering before ranking equals cutting the list at the first low score. Vectors that are
+    `passages` are the stored cells of the collections' vectors (`cells.build`), of which only those are read whose bound reaches a query's list,
+    or passages, which are all read. Filtering before ranking equals cutting the list at the first low score. Vectors that are
     null, zero or not finite have no score, nor have vectors of another size than the query's (`index.split_by_dimension` lists them).
     """
     threshold = L.MIN_COSINE if min_score == 0 else min_score
-    stored = passages if isinstance(passages, VectorCells) else cells.build(passages)
+    stored = passages if isinstance(passages, VectorCells) else cells.whole(passages)
     found, _, _ = cells.waves(queries, stored, depth, threshold if threshold > 0 else None, key)
     return top_per(found, [key], [F.col("score").desc(), F.col("passage_id")], depth)
 
@@ -55,9 +56,13 @@ def text_scores(queries: DataFrame, postings: DataFrame, key: str = "query_id")
             .select(key, "passage_id", "page_start", F.round("total", SCORE_DIGITS).alias("score")))
 
 
-def text_candidates(queries: DataFrame, postings: DataFrame, depth: int, key: str = "query_id") -> DataFrame:
-    return top_per(text_scores(queries, postings, key), [key],
-                   [F.col("score").desc(), F.col("passage_id")], depth)
+def text_candidates(queries: DataFrame, postings: DataFrame | TextBlocks, depth: int, key: str = "query_id") -> DataFrame:
+    """Top `depth` by text score: of stored blocks only those are read that can reach a query's list, of plain postings all that hold a stem."""
+    if isinstance(postings, TextBlocks):
+        found, _, _ = textblocks.waves(query_stems(queries, key), postings, depth, key)
+    else:
+        found = text_scores(queries, postings, key)
+    return top_per(found, [key], [F.col("score").desc(), F.col("passage_id")], depth)
 
 
 # --- fusion ----------------------------------------------------------------------------
@@ -168,7 +173,7 @@ def interleaved(a: Column, b: Column, limit: int) -> Column:
 
 # --- the whole search ------------------------------------------------------------------
 
-def search(queries: DataFrame, passages: DataFrame, postings: DataFrame, limit: int = L.DEFAULT_LIMIT,
+def search(queries: DataFrame, passages: DataFrame, postings: DataFrame | TextBlocks, limit: int = L.DEFAULT_LIMIT,
            min_score: float = L.MIN_COSINE, key: str = "query_id", stored: VectorCells | None = None) -> DataFrame:
     """(key, sections) for queries with key, collection_id, question and vector.
 
@@ -180,7 +185,7 @@ def search(queries: DataFrame, passages: DataFrame, postings: DataFrame, limit:
     return expand_top(fuse(by_vector, by_text, limit, key), passages, key=key)
 
 
-def search_with_history(queries: DataFrame, passages: DataFrame, postings: DataFrame, embed,
+def search_with_history(queries: DataFrame, passages: DataFrame, postings: DataFrame | TextBlocks, embed,
                         limit: int = L.ASK_LIMIT, min_score: float = L.MIN_COSINE, stored: VectorCells | None = None) -> DataFrame:
     """Both variants of every question in one batch, interleaved to (query_id, sections)."""
     variants = written(search_variants(queries).withColumn("vector", embed(F.col("question"))))  # the embedder runs once

@@ -14,7 +14,7 @@ from lutrin.functions import scores
 from lutrin.operators import activity as V
 from lutrin.operators import ask as A
 from lutrin.operators import context as C
-from lutrin.operators import cells, index, retrieve as R
+from lutrin.operators import cells, index, retrieve as R, textblocks
 from lutrin.plans import sql as S
 from lutrin.plans.registry import query
 from lutrin.session import written
@@ -180,6 +180,14 @@ def stored_cells(spark, folder):
     return _STORED[key]
 
 
+def stored_blocks(spark, folder):
+    """The stored postings by block, made once like the index."""
+    key = (spark.sparkContext.applicationId, folder, "blocks")
+    if key not in _STORED:
+        _STORED[key] = textblocks.build(stored_index(spark, folder)[1])
+    return _STORED[key]
+
+
 def _bench(spark, folder):
     passages, postings = stored_index(spark, folder)
     questions = written(D.excerpt_questions(spark, folder)
@@ -198,6 +206,14 @@ def fulltext_topk(spark, folder):
     return _ranked(R.text_candidates(questions, postings, scores.candidate_depth(L.ASK_LIMIT)))
 
 
+@query("fulltext_topk_blocks", f"""
+    WITH {BENCH_SEARCH} SELECT query_id, passage_id, rank, round(score, 6) AS score FROM by_text""")
+def fulltext_topk_blocks(spark, folder):
+    """The same lists from postings stored by block, of which only those are read that can reach a list."""
+    questions, _, _ = _bench(spark, folder)
+    return _ranked(R.text_candidates(questions, stored_blocks(spark, folder), scores.candidate_depth(L.ASK_LIMIT)))
+
+
 @query("hybrid_rrf", f"""
     WITH {BENCH_SEARCH} SELECT query_id, passage_id, rank, round(score, 6) AS score FROM hits""")
 def hybrid_rrf(spark, folder):

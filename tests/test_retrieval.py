@@ -11,6 +11,9 @@ from lutrin.operators import evaluate as E
 from lutrin.operators import index
 from lutrin.operators import names as N
 from lutrin.operators import retrieve as R
+from lutrin.operators import textblocks
+from lutrin.operators.skew import top_per
+from lutrin.session import written
 
 PASSAGES = ("passage_id string, collection_id string, source_file string, hierarchy_path string, chunk_index int, title string,"
             " text string, page_start int, page_end int")
@@ -90,8 +93,9 @@ def test_vector_search_equals_brute_force_over_any_cells(spark, min_score, monke
     one = R.vector_candidates(queries, passages, 7, min_score).orderBy("query_id", "rank").collect()
     for name, value in (("CELL_ROWS", 6), ("PIVOT_ROWS", 3), ("PIVOTS", 4), ("PART_ROWS", 3), ("SPLIT_ROWS", 20), ("QUERY_ROWS", 1), ("BLOCK_SCORES", 8)):
         monkeypatch.setattr(cells, name, value)
-    many = R.vector_candidates(queries, passages, 7, min_score).orderBy("query_id", "rank").collect()  # lists longer than a cell, in two waves
+    many = R.vector_candidates(queries, cells.build(passages), 7, min_score).orderBy("query_id", "rank").collect()  # lists longer than a cell, two waves
     assert one == many
+    assert one == R.vector_candidates(queries, passages, 7, min_score).orderBy("query_id", "rank").collect()  # in parts
     want = []
     for q, collection, v in asked:
         if v is None or not any(v) or any(x != x for x in v):
@@ -146,6 +150,39 @@ def test_text_search_modes(spark):
     assert got == {("any", "a"), ("all", "b")}
 
 
+def topical(spark, documents=60, chunks=20):
+    """Documents that speak of one thing each, in words of their own and of all."""
+    rng, rows = random.Random(6), []
+    for d in range(documents):
+        for c in range(chunks):
+            own = " ".join(f"sujet{d}x{rng.randrange(4)}" for _ in range(rng.randrange(1, 6)))
+            rows.append((f"d{d:03d}-{c:03d}", "g" if d % 3 else "h", f"f{d}", "", c, f"sujet{d}x0" if c == 0 else "", f"{own} regle joueur carte" if c % 2 else own, c, c))
+    return spark.createDataFrame(rows, PASSAGES).withColumn("mechanics", F.array().cast("array<string>"))
+
+
+@pytest.mark.parametrize("depth", [1, 5, 1000])
+def test_blocks_of_postings_give_the_lists_of_full_scoring(spark, depth):
+    postings = written(index.postings(topical(spark)))
+    stored = textblocks.build(postings)
+    asked = [(f"q{d}", "g" if d % 3 else "h", f"sujet{d}x1 sujet{d}x2 regle joueur") for d in range(0, 60, 7)]
+    asked += [("all", "g", "a le"), ("none", "g", "inconnu"), ("other", "missing", "regle"), ("blank", "g", "")]
+    queries = spark.createDataFrame(asked, "query_id string, collection_id string, question string")
+    plain = R.text_candidates(queries, postings, depth).orderBy("query_id", "rank").collect()
+    assert R.text_candidates(queries, stored, depth).orderBy("query_id", "rank").collect() == plain and plain
+    needed = R.query_stems(queries).withColumn("needed", F.lit(3))  # a query that needs three of its stems
+    full = textblocks.scores(needed, needed.join(stored.maxima, ["collection_id", "stem"]).select("query_id", "collection_id", "block").distinct(),
+                             stored.postings, "query_id")
+    rank = lambda df: sorted(map(str, top_per(df, ["query_id"], [F.desc("score"), F.col("passage_id")], depth).collect()))
+    found, first, second = textblocks.waves(needed, stored, depth, "query_id")
+    assert rank(found) == rank(full)
+    if depth == 5:
+        stems = written(R.query_stems(queries))
+        _, first, second = textblocks.waves(stems, stored, depth, "query_id")
+        read = first.select("query_id", "collection_id", "block").unionByName(second).join(stems, ["query_id", "collection_id"]).join(stored.postings, textblocks.KEY)
+        every = stems.join(stored.postings, ["collection_id", "stem"])
+        assert read.count() < every.count() / 3
+
+
 def test_refreshed_postings(spark):
     old = chapter(spark).withColumn("mechanics", F.array().cast("array<string>"))
     new = old.withColumn("text", F.when(F.col("passage_id") == "c2", "Nouvelle règle").otherwise(F.col("text")))
