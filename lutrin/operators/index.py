@@ -11,6 +11,7 @@ from lutrin.functions import lexicon as L
 from lutrin.functions import nlp, scores
 from lutrin.functions import text as T
 from lutrin.functions.text import let
+from lutrin.sources import generations
 
 POSTING_COLUMNS = ["collection_id", "stem", "passage_id", "page_start", "field", "tf", "weight", "first_field"]
 
@@ -44,6 +45,19 @@ def refresh_postings(current: DataFrame, passages: DataFrame, changed: DataFrame
     return kept.select(*POSTING_COLUMNS).unionByName(postings(renewed))
 
 
+def store_postings(passages: DataFrame, root: str) -> generations.Version:
+    """The index of all passages as a stored table in versions (`sources.generations`)."""
+    return generations.commit(passages.sparkSession, root, postings(passages))
+
+
+def update_postings(passages: DataFrame, changed: DataFrame, root: str) -> generations.Version:
+    """The stored index after passages changed, came or went: one segment with the postings of `changed(passage_id)` only, and a mark
+    on their earlier ones. Nothing else is read or written; segments are compacted when they are many.
+    """
+    ids = changed.select("passage_id").distinct()
+    return generations.commit(passages.sparkSession, root, postings(passages.join(ids, "passage_id", "left_semi")), ids)
+
+
 def backfill(df: DataFrame, column: str, expression: Column) -> DataFrame:
     """Compute a derived column only where it is still null."""
     return df.withColumn(column, F.when(F.col(column).isNull(), expression).otherwise(F.col(column)))
