@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lutrin.functions.text import not_blank, slug
+from lutrin.sources import generations
 
 
 # --- snapshots -------------------------------------------------------------------------
@@ -150,51 +149,28 @@ def read_snapshot(like: DataFrame, path: str) -> DataFrame:
     return form.sparkSession.read.schema(form.schema).parquet(path).select(*form.columns)
 
 
-def reindex(new_rows: DataFrame, target: str, staging: str, replace: bool = True) -> DataFrame:
-    """Swap in new passages per collection; what was stored stays until the new rows are complete.
+def reindex(new_rows: DataFrame, root: str, replace: bool = True) -> DataFrame:
+    """Swap in new passages per collection, as one version of the table stored in versions below `root` (`sources.generations`).
 
-    New rows are written to a folder of this run below `staging` first, so nothing that an earlier run
-    left there is swapped in. Collections without any new row keep theirs; the returned rows (collection_id, n_new) say which were swapped. The swap itself is one
-    dynamic partition overwrite, and the ids are content keys, so it can be repeated.
+    With `replace` the new rows stand in place of their collections', else in place of the passages of equal id. Collections without any new row keep
+    theirs; the returned rows (collection_id, n_new) say which were swapped. New rows are written once; a run that fails or is killed leaves the version
+    that was, and a reader sees one version.
     """
-    staging = f"{staging}/{uuid.uuid4().hex}"
-    write_snapshot(new_rows, staging)
-    staged = read_snapshot(new_rows, staging)
-    swapped = staged.groupBy("collection_id").agg(F.count("*").alias("n_new"))
-    complete = staged
-    if not replace:
-        stored = read_snapshot(new_rows, target).join(swapped.select("collection_id"), "collection_id", "left_semi")
-        kept = stored.join(staged.select("passage_id"), "passage_id", "left_anti")
-        write_snapshot(kept.select(*staged.columns).unionByName(staged), f"{staging}-merged")
-        complete = read_snapshot(new_rows, f"{staging}-merged")
-    write_snapshot(complete, target)
-    return swapped
-
-
-def add_documents(new_rows: DataFrame, target: str, staging: str) -> None:
-    """Merge the passages of arriving documents into a stored table.
-
-    Documents that are new are appended, whatever the size of their collection. Only
-    collections in which an arriving document is stored already are written again, without
-    that document's earlier passages. A batch that is run again finds its documents stored
-    and so leaves the same rows.
+    spark = new_rows.sparkSession
+    keys = ["collection_id"] if replace else ["passage_id"]
+    at = generations.commit(spark, root, stored_form(new_rows), keys=keys, settling=False)
+    generations.settled(spark, root, at)
+    return generations.newest_rows(spark, root, at).groupBy("collection_id").agg(F.count("*").alias("n_new"))
+
+
+def add_documents(new_rows: DataFrame, root: str, replaced: DataFrame | None = None) -> None:
+    """Merge the passages of arriving documents: they stand in place of what is stored of the same documents.
+
+    Only the new rows and the ids of their documents are written, whatever the size of the collections. A batch that is run again
+    leaves the same rows. Collections in `replaced` (collection_id) lose all earlier rows in the same version.
     """
-    keys = ["collection_id", "doc_id"]
-    staging = f"{staging}/{uuid.uuid4().hex}"
-    write_snapshot(new_rows, staging)
-    staged, stored = read_snapshot(new_rows, staging), read_snapshot(new_rows, target)
-    arriving = staged.select(*keys).distinct()
-    touched = (arriving.join(stored.select(*keys), keys, "left_semi").select("collection_id").distinct())
-    if touched.isEmpty():
-        write_snapshot(staged, target, "append")
-        return
-    kept = stored.join(touched, "collection_id", "left_semi").join(arriving, keys, "left_anti")
-    renewed = kept.select(*staged.columns).unionByName(staged.join(touched, "collection_id", "left_semi").select(*staged.columns))
-    write_snapshot(renewed, f"{staging}-merged")
-    # read before the target changes: which collections are touched depends on it
-    fresh = staged.join(read_snapshot(new_rows, f"{staging}-merged").select("collection_id").distinct(), "collection_id", "left_anti")
-    write_snapshot(read_snapshot(new_rows, f"{staging}-merged"), target)
-    write_snapshot(fresh.select(*staged.columns), target, "append")
+    generations.commit(new_rows.sparkSession, root, stored_form(new_rows), [] if replaced is None else [replaced.select("collection_id")],
+                       keys=["collection_id", "doc_id"])
 
 
 def rolled_back(before: DataFrame, after: DataFrame, passages: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:

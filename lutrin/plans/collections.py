@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lutrin.functions import text as T
@@ -10,7 +14,8 @@ from lutrin.operators import names as N
 from lutrin.operators import passages as P
 from lutrin.plans import sql as S
 from lutrin.plans.registry import query
-from lutrin.sources import catalog, files
+from lutrin.session import shared_folder
+from lutrin.sources import catalog, files, generations
 from lutrin.sources import tables as D
 
 # --- counts, lookups -------------------------------------------------------------------
@@ -140,15 +145,58 @@ def cascade_delete(spark, folder):
     WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING max(o_orderdate) >= TIMESTAMP '1998-01-01') AND
           o_orderdate < TIMESTAMP '1998-01-01'""")
 def failed_reindex_cleanup(spark, folder):
-    """After a failed run the ids that were not there before are dropped again; the old ones stay."""
-    orders = D.table(spark, folder, "orders")
+    """A re-index of stored collections that fails while it writes its rows: the version that was is what readers find."""
+    root = _stored_orders(spark, folder)
+    recent = _order_passages(spark, folder).filter("is_new").withColumn("passage_id", F.when(
+        F.col("passage_id") % 7 == 3, F.raise_error(F.lit("no vector for this passage")).cast("long")).otherwise(F.col("passage_id")))
+    try:
+        M.reindex(recent, root)
+    except PySparkException as e:
+        if "no vector for this passage" not in str(e):
+            raise
+    return generations.read(spark, root).select("passage_id", "is_new")
+
+
+def _order_passages(spark, folder):
+    """Orders as passages of their customers; those from 1998 on are the new ones."""
     recent = F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
-    rows = orders.select(F.col("o_orderkey").alias("passage_id"), F.col("o_custkey").alias("collection_id"), recent.alias("is_new"))
+    return D.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("passage_id"), F.col("o_custkey").alias("collection_id"), recent.alias("is_new"))
+
+
+def _stored_orders(spark, folder):
+    """A stored table with the earlier orders of the customers that have new ones."""
+    rows = _order_passages(spark, folder)
     touched = rows.filter("is_new").select("collection_id").distinct()
-    current = rows.join(touched, "collection_id", "left_semi")
-    before = current.filter(~F.col("is_new"))
-    new_ids = M.without(current, before, "passage_id")
-    return M.without(current, new_ids, "passage_id").select("passage_id", "is_new")
+    root = f"{shared_folder(spark)}/lutrin-{uuid.uuid4().hex}/passages"
+    generations.commit(spark, root, rows.filter("not is_new").join(touched, "collection_id", "left_semi"))
+    return root
+
+
+@query("rollback", """
+    WITH touched AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
+    early AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (FROM touched) AND o_orderdate < TIMESTAMP '1998-01-01'),
+    late AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
+    SELECT 'before' AS version, o_orderkey AS passage_id FROM early
+    UNION ALL SELECT 'imported', o_orderkey FROM late
+    UNION ALL SELECT 'rolled back', o_orderkey FROM early
+    UNION ALL SELECT 'partly', o_orderkey FROM early WHERE o_custkey % 2 = 0
+    UNION ALL SELECT 'partly', o_orderkey FROM late WHERE o_custkey % 2 = 1""")
+def rollback(spark, folder):
+    """A whole import taken back by the pointer, and one of which only the even collections are taken back, row by row."""
+    root = _stored_orders(spark, folder)
+    late = _order_passages(spark, folder).filter("is_new")
+    before = generations.version(spark, root)
+    M.reindex(late, root)
+    imported = generations.version(spark, root)
+    back = generations.restore(spark, root, before.number)
+    M.reindex(late, root)
+    failed = late.filter(F.col("collection_id") % 2 == 0).select("collection_id").distinct()
+    earlier = generations.read(spark, root, before).join(failed, "collection_id", "left_semi")
+    partly = generations.commit(spark, root, earlier, failed)
+    found = [generations.read(spark, root, at).select(F.lit(name).alias("version"), "passage_id")
+             for name, at in (("before", before), ("imported", imported), ("rolled back", back), ("partly", partly))]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 @query("replace_vs_merge", """

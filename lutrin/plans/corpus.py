@@ -15,7 +15,7 @@ from lutrin.plans import sql as S
 from lutrin.plans.registry import query
 from lutrin.plans.retrieval import stored_index
 from lutrin.session import shared_folder
-from lutrin.sources import files
+from lutrin.sources import files, generations
 from lutrin.sources import tables as D
 
 # --- pages and lines -------------------------------------------------------------------
@@ -454,11 +454,14 @@ def backfilled_lengths(spark, folder):
         UNION ALL SELECT collection_id, passage_id, 'C', unnest({S.text_stems('text')}) FROM changed)
     SELECT collection_id, passage_id, field, stem, count(*) AS tf FROM fields GROUP BY collection_id, passage_id, field, stem""")
 def refreshed_postings(spark, folder):
-    """The stored index after some passages changed: only their postings are made again."""
+    """The stored index after some passages changed: a segment with their postings and a mark on the earlier ones."""
     passages, postings = stored_index(spark, folder)
     edited = F.col("page_start") % 2 == 0
     new = passages.withColumn("text", F.when(edited, F.concat(F.lit("nouvelle règle "), F.col("text"))).otherwise(F.col("text")))
-    rows = index.refresh_postings(postings, new, passages.filter(edited).select("passage_id"))
+    root = f"{shared_folder(spark)}/lutrin-{uuid.uuid4().hex}/postings"
+    generations.commit(spark, root, postings)
+    index.update_postings(new, passages.filter(edited).select("passage_id"), root)
+    rows = generations.read(spark, root)
     return rows.select("collection_id", "passage_id", "field", "stem", F.col("tf").cast("long").alias("tf"))
 
 

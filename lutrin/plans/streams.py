@@ -11,6 +11,7 @@ from lutrin.plans import activity, sql as S
 from lutrin.plans.corpus import PLAIN_PAGES
 from lutrin.plans.registry import SQL, query
 from lutrin.session import shared_folder
+from lutrin.sources import generations
 from lutrin.sources import tables as D
 from lutrin.streaming import jobs as J
 
@@ -59,12 +60,12 @@ def stream_jobs(spark, folder):
     SELECT sha256(collection_id || '/' || doc_id || '/' || chunk_index) AS passage_id, collection_id, doc_id,
            chunk_index, md5(text) AS text_md5 FROM chunks""")
 def stream_import(spark, folder):
-    """Documents arriving as files are chunked per batch and swapped in by collection."""
+    """Documents arriving as files are chunked; every batch is a version of the stored table."""
     out, checkpoint, staging = _folders(spark)
     documents = J.table_stream(spark, folder, "documents").select(
         F.col("source").alias("collection_id"), "doc_id", T.pages_of_lines(F.col("text")).alias("pages"))
     J.run_available(J.import_stream(documents, out, staging), checkpoint)
-    return spark.read.parquet(out).select(
+    return generations.read(spark, out).select(
         "passage_id", "collection_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("text").alias("text_md5"))
 
 

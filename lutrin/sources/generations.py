@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,11 +109,19 @@ def read(spark: SparkSession, root: str, at: Version | int | None = None) -> Dat
     return rows.select(*schema.names)
 
 
-def commit(spark: SparkSession, root: str, rows: DataFrame | None = None, gone: DataFrame | None = None) -> Version:
-    """A new version: without the earlier rows whose key is in `gone` (its columns are the key), and with `rows`.
+def newest_rows(spark: SparkSession, root: str, at: Version) -> DataFrame:
+    """The rows that the writer of a version added."""
+    schema = T.StructType.fromJson(json.loads(at.schema))
+    return spark.read.schema(schema).parquet(f"{root}/{at.segments[-1]}")
+
+
+def commit(spark: SparkSession, root: str, rows: DataFrame | None = None, gone: DataFrame | Sequence[DataFrame] = (),
+           keys: Sequence[str] = (), settling: bool = True) -> Version:
+    """A new version: without the earlier rows whose key is in a table of `gone` (its columns are the key) or, by `keys`, among the new rows, and
+    with `rows`, which are computed once.
 
     The first rows give the table its schema; later ones may lack columns or have them in another order. Nothing is
-    changed for readers until both are written.
+    changed for readers until all is written.
     """
     base = version(spark, root)
     if base is None and rows is None:
@@ -120,22 +129,30 @@ def commit(spark: SparkSession, root: str, rows: DataFrame | None = None, gone:
     base = base or Version(0, json.dumps(rows.schema.jsonValue()))
     new = replace(base, number=base.number + 1)
     place = f"seq={new.number}/run={uuid.uuid4().hex}"
-    if gone is not None and base.segments:
-        on = ",".join(gone.columns)
-        gone.distinct().write.parquet(f"{root}/marks/on={on}/{place}")
-        new = replace(new, marks=(*new.marks, (on, f"marks/on={on}/{place}")))
+    gone = [gone] if isinstance(gone, DataFrame) else [*gone]
     if rows is not None:
         schema = T.StructType.fromJson(json.loads(new.schema))
         fitted = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
         fitted.write.parquet(f"{root}/data/{place}")
         new = replace(new, segments=(*new.segments, f"data/{place}"))
+        if keys:
+            gone.append(spark.read.schema(schema).parquet(f"{root}/data/{place}").select(*keys))
+    for number, table in enumerate(gone if base.segments else []):
+        on = ",".join(table.columns)
+        table.distinct().write.parquet(f"{root}/marks/on={on}/{place}-{number}")
+        new = replace(new, marks=(*new.marks, (on, f"marks/on={on}/{place}-{number}")))
     new = _point(spark, root, new)
-    return compact(spark, root) if len(new.segments) + len(new.marks) > SEGMENTS else new
+    return settled(spark, root, new) if settling else new
+
+
+def settled(spark: SparkSession, root: str, at: Version) -> Version:
+    """The version, compacted if it has many parts."""
+    return compact(spark, root) if len(at.segments) + len(at.marks) > SEGMENTS else at
 
 
 def replaced(spark: SparkSession, root: str, rows: DataFrame, keys: list[str]) -> Version:
     """A version in which `rows` stand in place of all earlier rows that share their keys; rows of other keys stay."""
-    return commit(spark, root, rows, rows.select(*keys))
+    return commit(spark, root, rows, keys=keys)
 
 
 def compact(spark: SparkSession, root: str) -> Version:

@@ -194,31 +194,27 @@ def newest_per_job(spark: SparkSession, path: str) -> DataFrame:
 
 # --- import ----------------------------------------------------------------------------
 
-def import_stream(documents: DataFrame, target: str, staging: str, replace: bool = False, embed=None):
-    """Arriving documents (collection_id, doc_id, pages) are chunked and swapped in per collection.
+def import_stream(documents: DataFrame, root: str, staging: str, replace: bool = False, embed=None):
+    """Arriving documents (collection_id, doc_id, pages) are chunked; every batch becomes a version of the table stored below `root`.
 
     merge adds to a collection. replace puts the documents of this run in its place: the first batch that brings a
-    collection replaces it, later batches add to it. A batch that is run again writes the same ids.
+    collection replaces it, later batches add to it. A batch that is run again writes the same ids. `staging` keeps which collections
+    a run has replaced.
     """
-    replaced = f"{staging}/replaced"
+    begun = f"{staging}/replaced"
 
     def index_batch(batch: DataFrame, batch_id: int) -> None:
         rows = P.enriched(P.passages(batch))
         if embed is not None:
             rows = rows.withColumn("embedding", embed(P.embed_text(F.col("hierarchy_path"), F.col("text"))))
-        rows = written(rows)  # used several times
-        stage = f"{staging}/batch-{batch_id}"
+        first = None
         if replace:
-            seen = stored(batch.sparkSession, replaced, "collection_id string, batch long").filter(F.col("batch") < batch_id)
+            rows = written(rows)  # used twice
+            seen = stored(batch.sparkSession, begun, "collection_id string, batch long").filter(F.col("batch") < batch_id)
             first = written(rows.select("collection_id").distinct().join(seen, "collection_id", "left_anti"))
-            M.reindex(rows.join(first, "collection_id", "left_semi").select(*rows.columns), target, stage)
-            first.write.mode("overwrite").parquet(f"{replaced}/batch={batch_id}")
-            rows = rows.join(first, "collection_id", "left_anti").select(*rows.columns)
-        elif stored(batch.sparkSession, target, rows.schema).isEmpty():
-            M.reindex(rows, target, stage)
-            return
-        if not rows.isEmpty():
-            M.add_documents(rows, target, stage)
+        M.add_documents(rows, root, first)
+        if first is not None:
+            first.write.mode("overwrite").parquet(f"{begun}/batch={batch_id}")
     return documents.writeStream.foreachBatch(index_batch)
 
 

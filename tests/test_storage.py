@@ -10,7 +10,7 @@ from lutrin.operators import activity as V
 from lutrin.operators import index
 from lutrin.operators import maintain as M
 from lutrin.operators import passages as P
-from lutrin.sources import catalog, files, sinks
+from lutrin.sources import catalog, files, generations, sinks
 from lutrin.streaming import jobs as J
 
 
@@ -55,27 +55,35 @@ def rows(spark, ids, collection="a"):
                                  "passage_id string, collection_id string, mechanics array<string>, embedding array<double>")
 
 
-def stored(spark, path):
-    return sorted(r["passage_id"] for r in spark.read.parquet(path).collect())
+def stored(spark, root):
+    return sorted(r["passage_id"] for r in generations.read(spark, root).collect())
 
 
-def test_reindex_replaces_merges_and_keeps(spark, tmp_path):
-    target, staging = str(tmp_path / "t"), str(tmp_path / "s")
+def test_snapshots_have_arrays_and_float_vectors(spark, tmp_path):
+    target = str(tmp_path / "t")
     M.write_snapshot(rows(spark, ["old-1", "old-2"]).unionByName(rows(spark, ["b-1"], "b")), target)
     assert dict(spark.read.parquet(target).dtypes)["embedding"] == "array<float>"
     assert spark.read.parquet(target).filter("mechanics IS NULL").count() == 0
-    M.reindex(rows(spark, ["new-1"]), target, staging + "1")
-    assert stored(spark, target) == ["b-1", "new-1"]
-    M.reindex(rows(spark, ["new-2", "new-1"]), target, staging + "2", replace=False)
-    assert stored(spark, target) == ["b-1", "new-1", "new-2"]
+    assert M.read_snapshot(rows(spark, []), target).count() == 3
+
+
+def test_reindex_replaces_merges_and_keeps(spark, tmp_path):
+    root = str(tmp_path / "t")
+    M.reindex(rows(spark, ["old-1", "old-2"]).unionByName(rows(spark, ["b-1"], "b")), root)
+    assert dict(generations.read(spark, root).dtypes)["embedding"] == "array<float>"
+    assert generations.read(spark, root).filter("mechanics IS NULL").count() == 0
+    assert list(map(tuple, M.reindex(rows(spark, ["new-1"]), root).collect())) == [("a", 1)]
+    assert stored(spark, root) == ["b-1", "new-1"]
+    M.reindex(rows(spark, ["new-2", "new-1"]), root, replace=False)
+    assert stored(spark, root) == ["b-1", "new-1", "new-2"]
     # a run that made nothing leaves everything as it was
-    M.reindex(rows(spark, []), target, staging + "3")
-    assert stored(spark, target) == ["b-1", "new-1", "new-2"]
+    M.reindex(rows(spark, []), root)
+    assert stored(spark, root) == ["b-1", "new-1", "new-2"]
     # a run that fails while it writes its rows leaves everything as it was
     broken = rows(spark, ["x"]).withColumn("passage_id", F.raise_error(F.lit("broken")).cast("string"))
     with pytest.raises(Exception, match="broken"):
-        M.reindex(broken, target, staging + "4")
-    assert stored(spark, target) == ["b-1", "new-1", "new-2"]
+        M.reindex(broken, root)
+    assert stored(spark, root) == ["b-1", "new-1", "new-2"]
 
 
 def test_named_changes(spark):

@@ -11,6 +11,7 @@ from lutrin.operators import ask as A
 from lutrin.operators import index
 from lutrin.operators import maintain as M
 from lutrin.operators import names as N
+from lutrin.sources import generations
 from lutrin.streaming import jobs as J
 
 
@@ -88,7 +89,7 @@ def test_replace_mode_keeps_all_documents_of_one_run(spark, tmp_path):
         folder = part_files(spark, tmp_path / name, "docs", [[d] for d in docs], schema)
         stream = J.table_stream(spark, folder, "docs", 1)
         J.run_available(J.import_stream(stream, target, str(tmp_path / f"{name}-stage"), replace), str(tmp_path / f"{name}-check"))
-        return sorted({(r["collection_id"], r["doc_id"]) for r in spark.read.parquet(target).collect()})
+        return sorted({(r["collection_id"], r["doc_id"]) for r in generations.read(spark, target).collect()})
 
     def doc(collection, number):
         return collection, number, [(1, text)]
@@ -98,19 +99,20 @@ def test_replace_mode_keeps_all_documents_of_one_run(spark, tmp_path):
     assert go("third", [doc("a", 6)], False) == [("a", 3), ("a", 4), ("a", 6), ("b", 2), ("c", 5)]
 
 
-def test_staging_of_an_earlier_run_is_not_swapped_in(spark, tmp_path):
+def test_documents_that_arrive_again_replace_theirs(spark, tmp_path):
     schema = "passage_id string, collection_id string, doc_id long, text string"
-    target, stage = str(tmp_path / "t"), str(tmp_path / "s")
+    root = str(tmp_path / "t")
 
     def rows(*items):
         return spark.createDataFrame(items, schema)
 
-    M.reindex(rows(("1", "A", 1, "old")), target, stage)
-    M.reindex(rows(("2", "B", 1, "b")), target, stage)
-    M.write_snapshot(rows(("3", "A", 1, "new")), target)
-    M.reindex(rows(("4", "B", 1, "b2")), target, stage)
-    got = M.read_snapshot(rows(("", "", 0, "")), target).collect()
-    assert sorted((r["collection_id"], r["text"]) for r in got) == [("A", "new"), ("B", "b2")]
+    M.add_documents(rows(("1", "A", 1, "old"), ("2", "A", 2, "kept"), ("3", "B", 1, "b")), root)
+    for _ in range(2):  # a batch that is run again leaves the same rows
+        M.add_documents(rows(("4", "A", 1, "new"), ("5", "A", 1, "newer")), root)
+        got = generations.read(spark, root).collect()
+        assert sorted((r["collection_id"], r["text"]) for r in got) == [("A", "kept"), ("A", "new"), ("A", "newer"), ("B", "b")]
+    M.add_documents(rows(("6", "A", 3, "third")), root, spark.createDataFrame([("B",)], "collection_id string"))
+    assert sorted(r["text"] for r in generations.read(spark, root).collect()) == ["kept", "new", "newer", "third"]
 
 
 def test_several_changes_of_one_key_are_saved_in_turn(spark):
