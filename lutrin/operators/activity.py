@@ -162,6 +162,29 @@ def cached_answers(queries: DataFrame, answers: DataFrame) -> DataFrame:
             .withColumn("cached", F.col("answer").isNotNull()))
 
 
+def live_answers(questions: DataFrame, answers: DataFrame, valid_hours: int = 24) -> DataFrame:
+    """Questions with the newest answer of their key that was made before they were asked and is still valid.
+
+    questions(cache_key, asked_at, history_turns, ...), answers(cache_key, answer, made_at); of answers made at one time the largest text counts.
+    Only first questions look one up. Answers and questions of a key meet in one sorted window, so neither is multiplied.
+    """
+    first = F.col("history_turns") == 0
+    asked = questions.filter(first & F.col("cache_key").isNotNull()).select(
+        "cache_key", F.col("asked_at").alias("_at"), F.lit(1).alias("_asked"), F.lit(None).cast("string").alias("_text"),
+        F.lit(None).cast("timestamp").alias("_made"), F.struct(*questions.columns).alias("_q"))
+    made = answers.filter("cache_key is not null and answer is not null").select(
+        "cache_key", F.col("made_at").alias("_at"), F.lit(0).alias("_asked"), F.col("answer").alias("_text"), F.col("made_at").alias("_made"),
+        F.lit(None).cast(asked.schema["_q"].dataType).alias("_q"))
+    earlier = W.partitionBy("cache_key").orderBy("_at", "_asked", "_text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = F.last(F.when(F.col("_asked") == 0, F.struct("_text", "_made")), True).over(earlier)
+    valid = F.col("_last._made") + F.expr(f"INTERVAL {valid_hours} HOURS") > F.col("_at")
+    found = (asked.unionByName(made).withColumn("_last", last).filter("_asked = 1")
+             .select("_q.*", F.when(valid, F.col("_last._text")).alias("answer")))
+    others = questions.filter(~F.coalesce(first & F.col("cache_key").isNotNull(), F.lit(False)))
+    return (found.unionByName(others.withColumn("answer", F.lit(None).cast("string")))
+            .withColumn("cached", F.col("answer").isNotNull()))
+
+
 def question_log(answered: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Log rows (event_type, message, metadata, created_at) of answered questions."""
     metadata = F.to_json(F.struct(

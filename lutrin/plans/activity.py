@@ -156,6 +156,27 @@ def answer_cache_hits(spark, folder):
         "conv_id", "exchange_no", F.coalesce("answer", F.lit("")).alias("answer"), "cached")
 
 
+@query("live_answers", f"""
+    WITH {ASKED}, made AS (SELECT cache_key, answer, asked_at AS made_at FROM keyed WHERE history_turns = 0),
+    again AS (SELECT conv_id, exchange_no, cache_key, asked_at + INTERVAL (conv_id % 48) HOUR AS asked_at FROM keyed WHERE history_turns = 0)
+    SELECT a.conv_id, a.exchange_no, coalesce(arg_max(m.answer, (m.made_at, m.answer)), '') AS answer, count(m.answer) > 0 AS cached
+    FROM again a LEFT JOIN made m ON m.cache_key = a.cache_key AND m.made_at <= a.asked_at AND a.asked_at < m.made_at + INTERVAL 24 HOUR
+    GROUP BY a.conv_id, a.exchange_no, a.cache_key, a.asked_at""")
+def live_answers(spark, folder):
+    """First questions asked again, up to two days later, each served by the newest answer made before it."""
+    asked, made = repeated_questions(spark, folder)
+    found = V.live_answers(asked, made)
+    return found.select("conv_id", F.col("exchange_no").cast("long").alias("exchange_no"), F.coalesce("answer", F.lit("")).alias("answer"), "cached")
+
+
+def repeated_questions(spark, folder):
+    """First questions of all conversations, asked again, and the answers that were made when they were asked first."""
+    first = _asked(spark, folder).filter("history_turns = 0")
+    again = first.select("conv_id", "exchange_no", "history_turns", "cache_key", F.timestamp_micros(
+        F.unix_micros("asked_at") + F.col("conv_id") % 48 * F.lit(3600000000)).alias("asked_at"))
+    return again, first.select("cache_key", "answer", F.col("asked_at").alias("made_at"))
+
+
 @query("question_log", f"""
     WITH {EXCHANGES}, tokens AS (SELECT user_id, sum(json_extract_string(props, '$.k')::BIGINT) AS total FROM events GROUP BY user_id)
     SELECT x.conv_id, x.exchange_no, 'ask_question' AS event_type, 'Question sur le jeu ''c' || (x.conv_id % 3) || '''' AS message,

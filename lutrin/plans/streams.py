@@ -79,6 +79,23 @@ def stream_event_log(spark, folder):
             .agg(F.count("*").alias("n")))
 
 
+@query("stream_live_answers", SQL["live_answers"])
+def stream_live_answers(spark, folder):
+    """The rows of `live_answers` from two streams, of questions and of answers, that meet in keyed state."""
+    out, checkpoint, arriving = _folders(spark)
+    again, made = activity.repeated_questions(spark, folder)
+    again = again.withColumn("question_id", F.concat_ws("/", "conv_id", "exchange_no"))
+    again.write.parquet(f"{arriving}/questions")
+    made.write.parquet(f"{arriving}/answers")
+    questions, answers = (spark.readStream.schema(df.schema).parquet(f"{arriving}/{name}") for df, name in ((again, "questions"), (made, "answers")))
+    served = J.answer_cache_stream(questions, answers)
+    J.run_available(served.writeStream.format("parquet").outputMode("append").option("path", out), checkpoint)
+    place = F.split("question_id", "/")
+    return spark.read.parquet(out).select(
+        place[0].cast("long").alias("conv_id"), place[1].cast("long").alias("exchange_no"), F.coalesce("answer", F.lit("")).alias("answer"),
+        F.col("answer").isNotNull().alias("cached"))
+
+
 @query("stream_cached_answers", SQL["answer_cache_hits"])
 def stream_cached_answers(spark, folder):
     """The repeated questions of `answer_cache_hits`, arriving as a stream over the stored answers."""

@@ -254,3 +254,52 @@ def cached_answer_stream(questions: DataFrame, answers: DataFrame) -> DataFrame:
     joined = questions.withColumn("_asked", lookup).join(stored, F.col("_asked") == F.col("_key"), "left")
     return (joined.withColumn("answer", F.when(valid, F.col("_answer")))
             .withColumn("cached", F.col("answer").isNotNull()).drop("_asked", "_key", "_answer", "_until"))
+
+
+class AnswerCache(StatefulProcessor):
+    """The newest answer of a key with the time it was made; questions and answers of a batch are taken in the order of their time.
+
+    An answer serves questions asked from its time on, for `valid_ms`. A new update time of the collection is another key, so a
+    re-index invalidates all. The state of a key is one row; with `sweep` it is forgotten a day of the clock after its last change (TTL).
+    """
+
+    def __init__(self, valid_ms: int, sweep: bool):
+        self.valid_ms, self.sweep = valid_ms, sweep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        schema = "answer string, made_ms long"
+        self.newest = handle.getValueState("newest", schema, self.valid_ms) if self.sweep else handle.getValueState("newest", schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        answer, made = self.newest.get() if self.newest.exists() else (None, None)
+        before = made, answer
+        # a batch holds as many rows as its trigger allows
+        batch = pd.concat([r[["question_id", "at_ms", "answer"]] for r in rows]).sort_values(["at_ms", "question_id", "answer"], na_position="first")
+        ids, served = [], []
+        for question_id, at, text in batch.itertuples(index=False):
+            if pd.isna(question_id):
+                if made is None or (at, text) >= (made, answer):
+                    answer, made = text, int(at)
+            else:
+                ids.append(question_id)
+                served.append(answer if made is not None and made <= at < made + self.valid_ms else None)
+        if (made, answer) != before:
+            self.newest.update((answer, made))
+        yield pd.DataFrame({"question_id": pd.Series(ids, dtype="object"), "answer": pd.Series(served, dtype="object")})
+
+    def close(self) -> None:
+        pass
+
+
+def answer_cache_stream(questions: DataFrame, answers: DataFrame, valid_hours: int = 24, sweep: bool = False) -> DataFrame:
+    """(question_id, answer) of first questions: the answer made for the same key, by this stream or stored before, or null for the model to give one.
+
+    questions(question_id string, cache_key, asked_at, history_turns) and answers(cache_key, answer, made_at) are streams; what was stored earlier
+    may be the first files of the answers. Keyed state serves an answer from the batch that brings it on.
+    """
+    asked = questions.filter("history_turns = 0 and cache_key is not null").select(
+        "cache_key", F.col("question_id").cast("string").alias("question_id"), F.unix_millis("asked_at").alias("at_ms"), F.lit(None).cast("string").alias("answer"))
+    made = answers.filter("cache_key is not null and answer is not null").select(
+        "cache_key", F.lit(None).cast("string").alias("question_id"), F.unix_millis("made_at").alias("at_ms"), "answer")
+    return asked.unionByName(made).groupBy("cache_key").transformWithStateInPandas(
+        AnswerCache(valid_hours * 3_600_000, sweep), "question_id string, answer string", "Append", _time_mode(sweep))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -223,3 +224,38 @@ def test_idle_keys_and_finished_jobs_are_swept():
     assert handle.timers == [1000 + J.DAY_MS] and out.iloc[0]["current"] == 4 and out.iloc[0]["status"] == "completed"
     list(job.handleExpiredTimer((7,), Now(), None))
     assert handle.values == {}
+
+
+def test_answers_made_by_the_stream_are_served_for_a_day(spark, tmp_path):
+    day, start = dt.timedelta(days=1), dt.datetime(2024, 1, 1)
+    q_schema, a_schema = "question_id string, cache_key string, asked_at timestamp, history_turns int", "cache_key string, answer string, made_at timestamp"
+    hour = lambda h: start + dt.timedelta(hours=h)
+    batches = [([("1", "k", hour(0), 0), ("2", "k", hour(0), 1), ("0", None, hour(0), 0)], [("k", "one", hour(1)), (None, "lost", hour(0)), ("k", None, hour(2))]),
+               ([("3", "k", hour(2), 0), ("4", "k2", hour(2), 0), ("5", "k", hour(0.5), 0)], []),  # k2: the collection was indexed again
+               ([("6", "k", hour(1) + day, 0), ("7", "k", hour(26), 0)], [("k", "two", hour(25.5)), ("k", "old", hour(0.25))]),
+               ([("8", "k", hour(40), 0)], [("k2", "other", hour(3))])]
+    root = tmp_path / "stream"
+    for asked, made in batches:
+        for name, rows, schema in (("questions", asked, q_schema), ("answers", made, a_schema)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(root / name))
+        streams = [spark.readStream.schema(schema).parquet(str(root / name)) for name, schema in (("questions", q_schema), ("answers", a_schema))]
+        served = J.answer_cache_stream(*streams)
+        J.run_available(served.writeStream.format("parquet").outputMode("append").option("path", str(root / "out")), str(root / "check"))
+    got = {r["question_id"]: r["answer"] for r in spark.read.parquet(str(root / "out")).collect()}
+    want = {"1": None, "3": "one", "4": None, "5": None, "6": None, "7": "two", "8": "two"}
+    assert got == want
+    # a flow that never ends, its state with a time to live
+    served = J.answer_cache_stream(*streams, sweep=True)
+    query = (served.writeStream.format("parquet").outputMode("append").option("path", str(root / "out2"))
+             .option("checkpointLocation", str(root / "check2")).start())
+    try:
+        end = time.time() + 60
+        while time.time() < end and not any(p["numInputRows"] for p in query.recentProgress):
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    live = {r["question_id"]: r["answer"] for r in spark.read.parquet(str(root / "out2")).collect()}
+    assert live == {**want, "5": "old"}  # all files in one batch, in the order of time
+    asked, made = (spark.createDataFrame([r for b in batches for r in b[i]], schema) for i, schema in ((0, q_schema), (1, a_schema)))
+    batch = {r["question_id"]: (r["answer"], r["cached"]) for r in V.live_answers(asked, made).collect()}
+    assert batch == {**{q: (a, a is not None) for q, a in want.items()}, "2": (None, False), "0": (None, False), "5": ("old", True)}
