@@ -50,9 +50,16 @@ def holds_word(text: Column, word: Column) -> Column:
 
 
 def missing_facts(answer: Column, facts: Column) -> Column:
-    """Facts of which no `|`-variant stands in the answer."""
-    return let(without_citations(answer), lambda a: F.filter(facts, lambda fact: ~F.exists(
-        F.split(fact, r"\|"), lambda v: holds_word(a, comparable_answer(v)))))
+    """Facts of which no `|`-variant stands in the answer.
+
+    The answer is cut into words once; a variant of one word is looked up among them, only others become a pattern.
+    """
+    def holds(a: Column, variant: Column) -> Column:
+        return F.when(F.regexp_like(variant, F.lit(r"^[\p{L}\p{Nd}]+$")), F.array_contains(a["words"], variant)).otherwise(holds_word(a["text"], variant))
+
+    words = let(without_citations(answer), lambda t: F.struct(t.alias("text"), F.split(t, r"[^\p{L}\p{Nd}]+").alias("words")))
+    return let(words, lambda a: F.filter(facts, lambda fact: ~F.exists(
+        F.split(fact, r"\|"), lambda v: holds(a, comparable_answer(v)))))
 
 
 def in_page_range(page: Column, start: Column, end: Column) -> Column:

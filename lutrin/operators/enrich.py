@@ -21,6 +21,7 @@ def first_passages(passages: DataFrame, count: int, rank: str = "place") -> Data
     places are fetched.
     """
     keys = ["collection_id", *ORDER]
+    passages = written(passages.select(*keys, "text"))  # chunking would run twice
     places = top_per(passages.select(*keys), ["collection_id"], [F.col(c) for c in ORDER], count, rank)
     return passages.select(*keys, "text").join(places, keys)
 

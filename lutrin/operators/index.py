@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lutrin.functions import lexicon as L
 from lutrin.functions import nlp, scores
 from lutrin.functions import text as T
+from lutrin.functions.guarded import guarded
 from lutrin.functions.text import let
+from lutrin.operators.skew import computed_once
 from lutrin.sources import generations
 
 POSTING_COLUMNS = ["collection_id", "stem", "passage_id", "page_start", "field", "tf", "weight", "first_field"]
@@ -89,6 +91,21 @@ def with_embedding(df: DataFrame, text: Column, embed: Callable[[Column], Column
     return df.withColumn(column, vector)
 
 
+def with_guarded_embedding(df: DataFrame, text: Column, embed: Callable, column: str = "embedding", error: str = "embedding_error",
+                           dimensions: int | None = None) -> DataFrame:
+    """Adds the vectors of a Python embedder (batch of texts to vectors) and, where it raised or gave another length, what went wrong.
+
+    A row that fails keeps its place with a null vector; it does not end the run, and the rows beside it have their vectors.
+    """
+    rows = computed_once(df, "_embedded", guarded(embed)(text))
+    value, failed = F.col("_embedded.value"), F.col("_embedded.error")
+    if dimensions is not None:
+        fits = F.size(value) == dimensions
+        failed = F.coalesce(failed, F.when(~fits, F.concat(F.lit("size "), F.size(value).cast("string"))))
+        value = F.when(fits, value)
+    return rows.withColumn(column, value).withColumn(error, failed).drop("_embedded")
+
+
 def mean_pooled(df: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
     """Mean of the vectors per key at length one.
 

@@ -177,6 +177,16 @@ def repeated_questions(spark, folder):
     return again, first.select("cache_key", "answer", F.col("asked_at").alias("made_at"))
 
 
+@query("files_by_collection", """
+    SELECT source AS collection_id, count(*) AS n_files, sum(n_chars)::BIGINT AS total_size, max(doc_id) AS last_doc FROM documents GROUP BY source""")
+def files_by_collection(spark, folder):
+    """Stored documents as the files of their sources; the time of change is their number in seconds."""
+    files = D.table(spark, folder, "documents").select(
+        F.col("source").alias("collection_id"), F.col("n_chars").alias("size"), F.timestamp_seconds("doc_id").alias("modified"))
+    return V.files_by_collection(files).select("collection_id", "n_files", F.col("total_size").cast("long").alias("total_size"),
+                                               F.unix_seconds("modified").alias("last_doc"))
+
+
 @query("question_log", f"""
     WITH {EXCHANGES}, tokens AS (SELECT user_id, sum(json_extract_string(props, '$.k')::BIGINT) AS total FROM events GROUP BY user_id)
     SELECT x.conv_id, x.exchange_no, 'ask_question' AS event_type, 'Question sur le jeu ''c' || (x.conv_id % 3) || '''' AS message,

@@ -477,13 +477,17 @@ def dimension_rejects(spark, folder):
 
 
 @query("failed_embeddings", f"""
-    WITH {S.PASSAGES} SELECT passage_id, length(text) % 3 <> 0 AS embedded FROM passages""")
+    WITH {S.PASSAGES} SELECT passage_id, length(text) % 3 <> 0 AS embedded,
+        CASE WHEN length(text) % 3 = 0 THEN 'ValueError: no vector for ' || length(text) || ' letters' ELSE '' END AS error FROM passages""")
 def failed_embeddings(spark, folder):
-    """An embedder that fails on some texts: every passage stays, with a null vector where it failed."""
-    def embed(text):
-        return F.when(F.length(text) % 3 != 0, F.array(F.length(text).cast("double")))
-    rows = index.with_embedding(D.page_passages(spark, folder), F.col("text"), embed, dimensions=1)
-    return rows.select("passage_id", F.col("embedding").isNotNull().alias("embedded"))
+    """An embedder that raises on some texts: every passage stays, with an error of its own where it failed."""
+    def embed(texts):
+        for n in texts.str.len():
+            if n % 3 == 0:
+                raise ValueError(f"no vector for {n} letters")
+        return [[float(n)] for n in texts.str.len()]
+    rows = index.with_guarded_embedding(D.page_passages(spark, folder), F.col("text"), embed, dimensions=1)
+    return rows.select("passage_id", F.col("embedding").isNotNull().alias("embedded"), F.coalesce("embedding_error", F.lit("")).alias("error"))
 
 
 @query("empty_gameplay", f"""

@@ -199,6 +199,28 @@ def _citing():
                     F.lit(". "), F.col("text"), F.lit(" (pages "), number(turn + 2), F.lit(" à "), number(turn + 4), F.lit(")"))
 
 
+@query("answer_failures", """
+    WITH a AS (
+        SELECT conv_id, turn, conv_id % 4 = 0 AS out, CASE WHEN turn = 3 THEN 'délai' END AS error, contains(lower(text), 'the') AS refused,
+               conv_id % 3 > 0 AS in_context, turn % 4 = 1 AS misses, length(text) % 5 = 0 AS invents, length(text) AS words
+        FROM conversations WHERE role = 'assistant')
+    SELECT conv_id, turn, concat_ws(', ', CASE WHEN error IS NOT NULL THEN 'erreur : ' || error END,
+        CASE WHEN error IS NULL AND out AND NOT refused THEN 'répond alors que la règle n''est pas dans le livret' END,
+        CASE WHEN error IS NULL AND NOT out AND refused AND in_context THEN 'refuse alors que la réponse est dans le contexte' END,
+        CASE WHEN error IS NULL AND NOT out AND misses THEN 'faits manquants deux, trois' END,
+        CASE WHEN invents THEN 'pages absentes du contexte 7 9' END, CASE WHEN words > 120 THEN words || ' mots' END) AS problems FROM a""")
+def answer_failures(spark, folder):
+    """What is wrong with each answer, in one line: errors, refusals, missing facts, invented pages, length."""
+    rows = D.table(spark, folder, "conversations").filter("role = 'assistant' and text is not null")
+    none, conv, n = F.array().cast("array<string>"), F.col("conv_id"), F.length("text")
+    judged = rows.select(
+        "conv_id", "turn", F.when(conv % 4 == 0, none).otherwise(F.array(F.lit("x"))).alias("expected"), F.when(F.col("turn") == 3, "délai").alias("error"),
+        F.lower("text").contains("the").alias("refused"), (conv % 3 > 0).alias("in_context"),
+        F.when(F.col("turn") % 4 == 1, F.array(F.lit("deux"), F.lit("trois"))).otherwise(none).alias("missing"),
+        F.when(n % 5 == 0, F.array(F.lit(7), F.lit(9))).otherwise(F.array().cast("array<int>")).alias("invented_pages"), n.alias("words"))
+    return judged.select("conv_id", "turn", E.answer_failure(120).alias("problems"))
+
+
 @query("cited_pages", f"""
     WITH a AS (SELECT conv_id, turn, {CITING} AS answer FROM conversations WHERE role = 'assistant'),
     ends AS (

@@ -3,9 +3,11 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lutrin.functions.guarded import halved
 from lutrin.operators import activity as V
 from lutrin.operators import index
 from lutrin.operators import maintain as M
@@ -187,3 +189,23 @@ def test_outcome_of_a_run(spark):
     outcome = M.outcome(docs, P.passages(docs))
     assert {r["doc_id"]: r["status"] for r in outcome.collect()} == {1: "indexed", 2: "no text", 3: "no passage"}
     assert {r["collection_id"]: r["success"] for r in M.run_summary(outcome).collect()} == {"a": True, "b": False}
+
+
+def test_rows_on_which_the_embedder_raises_do_not_end_the_run(spark):
+    seen = []
+
+    def embed(texts):
+        seen.extend(texts)
+        if texts.str.contains("bad").any():
+            raise RuntimeError("no vector")
+        return [[float(len(t))] * (2 if t == "long" else 1) for t in texts]
+
+    texts = pd.Series([f"t{i}" if i % 100 != 7 else f"bad{i}" for i in range(256)])
+    values, errors = halved(embed, texts)
+    assert [i for i, e in enumerate(errors) if e] == [7, 107, 207] and errors[7] == "RuntimeError: no vector"
+    assert all((v is None) == (e is not None) for v, e in zip(values, errors, strict=True))
+    assert max(seen.count(t) for t in texts) <= 1 + 8
+    assert halved(embed, texts.iloc[:0]) == ([], []) and halved(lambda t: [1], texts.iloc[:2]) == ([1, 1], [None, None])
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "bad"), (4, "long"), (5, "")], "id int, v string")
+    rows = index.with_guarded_embedding(df, F.col("v"), embed, dimensions=1).orderBy("id").collect()
+    assert [(r["embedding"], r["embedding_error"]) for r in rows] == [([1.0], None), (None, None), (None, "RuntimeError: no vector"), (None, "size 2"), ([0.0], None)]
