@@ -164,7 +164,7 @@ def test_import_stream_in_two_steps(spark, tmp_path):
         spark.createDataFrame([("a", doc, [(1, text + f"Fin {doc}.")])], schema).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         J.run_available(J.import_stream(stream, target, str(tmp_path / f"stage{doc}")), check)
-        got = spark.read.parquet(target).select("doc_id").distinct().collect()
+        got = generations.read(spark, target).select("doc_id").distinct().collect()
         assert {r["doc_id"] for r in got} == set(range(1, doc + 1))
 
 
