@@ -8,8 +8,11 @@ a chance of at most MISSED, one in a million: 13 chunks and radius 25 at similar
 signature is therefore entered under each chunk with each of its positions left out (64 keys); equal keys
 give all pairs within the radius. Pairs are confirmed on the full shingle sets.
 
-Texts with equal sets are one class first. Buckets with the same members count once. In a bucket, members are
-compared with its smallest one; only those farther away than the radius are compared with all others, in blocks. That gives the
+Texts with equal sets are one class first. The chunks come in waves: the first alone, two more, all others. Between them the
+links found so far are contracted, so every signature knows the component it is in. Buckets with the same members
+count once, and a bucket inside one component is closed by its aggregate. In an open bucket the smallest member is compared
+with the members of other components; a large group of near copies meets whole in the first wave only. What is still
+apart after all waves, in a bucket with a member beyond the radius, is compared with the whole bucket, in blocks. That gives the
 clusters of the signature graph. In a cluster the full sets are compared with the set of its smallest member, and
 only members without that link with all others, again in blocks. A block returns a spanning forest of its links,
 so a large group of copies gives rows in proportion to its size, and every link counts.
@@ -21,6 +24,7 @@ and component_id is null there. Rows that share a doc_id are one document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -95,23 +99,31 @@ def _prints(words: int):
     return made
 
 
-def _keys(signatures: pd.Series, chunks: int = CHUNKS) -> np.ndarray:
-    """Keys of every signature: for each chunk, its values with one position left out."""
+def _keys(signatures: pd.Series, chunks: int = CHUNKS, wave: range | None = None) -> np.ndarray:
+    """Keys of every signature: for each chunk (those of the wave, or all), its values with one position left out."""
     s = np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, VALUES).astype(U64)
     factors, out = odd_numbers(VALUES, 67), []
+    parts = np.split(np.arange(VALUES), [i * VALUES // chunks for i in range(1, chunks)])
     with np.errstate(over="ignore"):
-        terms = mixed((s + U64(1)) * factors + factors)
-        for chunk in np.split(np.arange(VALUES), [i * VALUES // chunks for i in range(1, chunks)]):
-            total = terms[:, chunk].sum(axis=1, dtype=U64)
-            out.extend(mixed(total - terms[:, p] + factors[p]) for p in chunk)
+        for chunk in (parts[i] for i in (range(chunks) if wave is None else wave)):
+            terms = mixed((s[:, chunk] + U64(1)) * factors[chunk] + factors[chunk])
+            total = terms.sum(axis=1, dtype=U64)
+            out.extend(mixed(total - terms[:, i] + factors[p]) for i, p in enumerate(chunk))
     return np.column_stack(out).astype(np.int64)
 
 
-def _keys_of(chunks: int):
+def _waves(chunks: int) -> list[range]:
+    """Chunks of every wave: one shows most of the large groups, two more nearly all that it split."""
+    ends = sorted({0, min(1, chunks), min(3, chunks), chunks})
+    return [range(low, high) for low, high in zip(ends, ends[1:])]
+
+
+def _keyed(signatures: DataFrame, chunks: int, wave: range | None = None) -> DataFrame:
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(signature: pd.Series) -> pd.Series:
-        return pd.Series(list(_keys(signature, chunks)))
-    return keys
+        return pd.Series(list(_keys(signature, chunks, wave)))
+
+    return signatures.select("rep", "center", F.explode(keys("signature")).alias("key"))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -200,32 +212,66 @@ def _share_enough(share: int, columns: int = 2048):
     return enough
 
 
-def _crowded(signatures: DataFrame, chunks: int) -> tuple[DataFrame, DataFrame]:
-    """Buckets with several members, one for each set of members: as pairs (two members), and as rows (key, rep, lead)."""
-    keys = signatures.select("rep", F.explode(_keys_of(chunks)("signature")).alias("key"))
+def _open_buckets(keys: DataFrame) -> DataFrame:
+    """Buckets that members of several components share, one for each set of members."""
     met = (keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.max("rep").alias("last"),
-                                   F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1")
-           .groupBy("n", "lead", "last", "members").agg(F.min("key").alias("key")))
-    met = written(met)
+                                   F.bit_xor(F.xxhash64("rep")).alias("members"), F.min("center").alias("low"), F.max("center").alias("high"))
+           .filter("low < high"))
+    return met.groupBy("n", "lead", "last", "members").agg(F.min("key").alias("key"))
+
+
+def _stars(signatures: DataFrame, chunks: int, wave: range, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, ca, cb, far): smallest members of the open buckets, members of other components, and both components.
+
+    The second table (key, lead, rep and what names the bucket) tells in which buckets of three and more they met.
+    """
+    keys = _keyed(signatures, chunks, wave)
+    met = written(_open_buckets(keys))
+    leads = signatures.select(F.col("rep").alias("lead"), F.col("center").alias("lead_center"))
+    crowds = met.filter("n > 2").join(leads, "lead")
     # merged at every size: a hot key is then split by the skew handling of the join
-    rows = written(keys.join(met.filter("n > 2").select("key", "lead").hint("merge"), "key"))
-    return met.filter("n = 2").select(F.col("lead").alias("a"), F.col("last").alias("b")), rows
+    rows = written(keys.join(crowds.hint("merge"), (keys["key"] == crowds["key"]) & (keys["center"] != crowds["lead_center"]))
+                   .select(crowds["key"], "n", "lead", "last", "members", "rep"))
+    couples = met.filter("n = 2").select(F.col("lead").alias("a"), F.col("last").alias("b"))
+    a, b = (signatures.select(F.col("rep").alias(x), F.col("center").alias(f"c{x}"), F.col("signature").alias(f"s{x}")) for x in "ab")
+    pairs = rows.select(F.col("lead").alias("a"), F.col("rep").alias("b")).unionByName(couples).distinct()
+    measured = pairs.join(a, "a").join(b, "b").select("a", "b", "ca", "cb", (_apart("sa", "sb") > radius).alias("far"))
+    return written(measured), rows
+
+
+def _contracted(signatures: DataFrame, links: DataFrame) -> DataFrame:
+    """The signatures with the components that links (a, b) between the components so far make of them."""
+    found = components(links)
+    return written(signatures.join(found, signatures["center"] == found["id"], "left").select(
+        "rep", F.coalesce("component", "center").alias("center"), "signature"))
+
+
+def _between_centers(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    a, b = (signatures.select(F.col("rep").alias(x), F.col("center").alias(f"c{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
 
 
 def _clusters(signatures: DataFrame, radius: int) -> DataFrame:
     """(rep, center): components of the graph of signatures within the radius, for all that have a neighbour."""
-    couples, rows = _crowded(signatures, radius // 2 + 1)
-    a, b = (signatures.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
-    stars = rows.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).unionByName(couples).distinct()
-    measured = written(stars.join(a, "a").join(b, "b").select("a", "b", (_apart("sa", "sb") > radius).alias("far")))
-    close = measured.filter("not far").select("a", "b")
-    far = measured.filter("far").select(F.col("a").alias("lead"), F.col("b").alias("rep"), "far")
-    there = rows.join(far, ["lead", "rep"], "left").select("key", "rep", F.coalesce("far", F.lit(False)).alias("far"))
-    open_ = there.groupBy("key").agg(F.max("far").alias("open")).filter("open").select("key")
-    full = there.join(open_, "key", "left_semi").join(signatures, "rep")
+    chunks, parted = radius // 2 + 1, []
+    signatures = signatures.select("rep", F.col("rep").alias("center"), "signature")
+    for wave in _waves(chunks):
+        measured, rows = _stars(signatures, chunks, wave, radius)
+        signatures = _contracted(signatures, measured.filter("not far").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        parted.append(rows.join(measured.filter("far").select(F.col("a").alias("lead"), F.col("b").alias("rep")), ["lead", "rep"]))
+
+    # buckets with a member beyond the radius of the smallest one, if the two are still apart
+    far = reduce(DataFrame.unionByName, parted)
+    lead, rep = (signatures.select(F.col("rep").alias(x), F.col("center").alias(f"{x}_center")) for x in ("lead", "rep"))
+    still = far.join(lead, "lead").join(rep, "rep").filter("lead_center <> rep_center")
+    open_ = written(still.groupBy("n", "lead", "last", "members", "lead_center").agg(F.min("key").alias("key")).select("key", "lead_center"))
+    full = (_keyed(signatures, chunks).join(open_.hint("merge"), "key").select("key", "rep", (F.col("center") != F.col("lead_center")).alias("far"))
+            .join(signatures.select("rep", "signature"), "rep"))
     blocks = _dealt(written(full), "key", F.col("far"), F.lit(2 * VALUES))
-    more = blocks.groupBy("key", "m", "q").applyInPandas(_linked_blocks(_close(radius)), "a long, b long")
-    return written(components(close.unionByName(more)).select(F.col("id").alias("rep"), F.col("component").alias("center")))
+    more = written(blocks.groupBy("key", "m", "q").applyInPandas(_linked_blocks(_close(radius)), "a long, b long"))
+    signatures = _contracted(signatures, _between_centers(more, signatures))
+    joined = signatures.filter("rep <> center").select("rep", "center")
+    return written(joined.unionByName(joined.select(F.col("center").alias("rep"), "center").distinct()))
 
 
 def _confirmed(clusters: DataFrame, sets: DataFrame, share: int) -> DataFrame:
