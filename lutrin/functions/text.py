@@ -5,6 +5,8 @@ Everything here is evaluated inside the row, so none of it shuffles.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -97,14 +99,29 @@ def comparable_answer(c: Column) -> Column:
     return comparable(F.translate(F.translate(c, "_", " "), "*`#", ""))
 
 
-ALL_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-ALL_UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+MARKS = "[\u0300-\u036f]"
+
+
+def _plain_forms() -> dict[str, str]:
+    """Every letter and digit that is an ASCII one once its canonical decomposition has lost its marks, with that one."""
+    found = {}
+    for sign in map(chr, range(0x80, 0x3000)):
+        base = re.sub(MARKS, "", unicodedata.normalize("NFD", sign))
+        if base.isascii() and base.isalnum() and len(base) == 1:
+            found[sign] = base
+    return found
+
+
+PLAIN_FORMS = _plain_forms()
 
 
 def name_key(c: Column) -> Column:
-    """Names compared by letters and digits only."""
-    base = F.translate(F.lower(c), ALL_ACCENTED, ALL_UNACCENTED)
-    return F.trim(F.regexp_replace(base, "[^a-z0-9]+", " "))
+    """Names compared by letters and digits only: decomposed, without marks, in lower case, all else one space.
+
+    "Š", "ő" and "ā" are s, o and a, composed or not; letters without a decomposition ("ø", "ł") are no letters here.
+    """
+    base = F.regexp_replace(F.translate(c, "".join(PLAIN_FORMS), "".join(PLAIN_FORMS.values())), MARKS, "")
+    return F.trim(F.regexp_replace(F.lower(base), "[^a-z0-9]+", " "))
 
 
 def short_name_key(c: Column) -> Column:

@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lutrin.functions.text import name_key, short_name_key
+from lutrin.session import written
 
 
 def detected_names(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, name): the longest name cited; null for none or for several different ones.
 
-    A name is cited when its key occurs as whole words. Every run of words of the question that is as long as some name is
-    looked up whole; the question itself is not carried along.
+    A name is cited when its key occurs as whole words. Names meet questions on one word each, the one that fewest
+    questions hold; a name of several words is then looked for in the whole question. Names with a word that no question holds
+    are out at once. Null and blank questions and names cite nothing; a query_id that repeats counts as one question.
     """
-    keyed = (names.select("name", short_name_key(F.col("name")).alias("_key")).distinct().filter(F.col("_key") != ""))
-    lengths = [r["n"] for r in keyed.select(F.size(F.split("_key", " ")).alias("n")).distinct().collect()]
-
-    def runs(ws: Column, n: int) -> Column:
-        # shorter runs at the end of the question are whole words as well
-        out = ws
-        for k in range(1, n):
-            out = F.zip_with(out, F.slice(ws, F.lit(k + 1), F.size(ws)), lambda a, b: F.concat_ws(" ", a, b))
-        return out
-
-    ws = F.split(name_key(F.col("question")), " ")
-    spoken = questions.select("query_id", F.explode(F.array_distinct(F.flatten(
-        F.array(*[runs(ws, n) for n in sorted(lengths)] or [F.array().cast("array<string>")])))).alias("_key"))
-    cited = spoken.join(keyed, "_key")
+    keyed = names.select("name", short_name_key(F.col("name")).alias("_key")).distinct().filter(F.col("_key") != "")
+    parts = keyed.select("_key", F.explode(F.array_distinct(F.split("_key", " "))).alias("_word")).distinct()
+    spoken = questions.select("query_id", F.explode(F.array_distinct(F.split(name_key(F.col("question")), " "))).alias("_word"))
+    hits = written(spoken.join(parts.select("_word").distinct(), "_word", "left_semi").distinct())
+
+    held = parts.join(hits.groupBy("_word").agg(F.count("*").alias("_n")), "_word", "left")
+    rarest = (held.groupBy("_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word")).alias("_rarest"))
+              .filter("_rarest.n > 0").select("_key", F.col("_rarest._word").alias("_word")))
+    met = written(hits.join(rarest, "_word").select("query_id", "_key"))
+    single = ~F.col("_key").contains(" ")
+    longer = met.filter(~single)
+    texts = (questions.join(longer.select("query_id").distinct(), "query_id", "left_semi")
+             .select("query_id", F.concat(F.lit(" "), name_key(F.col("question")), F.lit(" ")).alias("_text")))
+    whole = longer.join(texts, "query_id").filter(F.col("_text").contains(F.concat(F.lit(" "), "_key", F.lit(" "))))
+    cited = met.filter(single).unionByName(whole.select("query_id", "_key").distinct()).join(keyed, "_key")
+
     w = W.partitionBy("query_id").orderBy(F.length("name").desc(), "name")
     best = (cited.withColumn("_best", F.first(F.struct("name", "_key")).over(w))
             .groupBy("query_id")

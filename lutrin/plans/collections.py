@@ -61,8 +61,7 @@ def shared_names(spark, folder):
     return N.ambiguous_names(D.table(spark, folder, "part"), "p_name")
 
 
-NAME_KEY = ("trim(regexp_replace(translate(lower({x}), '" + T.ALL_ACCENTED + "', '" + T.ALL_UNACCENTED
-            + "'), '[^a-z0-9]+', ' ', 'g'))")
+NAME_KEY = "trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def _short_key(x: str) -> str:
@@ -337,4 +336,4 @@ BOUNDED = "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER
 def bounded_query(spark, folder):
     """A report of the first hundred rows, and whether there are more."""
     D.table(spark, folder, "lineitem").createOrReplaceTempView("lineitem")
-    return catalog.bounded_query(spark, BOUNDED, 100)
+    return catalog.bounded_result(spark, BOUNDED, 100, seconds=300)

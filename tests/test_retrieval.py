@@ -222,6 +222,54 @@ def test_names(spark):
     assert got == {1: "Catan Junior", 2: "Les Aventuriers du Rail", 3: None, 4: None}
 
 
+def test_rarest_words_give_fewer_pairs(spark):
+    texts = spark.createDataFrame(
+        [(i, f"la manufacture du roi {'abdique' if i == 7 else 'gagne'} toujours") for i in range(40)] + [(99, None), (98, "")], "text_id int, normal string")
+    excerpts = spark.createDataFrame([(1, "la manufacture du roi abdique toujours"), (2, "la manufacture du dragon gagne"), (3, None)], "e int, excerpt string")
+    pairs = E.candidates(texts, excerpts, []).collect()
+    assert [(r["e"], r["text_id"]) for r in pairs] == [(1, 7)]  # the longest word stands in 40 texts, "dragon" in none
+    assert [(r["e"], r["text_id"]) for r in E.containing(texts, excerpts, []).collect()] == [(1, 7)]
+
+
+def test_names_lose_marks_by_decomposition(spark):
+    import unicodedata
+
+    from lutrin.functions import text
+
+    for sign in map(chr, range(0x80, 0x110000)):
+        base = "".join(c for c in unicodedata.normalize("NFD", sign) if not "\u0300" <= c <= "\u036f")
+        plain = base.isascii() and base.isalnum() and base != ""
+        assert text.PLAIN_FORMS.get(sign) == (base if plain else None)
+    rows = [("Škoda Őr", "skoda or"), ("Ma\u0304ori  \u1ea4n", "maori an"), ("ø łódź", "odz"), ("\u212bland \u0130\u212a", "aland ik"), (" !", ""), (None, None)]
+    df = spark.createDataFrame(rows, "name string, want string")
+    assert [r["k"] for r in df.select(text.name_key(F.col("name")).alias("k")).collect()] == [w for _, w in rows]
+
+
+def test_names_against_brute_force(spark):
+    rng = random.Random(5)
+    parts = ["le", "roi", "Čar", "tour", "d'or", "āme", "junior", "7", "-"]
+    names = sorted({" ".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(25)})
+    asked = [(i, " ".join(rng.choice([*parts, "xyz", "qui"]) for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(60, None)]
+
+    def key(name):
+        plain = {"č": "c", "ā": "a", "'": " ", "-": " "}
+        return " ".join("".join(plain.get(c, c) for c in name.lower()).split())
+
+    def short(name):
+        head, _, tail = key(name).partition(" ")
+        return tail if tail and head in ("le", "la", "les", "l", "the") else key(name)
+
+    def wanted(question):
+        found = sorted((n for n in names if short(n) and f" {short(n)} " in f" {key(question or '')} "), key=lambda n: (-len(n), n))
+        return found[0] if found and all(short(n) in short(found[0]) for n in found) else None
+
+    got = N.detected_names(spark.createDataFrame(asked, "query_id int, question string"),
+                           spark.createDataFrame([(n,) for n in [*names, *names, "", None]], "name string")).collect()
+    assert {r["query_id"]: r["name"] for r in got} == {i: wanted(q) for i, q in asked} and len(got) == 61
+    nobody = spark.createDataFrame([], "name string")
+    assert [r["name"] for r in N.detected_names(spark.createDataFrame(asked[:2], "query_id int, question string"), nobody).collect()] == [None, None]
+
+
 def test_ask_serves_caches_and_logs(spark):
     from lutrin.operators import ask as K
 

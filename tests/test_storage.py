@@ -116,6 +116,27 @@ def test_bounded_query_refuses_commands(spark):
     assert "five" in listed
 
 
+def test_statement_over_its_time_ends_with_its_jobs(spark):
+    import time
+
+    held = catalog.bounded_result(spark, "SELECT id FROM range(5) ORDER BY id", 3, seconds=120)
+    assert [(r["id"], r["truncated"]) for r in held.collect()] == [(0, True), (1, True), (2, True)]
+    slow = "SELECT sum(xxhash64(id) % 7) AS n FROM range(0, 1000000000000000, 1, 8)"
+    start = time.monotonic()
+    with pytest.raises(TimeoutError):
+        catalog.bounded_result(spark, slow, seconds=3)
+    assert time.monotonic() - start < 60
+    tracker = spark.sparkContext.statusTracker()
+    for _ in range(100):
+        if not tracker.getActiveJobsIds():
+            break
+        time.sleep(0.2)
+    assert not tracker.getActiveJobsIds()
+    assert spark.range(10).count() == 10 and not spark.sparkContext.getJobTags()
+    with pytest.raises(Exception, match="missing_table"):  # other errors pass as they are
+        catalog.bounded_result(spark, "SELECT * FROM missing_table", seconds=60)
+
+
 def bucket_loop(requests, per_minute):
     buckets, out = {}, {}
     for key, rid, at in sorted(requests, key=lambda r: (r[2], r[1])):
