@@ -82,7 +82,7 @@ REQUEST_COLUMNS = "key string, request_id bigint, at double, allowed boolean, wa
 
 
 def rate_limited(requests: DataFrame, per_minute: int, span: float = 3600.0) -> DataFrame:
-    """Token bucket per key over requests(key, request_id, at in seconds).
+    """Token bucket per key over requests(key, request_id, at in seconds); null is a key of its own.
 
     A bucket that had time to fill up is the same as a new one, so a key's requests fall
     apart into independent bursts. Bursts are found inside (key, span of time) windows
@@ -110,7 +110,8 @@ def rate_limited(requests: DataFrame, per_minute: int, span: float = 3600.0) ->
         F.coalesce("last_start", "opens"), True).over(across.rowsBetween(W.unboundedPreceding, -1))))
     bursts = (starts.withColumn("burst", F.last("start", True).over(
                   inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-              .join(carried.select("key", "span", "carry"), ["key", "span"])
+              .join(carried.select(F.col("key").alias("_key"), F.col("span").alias("_span"), "carry"),
+                    F.col("key").eqNullSafe(F.col("_key")) & (F.col("span") == F.col("_span")))
               .select("key", "request_id", "at", F.coalesce("burst", "carry").alias("burst")))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

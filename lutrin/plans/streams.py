@@ -28,13 +28,22 @@ def _event_stream(spark, folder, files_per_batch=64):
 
 @query("stream_rate_limited", SQL["rate_limited"])
 def stream_rate_limited(spark, folder):
-    out, checkpoint, _ = _folders(spark)
-    requests = _event_stream(spark, folder, None).select(
-        F.col("user_id").cast("string").alias("key"), F.col("log_id").alias("request_id"),
-        (F.unix_micros("created_at") / F.lit(600000000.0)).alias("at"))
-    limited = J.rate_limit_stream(requests, per_minute=2)
+    """The rows of `rate_limited` from files that arrive from the youngest to the oldest, some per batch, and are answered in order of time.
+
+    The delay is that of a backfill, the whole span of the log. The last tick releases what waits behind the watermark.
+    """
+    out, checkpoint, arriving = _folders(spark)
+    log = D.table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("request_id"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(600000000.0)).alias("at"))
+    ends = log.agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
+    log = log.withColumn("tick", F.lit(False))
+    log.repartitionByRange(16, F.col("at").desc()).sortWithinPartitions(F.col("at").desc()).write.parquet(arriving)
+    J.tick(spark, arriving)  # the youngest file, so it comes last
+    requests = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).parquet(arriving)
+    limited = J.ordered_rate_limit_stream(requests, per_minute=2, delay=(ends["last"] or 0.0) - (ends["first"] or 0.0) + 1)
     J.run_available(limited.writeStream.format("parquet").outputMode("append").option("path", out), checkpoint)
-    return spark.read.parquet(out).select("key", "request_id", "allowed", F.round("wait", 6).alias("wait"))
+    return spark.read.parquet(out).filter("NOT late").select("key", "request_id", "allowed", F.round("wait", 6).alias("wait"))
 
 
 @query("stream_jobs", f"""

@@ -106,6 +106,125 @@ def rate_limit_stream(requests: DataFrame, per_minute: int, sweep: bool = False)
         "Append", _time_mode(sweep))
 
 
+class OrderedTokenBucket(StatefulProcessor):
+    """Bucket per key that takes requests in the order of their time, whatever the order in which they arrive.
+
+    Requests wait in state, packed by span of time, until the watermark passes the end of their span. A timer releases the span, so
+    that one span of one key is in memory at a time. Requests of a span that the watermark has passed are `late`: they get no
+    answer and leave the bucket as it is. Once the bucket of a key without waiting requests would be full, a timer forgets the key.
+    """
+
+    def __init__(self, per_minute: int, span: float):
+        self.capacity = float(per_minute)
+        self.rate = per_minute / 60
+        self.span_ms = max(1, int(span * 1000))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "tokens double, last double, parts long, timer long")
+        self.waiting = handle.getMapState("waiting", "span long, part long", "at array<double>, request_id array<bigint>")
+
+    def _held(self) -> tuple[float, float | None, int, int | None]:
+        return self.bucket.get() or (self.capacity, None, 0, None)
+
+    def _hold(self, tokens: float, last: float | None, parts: int, timer: int | None, need: int) -> None:
+        """Stores the bucket; one timer at or before the next time of need is enough."""
+        if timer is None or need < timer:
+            self.handle.registerTimer(need)
+            timer = need
+        self.bucket.update((tokens, last, parts, timer))
+
+    @staticmethod
+    def _rows(key, at, request_id, allowed, wait, late: bool) -> pd.DataFrame:
+        made = pd.DataFrame({"key": None if pd.isna(key[0]) else str(key[0]), "request_id": pd.array(request_id, "Int64"), "at": at,
+                             "allowed": pd.array(allowed, "boolean"), "wait": wait, "late": late})
+        return made.astype({"at": "float64", "wait": "float64", "late": "bool", "key": "object"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        tokens, last, parts, timer = self._held()
+        first = None
+        for batch in rows:
+            batch = batch[~batch["tick"]]
+            known = batch["at"].abs() <= LAST_SECOND
+            span = (batch["at"].where(known, 0.0) * 1000 // self.span_ms).astype("int64")
+            open_ = known & ((span + 1) * self.span_ms > passed)
+            for number, own in batch[open_].groupby(span[open_]):
+                ids = [None if pd.isna(i) else int(i) for i in own["request_id"]]
+                self.waiting.updateValue((int(number), parts), (own["at"].tolist(), ids))
+                first = int(number) if first is None else min(first, int(number))
+                parts += 1
+            late = batch[~open_]
+            if len(late):
+                yield self._rows(key, late["at"].tolist(), late["request_id"].tolist(), [None] * len(late), None, True)
+        if first is not None:
+            self._hold(tokens, last, parts, timer, (first + 1) * self.span_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        tokens, last, parts, timer = self._held()
+        if timer is None or timer > expiredTimerInfo.getExpiryTimeInMs():
+            return  # a later timer has taken over, or the key is forgotten
+        waiting = sorted((int(k[0]), int(k[1])) for k in self.waiting.keys())
+        due = sorted({span for span, _ in waiting if (span + 1) * self.span_ms <= passed})
+        for span in due:
+            own = [k for k in waiting if k[0] == span]
+            held = [self.waiting.getValue(k) for k in own]
+            asked = sorted(((at, -1 if i is None else i, i) for ats, ids in held for at, i in zip(ats, ids, strict=True)), key=lambda r: r[:2])
+            allowed, wait = [], []
+            for at, _, _ in asked:
+                tokens = min(self.capacity, tokens + (max(0.0, at - last) if last is not None else 0.0) * self.rate)
+                last = at if last is None else max(at, last)
+                granted = tokens >= 1
+                wait.append(0.0 if granted else (1 - tokens) / self.rate)
+                tokens -= 1 if granted else 0
+                allowed.append(granted)
+            for k in own if len(due) < len({s for s, _ in waiting}) else ():
+                self.waiting.removeKey(k)
+            yield self._rows(key, [a[0] for a in asked], [a[2] for a in asked], allowed, wait, False)
+        left = [span for span, _ in waiting if span not in due]
+        if waiting and not left:
+            self.waiting.clear()
+        need = (min(left) + 1) * self.span_ms if left else int((last + self.capacity / self.rate) * 1000) + 1
+        if left or need > passed:
+            self._hold(tokens, last, parts, None, need)
+        else:
+            self.bucket.clear()
+
+    def close(self) -> None:
+        pass
+
+
+#: No request is younger than the end of the year 9999; a tick of this time ends a stream.
+LAST_SECOND = 253402300799.0
+REQUEST_SCHEMA = "key string, request_id long, at double, tick boolean"
+
+
+def ordered_rate_limit_stream(requests: DataFrame, per_minute: int, delay: float, span: float = 3600.0) -> DataFrame:
+    """requests(key, request_id, at in seconds, tick) to the same rows with `allowed`, `wait` and `late`, decided in the order of time.
+
+    Requests may arrive up to `delay` seconds behind the youngest one before them, in any order of files and batches: the rows
+    that are not late are those of `rate_limited` over them. Late rows, and rows whose time is null or no time, have null
+    in `allowed` and `wait`, for a table of their own. Answers are given when the watermark has passed their span of
+    `span` seconds; rows with `tick` are no requests, they only move the watermark on. A limit of 0 is off and nothing waits.
+    """
+    asked = requests.select(F.col("key").cast("string").alias("key"), F.col("request_id").cast("long").alias("request_id"),
+                            F.col("at").cast("double").alias("at"), F.coalesce("tick", F.lit(False)).alias("tick"))
+    if per_minute <= 0:
+        return rate_limit_stream(asked.filter("NOT tick"), 0).withColumn("late", F.lit(False))
+    moment = F.when(F.abs("at") <= LAST_SECOND, F.timestamp_millis(F.floor(F.col("at") * 1000).cast("long")))
+    # the column with the watermark is left out, so that late rows reach the bucket instead of being dropped before it
+    timed = asked.withColumn("_moment", moment).withWatermark("_moment", f"{int(delay * 1000)} milliseconds")
+    return timed.select("key", "request_id", "at", "tick").groupBy("key").transformWithStateInPandas(
+        OrderedTokenBucket(per_minute, span), "key string, request_id bigint, at double, allowed boolean, wait double, late boolean",
+        "Append", "EventTime")
+
+
+def tick(spark: SparkSession, folder: str, at: float = LAST_SECOND) -> None:
+    """Tells a folder of requests that time has come to `at`; the last second releases all that waits and ends the flow."""
+    spark.createDataFrame([(None, None, float(at), True)], REQUEST_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+
+
 # --- jobs ------------------------------------------------------------------------------
 
 class JobState(StatefulProcessor):

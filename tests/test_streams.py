@@ -57,6 +57,59 @@ def test_rate_limit_of_a_backfill_equals_the_batch_job(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def ordered(spark, root, batches, per_minute, delay, span, end=True):
+    """Rows of the ordered limiter, one file per batch, in the order of the batches."""
+    out, folder = str(root / "out"), str(root / "in")
+    for i, rows in enumerate([*batches, None] if end else batches):
+        if rows is None:
+            J.tick(spark, f"{folder}/requests.parquet")
+        else:
+            part_files(spark, folder, "requests", [[(*r, False) for r in rows]], J.REQUEST_SCHEMA)
+        if i == 0:
+            limited = J.ordered_rate_limit_stream(J.table_stream(spark, folder, "requests", 1), per_minute, delay, span)
+        J.run_available(limited.writeStream.format("parquet").outputMode("append").option("path", out), str(root / "check"))
+    return spark.read.parquet(out).collect()
+
+
+def decided(rows):
+    return {r["request_id"]: (r["allowed"], round(r["wait"], 6)) for r in rows}
+
+
+def test_requests_in_any_order_of_batches_are_answered_in_order_of_time(spark, tmp_path):
+    rows = sorted(requests(300), key=lambda r: -r[2])
+    got = ordered(spark, tmp_path, [rows[:100], rows[200:], rows[100:200]], 6, delay=601, span=60.0)
+    assert not any(r["late"] for r in got) and len(got) == 300
+    want = V.rate_limited(spark.createDataFrame(rows, "key string, request_id long, at double"), 6).collect()
+    assert decided(got) == decided(want) and len({r["allowed"] for r in got}) == 2
+
+
+def test_late_requests_stand_aside_and_leave_the_bucket_alone(spark, tmp_path):
+    early = [("a", i, float(i)) for i in range(20)] + [("b", 100, 5.0), ("b", 100, 5.0), (None, 101, 6.0)]
+    young = [("a", 200, 500.0), ("c", 201, 500.0)]
+    late = [("a", 300, 3.5), ("b", 301, 4.0), ("d", 302, 7.0), ("a", 303, None), ("a", 304, float("nan")), ("a", None, 499.0)]
+    got = ordered(spark, tmp_path, [early, young, late], 6, delay=30, span=10.0)
+    aside = [r for r in got if r["late"]]
+    assert sorted(r["request_id"] for r in aside) == [300, 301, 302, 303, 304]
+    assert all(r["allowed"] is None and r["wait"] is None for r in aside)
+    on_time = [r for r in [*early, *young, *late[-1:]]]
+    want = V.rate_limited(spark.createDataFrame(on_time, "key string, request_id long, at double"), 6).collect()
+    key = lambda r: (r["key"] or "", r["request_id"] or -1, r["at"], r["allowed"], round(r["wait"], 6))
+    assert sorted(map(key, (r for r in got if not r["late"]))) == sorted(map(key, want))
+
+
+def test_what_the_watermark_has_not_passed_waits_and_full_buckets_are_forgotten(spark, tmp_path):
+    got = ordered(spark, tmp_path, [[("a", 1, 1.0), ("a", 2, 2.0)], [("b", 3, 300.0)], [("b", 4, 301.0)]], 6, delay=30, span=10.0, end=False)
+    assert sorted(r["request_id"] for r in got) == [1, 2]
+    kept = spark.read.format("statestore").option("stateVarName", "bucket").load(str(tmp_path / "check")).select("key.key").collect()
+    assert [r["key"] for r in kept] == ["b"]
+
+
+def test_ordered_limit_of_no_rows_and_no_limit(spark, tmp_path):
+    assert ordered(spark, tmp_path / "none", [[]], 6, delay=30, span=10.0) == []
+    got = ordered(spark, tmp_path / "off", [[("a", i, 0.0) for i in range(5)]], 0, delay=30, span=10.0, end=False)
+    assert all(r["allowed"] and not r["late"] for r in got) and len(got) == 5
+
+
 def test_limit_zero_is_off_in_batch_and_stream(spark, tmp_path):
     schema = "key long, request_id long, at double"
     folder = part_files(spark, tmp_path / "in", "requests", [[(1, i, 0.0) for i in range(5)]], schema)
