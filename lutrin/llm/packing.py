@@ -3,12 +3,12 @@
 Texts become token ids plus an end id; longer ones are cut into pieces of the capacity. Only the histogram of
 piece lengths (at most one entry per length) reaches the driver. There the configuration program is solved by
 multiplicative weights: lengths that are covered little weigh more, and the next configuration is the best
-knapsack under these weights, found by dynamic programming. Whole multiples are kept, the small rest is placed best-fit
-decreasing, and every piece finds its sequence from its rank within its length, in parallel.
+knapsack under these weights, found by dynamic programming. Every piece finds its sequence from its rank within its length, in parallel.
 
 Lengths are rounded up to UNIT tokens for the program; pieces under SMALL tokens are first bundled with others of equal
-length. Rounding wastes the gaps, so the whole histogram is also packed best-fit decreasing with exact lengths, in runs of equal
-sequences, and the plan with fewer sequences is taken. Null and empty texts are one piece that holds the end id alone. Rows that share a doc_id are
+length. The whole multiples of its configurations are filled with exact lengths, the last place of each with the
+longest piece that fits what rounding had left over. The rest is placed best-fit decreasing into the exact gaps of these
+sequences and into new ones. Null and empty texts are one piece that holds the end id alone. Rows that share a doc_id are
 packed one by one.
 """
 
@@ -37,10 +37,11 @@ BUNDLE = 1024
 STEP = 0.2
 SHARPNESS = 6.0
 REST = 20_000
-CACHED_WORDS = 100_000
-#: Runs whose signs need no Unicode tables: printable ASCII and the Latin-1 letters, which lower-case one to one.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+TRIED = 64
+CACHED_WORDS = 150_000
+#: Texts whose signs need no Unicode tables: blanks, printable ASCII and the Latin-1 letters, which lower-case one to one.
+PLAIN = re.compile(r"[ \n\t\r!-~À-ÖØ-öø-ÿ]+")
+PLAIN_WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^ \n\t\ra-z0-9ß-öø-ÿ]+")
 BLANKS = re.compile(r"[ \n\t\r]+")
 
 
@@ -51,11 +52,29 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+class TokenParts(dict):
+    """Bytes of the ids of words; those not used since CACHED_WORDS others came are forgotten."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        self[word] = ids = self.make(word) if ids is None else ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordTokenizer:
     """Token ids of texts from a file of the `tokenizers` library whose tokens never cross white space.
 
-    Ids are cached per run of signs between blanks. Plain runs go to the vocabulary model after the file's own rule for words
-    (lower case, contractions, letters, single digits, signs); all others go through the whole encoder.
+    Plain texts, and the plain runs between blanks of others, are cut by the file's own rule for words (lower case, contractions,
+    letters, single digits, signs), and each word goes to the vocabulary model once; other runs go through the whole encoder.
     """
 
     def __init__(self, path: str):
@@ -64,31 +83,31 @@ class WordTokenizer:
         self.encoder = tokenizers.Tokenizer.from_file(path)
         self.model = self.encoder.model
         self.signs = _byte_signs()
-        self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = TokenParts(self._word)
+        self.runs = TokenParts(self._run)
 
-    def _ids(self, run: str) -> bytes:
-        if not PLAIN.fullmatch(run) or "<|" in run:
-            return array("I", self.encoder.encode(run, add_special_tokens=False).ids).tobytes()
-        words = PLAIN_WORD.findall(run.lower())
-        return b"".join([self.parts.get(w) or self._part(w) for w in words])
-
-    def _part(self, word: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         spelled = word if word.isascii() else "".join(map(self.signs.__getitem__, word.encode()))
-        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        if len(self.parts) < CACHED_WORDS:
-            self.parts[word] = ids
-        return ids
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        if PLAIN.fullmatch(run) and "<|" not in run:
+            return self._plain(run)
+        return array("I", self.encoder.encode(run, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, PLAIN_WORD.findall(text.lower())))
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        runs = BLANKS.split(text) if text else []
-        cache = self.cache
-        for run in set(runs).difference(cache):
-            cache[run] = self._ids(run)
-        out = b"".join(map(cache.__getitem__, runs))
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
+        if not text:
+            return b""
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            out = self._plain(text)
+        else:
+            out = b"".join(map(self.runs.__getitem__, BLANKS.split(text)))
+        self.words.trim()
+        self.runs.trim()
         return out
 
 
@@ -110,7 +129,6 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                         out.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
                 made = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
                 yield made.astype({"doc_id": "Int64"})
-        tokenizer.cache.clear()
         release_memory()
 
     return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
@@ -157,7 +175,7 @@ def _fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tu
 
 
 def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
-    """Configurations ((index of size, how many), ...) and how often each is used; they hold all counts exactly."""
+    """Configurations ((index of size, how many), ...) and how often each is used: the whole multiples, within the counts."""
     left, plan = counts.astype(np.int64).copy(), Counter()
     while left.any():
         live = np.flatnonzero(left)
@@ -171,34 +189,62 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tu
                     left[k] -= n * a
         if left.sum() <= REST or left.sum() > 0.9 * before:
             break
-    for config, n in _best_fit(sizes, left, capacity).items():
-        plan[config] += n
-    return sorted(plan.items())
+    return sorted(plan.items(), key=lambda x: (-x[1], x[0]))
 
 
-def _best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
-    """Best-fit decreasing of what rounding left over."""
-    gaps: list[tuple[int, int]] = []
-    bins: list[Counter] = []
-    for k in np.argsort(-sizes):
-        for _ in range(int(counts[k])):
-            size = int(sizes[k])
-            at = bisect_left(gaps, (size, -1))
-            if at < len(gaps):
-                gap, number = gaps.pop(at)
-            else:
-                gap, number = capacity, len(bins)
-                bins.append(Counter())
-            bins[number][int(k)] += 1
-            insort(gaps, (gap - size, number))
-    return Counter(tuple(sorted(b.items())) for b in bins)
-
+def filled(sizes: np.ndarray, counts: np.ndarray, plan: list[tuple[list[int], int]], capacity: int) -> tuple[list, np.ndarray]:
+    """Sequences of the plan with exact sizes, as runs (gap, configuration, how often), and the counts that are left.
 
-def exact_best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
-    """Best-fit decreasing of all pieces, as configurations and how often each is used."""
+    `plan` holds the most that each place of a configuration may take, in descending order, and how often it is used. A place
+    takes the largest size within that, the last one the largest that fits the gap; of TRIED sizes for the place before it
+    the one is taken that leaves the smallest gap.
+    """
+    left = counts.astype(np.int64).tolist()
+    live = sorted((int(n), k) for k, n in enumerate(sizes) if left[k])
+    runs = []
+
+    def within(most: int, used: Counter, tried: int = 1) -> list[tuple[int, int]]:
+        """The largest sizes up to `most` that are left, and their indices."""
+        found, at = [], bisect_left(live, (most + 1, -1)) - 1
+        while at >= 0 and len(found) < tried:
+            if left[live[at][1]] > used[live[at][1]]:
+                found.append(live[at])
+            at -= 1
+        return found
+
+    for places, times in plan:
+        while times:
+            gap, used = capacity, Counter()
+            for i, most in enumerate(places):
+                found = within(gap if i == len(places) - 1 else min(gap, most), used, TRIED if i == len(places) - 2 else 1)
+                best = None
+                for size, k in found if len(found) > 1 else ():
+                    last = within(gap - size, used + Counter([k]))
+                    rest = gap - size - (last[0][0] if last else 0)
+                    if best is None or rest < best[0]:
+                        best = rest, (size, k)
+                    if not rest:
+                        break
+                for size, k in [best[1]] if best else found:
+                    used[k] += 1
+                    gap -= size
+            if not used:
+                break
+            n = min(times, *(left[k] // a for k, a in used.items()))
+            runs.append((gap, tuple(sorted(used.items())), n))
+            times -= n
+            for k, a in used.items():
+                left[k] -= n * a
+                if not left[k]:
+                    del live[bisect_left(live, (int(sizes[k]), k))]
+    return runs, np.array(left, np.int64)
+
+
+def best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int, begun: list = ()) -> list[tuple[tuple, int]]:
+    """Best-fit decreasing into begun sequences (gap, configuration, how often) and new ones, in runs of equal sequences."""
     gaps: list[int] = []
     open_: dict[int, list[tuple[tuple, int]]] = defaultdict(list)
-    plan, least = Counter(), int(sizes.min())
+    plan, least = Counter(), int(sizes[counts > 0].min(initial=capacity + 1))
 
     def put(gap: int, config: tuple, times: int) -> None:
         if gap < least:
@@ -208,7 +254,9 @@ def exact_best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
             insort(gaps, gap)
         open_[gap].append((config, times))
 
-    for k in np.argsort(-sizes).tolist():
+    for run in begun:
+        put(*run)
+    for k in np.argsort(-sizes, kind="stable").tolist():
         size, left = int(sizes[k]), int(counts[k])
         while left:
             at = bisect_left(gaps, size)
@@ -217,7 +265,7 @@ def exact_best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
                 gap = gaps[at]
                 config, times = open_[gap].pop()
                 if not open_[gap]:
-                    del gaps[at], open_[gap]
+                    del open_[gap], gaps[at]
             fits = gap // size
             full = min(times, left // fits)
             if full:
@@ -245,46 +293,37 @@ def _bundle(length: int, capacity: int) -> int:
 
 
 class Plan:
-    """Sequence and slot of every piece from its length key and its rank among the pieces of that key."""
+    """Sequence and slot of every piece from its length and its rank among the pieces of that length."""
 
     def __init__(self, histogram: dict[int, int], capacity: int):
-        units = capacity // UNIT
-        count = np.zeros(units + 1, np.int64)
+        items: list[tuple[int, int]] = []  # size and number of single pieces and bundles
         self.single, self.bundled, self.per_bundle = {}, {}, {}
         for key, n in sorted(histogram.items()):
-            unit = -(-key // UNIT)
             k = _bundle(key, capacity)
             full = n // k if k > 1 else 0
             self.per_bundle[key] = (k, full)
-            self.single[key] = (unit, int(count[unit]))
-            count[unit] += n - full * k
-            if full:
-                unit = -(-k * key // UNIT)
-                self.bundled[key] = (unit, int(count[unit]))
-                count[unit] += full
-        sizes = np.flatnonzero(count[:units])
-        plan = solve(sizes, count[sizes], units) if len(sizes) else []
-        whole = int(count[units])
-        lengths = np.array(sorted(histogram), np.int64)
-        exact = exact_best_fit(lengths, np.array([histogram[n] for n in lengths.tolist()], np.int64), capacity) if histogram else []
-        if sum(times for _, times in exact) < whole + sum(times for _, times in plan):
-            sizes, plan, whole = lengths, exact, 0
-            self.single, self.bundled = {n: (n, 0) for n in histogram}, {}
-            self.per_bundle = dict.fromkeys(histogram, (1, 0))
-        rows: dict[int, list] = {int(u): [] for u in sizes}
-        if whole:
-            rows[units] = [(0, 1, 0, 0)]
-        at, base = Counter(), whole
-        for config, times in plan:
+            for kept, size, number in ((self.single, key, n - full * k), (self.bundled, k * key, full)):
+                if number:
+                    kept[key] = len(items)
+                    items.append((size, number))
+        sizes, counts = np.array(items, np.int64).reshape(-1, 2).T
+        units = -(-sizes // UNIT)
+        classes = np.unique(units)
+        program = solve(classes, np.bincount(units, counts)[classes].astype(np.int64), capacity // UNIT) if items else []
+        places = [(sorted((int(classes[c]) * UNIT for c, a in config for _ in range(a)), reverse=True), times) for config, times in program]
+        begun, left = filled(sizes, counts, places, capacity)
+        self.planned = sum(times for _, _, times in begun)
+        rows: dict[int, list] = {i: [] for i in range(len(items))}
+        at, base = Counter(), 0
+        for config, times in best_fit(sizes, left, capacity, begun):
             slot = 0
-            for k, a in config:
-                u = int(sizes[k])
-                rows[u].append((at[u], a, base, slot))
-                at[u] += a * times
+            for i, a in config:
+                rows[i].append((at[i], a, base, slot))
+                at[i] += a * times
                 slot += a
             base += times
         self.sequences = base
-        self.rows = {u: np.array(r, np.int64).reshape(-1, 4) for u, r in rows.items()}
+        self.rows = {i: np.array(r, np.int64).reshape(-1, 4) for i, r in rows.items()}
 
     def place(self, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sequence, slot = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
@@ -296,9 +335,8 @@ class Plan:
             packed = r < full * k
             for mine, table in ((own[packed], self.bundled), (own[~packed], self.single)):
                 if len(mine):
-                    unit, first = table[int(key)]
-                    inner = ranks[mine] // k if table is self.bundled else ranks[mine] - full * k
-                    rank, rows = inner + first, self.rows[unit]
+                    rank = ranks[mine] // k if table is self.bundled else ranks[mine] - full * k
+                    rows = self.rows[table[int(key)]]
                     row = rows[np.searchsorted(rows[:, 0], rank, side="right") - 1]
                     step = rank - row[:, 0]
                     sequence[mine] = row[:, 2] + step // row[:, 1]

@@ -74,6 +74,32 @@ def test_packing_is_near_the_lower_bound_on_mixed_lengths():
     assert plan.sequences <= 1.01 * sum(k * n for k, n in histogram.items()) / 4096
 
 
+@pytest.mark.parametrize("mean", [60, 300, 900])
+def test_the_program_gives_the_plan_and_needs_no_more_than_best_fit(mean):
+    lengths = np.random.default_rng(5).gamma(1.2, mean / 1.2, 20_000).astype(int).clip(1, 4096)
+    keys, counts = np.unique(lengths, return_counts=True)
+    plan = packing.Plan(dict(zip(keys.tolist(), counts.tolist(), strict=True)), 4096)
+    assert plan.planned > 0.7 * plan.sequences
+    assert plan.sequences <= sum(times for _, times in packing.best_fit(keys, counts, 4096))
+
+
+def test_places_take_exact_sizes_and_the_rest_goes_into_the_gaps():
+    sizes, counts = np.array([3, 5, 6, 10]), np.array([4, 1, 2, 2])
+    runs, left = packing.filled(sizes, counts, [([12, 8], 2)], 16)
+    assert runs == [(0, ((2, 1), (3, 1)), 2)] and left.tolist() == [4, 1, 0, 0]
+    assert packing.best_fit(sizes, left, 16, [(4, ((3, 1),), 1), *runs]) == sorted(
+        [(((3, 1), (0, 1)), 1), (((2, 1), (3, 1)), 2), (((1, 1), (0, 3)), 1)])
+    assert packing.filled(sizes, np.zeros(4, int), [([12, 8], 2)], 16)[0] == []
+
+
+def test_tokens_of_words_that_come_again_after_many_others(tokenizer_path, ids, monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    own = packing.WordTokenizer(tokenizer_path)
+    for text in ["one two three four five", "One's \u4e2d\u6587 x\u00a0y <|endoftext|> na\u00efve", "two 12 !? five", "", "a'll b're c've d'x"] * 3:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids(text)
+        assert len(own.words) <= 3 and len(own.runs) <= 3
+
+
 @pytest.mark.parametrize("mean", [300, 900])
 def test_packing_is_near_the_lower_bound_of_the_real_lengths(mean):
     lengths = np.random.default_rng(2).gamma(1.2, mean / 1.2, 20_000).astype(int).clip(1, 4096)
