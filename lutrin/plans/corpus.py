@@ -519,11 +519,10 @@ def result_sink(spark, folder):
 def file_documents(spark, folder):
     """Document texts written as one file each, listed and read back by extension."""
     path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    docs = D.table(spark, folder, "documents").select("lang", "doc_id", "text")
-    named = docs.withColumn("file", F.concat(F.col("lang"), F.lit("-"), F.col("doc_id").cast("string")))
-    named.select("file", "text").repartition("file").write.partitionBy("file").option("lineSep", "\n").text(path)
+    docs = D.texts(spark, folder).select(F.col("lang").alias("collection_id"), "doc_id", "text")
+    files.write_texts(docs, path)
     documents, _ = files.read_documents(spark, path)
-    listed = files.list_files(spark, path).select(F.col("collection_id").alias("file")).distinct()
-    sizes = documents.select(F.col("collection_id").alias("file"), F.aggregate("pages", F.lit(0), lambda acc, p: acc + F.length(p["text"])).alias("n"))
-    both = listed.join(sizes, "file", "left").select(F.regexp_extract("file", "file=([a-z]+)-", 1).alias("collection_id"), "n")
+    listed = files.list_files(spark, path).select("collection_id", F.col("name").alias("doc_id"))
+    sizes = documents.select("collection_id", "doc_id", F.aggregate("pages", F.lit(0), lambda acc, p: acc + F.length(p["text"])).alias("n"))
+    both = listed.join(sizes, ["collection_id", "doc_id"], "left").select(files.collection_of(F.col("collection_id")).alias("collection_id"), "n")
     return both.groupBy("collection_id").agg(F.count("*").alias("n_files"), F.sum("n").cast("long").alias("n_chars"))

@@ -35,6 +35,17 @@ def test_documents_from_files(spark, tmp_path):
     assert (summary["collection_id"], summary["n_files"]) == ("jeu-a", 4)
 
 
+def test_texts_become_one_file_each_in_few_folders(spark, tmp_path):
+    rows = [(("a/b, c", "", None)[i % 3], i, (f" Texte {i}\n", None)[i % 7 == 0]) for i in range(40)]
+    path = str(tmp_path / "out")
+    files.write_texts(spark.createDataFrame(rows, "collection_id string, doc_id long, text string").repartition(4), path)
+    documents, rejected = files.read_documents(spark, path)
+    got = {(r["c"], r["doc_id"], "".join(p["text"] for p in r["pages"])) for r in documents.withColumn(
+        "c", files.collection_of(F.col("collection_id"))).collect()}
+    assert got == {(c, f"{i}.txt", (t or "").strip()) for c, i, t in rows} and not rejected.count()
+    assert len(list((tmp_path / "out").iterdir())) == 3  # one a collection, before: one a document
+
+
 def test_evaluation_set(spark, tmp_path):
     path = tmp_path / "questions.json"
     path.write_text(json.dumps({
