@@ -203,3 +203,18 @@ def test_plural_and_singular_share_a_stem(spark):
     pairs = [("cartes", "carte"), ("chevaux", "cheval"), ("règles", "règle"), ("joueurs", "joueur"), ("piochées", "pioché")]
     got = values(spark, pairs, "a string, b string", nlp.stem(F.col("a")) == nlp.stem(F.col("b")))
     assert all(g[0] for g in got)
+
+
+def test_batch_stems_equal_the_column_rules(spark):
+    from lutrin.functions import stems
+
+    texts = ["Les chevaux royaux ÉTÉ été étés donnée donnés mer mers aaa classe", "", None, "l'île 12 x2 Ærø ﬁn İstanbul ΑΣ ²x ab_cd balle balles"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    want = {r["i"]: r["s"] for r in df.select("i", nlp.text_stems(F.col("t")).alias("s")).collect()}
+    batch = df.select("i", stems.split_words(F.col("t")).alias("w")).toArrow().combine_chunks()
+    rows, codes, names = stems.stemmed(batch["w"].combine_chunks())
+    ids = batch["i"].to_pylist()
+    got = {i: [] for i in ids}
+    for row, code in zip(rows.tolist(), codes.tolist(), strict=True):
+        got[ids[row]].append(names[code])
+    assert got == want and len(want[0]) > 5
