@@ -183,6 +183,24 @@ def test_blocks_of_postings_give_the_lists_of_full_scoring(spark, depth):
         assert read.count() < every.count() / 3
 
 
+def test_large_batches_are_scored_in_bundles_and_blocks(spark, monkeypatch):
+    """Queries that would visit very many cells meet bundles, postings meet groups of queries in blocks: the same lists, ties included."""
+    rng = np.random.default_rng(5)
+    rows = [(f"p{i:03d}", "ab"[i % 3 == 0], i, rng.integers(0, 2, 3).astype(float).tolist()) for i in range(90)]
+    passages = spark.createDataFrame(rows, "passage_id string, collection_id string, page_start int, embedding array<double>")
+    asked = [(f"q{i}", "ab"[i % 2], "roi reine mer terre".split()[i % 4] + " ciel", rng.integers(1, 3, 3).astype(float).tolist()) for i in range(9)]
+    queries = spark.createDataFrame(asked, "query_id string, collection_id string, question string, vector array<double>")
+    texts = passages.withColumn("title", F.lit("")).withColumn("hierarchy_path", F.lit("")).withColumn("mechanics", F.array().cast("array<string>")).withColumn(
+        "text", F.element_at(F.array(*map(F.lit, ("roi", "mer ciel", "terre terre", "ciel", "reine"))), F.col("page_start") % 5 + 1))
+    postings, stored = written(index.postings(texts)), cells.build(passages)
+    rank = lambda df: [tuple(r) for r in df.select("query_id", "rank", "passage_id", "score").orderBy("query_id", "rank").collect()]
+    by_vector, by_text = rank(R.vector_candidates(queries, stored, 6, -1)), rank(R.text_candidates(queries, postings, 6))
+    for module, name, value in ((cells, "MOST_VISITS", 0), (cells, "BUNDLE_ROWS", 7), (cells, "BUNDLE_QUERIES", 2), (R, "BLOCK_POSTINGS", 9), (R, "GROUP_STEMS", 3)):
+        monkeypatch.setattr(module, name, value)
+    assert rank(R.vector_candidates(queries, stored, 6, -1)) == by_vector and rank(R.text_candidates(queries, postings, 6)) == by_text
+    assert len(by_vector) == len(by_text) == 54
+
+
 def test_refreshed_postings(spark):
     old = chapter(spark).withColumn("mechanics", F.array().cast("array<string>"))
     new = old.withColumn("text", F.when(F.col("passage_id") == "c2", "Nouvelle règle").otherwise(F.col("text")))
