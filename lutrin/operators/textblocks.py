@@ -34,14 +34,13 @@ class TextBlocks:
 
 def build(postings: DataFrame) -> TextBlocks:
     """Blocks of weighted postings (collection_id, stem, passage_id, page_start, field, weight, ...), as `index.postings` makes them."""
-    weights = written(postings.groupBy("collection_id", "stem", "passage_id").agg(
-        F.sum("weight").alias("weight"), F.max("page_start").alias("page_start")))
-    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + weights.count() // RANGE_POSTINGS)
-    placed = (weights.select("collection_id", "passage_id").distinct()
-              .repartitionByRange(parts, "collection_id", "passage_id").sortWithinPartitions("collection_id", "passage_id")
+    passage = ["collection_id", "passage_id"]
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + postings.count() // RANGE_POSTINGS)
+    placed = (postings.select(*passage).distinct().repartitionByRange(parts, *passage).sortWithinPartitions(*passage)
               .withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_PASSAGES)))
-    rows = written(weights.join(written(placed), ["collection_id", "passage_id"])
-                   .select(*KEY, "passage_id", "page_start", "weight"))
+    # joined by passage first: the sums need no exchange of their own
+    rows = written(postings.select(*passage, "stem", "page_start", "weight").join(written(placed), passage).groupBy(*passage, "stem", "block").agg(
+        F.sum("weight").alias("weight"), F.max("page_start").alias("page_start")).select(*KEY, "passage_id", "page_start", "weight"))
     return TextBlocks(rows, written(rows.groupBy(*KEY).agg(F.max("weight").alias("most"), F.count("*").alias("n"))))
 
 
@@ -71,10 +70,12 @@ def reaches(bound: Column, floor: Column) -> Column:
 def waves(stems: DataFrame, stored: TextBlocks, depth: int, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates that hold every query's `depth` best, and the blocks read in the first and second wave."""
     stems = written(stems)
+    asked = written(stems.select("collection_id", "stem").distinct())
+    postings = written(stored.postings.join(asked, ["collection_id", "stem"], "left_semi"))  # neither wave shuffles those of other stems
     known = written(bounds(stems, stored.maxima, key, depth))
     first = known.filter("first")
-    near = written(scores(stems, first, stored.postings, key))
+    near = written(scores(stems, first, postings, key))
     last = top_per(near, [key], [F.col("score").desc(), F.col("passage_id")], depth).filter(F.col("rank") == depth)
     second = known.filter("not first").join(last.select(key, F.col("score").alias("floor")), key, "left").filter(reaches(F.col("bound"), F.col("floor")))
     second = written(second.select(key, "collection_id", "block"))
-    return near.unionByName(scores(stems, second, stored.postings, key)), first, second
+    return near.unionByName(scores(stems, second, postings, key)), first, second

@@ -201,6 +201,19 @@ def test_large_batches_are_scored_in_bundles_and_blocks(spark, monkeypatch):
     assert len(by_vector) == len(by_text) == 54
 
 
+def test_block_search_shuffles_postings_of_its_stems_only(spark, monkeypatch):
+    """The waves score what is left of the stored postings after the stems of the batch, not all of them."""
+    rows = [(f"p{i}", "g", f"f{i}", "", 0, "", f"roi mot{i} autre{i} encore{i}", 1, 1) for i in range(40)]
+    passages = spark.createDataFrame(rows, PASSAGES).withColumn("mechanics", F.array().cast("array<string>"))
+    stored = textblocks.build(index.postings(passages))
+    queries = spark.createDataFrame([("q", "g", "roi")], "query_id string, collection_id string, question string")
+    read, scores = [], textblocks.scores
+    monkeypatch.setattr(textblocks, "scores", lambda s, b, postings, key: read.append(postings.count()) or scores(s, b, postings, key))
+    assert R.text_candidates(queries, stored, 5).count() == 5
+    assert read == [40, 40] and stored.postings.count() == 160
+    assert stored.maxima.agg(F.sum("n")).first()[0] == 160
+
+
 def test_refreshed_postings(spark):
     old = chapter(spark).withColumn("mechanics", F.array().cast("array<string>"))
     new = old.withColumn("text", F.when(F.col("passage_id") == "c2", "Nouvelle règle").otherwise(F.col("text")))
