@@ -214,6 +214,17 @@ def test_block_search_shuffles_postings_of_its_stems_only(spark, monkeypatch):
     assert stored.maxima.agg(F.sum("n")).first()[0] == 160
 
 
+def test_words_of_texts_are_split_once(spark, monkeypatch):
+    """The candidates of excerpts come from one stored table of words; no text is split again for each use of it."""
+    texts = spark.createDataFrame([(1, "le roi va loin"), (2, "la mer")], "text_id int, normal string")
+    excerpts = spark.createDataFrame([(1, "le roi va"), (2, "mer")], "e int, excerpt string")
+    stored = []
+    monkeypatch.setattr(E, "written", lambda df: stored.append(written(df)) or stored[-1])
+    found = E.candidates(texts, excerpts, [])
+    assert sorted((r["e"], r["text_id"]) for r in found.collect()) == [(1, 1), (2, 2)]
+    assert [sorted(df.columns) for df in stored] == [["_word", "text_id"]] and stored[0].count() == 6
+
+
 def test_refreshed_postings(spark):
     old = chapter(spark).withColumn("mechanics", F.array().cast("array<string>"))
     new = old.withColumn("text", F.when(F.col("passage_id") == "c2", "Nouvelle règle").otherwise(F.col("text")))
