@@ -140,16 +140,25 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int, key: str = "query
 
 # --- neighbours ------------------------------------------------------------------------
 
+PLACE = ["passage_id", "collection_id", "source_file", "hierarchy_path", "chunk_index"]
+
+
+def placed(hits: DataFrame, passages: DataFrame) -> DataFrame:
+    """Hits with the place of their passage. They are stored first: their size is known then, and few hits go to the passages, not these to them."""
+    return written(hits).join(passages.select(*PLACE), "passage_id")
+
+
 def neighbors(hits: DataFrame, passages: DataFrame, reach: int = 2) -> DataFrame:
     """Passages of the same document and chapter within `reach` chunks of each hit, itself included.
 
     The range becomes exact chunk numbers, so it stays an equi-join; a hit without a
     chapter only meets itself. `hits` needs collection_id, source_file, hierarchy_path and
-    chunk_index; the passage's columns come as the struct `near`.
+    chunk_index; the passage's columns come as the struct `near`. What is wanted is stored, so that texts
+    are shuffled only for batches whose wanted chunks are too many to send.
     """
     numbers = F.when(F.col("hierarchy_path") != "", F.sequence(
         F.col("chunk_index") - reach, F.col("chunk_index") + reach)).otherwise(F.array("chunk_index"))
-    wanted = hits.withColumn("_at", F.explode(numbers))
+    wanted = written(hits.withColumn("_at", F.explode(numbers)))
     near = passages.select(
         "collection_id", "source_file", "hierarchy_path", F.col("chunk_index").alias("_at"),
         F.struct("chunk_index", "passage_id", "title", "text", "page_start", "page_end").alias("near"))
@@ -165,8 +174,7 @@ def expand_top(hits: DataFrame, passages: DataFrame, top: int = L.EXPAND_TOP, re
     their neighbours, at most 2*reach+1 per hit, and the used-set fold runs over a handful
     of structs in one row.
     """
-    places = passages.select("passage_id", "collection_id", "source_file", "hierarchy_path", "chunk_index")
-    around = (neighbors(hits.select(key, "passage_id", "rank", "score").join(places, "passage_id"), passages, reach)
+    around = (neighbors(placed(hits.select(key, "passage_id", "rank", "score"), passages), passages, reach)
               .groupBy(key, "rank", "passage_id", "score", "hierarchy_path", "source_file")
               .agg(F.sort_array(F.collect_list("near")).alias("near")))
     per_query = around.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(

@@ -231,9 +231,7 @@ def neighbors(spark, folder):
     depth = scores.candidate_depth(L.ASK_LIMIT)
     hits = R.fuse(R.vector_candidates(questions, stored_cells(spark, folder), depth),
                   R.text_candidates(questions, postings, depth), L.ASK_LIMIT)
-    found = hits.join(passages.select("passage_id", "collection_id", "source_file", "hierarchy_path", "chunk_index"),
-                      "passage_id").drop("passage_id")
-    return R.neighbors(found, passages).select(
+    return R.neighbors(R.placed(hits, passages).drop("passage_id"), passages).select(
         ID, F.col("rank").cast("long").alias("rank"), "near.passage_id",
         F.col("near.page_start").cast("long").alias("page_start"), F.col("near.page_end").cast("long").alias("page_end"))
 
