@@ -42,7 +42,7 @@ def postings(passages: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [stems.stemmed(batch.column(f)) for f in fields]
-            names = sorted({s for _, _, own in parts for s in own})
+            names = list(dict.fromkeys(s for _, _, own in parts for s in own))
             number = {s: i for i, s in enumerate(names)}
             keys = [(rows * len(names) + np.array([number[s] for s in own], np.int64)[codes]) * len(fields) + i
                     for i, (rows, codes, own) in enumerate(parts)]
@@ -85,10 +85,13 @@ def backfill(df: DataFrame, column: str, expression: Column) -> DataFrame:
 
 def hashed_vector(text: Column, dimensions: int = 64) -> Column:
     """Default embedding: stem counts by hash bucket, at length one."""
+    def number(stem: str) -> int:
+        return int(hashlib.md5(stem.encode()).hexdigest()[:8], 16)
+
     @F.arrow_udf(ST.ArrayType(ST.DoubleType()))
     def vectors(words: pa.Array) -> pa.Array:
         rows, codes, names = stems.stemmed(words)
-        bucket = np.array([int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % dimensions for s in names], np.int64)
+        bucket = np.array(stems.remembered("numbers", number, names), np.int64) % dimensions
         counts = np.bincount(rows * dimensions + bucket[codes], minlength=len(words) * dimensions).reshape(-1, dimensions).astype(float)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = np.divide(counts, norms, out=counts, where=norms > 0)
