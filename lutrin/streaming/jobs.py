@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -109,6 +110,7 @@ def rate_limit_stream(requests: DataFrame, per_minute: int, sweep: bool = False)
 class OrderedTokenBucket(StatefulProcessor):
     """Bucket per key that takes requests in the order of their time, whatever the order in which they arrive.
 
+    A key mostly brings few requests, so rows come and go one by one: a data frame a key and span cost more than its requests.
     Requests wait in state, packed by span of time, until the watermark passes the end of their span. A timer releases the span, so
     that one span of one key is in memory at a time. Requests of a span that the watermark has passed are `late`: they get no
     answer and leave the bucket as it is. Once the bucket of a key without waiting requests would be full, a timer forgets the key.
@@ -135,32 +137,38 @@ class OrderedTokenBucket(StatefulProcessor):
         self.bucket.update((tokens, last, parts, timer))
 
     @staticmethod
-    def _rows(key, at, request_id, allowed, wait, late: bool) -> pd.DataFrame:
-        made = pd.DataFrame({"key": None if pd.isna(key[0]) else str(key[0]), "request_id": pd.array(request_id, "Int64"), "at": at,
-                             "allowed": pd.array(allowed, "boolean"), "wait": wait, "late": late})
-        return made.astype({"at": "float64", "wait": "float64", "late": "bool", "key": "object"})
+    def _row(key, at, request_id, allowed, wait, late: bool) -> Row:
+        return Row(key=key[0], request_id=request_id, at=at, allowed=allowed, wait=wait, late=late)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         tokens, last, parts, timer = self._held()
         first = None
-        for batch in rows:
-            batch = batch[~batch["tick"]]
-            known = batch["at"].abs() <= LAST_SECOND
-            span = (batch["at"].where(known, 0.0) * 1000 // self.span_ms).astype("int64")
-            open_ = known & ((span + 1) * self.span_ms > passed)
-            for number, own in batch[open_].groupby(span[open_]):
-                ids = [None if pd.isna(i) else int(i) for i in own["request_id"]]
-                self.waiting.updateValue((int(number), parts), (own["at"].tolist(), ids))
-                first = int(number) if first is None else min(first, int(number))
+        while True:
+            some = list(islice(rows, PART_ROWS))
+            if not some:
+                break
+            spans: dict[int, tuple[list, list]] = {}
+            for r in some:
+                if r["tick"]:
+                    continue
+                at = r["at"]
+                known = at is not None and abs(at) <= LAST_SECOND
+                span = int(at * 1000 // self.span_ms) if known else 0
+                if known and (span + 1) * self.span_ms > passed:
+                    ats, ids = spans.setdefault(span, ([], []))
+                    ats.append(at)
+                    ids.append(r["request_id"])
+                else:
+                    yield self._row(key, at, r["request_id"], None, None, True)
+            for span in sorted(spans):
+                self.waiting.updateValue((span, parts), spans[span])
+                first = span if first is None else min(first, span)
                 parts += 1
-            late = batch[~open_]
-            if len(late):
-                yield self._rows(key, late["at"].tolist(), late["request_id"].tolist(), [None] * len(late), None, True)
         if first is not None:
             self._hold(tokens, last, parts, timer, (first + 1) * self.span_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         tokens, last, parts, timer = self._held()
         if timer is None or timer > expiredTimerInfo.getExpiryTimeInMs():
@@ -171,17 +179,14 @@ class OrderedTokenBucket(StatefulProcessor):
             own = [k for k in waiting if k[0] == span]
             held = [self.waiting.getValue(k) for k in own]
             asked = sorted(((at, -1 if i is None else i, i) for ats, ids in held for at, i in zip(ats, ids, strict=True)), key=lambda r: r[:2])
-            allowed, wait = [], []
-            for at, _, _ in asked:
+            for at, _, request_id in asked:
                 tokens = min(self.capacity, tokens + (max(0.0, at - last) if last is not None else 0.0) * self.rate)
                 last = at if last is None else max(at, last)
                 granted = tokens >= 1
-                wait.append(0.0 if granted else (1 - tokens) / self.rate)
+                yield self._row(key, at, request_id, granted, 0.0 if granted else (1 - tokens) / self.rate, False)
                 tokens -= 1 if granted else 0
-                allowed.append(granted)
             for k in own if len(due) < len({s for s, _ in waiting}) else ():
                 self.waiting.removeKey(k)
-            yield self._rows(key, [a[0] for a in asked], [a[2] for a in asked], allowed, wait, False)
         left = [span for span, _ in waiting if span not in due]
         if waiting and not left:
             self.waiting.clear()
@@ -195,6 +200,7 @@ class OrderedTokenBucket(StatefulProcessor):
         pass
 
 
+PART_ROWS = 10_000  # requests of a key that are taken at a time
 #: No request is younger than the end of the year 9999; a tick of this time ends a stream.
 LAST_SECOND = 253402300799.0
 REQUEST_SCHEMA = "key string, request_id long, at double, tick boolean"
@@ -215,7 +221,7 @@ def ordered_rate_limit_stream(requests: DataFrame, per_minute: int, delay: float
     moment = F.when(F.abs("at") <= LAST_SECOND, F.timestamp_millis(F.floor(F.col("at") * 1000).cast("long")))
     # the column with the watermark is left out, so that late rows reach the bucket instead of being dropped before it
     timed = asked.withColumn("_moment", moment).withWatermark("_moment", f"{int(delay * 1000)} milliseconds")
-    return timed.select("key", "request_id", "at", "tick").groupBy("key").transformWithStateInPandas(
+    return timed.select("key", "request_id", "at", "tick").groupBy("key").transformWithState(
         OrderedTokenBucket(per_minute, span), "key string, request_id bigint, at double, allowed boolean, wait double, late boolean",
         "Append", "EventTime")
 

@@ -312,3 +312,27 @@ def test_answers_made_by_the_stream_are_served_for_a_day(spark, tmp_path):
     asked, made = (spark.createDataFrame([r for b in batches for r in b[i]], schema) for i, schema in ((0, q_schema), (1, a_schema)))
     batch = {r["question_id"]: (r["answer"], r["cached"]) for r in V.live_answers(asked, made).collect()}
     assert batch == {**{q: (a, a is not None) for q, a in want.items()}, "2": (None, False), "0": (None, False), "5": ("old", True)}
+
+
+def test_ordered_limiter_takes_rows_without_a_frame_per_key(monkeypatch):
+    """Requests of a key come and go as rows, in parts of bounded size; no data frame is made for them."""
+    import pandas as pd
+    from pyspark.sql import Row
+
+    class Held(dict):
+        value = None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+        updateValue, getValue, registerTimer = dict.__setitem__, dict.__getitem__, lambda self, at: None
+
+    class Clock:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    monkeypatch.setattr(J, "PART_ROWS", 4, raising=False)
+    monkeypatch.setattr(pd, "DataFrame", None)
+    bucket = J.OrderedTokenBucket(6, 10.0)
+    bucket.handle, bucket.bucket, bucket.waiting = Held(), Held(), Held()
+    asked = [Row(key="a", request_id=i, at=float(i), tick=False) for i in range(6)] + [Row(key="a", request_id=9, at=None, tick=False)]
+    late = list(bucket.handleInputRows(("a",), iter(asked), Clock()))
+    assert [(r.request_id, r.allowed, r.late) for r in late] == [(9, None, True)]
+    assert dict(bucket.waiting) == {(0, 0): ([0.0, 1.0, 2.0, 3.0], [0, 1, 2, 3]), (0, 1): ([4.0, 5.0], [4, 5])}
