@@ -218,8 +218,9 @@ def is_page_number(trimmed: Column) -> Column:
 def is_low_quality(text: Column) -> Column:
     """Empty, few letters, mostly tiny words, or hardly any distinct word."""
     def judged(sample: Column) -> Column:
-        clean = F.transform(sample, lambda w: F.lower(
-            F.regexp_replace(w, r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "")))
+        # the words as one text: signs at both ends of a word are removed in one pass, a word of signs alone stays as an empty one
+        signs = r"(?=[^\p{L}\p{Nd} ])(?:(?:(?<= )|^)[^\p{L}\p{Nd} ]+|[^\p{L}\p{Nd} ]+(?= |$))"
+        clean = F.split(F.lower(F.regexp_replace(F.array_join(sample, " "), signs, "")), " ")
         return let(clean, lambda ws: (
             (F.size(F.filter(ws, lambda w: F.length(w) <= 2)) > F.size(ws) * F.lit(0.6))
             | ((F.size(ws) >= 10) & (F.size(F.array_distinct(ws)) < 5))))
@@ -228,7 +229,7 @@ def is_low_quality(text: Column) -> Column:
         (F.length(t) == 0) | (letter_count(t) < F.length(t) * F.lit(0.45))))
     # the first 30 words: a blank first part and the rest of the text come on top
     first_words = F.slice(F.filter(F.split(text, L.SPACE_RUN, 32), lambda w: w != ""), 1, 30)
-    return few_letters | judged(first_words)
+    return few_letters | let(first_words, lambda sample: (F.size(sample) > 0) & judged(sample))
 
 
 # --- pages -----------------------------------------------------------------------------
@@ -325,13 +326,15 @@ def title(candidate: Column, kind: Column, chunk_index: Column) -> Column:
 def summary(text: Column, size: int = 220) -> Column:
     """First sentence or first paragraph, else a cut at a space past the half."""
     def build(t: Column) -> Column:
-        sentence = F.regexp_extract(t, r"^([\s\S]+?)(?:[.!?]|\n\n)", 0)
-        first = F.when(t.rlike("^[.!?]"), F.left(t, F.lit(1))).otherwise(sentence)
+        # one sign, then all up to a full stop or blank line; without one the empty end spares a search at later places
+        sentence = F.regexp_extract(t, r"^(?:[\s\S][^.!?\n]*+(?:\n(?!\n)[^.!?\n]*+)*+(?:[.!?]|\n\n)|)", 0)
+        opening = F.left(t, F.lit(1))
+        first = F.when(opening.isin(".", "!", "?"), opening).otherwise(sentence)
         head = F.left(t, F.lit(size))
         # the last space counts when it lies past the half
         cut = F.when(head.rlike(rf"^[\s\S]{{{size // 2 + 1},}} "),
                      F.regexp_extract(head, r"^([\s\S]*) ", 1)).otherwise(head)
-        return (F.when(first != "", F.left(strip(first), F.lit(size)))
-                .when(F.length(t) <= size, t)
-                .otherwise(F.concat(strip(cut), F.lit("…"))))
+        return let(first, lambda f: F.when(f != "", F.left(strip(f), F.lit(size)))
+                   .when(F.length(t) <= size, t)
+                   .otherwise(F.concat(strip(cut), F.lit("…"))))
     return let(strip(text), build)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lutrin.functions import lexicon as L
-from lutrin.functions import nlp, text as T
+from lutrin.functions import nlp, text as T, topics
 from lutrin.functions.text import let
 
 PARAGRAPH = "array<struct<text:string,page_start:int,page_end:int,heading:boolean>>"
@@ -251,7 +251,7 @@ def enriched(rows: DataFrame) -> DataFrame:
             "collection_id", "doc_id", "chunk_index", "total_chunks",
             T.title(F.col("_title"), F.col("section_type"), F.col("chunk_index")).alias("title"),
             "section_type", "text", T.summary(F.col("text")).alias("summary"),
-            nlp.mechanics(F.col("text")).alias("mechanics"),
+            topics.mechanics(F.col("text")).alias("mechanics"),
             "page_start", "page_end", "hierarchy_path"))
 
 

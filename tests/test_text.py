@@ -1,6 +1,7 @@
 """Column functions on small literal tables, and against brute force on random texts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,53 @@ def test_batch_stems_equal_the_column_rules(spark):
     for row, code in zip(rows.tolist(), codes.tolist(), strict=True):
         got[ids[row]].append(names[code])
     assert got == want and len(want[0]) > 5
+
+
+def test_batch_topics_equal_the_column_rules(spark):
+    from lutrin.functions import topics
+
+    rng = random.Random(11)
+    words = [k for _, (_, ks) in L.MECHANICS.items() for k in ks] + ["OR", "pa", "DÉS", "mot", "2"]
+    signs = [*" \n\t'.-²½aé·ªʰͰ日́\u0085\x00", "\U0001d400", "\U0001f600", " ", " "]
+    texts = ["".join(rng.choice(words if rng.random() < 0.4 else signs) for _ in range(rng.choice([0, 1, 3, 9, 40]))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", "\U0001d400or", "日or", "oŕ", "payer or, PA"]], "t string")
+    got = df.select("t", nlp.mechanics(F.col("t")).alias("want"), topics.mechanics(F.col("t")).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got) and len({tuple(r["got"]) for r in got}) > 50
+    assert [x for x in topics.tags_of(["日or".encode(), "\U0001d400or".encode(), b"or ", b"bord", None])] == [
+        ["?resource_management"], ["?resource_management"], ["resource_management"], [], []]
+
+
+def test_summary_and_quality_by_brute_force(spark):
+    rng = random.Random(12)
+    signs = [*"abé.!?\n '-…2", "\n\n", "\n\n\n", "  ", "mots", "Σ", "\U0001f600", " "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.choice([1, 4, 12, 60, 300]))) for _ in range(1500)] + ["--", "a -- b", "ΑΣ' ΑΣ", "", ". a"]
+
+    def summary(t):
+        t = t.strip(L.SPACE)
+        ends = [i + n for i in range(1, len(t)) for n, at in ((1, t[i] in ".!?"), (2, t[i:i + 2] == "\n\n")) if at]
+        first = t[:1] if t[:1] in tuple(".!?") else t[:min(ends)] if ends else ""
+        if first:
+            return first.strip(L.SPACE)[:220]
+        head = t[:220]
+        return t if len(t) <= 220 else (head[:head.rindex(" ")] if " " in head[111:] else head).strip(L.SPACE) + "…"
+
+    def low(t):
+        t = t.strip(L.SPACE)
+        if not t or sum(c.isalpha() for c in t) < len(t) * 0.45:
+            return True
+        some = [re.sub(r"^[\W_]+|[\W_]+$", "", w).lower() for w in re.split(r"[\s ]+", t) if w][:30]
+        return sum(len(w) <= 2 for w in some) > len(some) * 0.6 or (len(some) >= 10 and len(set(some)) < 5)
+
+    got = values(spark, [(t,) for t in texts], "t string", "t", T.summary(F.col("t")), T.is_low_quality(F.col("t")))
+    assert [g[1] for g in got] == [summary(g[0]) for g in got]
+    assert [g[2] for g in got] == [low(g[0]) for g in got]
+
+
+def test_description_searches_few_patterns(spark):
+    """Fixed words are looked up without patterns, topics in batches, and the first sentence is found once."""
+    from lutrin.operators import passages as P
+
+    form = "collection_id string, doc_id long, chunk_index int, total_chunks int, text string, page_start int, page_end int, hierarchy_path string"
+    plan = P.enriched(spark.createDataFrame([], form))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "mise en place|" not in plan
+    assert plan.count("regexp_extract(") == 2  # the first sentence and the last space
