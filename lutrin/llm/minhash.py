@@ -141,22 +141,32 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return written(docs.join(ids, docs["_id"] == ids["rep"], "left_semi").select("_id", packed("text").alias("set")))
 
 
-def _dealt(rows: DataFrame, group: str, asking: Column, size: Column) -> DataFrame:
-    """Rows of every group dealt to blocks (m, q): each asking row meets every row of its group exactly once."""
+def _dealt(rows: DataFrame, group: str, asking: Column, size: Column, single: Column | None = None) -> DataFrame:
+    """Rows of every group dealt to blocks (m, q): each asking row meets every row of its group exactly once.
+
+    Groups without an asking row are left out, but for `single` rows: their groups are known to be one block and are not looked up.
+    """
     parts = lambda count, total: F.greatest(F.ceil(count / BLOCK), F.ceil(total / BLOCK_BYTES)).cast("int")
-    ask = asking.cast("int")
-    crowd = rows.groupBy(group).agg(parts(F.count("*"), F.sum(size)).alias("ms"), parts(F.sum(ask), F.sum(size * ask)).alias("qs")).filter("qs > 0")
+    ask, many = asking.cast("int"), rows if single is None else rows.filter(~single)
+    crowd = many.groupBy(group).agg(parts(F.count("*"), F.sum(size)).alias("ms"), parts(F.sum(ask), F.sum(size * ask)).alias("qs")).filter("qs > 0")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    both = rows.join(crowd, group)
-    members = both.withColumn("m", own("ms")).withColumn("q", every("qs")).withColumn("asks", F.lit(False))
-    return members.unionByName(both.filter(asking).withColumn("q", own("qs")).withColumn("m", every("ms")).withColumn("asks", F.lit(True)))
+    place = lambda m, q, asks: F.struct(m.alias("m"), q.alias("q"), F.lit(asks).alias("asks"))
+    every = lambda n, use: F.transform(F.sequence(F.lit(0), F.col(n) - 1), use)
+    members = every("qs", lambda q: place(own("ms"), q, False))
+    asked = every("ms", lambda m: place(m, own("qs"), True))
+    both = many.join(crowd, group)
+    if single is not None:
+        both = both.unionByName(rows.filter(single).withColumns({"ms": F.lit(1), "qs": F.lit(1)}))
+    dealt = both.withColumn("_place", F.explode(F.when(asking, F.concat(members, asked)).otherwise(members)))
+    return dealt.select(*rows.columns, "_place.m", "_place.q", "_place.asks")
 
 
 def _linked_blocks(links):
     """Spanning forest (a, b) of the links of a block; `links` gives the matrix for asking rows and members."""
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
         asking, members = pdf[pdf["asks"].to_numpy()], pdf[~pdf["asks"].to_numpy()]
+        if not len(asking):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         i, j = asking["rep"].to_numpy(), members["rep"].to_numpy()
         a, b = forest(links(asking, members) & (i[:, None] != j[None, :]), i, j)
         return pd.DataFrame({"a": a, "b": b})
@@ -201,14 +211,14 @@ def _share_enough(share: int, columns: int = 2048):
 
 
 def _crowded(signatures: DataFrame, chunks: int) -> tuple[DataFrame, DataFrame]:
-    """Buckets with several members, one for each set of members: as pairs (two members), and as rows (key, rep, lead)."""
+    """Buckets with several members, one for each set of members: as pairs (two members), and as rows (key, rep, lead, n)."""
     keys = signatures.select("rep", F.explode(_keys_of(chunks)("signature")).alias("key"))
     met = (keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.max("rep").alias("last"),
                                    F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1")
            .groupBy("n", "lead", "last", "members").agg(F.min("key").alias("key")))
     met = written(met)
     # merged at every size: a hot key is then split by the skew handling of the join
-    rows = written(keys.join(met.filter("n > 2").select("key", "lead").hint("merge"), "key"))
+    rows = written(keys.join(met.filter("n > 2").select("key", "lead", "n").hint("merge"), "key"))
     return met.filter("n = 2").select(F.col("lead").alias("a"), F.col("last").alias("b")), rows
 
 
@@ -220,10 +230,9 @@ def _clusters(signatures: DataFrame, radius: int) -> DataFrame:
     measured = written(stars.join(a, "a").join(b, "b").select("a", "b", (_apart("sa", "sb") > radius).alias("far")))
     close = measured.filter("not far").select("a", "b")
     far = measured.filter("far").select(F.col("a").alias("lead"), F.col("b").alias("rep"), "far")
-    there = rows.join(far, ["lead", "rep"], "left").select("key", "rep", F.coalesce("far", F.lit(False)).alias("far"))
-    open_ = there.groupBy("key").agg(F.max("far").alias("open")).filter("open").select("key")
-    full = there.join(open_, "key", "left_semi").join(signatures, "rep")
-    blocks = _dealt(written(full), "key", F.col("far"), F.lit(2 * VALUES))
+    there = rows.join(far, ["lead", "rep"], "left").select("key", "rep", "n", F.coalesce("far", F.lit(False)).alias("far"))
+    full = written(there.join(signatures.select("rep", "signature"), "rep"))
+    blocks = _dealt(full, "key", F.col("far"), F.lit(2 * VALUES), single=F.col("n") <= BLOCK)  # the size of a bucket is known
     more = blocks.groupBy("key", "m", "q").applyInPandas(_linked_blocks(_close(radius)), "a long, b long")
     return written(components(close.unionByName(more)).select(F.col("id").alias("rep"), F.col("component").alias("center")))
 

@@ -6,7 +6,9 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lutrin.llm import common, minhash, substrings
 
@@ -203,3 +205,21 @@ def test_word_hashes_agree_with_split():
     assert len(long) > 2 * common.BATCH_BYTES
     hashes, n = common.word_hashes([long, b"t1"])
     assert n.tolist() == [1_500_000, 1] and hashes[1] == hashes[8] == hashes[-1] and len(set(hashes.tolist())) == 7
+
+
+def test_groups_are_dealt_with_one_lookup(spark, monkeypatch):
+    """Every asking row meets its whole group once; groups of one block are not looked up, large ones once for members and askers."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = [(k, 100 * k + i, n, (i * k) % 3 == 1) for k, n in ((1, 3), (2, 4), (3, 9), (4, 23)) for i in range(n)]
+    df = common.written(spark.createDataFrame(rows, "key long, rep long, n long, far boolean"))
+    dealt = minhash._dealt(df, "key", F.col("far"), F.lit(1), single=F.col("n") <= 4)
+    met = {}
+    for r in dealt.collect():
+        met.setdefault((r.key, r.m, r.q), ([], []))[r.asks].append(r.rep)
+    pairs = sorted((a, b) for members, asking in met.values() for a in asking for b in members)
+    assert pairs == sorted((a, b) for k, a, _, far in rows if far for k2, b, _, _ in rows if k == k2)
+    assert all(max(map(len, block)) <= 12 for block in met.values())
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "(n#" in plan
+    nobody = minhash._linked_blocks(None)(pd.DataFrame({"rep": [1], "asks": [False]}))
+    assert list(nobody.columns) == ["a", "b"] and nobody.empty
