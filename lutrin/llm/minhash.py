@@ -9,7 +9,8 @@ signature is therefore entered under each chunk with each of its positions left
 give all pairs within the radius. Pairs are confirmed on the full shingle sets.
 
 Texts with equal sets are one class first. Buckets with the same members count once. In a bucket, members are
-compared with its smallest one; only those farther away than the radius are compared with all others, in blocks. That gives the
+compared with its smallest one, the lead. A lead has at most 64 buckets, and what they hold becomes one crowd with every member once;
+only members farther from the lead than the radius are compared with all others of the crowd, in blocks. That gives the
 clusters of the signature graph. In a cluster the full sets are compared with the set of its smallest member, and
 only members without that link with all others, again in blocks. A block returns a spanning forest of its links,
 so a large group of copies gives rows in proportion to its size, and every link counts.
@@ -26,6 +27,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,30 +212,32 @@ def _share_enough(share: int, columns: int = 2048):
     return enough
 
 
-def _crowded(signatures: DataFrame, chunks: int) -> tuple[DataFrame, DataFrame]:
-    """Buckets with several members, one for each set of members: as pairs (two members), and as rows (key, rep, lead, n)."""
+def _crowded(signatures: DataFrame, chunks: int) -> DataFrame:
+    """Pairs (a, b, most) of the smallest member of every bucket, its lead, with each of the others; every pair once.
+
+    `most` is at least the number of members of all buckets of the lead; zero if the pair alone shares its bucket.
+    """
     keys = signatures.select("rep", F.explode(_keys_of(chunks)("signature")).alias("key"))
     met = (keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.max("rep").alias("last"),
                                    F.bit_xor(F.xxhash64("rep")).alias("members")).filter("n > 1")
            .groupBy("n", "lead", "last", "members").agg(F.min("key").alias("key")))
     met = written(met)
+    crowds = met.filter("n > 2").select("key", "lead", F.sum("n").over(W.partitionBy("lead")).alias("most"))
     # merged at every size: a hot key is then split by the skew handling of the join
-    rows = written(keys.join(met.filter("n > 2").select("key", "lead", "n").hint("merge"), "key"))
-    return met.filter("n = 2").select(F.col("lead").alias("a"), F.col("last").alias("b")), rows
+    rows = keys.join(crowds.hint("merge"), "key").filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "most")
+    couples = met.filter("n = 2").select(F.col("lead").alias("a"), F.col("last").alias("b"), F.lit(0).cast("long").alias("most"))
+    return rows.unionByName(couples).groupBy("a", "b").agg(F.max("most").alias("most"))
 
 
 def _clusters(signatures: DataFrame, radius: int) -> DataFrame:
     """(rep, center): components of the graph of signatures within the radius, for all that have a neighbour."""
-    couples, rows = _crowded(signatures, radius // 2 + 1)
     a, b = (signatures.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
-    stars = rows.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).unionByName(couples).distinct()
-    measured = written(stars.join(a, "a").join(b, "b").select("a", "b", (_apart("sa", "sb") > radius).alias("far")))
+    stars = _crowded(signatures, radius // 2 + 1).join(a, "a").join(b, "b")
+    measured = written(stars.select("a", "b", "most", (_apart("sa", "sb") > radius).alias("far"), F.col("sb").alias("signature")))
     close = measured.filter("not far").select("a", "b")
-    far = measured.filter("far").select(F.col("a").alias("lead"), F.col("b").alias("rep"), "far")
-    there = rows.join(far, ["lead", "rep"], "left").select("key", "rep", "n", F.coalesce("far", F.lit(False)).alias("far"))
-    full = written(there.join(signatures.select("rep", "signature"), "rep"))
-    blocks = _dealt(full, "key", F.col("far"), F.lit(2 * VALUES), single=F.col("n") <= BLOCK)  # the size of a bucket is known
-    more = blocks.groupBy("key", "m", "q").applyInPandas(_linked_blocks(_close(radius)), "a long, b long")
+    crowds = measured.filter("most > 0").select(F.col("a").alias("lead"), F.col("b").alias("rep"), "most", "far", "signature")
+    blocks = _dealt(crowds, "lead", F.col("far"), F.lit(2 * VALUES), single=F.col("most") <= BLOCK)
+    more = blocks.groupBy("lead", "m", "q").applyInPandas(_linked_blocks(_close(radius)), "a long, b long")
     return written(components(close.unionByName(more)).select(F.col("id").alias("rep"), F.col("component").alias("center")))
 
 

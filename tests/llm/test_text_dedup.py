@@ -223,3 +223,29 @@ def test_groups_are_dealt_with_one_lookup(spark, monkeypatch):
     assert plan.count("Join ") == 1 and "(n#" in plan
     nobody = minhash._linked_blocks(None)(pd.DataFrame({"rep": [1], "asks": [False]}))
     assert list(nobody.columns) == ["a", "b"] and nobody.empty
+
+
+def test_members_are_dealt_once_a_lead_not_once_a_bucket(spark, monkeypatch):
+    """A near copy shares some 20 of its 64 buckets with the same lead; all far members still meet all others."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng, deal, dealt = np.random.default_rng(6), minhash._dealt, []
+    base = rng.integers(0, 2**16, minhash.VALUES, dtype=np.uint16)
+
+    def counted(rows, group, *args, **named):
+        dealt.append((rows.count(), rows.select(group, "rep").distinct().count(), rows.select("rep").distinct().count()))
+        return deal(rows, group, *args, **named)
+
+    monkeypatch.setattr(minhash, "_dealt", counted)
+    n = 100
+    signatures = np.repeat(base[None, :], n, axis=0)
+    for k, s in enumerate(signatures):
+        s[rng.choice(minhash.VALUES, rng.integers(22, 30) if k % 5 == 4 else rng.integers(1, 9), replace=False)] ^= 1 + k
+    apart = (signatures[:, None, :] != signatures[None, :, :]).sum(axis=2)
+    linked = [(i, j) for i in range(n) for j in range(i) if apart[i, j] <= minhash.RADIUS]
+    assert (apart[0] > minhash.RADIUS).sum() > n // 10
+    df = common.written(spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(signatures)], "rep long, signature binary"))
+    got = {r.rep: r.center for r in minhash._clusters(df, minhash.RADIUS).collect()}
+    met = {i for pair in linked for i in pair}
+    assert got == {i: c for i, c in brute_components(range(n), linked).items() if i in met}
+    [(rows, pairs, members)] = dealt
+    assert rows == pairs <= 8 * members
