@@ -214,6 +214,35 @@ def test_block_search_shuffles_postings_of_its_stems_only(spark, monkeypatch):
     assert stored.maxima.agg(F.sum("n")).first()[0] == 160
 
 
+def test_blocks_are_made_where_the_postings_lie(spark, monkeypatch):
+    """Postings in the order of their passages are not shuffled, but for passages at the edges of tasks; in any other order the lists are the same.
+    The second wave gives only passages that reach a list."""
+    postings = written(index.postings(topical(spark, 20)))
+    made = []
+    monkeypatch.setattr(textblocks, "written", lambda df: made.append(df) or written(df))
+    monkeypatch.setattr(textblocks, "CHUNK_POSTINGS", 50)
+    queries = spark.createDataFrame([(f"q{d}", "g" if d % 3 else "h", f"sujet{d}x1 regle") for d in range(5)], "query_id string, collection_id string, question string")
+    plain = R.text_candidates(queries, postings, 5).orderBy("query_id", "rank").collect()
+    mixed = postings.orderBy(F.xxhash64("passage_id", "stem")).repartition(3)
+    cut = written(postings.orderBy("collection_id", "passage_id", "stem")).repartitionByRange(7, "collection_id", "passage_id", "stem")
+    for rows in (postings, mixed, cut):
+        made.clear()
+        stored = textblocks.build(rows)
+        assert sorted(map(str, stored.postings.drop("block").collect())) == sorted(map(str, (
+            rows.groupBy("collection_id", "stem", "passage_id").agg(F.max("page_start").alias("page_start"), F.sum("weight").alias("weight"))).collect()))
+        assert stored.postings.groupBy("collection_id", "passage_id").agg(F.countDistinct("block").alias("n")).agg(F.max("n")).first()[0] == 1
+        if rows is postings:
+            assert "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString() and len(made) == 2
+        if rows is not cut:
+            assert R.text_candidates(queries, stored, 5).orderBy("query_id", "rank").collect() == plain and len(plain) == 25
+    found, first, _ = textblocks.waves(R.query_stems(queries), stored, 5, "query_id")
+    opened = {(r["query_id"], r["passage_id"]) for r in first.join(stored.postings, ["collection_id", "block"]).select("query_id", "passage_id").collect()}
+    given = [(r["query_id"], r["score"], (r["query_id"], r["passage_id"]) in opened) for r in found.collect()]
+    for q in {q for q, _, _ in given}:
+        floor = sorted(score for x, score, near in given if x == q and near)[-5]
+        assert all(score >= floor for x, score, near in given if x == q and not near)
+
+
 def test_words_of_texts_are_split_once(spark, monkeypatch):
     """The candidates of excerpts come from one stored table of words; no text is split again for each use of it."""
     texts = spark.createDataFrame([(1, "le roi va loin"), (2, "la mer")], "text_id int, normal string")
