@@ -74,7 +74,7 @@ def short_excerpt_hits(spark, folder):
     firsts = D.table(spark, folder, "benchmark").select("item_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), ws.alias("ws"))
     excerpts = firsts.filter(F.size("ws") >= F.col("n")).select(
         "item_id", F.col("n").cast("long").alias("n"), F.array_join(F.slice("ws", F.lit(1), F.col("n")), " ").alias("excerpt"))
-    return E.containing(written(texts), excerpts, []).groupBy("item_id", "n").agg(F.count("*").alias("n_docs"))
+    return E.containing(texts, excerpts, []).groupBy("item_id", "n").agg(F.count("*").alias("n_docs"))
 
 
 # --- retrieval -------------------------------------------------------------------------

@@ -385,6 +385,28 @@ def test_long_excerpts_store_their_inner_words_only(spark, monkeypatch):
     assert sorted(r["_word"] for r in stored[0].collect()) == ["va", "va"] and len(stored) == 2
 
 
+def test_short_excerpts_store_no_words(spark, monkeypatch):
+    """Excerpts of one or two words are found while the texts are read, whatever the spaces, keys, repeats and parts; only longer ones store words."""
+    rng = random.Random(4)
+    pieces = ["de", "la", "e", "mode", "dela", "à", " ", "\u00a0", "\n", "x" * 50]
+    texts = [(rng.randrange(60), rng.choice(["a", "b", None]), rng.choice([None, "", " ".join(rng.choices(pieces, k=rng.randrange(1, 9)))])) for _ in range(90)]
+    asked = {(rng.choice(["a", "b", "c", None]), rng.choice(["", "\u00a0", " "]).join(rng.choices(pieces[:6], k=rng.randrange(1, 3)))) for _ in range(40)}
+    excerpts = [(j, g, x) for j, (g, x) in enumerate(sorted(asked, key=str))] + [(90, "a", None), (91, "a", ""), (92, "b", " la"), (93, "b", "la")]
+    t = spark.createDataFrame(texts, "text_id int, g string, normal string")
+    e = spark.createDataFrame(excerpts, "e int, g string, excerpt string")
+    stored = []
+    monkeypatch.setattr(E, "written", lambda df: stored.append(written(df)) or stored[-1])
+    want = lambda on: sorted((j, i) for i, g, n in texts for j, h, x in excerpts if n and x and x in n and (not on or g == h and g))
+    for held in (E.HELD_EXCERPTS, 7):
+        monkeypatch.setattr(E, "HELD_EXCERPTS", held)
+        assert sorted((r["e"], r["text_id"]) for r in E.containing(t, e, ["g"]).collect()) == want(True)
+        assert sorted((r["e"], r["text_id"]) for r in E.containing(t.drop("g"), e.drop("g"), []).collect()) == want(False) and want(False)
+    assert not stored
+    longer = e.unionByName(spark.createDataFrame([(99, "a", "mode la de")], e.schema))
+    assert E.containing(t, longer, ["g"]).filter("e < 99").count() == len(want(True))
+    assert {r["_word"] for r in stored[0].collect()} <= {"la"} and len(stored) == 2
+
+
 def test_hits_go_to_the_passages(spark, monkeypatch):
     """What is looked up among the passages is stored first, so its size is known and texts are not shuffled for a few hits."""
     rows = [(f"d-{i}", "fr", "d", "Chapitre", i, f"t{i}", f"texte {i}", i + 1, i + 1) for i in range(6)]
