@@ -11,7 +11,7 @@ from lutrin.operators import evaluate as E
 from lutrin.operators import index
 from lutrin.operators import names as N
 from lutrin.operators import retrieve as R
-from lutrin.operators import textblocks
+from lutrin.operators import skew, textblocks
 from lutrin.operators.skew import top_per
 from lutrin.session import written
 
@@ -201,6 +201,29 @@ def test_large_batches_are_scored_in_bundles_and_blocks(spark, monkeypatch):
     assert len(by_vector) == len(by_text) == 54
 
 
+def test_very_large_batches_read_the_stored_rows(spark, monkeypatch):
+    """A batch whose lists by block would be too many reads vectors and blocks in the tasks of its groups: the same lists, one row a place of a list."""
+    rng = np.random.default_rng(8)
+    rows = [(f"p{i:03d}", "ab"[i % 3 == 0], i if i % 4 else None, rng.integers(0, 2, 3).astype(float).tolist(), rng.choice(["roi", "mer ciel", "roi mer", "ciel"]).item())
+            for i in range(90)]
+    passages = spark.createDataFrame(rows, "passage_id string, collection_id string, page_start int, embedding array<double>, text string")
+    asked = [(f"q{i}", "abc"[i % 3], ["roi ciel", "mer", "inconnu", "a ciel le"][i % 4], rng.integers(1, 3, 3).astype(float).tolist()) for i in range(12)]
+    queries = spark.createDataFrame(asked, "query_id string, collection_id string, question string, vector array<double>")
+    texts = passages.withColumn("title", F.lit("")).withColumn("hierarchy_path", F.lit("")).withColumn("mechanics", F.array().cast("array<string>"))
+    postings, stored = written(index.postings(texts)), cells.build(passages)
+    needed = written(R.query_stems(queries).withColumn("needed", F.when(F.col("query_id") == "q0", 2).otherwise(0)))
+    rank = lambda df: [tuple(r) for r in top_per(df, ["query_id"], [F.desc("score"), F.col("passage_id")], 6)
+                       .select("query_id", "rank", "passage_id", "page_start", "score").orderBy("query_id", "rank").collect()]
+    vectors = lambda: cells.waves(queries, stored, 6, 0.9, "query_id")[0]
+    by_vector, by_text = rank(vectors()), rank(R.text_scores(needed, postings, 6))
+    for module, name, value in ((cells, "MOST_VISITS", 0), (cells, "BUNDLE_ROWS", 7), (cells, "BUNDLE_QUERIES", 2), (R, "BLOCK_POSTINGS", 9),
+                                (R, "MOST_LISTED", 0), (R, "READER_STEMS", 3), (skew, "LIST_ROWS", 4)):
+        monkeypatch.setattr(module, name, value)
+    again = vectors(), R.text_scores(needed, postings, 6)
+    assert (rank(again[0]), rank(again[1])) == (by_vector, by_text) and by_vector and by_text
+    assert (again[0].count(), again[1].count()) == (len(by_vector), len(by_text))  # before: as many rows a block
+
+
 def test_block_search_shuffles_postings_of_its_stems_only(spark, monkeypatch):
     """The waves score what is left of the stored postings after the stems of the batch, not all of them."""
     rows = [(f"p{i}", "g", f"f{i}", "", 0, "", f"roi mot{i} autre{i} encore{i}", 1, 1) for i in range(40)]
